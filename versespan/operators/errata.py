@@ -7,7 +7,7 @@ sees them.
 from __future__ import annotations
 
 import re
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -30,6 +30,30 @@ def _apply(rule: R.Rule, text: Column) -> Column:
     return F.concat(text, F.lit(rule.suffix)) if rule.suffix else text
 
 
+def _gated(rule: R.Rule, source_number: Column) -> Callable[[Column], Column]:
+    def apply(text: Column) -> Column:
+        test = F.lit(True) if rule.gate is None else text.rlike(rule.gate)
+        if rule.source_number is not None:
+            test = test & (source_number == rule.source_number)
+        return F.when(test, _apply(rule, text)).otherwise(text)
+
+    return apply
+
+
+def _row_stage(number: int) -> Callable[[Column], Column]:
+    """The single-row rules of one stage, for rows that have any."""
+    def apply(text: Column) -> Column:
+        mine = F.filter("_rules", lambda r: r["stage"] == number)
+        return F.when(F.col("_rules").isNull(), text).otherwise(F.aggregate(
+            mine, text, lambda acc, r: F.replace(acc, r["find"], r["replacement"])))
+
+    return apply
+
+
+def _rule_stage(rules: Sequence[R.Rule]) -> Callable[[Column], Column]:
+    return lambda text: corrected(text, F.col("language"), F.col("source_number"), rules)
+
+
 def corrected(text: Column, language: Column, source_number: Column,
               rules: Sequence[R.Rule]) -> Column:
     """``text`` after ``rules`` in order, as one projection with one chain per language."""
@@ -42,12 +66,7 @@ def corrected(text: Column, language: Column, source_number: Column,
             if rule.gate is None and rule.source_number is None:
                 chain = _apply(rule, chain)
             else:
-                def gated(t: Column, rule: R.Rule = rule) -> Column:
-                    test = F.lit(True) if rule.gate is None else t.rlike(rule.gate)
-                    if rule.source_number is not None:
-                        test = test & (source_number == rule.source_number)
-                    return F.when(test, _apply(rule, t)).otherwise(t)
-                chain = let(chain, gated)
+                chain = let(chain, _gated(rule, source_number))
         out = F.when(language == name, chain) if out is None \
             else out.when(language == name, chain)
     return text if out is None else out.otherwise(text)
@@ -82,15 +101,9 @@ def apply_errata(verses: DataFrame, stages: Sequence[Sequence] = R.STAGES) -> Da
         rows = rows.join(F.broadcast(per_row), "id", "left")   # a module constant
     text = F.col("text")
     for number, rules in enumerate(stages):
-        if rules and isinstance(rules[0], R.RowRule):
-            def fold(t: Column, number: int = number) -> Column:
-                mine = F.filter("_rules", lambda r: r["stage"] == number)
-                return F.when(F.col("_rules").isNull(), t).otherwise(F.aggregate(
-                    mine, t, lambda acc, r: F.replace(acc, r["find"], r["replacement"])))
-            text = let(text, fold)
-        elif rules:
-            text = let(text, lambda t, rules=rules: corrected(
-                t, F.col("language"), F.col("source_number"), rules))
+        if rules:
+            single = isinstance(rules[0], R.RowRule)
+            text = let(text, _row_stage(number) if single else _rule_stage(rules))
     return rows.withColumn("text", text).select(*verses.columns)
 
 

@@ -11,10 +11,25 @@ from versespan.plans.sheets import HYDRATED, conversation_sheets
 from versespan.plans.texts import _decoded
 
 
+def lettered(number):
+    """A book name without digits, as the export's address grammar needs."""
+    return F.concat(F.lit("B"), F.translate(number.cast("string"), "0123456789", "abcdefghij"))
+
+
+def lettered_verses(spark, d):
+    return K.verses(spark, d).withColumn("book", lettered(F.col("book_number")))
+
+
+def document_book():
+    return lettered(F.floor(F.col("doc_id") / 20))
+
+
+_BOOK = "concat('B', translate('' || {}, '0123456789', 'abcdefghij'))"
+
+
 def export_requests(spark, d):
-    """Each document asks for its book: the whole, one chapter, or some verses."""
-    form = F.col("doc_id") % 3
-    book = F.concat(F.lit("B"), F.floor(F.col("doc_id") / 20).cast("string"))
+    """Each document asks for one chapter or some verses of its book."""
+    form, book = F.col("doc_id") % 3, document_book()
     return K.table(spark, d, "documents").select(
         F.col("doc_id").alias("request_id"),
         F.when(form == 0, F.concat(book, F.lit(" 1,1.2-3.900-"))).otherwise(
@@ -23,16 +38,16 @@ def export_requests(spark, d):
 
 _ASKED = """d.doc_id % 3 = 0 and v.chapter = 1 and (v.verse <= 3 or v.verse >= 900)
    or d.doc_id % 3 <> 0 and v.chapter = 1"""
-_DOC = "'B' || d.doc_id // 20 || case when d.doc_id % 3 = 0 then ' 1,1.2-3.900-' else ' 1' end"
+_DOC = _BOOK.format("d.doc_id // 20") + " || case when d.doc_id % 3 = 0 then ' 1,1.2-3.900-' else ' 1' end"
 
 
 @query("chapters_json", f"""with {K.VERSES}
-select d.doc_id request_id, d.source, v.book, v.book_name, {_DOC} address,
+select d.doc_id request_id, d.source, {_BOOK.format('v.book_number')} book, v.book_name, {_DOC} address,
   cast(v.chapter as varchar) chapter, v.verse, v.text
 from documents d join verses v on v.source = d.source and v.book_number = d.doc_id // 20
   and ({_ASKED})""")
 def chapters_json(spark, d):
-    rows = E.export_rows(export_requests(spark, d), K.verses(spark, d)).rows
+    rows = E.export_rows(export_requests(spark, d), lettered_verses(spark, d)).rows
     docs = E.export_documents(E.export_chapters(rows)).whole
     parsed = docs.select("request_id", F.from_json(
         "document", "source string, book string, book_name string, address string, "
@@ -44,14 +59,13 @@ def chapters_json(spark, d):
 
 
 @query("whole_book_json", f"""with {K.VERSES},
-c as (select doc_id request_id, any_value(source) as source, any_value(book) book, chapter,
+c as (select doc_id request_id, any_value(source) as source, {_BOOK.format('any_value(book_number)')} book, chapter,
     count(*) verses, sum(length(text)) chars from verses group by doc_id, chapter)
 select request_id, source, book, chapter, verses, cast(chars as bigint) chars from c""")
 def whole_book_json(spark, d):
     requests = K.table(spark, d, "documents").select(
-        F.col("doc_id").alias("request_id"), F.lit("*").alias("address"), "source")
-    book = F.concat(F.lit("B"), F.floor(F.col("request_id") / 20).cast("string"))
-    rows = E.export_rows(requests.withColumn("address", book), K.verses(spark, d)).rows
+        F.col("doc_id").alias("request_id"), document_book().alias("address"), "source")
+    rows = E.export_rows(requests, lettered_verses(spark, d)).rows
     verses = F.from_json("verses", "array<struct<verse:int, text:string>>")
     return E.export_chapters(rows).select(
         "request_id", "source", "book", "chapter",
@@ -61,16 +75,15 @@ def whole_book_json(spark, d):
 
 
 @query("page_labels", f"""with {K.VERSES},
-b as (select doc_id request_id, any_value(book) book, min(verse) lo, max(verse) hi
+b as (select doc_id request_id, {_BOOK.format('any_value(book_number)')} book, min(verse) lo, max(verse) hi
   from verses where chapter = 1 group by 1)
 select request_id, concat(book, ' 1,', lo, case when hi > lo then chr(8211) || hi else '' end) as label
 from b""")
 def page_labels(spark, d):
     requests = K.table(spark, d, "documents").select(
-        F.col("doc_id").alias("request_id"), F.concat(
-            F.lit("B"), F.floor(F.col("doc_id") / 20).cast("string"), F.lit(" 1")).alias("address"),
-        "source")
-    return E.page_labels(E.export_rows(requests, K.verses(spark, d)).rows)
+        F.col("doc_id").alias("request_id"),
+        F.concat(document_book(), F.lit(" 1")).alias("address"), "source")
+    return E.page_labels(E.export_rows(requests, lettered_verses(spark, d)).rows)
 
 
 @query("sheet_markdown", f"""{HYDRATED},

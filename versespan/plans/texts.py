@@ -68,7 +68,7 @@ _page_query("print_clean", "trim(" + _fold("html", [
 def _decoded(column: str) -> str:
     column = _fold(column, [(r"(?s)<!--.*?(?:-->|$)", ""), (r"</?[A-Za-z!?][^>]*(?:>|$)", "")])
     for name, char in X.ENTITIES.items():
-        char = "chr(160)" if name == "&nbsp;" else "'" + char + "'"
+        char = "chr(160)" if name == "&nbsp;" else "'" + char.replace("'", "''") + "'"
         column = f"replace({column}, '{name}', {char})"
     column = f"replace({column}, '&amp;', '&')"
     return "trim(" + _rewrite(column, r"[\s\x{a0}]+", " ") + ")"
