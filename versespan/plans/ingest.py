@@ -25,7 +25,7 @@ def _files(spark, d):
     docs = K.documents(spark, d).withColumnRenamed("lang", "language")
     more = F.when(F.col("doc_id") % 40 < 20, ".parquet").otherwise(".more.parquet")
     path = F.concat(F.col("language"), F.lit("/x/"), F.col("source"), more)
-    return docs.withColumn("path", path).withColumn("name", I.file_name(F.col("path")))
+    return docs.withColumn("path", path).withColumn("source_name", I.file_name(F.col("path")))
 
 
 _FILES = """f as (select doc_id, lang as language, source as name, lang || '/x/' || source ||
@@ -38,7 +38,8 @@ numbered as (select language, name, first_path, row_number() over (
 @query("assign_source_numbers", f"""with {_FILES}
 select language, name, first_path, cast(source_number as int) source_number from numbered""")
 def assign_source_numbers(spark, d):
-    return I.assign_source_numbers(_files(spark, d).select("language", "name", "path"))
+    return I.assign_source_numbers(_files(spark, d).select(
+        "language", F.col("source_name").alias("name"), "path"))
 
 
 _INFO = """info as (
@@ -138,11 +139,11 @@ def merge_corpus(spark, d):
 
 def _merged(spark, d):
     files = _files(spark, d)
-    keys = ["path", "language", "name"]
+    keys = ["path", "language", "source_name"]
     plain = ~F.col("path").contains(".more.")
     short = F.concat(F.lit("B"), F.col("book_number").cast("string"))
     long = F.when(plain, F.concat(F.lit("Book "), F.col("book_number").cast("string")))
-    info = files.select("path", "language", F.inline(F.array(*[
+    info = files.select(*keys, F.inline(F.array(*[
         F.struct(F.lit(n).alias("name"), v.alias("value")) for n, v in (
             ("description", F.col("source")), ("origin", F.col("path")),
             ("language", F.col("language")))]))).distinct()

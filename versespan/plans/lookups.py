@@ -71,10 +71,10 @@ def fetch_verses_no_source(spark, d):
   select l_orderkey request_id, 'P' || l_partkey book, l_linenumber n, l_suppkey % 9 + 1 a,
          l_partkey % 12 + 1 b, cast(l_quantity as int) c from lineitem)
 select request_id, book, n chapter, c verse from q where n in (1, 4, 7)
-union all select request_id, book, n, unnest(range(a, b + 1)) from q where n in (1, 4, 7) and a <= b
+union all select request_id, book, n, cast(unnest(range(a, b + 1)) as int) from q where n in (1, 4, 7) and a <= b
 union all select request_id, book, n, c + 1 from q where n in (1, 4, 7) and a <= b
 union all select request_id, book || ' x', n, null from q where n in (2, 5)
-union all select request_id, book, n, unnest(range(990 + a, 1000)) from q where n = 3
+union all select request_id, book, n, cast(unnest(range(990 + a, 1000)) as int) from q where n = 3
 union all select request_id, book, null, null from q where n = 6""")
 def parse_addresses(spark, d):
     n = F.col("l_linenumber")

@@ -218,7 +218,7 @@ def source_fill(spark, d):
 @query("expand_batch", r"""with p as (select doc_id, source,
   regexp_replace(unnest(string_split(replace(text, '. ', ';'), ';')), '^\s+|\s+$', '', 'g') address,
   generate_subscripts(string_split(replace(text, '. ', ';'), ';'), 1) i from documents)
-select doc_id input_id, source, row_number() over (partition by doc_id order by i) - 1 pos, address
+select doc_id input_id, source, cast(row_number() over (partition by doc_id order by i) - 1 as int) pos, address
 from p where address <> ''""")
 def expand_batch(spark, d):
     inputs = K.documents(spark, d).select(

@@ -86,7 +86,7 @@ m as (select page_id,
 g as (select page_id, i, regexp_extract(e, '^<([A-Za-z0-9]+)>', 1) tag,
   regexp_extract(e, '</([A-Za-z0-9]+)>$', 1) closing,
   regexp_extract(e, '^<[^>]+>([^<]+)<', 1) as value from m)
-select page_id, tag, row_number() over (partition by page_id, tag order by i) - 1 pos, value
+select page_id, tag, cast(row_number() over (partition by page_id, tag order by i) - 1 as int) pos, value
 from g where tag = closing""")
 def collect_tags(spark, d):
     tags = pages(spark, d).select("page_id", F.explode(X.collect_tags(F.col("html")))
@@ -97,7 +97,7 @@ def collect_tags(spark, d):
 @query("link_extract", """with m as (select page_id,
   generate_subscripts(regexp_extract_all(html, 'href="/([^"]+)"', 1), 1) - 1 pos,
   unnest(regexp_extract_all(html, 'href="/([^"]+)"', 1)) as name from pages)
-select page_id, pos, name from m""")
+select page_id, cast(pos as int) pos, name from m""")
 def link_extract(spark, d):
     return extract_links(pages(spark, d), pattern='href="/([^"]+)"')
 

@@ -1,8 +1,8 @@
 """Many source files with drifting layouts, merged into one corpus.
 
 A source file holds some of the tables ``info, books, verses, stories, commentaries,
-dictionary``. Here each table is read from all files at once, every row tagged with the
-path of its file.
+dictionary``. They are stored by table, and each table is read from all files at once, every
+row tagged with the file it belongs to.
 """
 
 from __future__ import annotations
@@ -30,14 +30,16 @@ def read_sources(spark: SparkSession, root: str, table: str, fmt: str = "parquet
                  **options: str) -> DataFrame:
     """All files of one table below ``root``: ``<root>/<language>/<table>/<name>[.more].<fmt>``.
 
-    Files may differ in columns; each row carries ``path``, ``language`` and ``name``.
+    Files may differ in columns. Each row carries ``path`` (``<language>/<file>``, the same
+    for all tables of one source file), ``language`` and ``source_name``.
     """
     reader = spark.read.format(fmt).option("mergeSchema", "true").options(**options)
     rows = reader.load(f"{root}/*/{table}")
-    path = F.col("_metadata.file_path")
-    rows = rows.withColumn("path", path)
-    language = F.regexp_extract("path", rf"([^/]+)/{table}/[^/]+\z", 1)
-    return rows.withColumn("language", language).withColumn("name", file_name(F.col("path")))
+    where = F.col("_metadata.file_path")
+    language = F.regexp_extract(where, rf"([^/]+)/{table}/[^/]+\z", 1)
+    path = F.concat(language, F.lit("/"), F.regexp_extract(where, r"([^/]+)\z", 1))
+    return rows.select("*", path.alias("path"), language.alias("language")).withColumn(
+        "source_name", file_name(F.col("path")))
 
 
 def align_schema(df: DataFrame, wanted: dict[str, str],
@@ -99,18 +101,17 @@ def keep_story_rows(stories: DataFrame) -> DataFrame:
     return stories.filter(book.isNull() | F.trim(book).rlike("^[0-9][0-9]"))
 
 
-_KEYS = {"path": "string", "language": "string", "name": "string"}
+_KEYS = {"path": "string", "language": "string"}
 
 
 def merge_corpus(tables: dict[str, DataFrame]) -> dict[str, DataFrame]:
-    """The six corpus tables from raw per-file tables (each with path, language, name).
+    """The six corpus tables from per-file tables (each with path, language, source_name).
 
     Numbering the sources is the only step that looks across files; everything else is a
     projection, or a join with the books of the same file.
     """
-    listed = [t.select("language", "path", F.when(
-        F.lit(table == "info"), file_name(F.col("path"))).otherwise(F.col("name")).alias("name"))
-        for table, t in tables.items()]
+    listed = [t.select("language", "path", F.col("source_name").alias("name"))
+              for t in tables.values()]
     files = union_aligned(listed).distinct()
     numbered = assign_source_numbers(files)
     numbers = small_side(files.join(numbered.drop("first_path"), ["language", "name"]).select(
@@ -132,7 +133,7 @@ def merge_corpus(tables: dict[str, DataFrame]) -> dict[str, DataFrame]:
     def aligned(table: str, columns: dict[str, str], alternatives=None) -> DataFrame | None:
         if table not in tables:
             return None
-        return align_schema(tables[table], {**_KEYS, **columns}, alternatives).drop("name").join(
+        return align_schema(tables[table], {**_KEYS, **columns}, alternatives).join(
             numbers, "path")
 
     books = aligned("books", {"book_number": "int", "short_name": "string",

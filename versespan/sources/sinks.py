@@ -7,7 +7,14 @@ from pyspark.sql import functions as F
 
 from versespan import schemas
 
-PARTITIONED = ("verses", "stories", "commentaries", "dictionary")
+# Cluster keys, fine enough that no single key value holds a large share of a table.
+CLUSTERED = {
+    "verses": ["language", "source_number", "book_number", "chapter", "verse"],
+    "stories": ["language", "source_number", "book_number", "chapter", "verse"],
+    "commentaries": ["language", "source_number", "book_number", "chapter_number_from",
+                     "verse_number_from"],
+    "dictionary": ["language", "source_number", "topic"],
+}
 
 
 def cast_table(df: DataFrame, table: str) -> DataFrame:
@@ -26,12 +33,8 @@ def load_tables(tables: dict[str, DataFrame], path: str) -> None:
         if name not in schemas.TABLES:
             continue
         rows = cast_table(df, name)
-        if name in PARTITIONED:
-            keys = ["language", "source_number"]
-            if "book_number" in rows.columns:
-                keys.append("book_number")
-            if "chapter" in rows.columns:
-                keys.append("chapter")
+        keys = CLUSTERED.get(name)
+        if keys:
             rows.repartitionByRange(*keys).sortWithinPartitions(*keys).write.mode(
                 "overwrite").partitionBy("language").parquet(f"{path}/{name}")
         else:
@@ -39,7 +42,8 @@ def load_tables(tables: dict[str, DataFrame], path: str) -> None:
 
 
 def read_tables(spark: SparkSession, path: str, names: list[str]) -> dict[str, DataFrame]:
-    return {n: spark.read.schema(schemas.TABLES[n]).parquet(f"{path}/{n}") for n in names}
+    return {n: spark.read.schema(schemas.TABLES[n]).parquet(f"{path}/{n}").select(
+        *schemas.TABLES[n].names) for n in names}
 
 
 def insert_if_absent(target: DataFrame, new: DataFrame, key: list[str]) -> DataFrame:
