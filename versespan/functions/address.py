@@ -65,10 +65,8 @@ def parse_address(x: Column) -> Column:
             F.when(r["lo"].isNull() | r["hi"].isNull(), "bad")
             .when(r["hi"] < r["lo"], "stop").otherwise("keep").alias("state")))
 
-    def verses(t: Column) -> Column:
-        chapter = F.regexp_extract(t, _VERSES, 2).try_cast("int")
-        book = F.trim(F.regexp_extract(t, _VERSES, 1))
-        parts = F.transform(F.split(F.regexp_extract(t, _VERSES, 3), r"\."), part)
+    def verses(f: list[Column]) -> Column:
+        book, chapter = F.trim(f[0]), f[1].try_cast("int")
 
         def cut(ps: Column) -> Column:
             end = F.array_position(F.transform(ps, lambda p: p["state"] != "keep"), True)
@@ -86,27 +84,40 @@ def parse_address(x: Column) -> Column:
 
             return let(end, result)
 
-        return let(parts, cut)
-
-    no_parts = F.lit(None).cast("array<struct<lo:int,hi:int>>")
+        return let(F.transform(F.split(f[2], r"\."), part), cut)
 
     def whole(book: Column, chapter: Column, error: Column) -> Column:
+        no_parts = F.lit(None).cast("array<struct<lo:int,hi:int>>")
         return F.struct(F.trim(F.regexp_replace(book, SPACE + "+", " ")).alias("book"),
                         chapter.alias("chapter"), no_parts.alias("parts"),
                         error.alias("error"))
 
-    def by_shape(t: Column) -> Column:
-        chapter = F.regexp_extract(t, _CHAPTER, 2).try_cast("int")
-        none = F.lit(None)
+    def by_shape(fields: Column) -> Column:
+        f = [F.get(fields, F.lit(i)) for i in range(3)]
+        chapter, none = f[1].try_cast("int"), F.lit(None)
         return (
-            F.when(t.rlike(_VERSES), verses(t))
-            .when(t.rlike(_CHAPTER), whole(
-                F.regexp_extract(t, _CHAPTER, 1), chapter,
-                F.when(chapter.isNull(), "chapter is not a number")))
-            .when(t != "", whole(t, none.cast("int"), none.cast("string")))
+            F.when(F.size(fields) == 3, verses(f))
+            .when(F.size(fields) == 2, whole(f[0], chapter, F.when(
+                chapter.isNull(), "chapter is not a number")))
+            .when(f[0] != "", whole(f[0], none.cast("int"), none.cast("string")))
         )
 
-    return let(F.trim(x), by_shape)
+    return let(_fields(F.trim(x)), by_shape)
+
+
+def _fields(x: Column) -> Column:
+    """Book, chapter and verse list of an address, as far as it has them.
+
+    Each pattern is matched once, its groups set apart by a control character.
+    """
+    mark = "\u0001"
+
+    def chapter(t: Column) -> Column:
+        return F.when(t.contains(mark), t).otherwise(
+            F.regexp_replace(t, _CHAPTER, f"$1{mark}$2"))
+
+    marked = F.regexp_replace(F.translate(x, mark, "\ufffd"), _VERSES, f"$1{mark}$2{mark}$3")
+    return F.split(let(marked, chapter), mark)
 
 
 def contains_verse(parts: Column, verse: Column) -> Column:

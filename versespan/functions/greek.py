@@ -28,43 +28,43 @@ def _code(char: str) -> str:
     return out
 
 
-def _char_class(points: list[int]) -> str:
-    spans: list[list[int]] = []
-    for p in points:
-        if spans and p == spans[-1][1] + 1:
-            spans[-1][1] = p
-        else:
-            spans.append([p, p])
-    return "".join(f"\\x{{{a:x}}}-\\x{{{b:x}}}" for a, b in spans)
+_SPACES = "\ue000"            # private-use marks: the n-th after it stands for n spaces
 
 
 @lru_cache(maxsize=1)
-def _tables() -> tuple[str, str, str, dict[int, str]]:
-    """Letters with their codes, deleted marks, and the characters that yield n spaces."""
-    letters, codes, gone = [], [], []
-    spaces: dict[int, list[int]] = {}
+def _tables() -> tuple[str, str, int]:
+    """Characters and their replacements for one ``translate``, and the longest run of
+    spaces a single character yields. Marks come last and have no replacement.
+
+    ASCII is mapped here too, so that afterwards only the codes of Greek letters are ASCII
+    letters.
+    """
+    found, codes, gone, most = [], [], [], 1
     for point in range(sys.maxunicode + 1):
         if 0xD800 <= point <= 0xDFFF:
             continue
-        code = _code(chr(point))
-        if code == " ":
-            continue
+        char = chr(point)
+        code = _code(char)
         if code == "":
-            gone.append(chr(point))
-        elif len(code) == 1:
-            letters.append(chr(point))
+            gone.append(char)
+        elif len(code) > 1:
+            most = max(most, len(code))
+            found.append(char)
+            codes.append(chr(ord(_SPACES) + len(code)))
+        elif code != " " or point < 128 or 0 <= point - ord(_SPACES) < 32:
+            found.append(char)
             codes.append(code)
-        else:
-            spaces.setdefault(len(code), []).append(point)
-    return ("".join(letters), "".join(codes), "".join(gone),
-            {n: _char_class(points) for n, points in spaces.items()})
+    return "".join(found + gone), "".join(codes), most
 
 
 def greek_to_betacode(x: Column) -> Column:
-    """Base letters become ASCII, listed accents vanish, anything else becomes a space."""
-    letters, codes, gone, spaces = _tables()
-    known = _char_class(sorted(ord(c) for c in letters + gone))
-    for n, chars in sorted(spaces.items()):
-        x = F.regexp_replace(x, f"[{chars}]", " " * n)
-    x = F.regexp_replace(x, f"[^{known}]", " ")
-    return F.translate(x, letters + gone, codes)
+    """Base letters become ASCII, listed accents vanish, anything else becomes a space.
+
+    A character that decomposes into several others becomes as many spaces.
+    """
+    found, codes, most = _tables()
+    x = F.translate(x, found, codes)
+    x = F.regexp_replace(x, f"[^a-z {chr(ord(_SPACES) + 2)}-{chr(ord(_SPACES) + most)}]", " ")
+    for n in range(2, most + 1):
+        x = F.replace(x, F.lit(chr(ord(_SPACES) + n)), F.lit(" " * n))
+    return x

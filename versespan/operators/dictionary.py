@@ -7,15 +7,14 @@ from pyspark.sql import functions as F
 
 from versespan.functions import entries as E
 from versespan.functions import text as X
-from versespan.functions.core import squeeze
 from versespan.functions.greek import greek_to_betacode
-from versespan.operators.joins import BROADCAST_ROWS, Checked, small_side
+from versespan.operators.joins import BROADCAST_ROWS, Checked, is_small, small_side
 
 
 def verse_words(text: Column) -> Column:
     """Distinct beta-code words of a text."""
-    plain = F.trim(squeeze(greek_to_betacode(X.text_without_format(text))))
-    return F.filter(F.array_distinct(F.split(plain, " ")), lambda w: F.trim(w) != "")
+    code = greek_to_betacode(X.text_without_format(text))
+    return F.filter(F.array_distinct(F.split(code, " +")), lambda w: w != "")
 
 
 def parse_entries(dictionary: DataFrame) -> Checked:
@@ -46,10 +45,10 @@ def verse_dictionary(requests: DataFrame, verses: DataFrame, dictionary: DataFra
     ids = requests.select("request_id", F.col("verse_id").alias("id"))
     texts = verses.select("id", "text")
     asked = ids.select("id").distinct()
-    if broadcast_rows:
-        asked, ids = small_side(asked, broadcast_rows), small_side(ids, broadcast_rows)
+    if broadcast_rows and is_small(ids, broadcast_rows):
+        asked, ids = F.broadcast(asked), F.broadcast(ids)
     words = texts.join(asked, "id", "left_semi").select(
-        "id", F.explode(verse_words(F.col("text"))).alias("verse_word")).distinct()
+        "id", F.explode(verse_words(F.col("text"))).alias("verse_word"))
 
     wrapped = dictionary.select(F.col("topic"), E.wrap_entry(F.col("definition")).alias("_xml"))
     checked = wrapped.withColumn("_ok", E.is_well_formed(F.col("_xml")))

@@ -11,8 +11,8 @@ from pyspark.sql.window import Window
 
 from versespan.session import materialize
 
-BROADCAST_ROWS = 200_000
-BROADCAST_CHARS = 64 * 1024 * 1024
+BROADCAST_ROWS = 50_000
+BROADCAST_CHARS = 32 * 1024 * 1024
 DOCUMENT_CHARS = 64 * 1024 * 1024
 COPIES_PER_CHUNK = 65_536
 
@@ -29,14 +29,17 @@ def small_side(df: DataFrame, max_rows: int = BROADCAST_ROWS,
     """Mark ``df`` for broadcast if it measures below both bounds, else return it as it is.
 
     Without the mark the join is left to Catalyst and AQE: a shuffled join on the same
-    keys, with skewed partitions split at run time. The measuring job reads at most
-    ``max_rows + 1`` rows of each partition and keeps two numbers.
+    keys, with skewed partitions split at run time. Only row widths are measured, and the
+    job stops at the first partitions that exceed the bound.
     """
+    return F.broadcast(df) if is_small(df, max_rows, max_chars) else df
+
+
+def is_small(df: DataFrame, max_rows: int = BROADCAST_ROWS,
+             max_chars: int = BROADCAST_CHARS) -> bool:
     width = F.length(F.to_json(F.struct(*[F.col(f"`{c}`") for c in df.columns])))
-    size = df.select(width.alias("w")).limit(max_rows + 1).agg(
-        F.count("*").alias("n"), F.coalesce(F.sum("w"), F.lit(0)).alias("chars")).first()
-    fits = size["n"] <= max_rows and size["chars"] <= max_chars
-    return F.broadcast(df) if fits else df
+    widths = df.select(width.alias("w")).limit(max_rows + 1).collect()
+    return len(widths) <= max_rows and sum(w["w"] for w in widths) <= max_chars
 
 
 def repeat_rows(df: DataFrame, copies: str) -> DataFrame:

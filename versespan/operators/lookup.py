@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from versespan.functions import address as A
 from versespan.functions import text as X
-from versespan.operators.joins import BROADCAST_ROWS, Checked, small_side
+from versespan.operators.joins import BROADCAST_ROWS, Checked, is_small, small_side
 
 
 def parse_requests(requests: DataFrame, column: str = "address") -> Checked:
@@ -83,7 +83,7 @@ def fetch_verses(requests: DataFrame, verses: DataFrame, books: DataFrame,
     requests are few, never shuffled.
     """
     wanted, rejects = wanted_chapters(requests, books, verses, chapters)
-    if broadcast_rows:
+    if broadcast_rows and is_small(requests.select("request_id"), broadcast_rows):
         wanted = small_side(wanted, broadcast_rows)
     found = verses.join(wanted, ["source", "book_number", "chapter"]).filter(
         A.contains_verse(F.col("parts"), F.col("verse")))

@@ -12,6 +12,7 @@ from versespan.operators.dictionary import verse_dictionary
 from versespan.operators.export import collapse_ranges
 from versespan.operators.references import cross_references_by_address
 from versespan.operators.stories import fetch_stories
+from versespan.session import materialize
 
 
 class Bundle(NamedTuple):
@@ -27,8 +28,12 @@ def selection_bundle(selected: DataFrame, *, verses: DataFrame, books: DataFrame
     """Lookups for each selection ``(request_id, source, + verse columns)``.
 
     Cross references come up for every selection, by its collapsed address in its source.
-    Dictionary, commentaries and stories come up where exactly one verse is selected.
+    Dictionary, commentaries and stories come up where exactly one verse is selected. The
+    selection is written once, as every lookup starts from it.
     """
+    selected = materialize(selected.select(
+        "request_id", "book_number", "chapter", "verse", "language", "source", "id",
+        "address"), "selected")
     own = selected.groupBy("request_id").agg(
         F.min("source").alias("source"), F.count_distinct("id").alias("_n"),
         F.min("id").alias("verse_id"), F.min("address").alias("_address"))

@@ -33,6 +33,10 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
         "source_number", (F.col("doc_id") % 20).cast("int"))
 
 
+def lineitem(spark: SparkSession, sf_dir: str, *columns: str) -> DataFrame:
+    return spread(table(spark, sf_dir, "lineitem").select(*columns))
+
+
 def raw_verses(docs: DataFrame) -> DataFrame:
     lines = docs.select("*", F.posexplode(F.split("text", "\n")).alias("_c", "_line"))
     pieces = lines.select(*docs.columns, "_c", F.posexplode(
@@ -91,7 +95,8 @@ def commentaries(spark: SparkSession, sf_dir: str) -> DataFrame:
 def refs(spark: SparkSession, sf_dir: str) -> DataFrame:
     flag, part = F.col("l_returnflag"), F.col("l_partkey")
     full = flag != "N"
-    rows = table(spark, sf_dir, "lineitem").select(
+    rows = lineitem(spark, sf_dir, "l_orderkey", "l_partkey", "l_suppkey", "l_linenumber",
+                    "l_quantity", "l_extendedprice", "l_discount", "l_returnflag").select(
         (F.col("l_suppkey") % 50).alias("book_number"), F.col("l_linenumber").alias("chapter"),
         F.col("l_quantity").alias("verse"), (part % 50).alias("b1"),
         (1 + F.col("l_linenumber") % 5).alias("c1"), (1 + F.col("l_orderkey") % 20).alias("v1"),

@@ -90,7 +90,7 @@ def parse_addresses(spark, d):
         .when(n == 3, F.concat(book, F.lit(" 3:"),
                                (F.col("l_suppkey") % 9 + 991).cast("string"), F.lit("-")))
         .when(n == 6, book))
-    requests = K.table(spark, d, "lineitem").select(
+    requests = K.lineitem(spark, d, "l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_quantity").select(
         F.col("l_orderkey").alias("request_id"), address.alias("address"))
     return L.parse_addresses(requests).rows
 
@@ -105,7 +105,7 @@ def address_rejects(spark, d):
         F.when(n % 3 == 0, F.concat(F.lit("P 1,"), n.cast("string"), F.lit(".9-5..2")))
         .when(n % 3 == 1, F.concat(F.lit("P 1,"), n.cast("string"), F.lit("..2")))
         .otherwise(F.concat(F.lit("P 9999999999,"), n.cast("string"))))
-    requests = K.table(spark, d, "lineitem").select(
+    requests = K.lineitem(spark, d, "l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_quantity").select(
         F.col("l_orderkey").alias("request_id"), address.alias("address"))
     return L.parse_addresses(requests).rejects
 
