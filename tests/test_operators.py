@@ -384,6 +384,24 @@ def test_export_documents(frame, verses):
     assert set(docs) == {1, 2}
 
 
+def test_export_reads_the_first_language(frame, verses):
+    twin = verses.filter("source = 'NVUL' and book = 'Ps'").withColumn("language", F.lit("aa"))
+    asked = frame("request_id int, address string, source string", (1, "Ps 1", "NVUL"),
+                  (2, "J 1", "NVUL"))
+    got = export.export_rows(asked, verses.unionByName(twin)).rows
+    assert rows(got.groupBy("request_id").count()) == [(1, 6)]
+
+
+def test_documents_are_written(spark, frame, verses, tmp_path):
+    asked = frame("request_id int, address string, source string", (1, "Ps 1,1-2", "NVUL"))
+    docs = export.export_documents(export.export_chapters(export.export_rows(asked, verses).rows))
+    export.write_documents(docs.whole, asked, str(tmp_path / "json"))
+    assert rows(spark.read.parquet(str(tmp_path / "json")), "file_name") == [("Ps_1_1-2_NVUL",)]
+    sheet = frame("sheet_id string, title string, document string", ("id", "A b", "x"))
+    export.write_markdown(sheet, str(tmp_path / "md"))
+    assert rows(spark.read.parquet(str(tmp_path / "md"))) == [("a-b-id.md", "x")]
+
+
 def test_long_documents_come_back_in_pieces(frame):
     lines = frame("k int, i int, text string", (1, 0, "ab"), (1, 1, "cd"), (2, 0, "x"))
     whole, pieces = joins.assemble(lines, ["k"], ["i"], max_chars=3)

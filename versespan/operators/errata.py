@@ -120,11 +120,13 @@ def repair_markers(commentaries: DataFrame) -> DataFrame:
 def add_missing_reference(refs: DataFrame) -> DataFrame:
     """Append the missing reference unless it is there already."""
     row = R.MISSING_REFERENCE
-    same = F.lit(True)
-    for name in refs.columns:
-        same = same & F.col(name).eqNullSafe(F.lit(row.get(name)).cast("int"))
     new = refs.sparkSession.range(1).select(
         *[F.lit(row.get(f.name)).cast(f.dataType).alias(f.name) for f in refs.schema])
-    present = refs.filter(same).limit(1).select(F.lit(1).alias("_x"))
-    absent = new.join(F.broadcast(present), F.lit(True), "left_anti")   # at most one row
+    present = refs
+    for name in refs.columns:
+        present = present.filter(F.col(name).eqNullSafe(F.lit(row.get(name)).cast("int")))
+    found = new.withColumn("_there", F.lit(0)).unionByName(
+        present.limit(1).withColumn("_there", F.lit(1)))
+    absent = found.groupBy(*refs.columns).agg(F.max("_there").alias("_there")).filter(
+        F.col("_there") == 0).drop("_there")
     return refs.unionByName(absent)

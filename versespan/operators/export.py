@@ -12,8 +12,19 @@ from versespan.operators.joins import Checked, Documents, assemble, small_side
 from versespan.operators.sheets import decode_sheets, pericope_verses, shown_items
 
 
-def export_rows(requests: DataFrame, verses: DataFrame) -> Checked:
-    """Verses of each ``(request_id, address, source)`` in the print export's grammar."""
+def export_directory(verses: DataFrame) -> DataFrame:
+    """The chapters each source has in each language."""
+    return verses.select("language", "source", "book", "chapter").distinct()
+
+
+def export_rows(requests: DataFrame, verses: DataFrame,
+                chapters: DataFrame | None = None) -> Checked:
+    """Verses of each ``(request_id, address, source)`` in the print export's grammar.
+
+    A source stored under several languages is read from the first. Whole books are
+    expanded over the chapters that exist, so all requests meet the verses in one join on
+    (language, source, book, chapter).
+    """
     parsed = requests.select("request_id", "address", "source",
                              A.export_parts(F.col("address")).alias("_a"))
     wanted = parsed.filter(F.col("_a.error").isNull()).select(
@@ -21,14 +32,17 @@ def export_rows(requests: DataFrame, verses: DataFrame) -> Checked:
         F.col("_a.book").alias("book"), F.col("_a.chapter").alias("_c"),
         F.col("_a.parts").alias("_p"))
     columns = ["source", "book", "book_name", "chapter", "verse", "text"]
-    facts = verses.select(*columns)
-    in_chapter = small_side(wanted.filter(F.col("_c").isNotNull()).withColumn(
-        "chapter", F.col("_c")))
-    whole_book = small_side(wanted.filter(F.col("_c").isNull()))
-    rows = facts.join(in_chapter, ["source", "book", "chapter"]).filter(
+    have = (chapters if chapters is not None else export_directory(verses))
+    stored = have.groupBy("source").agg(F.min("language").alias("language"))
+    keys = ["language", "source", "book"]
+    chosen = wanted.join(stored, "source").withColumn("_key", F.coalesce("_c", F.lit(-1)))
+    there = have.select(*keys, "chapter", F.explode(F.array(
+        F.col("chapter"), F.lit(-1))).alias("_key"))
+    places = small_side(chosen.join(there, [*keys, "_key"]).select(
+        "request_id", "requested", *keys, "chapter", "_p"))
+    rows = verses.select("language", *columns).join(places, [*keys, "chapter"]).filter(
         A.contains_verse(F.col("_p"), F.col("verse"))).select(
-            "request_id", "requested", *columns).unionByName(
-        facts.join(whole_book, ["source", "book"]).select("request_id", "requested", *columns))
+        "request_id", "requested", *columns)
     rejects = parsed.filter(F.col("_a.error").isNotNull()).select(
         "request_id", F.col("_a.error").alias("reason"))
     return Checked(rows, rejects)
@@ -101,6 +115,14 @@ def sheet_markdown(sheets: DataFrame, verses: DataFrame, books: DataFrame,
     return Documents(whole, body.pieces)
 
 
+def write_documents(documents: DataFrame, requests: DataFrame, path: str) -> None:
+    """Store one JSON document per row under its file-safe name."""
+    names = requests.select("request_id", X.file_safe(
+        F.col("address"), F.col("source")).alias("file_name"))
+    documents.join(names, "request_id").select("file_name", "document").write.mode(
+        "overwrite").parquet(path)
+
+
 def write_markdown(documents: DataFrame, path: str, stem: str = "sheet") -> None:
     """Store the documents with their file names, one row per file."""
     documents.select(X.export_name(F.col("title"), F.col("sheet_id"), stem).alias("file_name"),

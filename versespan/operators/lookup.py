@@ -47,30 +47,26 @@ def wanted_chapters(requests: DataFrame, books: DataFrame, verses: DataFrame,
 
     A request that leaves out the source or the chapter is expanded over the chapters
     that exist, so every request then meets the verses through one equi-join on a fine
-    key instead of an OR over NULLs on one coarse, possibly hot, key.
+    key instead of an OR over NULLs on one coarse, possibly hot, key. The directory is
+    offered under each key a request may lack a part of; fully keyed requests match none
+    of them and pass through.
     """
     parsed, rejects = parse_requests(requests.select("request_id", "address", "source"))
     keyed = parsed.join(book_numbers(books), "book").select(
-        "request_id", "source", "book_number", "chapter", "parts")
-    full = F.col("source").isNotNull() & F.col("chapter").isNotNull()
-    open_ended = keyed.filter(~full)
+        "request_id", "source", "book_number", "chapter", "parts",
+        F.coalesce("source", F.lit("")).alias("_source"),
+        F.coalesce("chapter", F.lit(-1)).alias("_chapter"))
+    any_source, any_chapter = F.lit(""), F.lit(-1)
+    keys = [(F.col("source"), any_chapter), (any_source, F.col("chapter")),
+            (any_source, any_chapter)]
     have = (chapters if chapters is not None else chapter_directory(verses)).select(
-        F.col("source").alias("_s"), F.col("book_number").alias("_b"),
-        F.col("chapter").alias("_c"))
-    same_book = F.col("book_number") == F.col("_b")
-    one_source = (F.col("source") == F.col("_s"))
-    expanded = [
-        open_ended.filter(F.col("source").isNotNull()).join(have, same_book & one_source),
-        open_ended.filter(F.col("source").isNull() & F.col("chapter").isNotNull()).join(
-            have, same_book & (F.col("chapter") == F.col("_c"))),
-        open_ended.filter(F.col("source").isNull() & F.col("chapter").isNull()).join(
-            have, same_book),
-    ]
-    rows = keyed.filter(full)
-    for part in expanded:
-        rows = rows.unionByName(part.select(
-            "request_id", F.col("_s").alias("source"), "book_number",
-            F.col("_c").alias("chapter"), "parts"))
+        F.col("source").alias("_s"), "book_number", F.col("chapter").alias("_c"),
+        F.inline(F.array(*[F.struct(s.alias("_source"), c.alias("_chapter"))
+                           for s, c in keys])))
+    rows = keyed.join(have, ["book_number", "_source", "_chapter"], "left").select(
+        "request_id", F.coalesce("source", "_s").alias("source"), "book_number",
+        F.coalesce("chapter", "_c").alias("chapter"), "parts").filter(
+        F.col("source").isNotNull() & F.col("chapter").isNotNull())
     return Checked(rows, rejects)
 
 
@@ -100,6 +96,19 @@ def in_canonical_order(df: DataFrame) -> DataFrame:
     return df.orderBy("request_id", *canonical_order())
 
 
+# The order each table is presented in.
+PRESENTED = {
+    "books": ["language", "book_number"],
+    "sources": ["id"],
+    "stories": ["language", "source_number", "book_number", "chapter", "verse"],
+    "dictionary": ["language", "source_number"],
+}
+
+
+def in_table_order(df: DataFrame, table: str) -> DataFrame:
+    return df.orderBy(*[F.col(c).asc_nulls_last() for c in PRESENTED[table]])
+
+
 def split_ids(requests: DataFrame) -> Checked:
     """Requests ``(request_id, verse_id)`` with the parts of the id as columns."""
     parsed = requests.withColumn("_v", A.split_verse_id(F.col("verse_id")))

@@ -134,11 +134,10 @@ def dictionary(spark: SparkSession, sf_dir: str) -> DataFrame:
 def verse_embeddings(spark: SparkSession, sf_dir: str, corpus: DataFrame) -> DataFrame:
     """A stored vector for every verse, spread over the rows of ``embeddings``."""
     vectors = table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
-    total = vectors.agg(F.count("*").alias("_n"))
-    spot = F.pmod(F.col("doc_id") * 31 + F.col("chapter") * 7 + F.col("verse"), F.col("_n"))
-    return corpus.select("id", "doc_id", "chapter", "verse").join(
-        F.broadcast(total)).select("id", spot.alias("vec_id")).join(
-        vectors, "vec_id").select("id", "embedding")
+    total = F.lit(vectors.count())
+    spot = F.pmod(F.col("doc_id") * 31 + F.col("chapter") * 7 + F.col("verse"), total)
+    return corpus.select("id", spot.alias("vec_id")).join(vectors, "vec_id").select(
+        "id", "embedding")
 
 
 # The same tables as common table expressions.

@@ -189,7 +189,8 @@ def read_cross_refs(spark: SparkSession, path: str) -> DataFrame:
 
 def extract_links(pages: DataFrame, column: str = "html",
                   pattern: str = r'href="_dl\.php[^"]*?a=([^&"]+)&[^"]*"') -> DataFrame:
-    """Values of a link parameter in page order, one row per link."""
+    """Values of a link parameter in page order, one row per link; order by ``name`` for
+    the sorted list."""
     return pages.select("page_id", F.posexplode(F.regexp_extract_all(
         F.col(column), F.lit(pattern), F.lit(1))).alias("pos", "name")).filter(
         blank_to_null(F.col("name")).isNotNull())
