@@ -8,7 +8,9 @@ from pyspark.sql import functions as F
 from versespan.functions import entries as E
 from versespan.functions import text as X
 from versespan.functions.greek import greek_to_betacode
-from versespan.operators.joins import BROADCAST_ROWS, Checked, is_small, small_side
+from versespan.operators.joins import (
+    BROADCAST_ROWS, Checked, computed, is_small, small_side,
+)
 
 
 def verse_words(text: Column) -> Column:
@@ -22,17 +24,19 @@ def parse_entries(dictionary: DataFrame) -> Checked:
 
     Rejects hold the key of entries that are not well-formed.
     """
-    wrapped = dictionary.select("language", "source_number", "topic",
-                                E.wrap_entry(F.col("definition")).alias("_xml"))
-    checked = wrapped.withColumn("_ok", E.is_well_formed(F.col("_xml")))
-    safe = F.when(F.col("_ok"), F.col("_xml"))
-    rows = checked.select("language", "source_number", "topic", "_ok",
-                          E.entry_fields(safe).alias("_e"))
+    rows = _read(dictionary.select("language", "source_number", "topic", "definition"))
     return Checked(
         rows.filter("_ok").select("language", "source_number", "topic", "_e.*"),
-        checked.filter(~F.col("_ok")).select(
-            "language", "source_number", "topic",
-            F.lit("definition is not well-formed").alias("reason")))
+        rows.filter("not _ok").select("language", "source_number", "topic",
+                                      F.lit("definition is not well-formed").alias("reason")))
+
+
+def _read(entries: DataFrame) -> DataFrame:
+    """Entries with ``_ok`` and the fields ``_e`` instead of their definition."""
+    wrapped = entries.withColumn("_xml", E.wrap_entry(F.col("definition")))
+    checked = computed(wrapped, E.is_well_formed(F.col("_xml")), "_ok")
+    fields = E.entry_fields(F.when(F.col("_ok"), F.col("_xml")))
+    return computed(checked, fields, "_e").drop("definition", "_xml")
 
 
 def verse_dictionary(requests: DataFrame, verses: DataFrame, dictionary: DataFrame,
@@ -50,10 +54,7 @@ def verse_dictionary(requests: DataFrame, verses: DataFrame, dictionary: DataFra
     words = texts.join(asked, "id", "left_semi").select(
         "id", F.explode(verse_words(F.col("text"))).alias("verse_word"))
 
-    wrapped = dictionary.select(F.col("topic"), E.wrap_entry(F.col("definition")).alias("_xml"))
-    checked = wrapped.withColumn("_ok", E.is_well_formed(F.col("_xml")))
-    parsed = checked.select("topic", "_ok", E.entry_fields(
-        F.when(F.col("_ok"), F.col("_xml"))).alias("_e"))
+    parsed = _read(dictionary.select("topic", "definition"))
     if broadcast_rows:
         parsed = small_side(parsed, broadcast_rows)
     met = words.join(parsed, words["verse_word"] == parsed["topic"], "left").join(ids, "id")

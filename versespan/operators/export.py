@@ -8,7 +8,7 @@ from pyspark.sql.window import Window
 
 from versespan.functions import address as A
 from versespan.functions import text as X
-from versespan.operators.joins import Checked, Documents, assemble, small_side
+from versespan.operators.joins import Checked, Documents, assemble, computed, small_side
 from versespan.operators.sheets import decode_sheets, pericope_verses, shown_items
 
 
@@ -25,8 +25,8 @@ def export_rows(requests: DataFrame, verses: DataFrame,
     expanded over the chapters that exist, so all requests meet the verses in one join on
     (language, source, book, chapter).
     """
-    parsed = requests.select("request_id", "address", "source",
-                             A.export_parts(F.col("address")).alias("_a"))
+    parsed = computed(requests.select("request_id", "address", "source"),
+                      A.export_parts(F.col("address")), "_a")
     wanted = parsed.filter(F.col("_a.error").isNull()).select(
         "request_id", F.col("address").alias("requested"), "source",
         F.col("_a.book").alias("book"), F.col("_a.chapter").alias("_c"),

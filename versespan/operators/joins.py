@@ -42,6 +42,15 @@ def is_small(df: DataFrame, max_rows: int = BROADCAST_ROWS,
     return len(widths) <= max_rows and sum(w["w"] for w in widths) <= max_chars
 
 
+def computed(df: DataFrame, value: Column, name: str) -> DataFrame:
+    """Add a column that later steps read but Catalyst does not copy.
+
+    A filter on a plain computed column is pushed below it, and projections are merged
+    into it, each with its own copy of the expression; a generator is evaluated once.
+    """
+    return df.select("*", F.explode(F.array(value)).alias(name))
+
+
 def repeat_rows(df: DataFrame, copies: str) -> DataFrame:
     """Emit each row ``copies`` times; a very large count is produced in chunks."""
     last = ((F.col(copies) - 1) / COPIES_PER_CHUNK).cast("bigint")

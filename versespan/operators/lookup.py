@@ -7,12 +7,14 @@ from pyspark.sql import functions as F
 
 from versespan.functions import address as A
 from versespan.functions import text as X
-from versespan.operators.joins import BROADCAST_ROWS, Checked, is_small, small_side
+from versespan.operators.joins import (
+    BROADCAST_ROWS, Checked, computed, is_small, small_side,
+)
 
 
 def parse_requests(requests: DataFrame, column: str = "address") -> Checked:
     """Requests with ``book, chapter, parts``; blank addresses give no row."""
-    parsed = requests.withColumn("_a", A.parse_address(F.col(column)))
+    parsed = computed(requests, A.parse_address(F.col(column)), "_a")
     good = parsed.filter(F.col("_a.book").isNotNull() & F.col("_a.error").isNull())
     rows = good.select(*requests.columns, F.col("_a.book").alias("book"),
                        F.col("_a.chapter").alias("chapter"), F.col("_a.parts").alias("parts"))
@@ -111,7 +113,7 @@ def in_table_order(df: DataFrame, table: str) -> DataFrame:
 
 def split_ids(requests: DataFrame) -> Checked:
     """Requests ``(request_id, verse_id)`` with the parts of the id as columns."""
-    parsed = requests.withColumn("_v", A.split_verse_id(F.col("verse_id")))
+    parsed = computed(requests, A.split_verse_id(F.col("verse_id")), "_v")
     fields = ("language", "source_number", "book_number", "chapter", "verse")
     rows = parsed.filter(F.col("_v.error").isNull()).select(
         *requests.columns, *[F.col(f"_v.{f}").alias(f) for f in fields])

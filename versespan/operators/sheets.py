@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from versespan.functions import sheet_json as S
 from versespan.functions.address import parse_address, split_batch
-from versespan.operators.joins import Checked, carry_forward, small_side
+from versespan.operators.joins import Checked, carry_forward, computed, small_side
 from versespan.operators.lookup import fetch_verses
 
 FALLBACK_SOURCE = "NVUL"     # fixed value: source of a new pericope with none above it
@@ -70,7 +70,7 @@ def cleanup_sheets(sheets: DataFrame, as_of: Column) -> Cleanup:
 
 
 def decode_sheets(sheets: DataFrame) -> DataFrame:
-    return sheets.withColumn("_d", S.decode_sheet(F.col("data"))).select(
+    return computed(sheets, S.decode_sheet(F.col("data")), "_d").select(
         "id", F.col("_d.title").alias("title"), F.col("_d.items").alias("items"))
 
 
@@ -135,8 +135,8 @@ def saved_sheets(saves: DataFrame, deleted: DataFrame | None = None) -> DataFram
     """The latest save of each sheet: ``sheet_id, title, saved_at, item_count``."""
     latest = saves.filter(F.coalesce("sheet_id", F.lit("")) != "").groupBy("sheet_id").agg(
         F.max(F.struct("saved_at", "data")).alias("_last"))
-    rows = latest.select("sheet_id", F.col("_last.saved_at").alias("saved_at"),
-                         S.saved_entry(F.col("_last.data")).alias("_e")).select(
+    rows = computed(latest.select("sheet_id", "_last.*"), S.saved_entry(
+        F.col("data")), "_e").select(
         "sheet_id", F.col("_e.title").alias("title"), "saved_at",
         F.col("_e.item_count").alias("item_count"))
     if deleted is not None:
