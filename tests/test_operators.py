@@ -375,8 +375,7 @@ def test_export_documents(frame, verses):
                   (2, "Ps", "NVUL"), (3, "Ps 2", "none"), (4, "J x1", "NVUL"))
     got, rejects = export.export_rows(asked, verses)
     assert [r[0] for r in rows(rejects)] == [4]
-    chapters = export.export_chapters(got)
-    docs = dict(rows(export.export_documents(chapters).whole))
+    docs = dict(rows(export.export_documents(got).whole))
     assert docs[1] == (
         '{"source":"NVUL","book":"J","book_name":"J!","address":"J 3,17-","chapters":'
         '{"3":[{"verse":17,"text":"t3.17"},{"verse":18,"text":"t3.18"}]}}')
@@ -394,7 +393,7 @@ def test_export_reads_the_first_language(frame, verses):
 
 def test_documents_are_written(spark, frame, verses, tmp_path):
     asked = frame("request_id int, address string, source string", (1, "Ps 1,1-2", "NVUL"))
-    docs = export.export_documents(export.export_chapters(export.export_rows(asked, verses).rows))
+    docs = export.export_documents(export.export_rows(asked, verses).rows)
     export.write_documents(docs.whole, asked, str(tmp_path / "json"))
     assert rows(spark.read.parquet(str(tmp_path / "json")), "file_name") == [("Ps_1_1-2_NVUL",)]
     sheet = frame("sheet_id string, title string, document string", ("id", "A b", "x"))

@@ -125,3 +125,26 @@ def test_stream_upserts(spark, frame, tmp_path):
         table = T.current_sheets(spark, root, snapshot, after)
         assert rows(table.filter("data <> 'n'")) == [("a", "2", day[0]), ("b", "3", day[3])]
         assert table.count() == 3
+
+
+def test_bucketed_verses_are_not_shuffled(spark, frame, tmp_path):
+    from versespan.operators.lookup import fetch_verses
+
+    row = ("pl/1/10/1/1", "pl", "BT", "Gen", "Genesis", "Gen 1,1", 1, 10, 1, 1, "t")
+    sinks.save_bucketed(frame(schemas.VERSES, row), "bucketed_verses",
+                        ["source", "book_number", "chapter"], 4, str(tmp_path / "b"))
+    stored = spark.table("bucketed_verses")
+    books = frame("book_number int, short_name string", (10, "Gen"))
+    chapters = frame("source string, book_number int, chapter int", ("BT", 10, 1))
+    asked = frame("request_id int, address string, source string", (1, "Gen 1", None))
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        found = fetch_verses(asked, stored, books, chapters, broadcast_rows=0).rows
+        assert found.count() == 1
+        plan = found._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+        spark.sql("drop table bucketed_verses")
+    scan = plan.index("bucketed_verses")
+    above = plan[:scan].rsplit("SortMergeJoin", 1)[1]
+    assert "Exchange" not in above and "Bucketed: true" in plan

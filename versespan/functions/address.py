@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from versespan.functions.core import SPACE, blank_to_null, let
+from versespan.functions.core import BROWSER_SPACE, SPACE, blank_to_null, let
 
 CHAPTER_END = 999          # "to the end of the chapter"
 POSITIONS_PER_CHAPTER = 1000
@@ -226,4 +226,4 @@ def range_label(book: Column, c1: Column, v1: Column, c2: Column, v2: Column) ->
 def split_batch(x: Column) -> Column:
     """Addresses of a ``;``-separated input, trimmed, blanks dropped, order kept."""
     return F.filter(F.transform(F.split(x, ";"), lambda p: F.regexp_replace(
-        p, rf"^{SPACE}+|{SPACE}+\z", "")), lambda p: p != "")
+        p, rf"^{BROWSER_SPACE}+|{BROWSER_SPACE}+\z", "")), lambda p: p != "")

@@ -11,6 +11,9 @@ from pyspark.sql import functions as F
 # allow a line break (no-break spaces are not included).
 SPACE = r"[\s\u1680\u2000-\u2006\u2008-\u200a\u2028\u2029\u205f\u3000]"
 
+# Whitespace as a browser collapses and trims it; no-break spaces count.
+BROWSER_SPACE = r"[\s\u00a0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000\ufeff]"
+
 
 def let(value: Column, body: Callable[[Column], Column]) -> Column:
     """Evaluate ``value`` once and use it several times in ``body``.

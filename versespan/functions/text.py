@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from versespan.functions.core import let, squeeze
+from versespan.functions.core import BROWSER_SPACE, let, squeeze
 
 # Tag names the reading text drops, and tags whose content is metadata.
 FORMAT_TAGS = ("strong", "b", "br", "div", "pb", "t")
@@ -22,8 +22,6 @@ ENTITIES = {
     "&rsquo;": "’", "&ldquo;": "“", "&rdquo;": "”", "&bdquo;": "„",
 }
 
-_BROWSER_SPACE = r"[\s\u00a0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000\ufeff]"
-
 
 def text_without_format(x: Column) -> Column:
     """Drop formatting tags, whatever follows the name (``<table>`` counts as ``t``)."""
@@ -126,7 +124,7 @@ def html_to_text(x: Column) -> Column:
 
     x = let(x, numeric)
     x = F.replace(F.replace(x, F.lit("&amp;"), F.lit("&")), F.lit("&#38;"), F.lit("&"))
-    x = F.regexp_replace(x, _BROWSER_SPACE + "+", " ")
+    x = F.regexp_replace(x, BROWSER_SPACE + "+", " ")
     return F.trim(x)
 
 

@@ -8,7 +8,9 @@ from pyspark.sql.window import Window
 
 from versespan.functions import address as A
 from versespan.functions import text as X
-from versespan.operators.joins import Checked, Documents, assemble, computed, small_side
+from versespan.operators.joins import (
+    Checked, Documents, assemble, computed, small_side, split_by_size,
+)
 from versespan.operators.sheets import decode_sheets, pericope_verses, shown_items
 
 
@@ -48,8 +50,7 @@ def export_rows(requests: DataFrame, verses: DataFrame,
     return Checked(rows, rejects)
 
 
-def export_chapters(rows: DataFrame) -> DataFrame:
-    """One row per (request, chapter) with its verses as a JSON list."""
+def _chapters(rows: DataFrame) -> DataFrame:
     verse = F.struct("verse", "text")
     return rows.groupBy("request_id", "requested", "source", "book", "chapter").agg(
         F.min("book_name").alias("book_name"),
@@ -57,24 +58,31 @@ def export_chapters(rows: DataFrame) -> DataFrame:
         .alias("verses"))
 
 
-def export_documents(chapters: DataFrame) -> Documents:
+def export_chapters(rows: DataFrame) -> Documents:
+    """One row per (request, chapter) with its verses as a JSON list."""
+    fitting, pieces = split_by_size(rows, ["request_id", "chapter"], "text")
+    return Documents(_chapters(fitting), pieces)
+
+
+def export_documents(rows: DataFrame) -> Documents:
     """One JSON document per request, chapters in numeric order.
 
-    A document too long for one value comes back as its chapters, in order.
+    A document too long for one value comes back as its verses.
     """
-    lines = chapters.withColumn("text", F.concat(
-        F.lit('"'), F.col("chapter").cast("string"), F.lit('":'), F.col("verses")))
-    docs = assemble(
-        lines.drop("verses"), ["request_id"], ["chapter"], out="_chapters", sep=",",
-        extra=[F.min("source").alias("source"), F.min("book").alias("book"),
-               F.min_by("book_name", "chapter").alias("book_name"),
-               F.min("requested").alias("address")])
+    fitting, pieces = split_by_size(rows, ["request_id"], "text")
+    chapter = F.concat(F.lit('"'), F.col("chapter").cast("string"), F.lit('":'), F.col("verses"))
+    bodies = _chapters(fitting).groupBy("request_id").agg(
+        F.min("source").alias("source"), F.min("book").alias("book"),
+        F.min_by("book_name", "chapter").alias("book_name"),
+        F.min("requested").alias("address"),
+        F.array_sort(F.collect_list(F.struct("chapter", chapter.alias("body"))))
+        .alias("bodies"))
     header = F.to_json(F.struct("source", "book", "book_name", "address"),
                        {"ignoreNullFields": "false"})
-    whole = docs.whole.select("request_id", F.concat(
-        F.regexp_replace(header, r"\}\z", ""), F.lit(',"chapters":{'), "_chapters",
-        F.lit("}}")).alias("document"))
-    return Documents(whole, docs.pieces)
+    whole = bodies.select("request_id", F.concat(
+        F.regexp_replace(header, r"\}\z", ""), F.lit(',"chapters":{'),
+        F.array_join(F.col("bodies.body"), ","), F.lit("}}")).alias("document"))
+    return Documents(whole, pieces)
 
 
 def markdown_lines(sheets: DataFrame, verses: DataFrame, books: DataFrame,
@@ -145,7 +153,7 @@ def collapse_ranges(selected: DataFrame) -> Documents:
     ``selected`` has ``request_id, book_number, chapter, verse, language, source, id,
     address``. A run is broken wherever a verse is not its predecessor plus one; chapters
     do not matter. Runs are found inside chapters first and only runs cross to the
-    request level, so a very long selection is not one window.
+    request level, and of those only one per chapter is ever ordered across chapters.
     """
     chapter = ["request_id", "book_number", "chapter"]
     within = Window.partitionBy(*chapter).orderBy("verse", "language", "source", "id")
@@ -160,18 +168,25 @@ def collapse_ranges(selected: DataFrame) -> Documents:
     runs = rows.withColumn("_start", starts).withColumn(
         "_run", F.sum("_start").over(within)).groupBy(*chapter, "_run").agg(
             F.min("verse").alias("lo"), F.max("verse").alias("hi"))
-    order = Window.partitionBy("request_id").orderBy("book_number", "chapter", "_run")
-    joined = runs.withColumn("_island", F.sum((F.col("_run") > 0).cast("int")).over(order))
-    islands = joined.groupBy("request_id", "_island").agg(
-        F.min(F.struct("book_number", "chapter", "_run", "lo"))["lo"].alias("lo"),
-        F.max(F.struct("book_number", "chapter", "_run", "hi"))["hi"].alias("hi"))
-
-    place = F.struct("book_number", "chapter", "verse", "language", "source", "id", "address")
-    prefix = selected.groupBy("request_id").agg(F.min(place).alias("_f")).select(
-        "request_id", A.address_prefix(F.col("_f.address")).alias("_prefix"))
+
+    # Run 0 of a chapter continues the last run that started in an earlier chapter.
+    tops = runs.groupBy(*chapter).agg(F.max("_run").alias("_top"))
+    started = F.when(F.col("_top") > 0, F.struct(
+        "book_number", "chapter", F.col("_top").alias("_run")))
+    carried = tops.select(*chapter, F.last(started, ignorenulls=True).over(
+        across.rowsBetween(Window.unboundedPreceding, -1)).alias("_carry"))
+    place = F.struct("book_number", "chapter", "_run")
+    islands = runs.join(carried, chapter).withColumn("_island", F.when(
+        F.col("_run") > 0, place).otherwise(F.col("_carry"))).groupBy(
+        "request_id", "_island").agg(F.min_by("lo", place).alias("lo"),
+                                     F.max_by("hi", place).alias("hi"))
+
     shown = F.when(F.col("lo") == F.col("hi"), F.col("lo").cast("string")).otherwise(
         F.concat(F.col("lo").cast("string"), F.lit("-"), F.col("hi").cast("string")))
-    lines = islands.join(prefix, "request_id").select(
-        "request_id", "_island", F.concat(
-            F.when(F.col("_island") == 1, F.col("_prefix")).otherwise("."), shown).alias("text"))
-    return assemble(lines, ["request_id"], ["_island"], out="address")
+    first = F.struct("book_number", "chapter", "verse", "language", "source", "id")
+    prefix = selected.groupBy("request_id").agg(
+        A.address_prefix(F.min_by("address", first)).alias("_prefix"))
+    lines = islands.select("request_id", "_island", shown.alias("text"))
+    joined = assemble(lines, ["request_id"], ["_island"], sep=".")
+    return Documents(joined.whole.join(prefix, "request_id").select(
+        "request_id", F.concat("_prefix", "document").alias("address")), joined.pieces)

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
 from typing import NamedTuple
 
 from pyspark.sql import Column, DataFrame
@@ -14,6 +13,7 @@ from versespan.session import materialize
 BROADCAST_ROWS = 50_000
 BROADCAST_CHARS = 32 * 1024 * 1024
 DOCUMENT_CHARS = 64 * 1024 * 1024
+DOCUMENT_LINES = 500_000
 COPIES_PER_CHUNK = 65_536
 
 
@@ -134,25 +134,34 @@ class Documents(NamedTuple):
     pieces: DataFrame
 
 
-def assemble(lines: DataFrame, key: list[str], order: list[str], text: str = "text",
-             out: str = "document", sep: str = "", extra: Sequence[Column] = (),
-             max_chars: int = DOCUMENT_CHARS) -> Documents:
-    """Concatenate each document's lines in order; ``extra`` aggregates ride along.
+def split_by_size(lines: DataFrame, key: list[str], text: str,
+                  max_chars: int = DOCUMENT_CHARS,
+                  max_lines: int = DOCUMENT_LINES) -> tuple[DataFrame, DataFrame]:
+    """Lines of the groups that fit into one value, and the lines of those that do not.
 
-    Sizes are summed first. A document above ``max_chars`` is not gathered into one row:
-    it comes back as its ordered lines, and those joined by ``sep`` are the document. The
-    lines are written out once, as they are read for the sizes and for the text.
+    Sizes are summed with map-side combining, so a very large group is recognised without
+    being gathered. The lines are written out once, as they are read for both purposes.
     """
     stored = materialize(lines, "lines")
-    sizes = stored.groupBy(*key).agg(F.sum(F.length(text)).alias("_chars"))
-    long_keys = sizes.filter(F.col("_chars") > max_chars).select(*key)
-    if long_keys.isEmpty():
-        fitting, pieces = stored, stored.filter(F.lit(False))
-    else:
-        marked = small_side(long_keys)
-        fitting = stored.join(marked, key, "left_anti")
-        pieces = stored.join(marked, key, "left_semi")
+    sizes = stored.groupBy(*key).agg(F.sum(F.length(text)).alias("_chars"),
+                                     F.count("*").alias("_lines"))
+    large = sizes.filter((F.col("_chars") > max_chars) | (F.col("_lines") > max_lines)) \
+        .select(*key)
+    if large.isEmpty():
+        return stored, stored.filter(F.lit(False))
+    marked = small_side(large)
+    return stored.join(marked, key, "left_anti"), stored.join(marked, key, "left_semi")
+
+
+def assemble(lines: DataFrame, key: list[str], order: list[str], text: str = "text",
+             out: str = "document", sep: str = "", max_chars: int = DOCUMENT_CHARS) -> Documents:
+    """Concatenate each document's lines in order.
+
+    A document above the size bound is not gathered into one row: it comes back as its
+    ordered lines, and those joined by ``sep`` are the document.
+    """
+    fitting, pieces = split_by_size(lines, key, text, max_chars)
     ordered = F.array_sort(F.collect_list(F.struct(*order, F.col(text).alias("_text"))))
     whole = fitting.groupBy(*key).agg(
-        F.array_join(F.transform(ordered, lambda r: r["_text"]), sep).alias(out), *extra)
+        F.array_join(F.transform(ordered, lambda r: r["_text"]), sep).alias(out))
     return Documents(whole, pieces)

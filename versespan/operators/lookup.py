@@ -56,16 +56,16 @@ def wanted_chapters(requests: DataFrame, books: DataFrame, verses: DataFrame,
     parsed, rejects = parse_requests(requests.select("request_id", "address", "source"))
     keyed = parsed.join(book_numbers(books), "book").select(
         "request_id", "source", "book_number", "chapter", "parts",
-        F.coalesce("source", F.lit("")).alias("_source"),
+        F.col("source").isNull().alias("_any"), F.coalesce("source", F.lit("")).alias("_source"),
         F.coalesce("chapter", F.lit(-1)).alias("_chapter"))
-    any_source, any_chapter = F.lit(""), F.lit(-1)
-    keys = [(F.col("source"), any_chapter), (any_source, F.col("chapter")),
-            (any_source, any_chapter)]
+    any_source, any_chapter = (F.lit(True), F.lit("")), F.lit(-1)
+    keys = [(F.lit(False), F.col("source"), any_chapter), (*any_source, F.col("chapter")),
+            (*any_source, any_chapter)]
     have = (chapters if chapters is not None else chapter_directory(verses)).select(
         F.col("source").alias("_s"), "book_number", F.col("chapter").alias("_c"),
-        F.inline(F.array(*[F.struct(s.alias("_source"), c.alias("_chapter"))
-                           for s, c in keys])))
-    rows = keyed.join(have, ["book_number", "_source", "_chapter"], "left").select(
+        F.inline(F.array(*[F.struct(o.alias("_any"), s.alias("_source"), c.alias("_chapter"))
+                           for o, s, c in keys])))
+    rows = keyed.join(have, ["book_number", "_any", "_source", "_chapter"], "left").select(
         "request_id", F.coalesce("source", "_s").alias("source"), "book_number",
         F.coalesce("chapter", "_c").alias("chapter"), "parts").filter(
         F.col("source").isNotNull() & F.col("chapter").isNotNull())

@@ -26,14 +26,14 @@ RETENTION = "7 days"         # fixed value: how long an untitled sheet is kept
 
 
 def latest_changes(changes: DataFrame, order: str = "ts") -> DataFrame:
-    """One row per sheet: its latest data and the time of its first change.
+    """One row per sheet: its latest data and the times of its first and last change.
 
     An aggregate, not a window: a sheet edited very often is reduced before the shuffle.
     Equal times are settled by the data itself.
     """
     return changes.filter(F.col("id").isNotNull()).groupBy("id").agg(
         F.max(F.struct(order, "data"))["data"].alias("data"),
-        F.min(order).alias("first_ts"))
+        F.min(order).alias("first_ts"), F.max(order).alias("last_ts"))
 
 
 def upsert_sheets(target: DataFrame, changes: DataFrame) -> DataFrame:

@@ -52,7 +52,7 @@ from documents d join stored v on v.source = d.source and v.book_number = d.doc_
   and ({_ASKED})""")
 def chapters_json(spark, d):
     rows = E.export_rows(export_requests(spark, d), lettered_verses(spark, d)).rows
-    docs = E.export_documents(E.export_chapters(rows)).whole
+    docs = E.export_documents(rows).whole
     parsed = docs.select("request_id", F.from_json(
         "document", "source string, book string, book_name string, address string, "
         "chapters map<string, array<struct<verse:int, text:string>>>").alias("j"))
@@ -71,7 +71,7 @@ def whole_book_json(spark, d):
         F.col("doc_id").alias("request_id"), document_book().alias("address"), "source")
     rows = E.export_rows(requests, lettered_verses(spark, d)).rows
     verses = F.from_json("verses", "array<struct<verse:int, text:string>>")
-    return E.export_chapters(rows).select(
+    return E.export_chapters(rows).whole.select(
         "request_id", "source", "book", "chapter",
         F.size(verses).cast("bigint").alias("verses"),
         F.aggregate(verses, F.lit(0).cast("bigint"),

@@ -20,9 +20,10 @@ _SQL_STAMP = "strftime({}, '%Y-%m-%d %H:%M:%S.%f')"
 
 
 def conversation_sheets(spark, d):
-    """A sheet per conversation: user turns are notes, assistant turns pericopes.
+    """A sheet per eight turns: user turns are notes, assistant turns pericopes.
 
-    Every third sheet is a bare list, and every fifth holds an item that does not decode.
+    Every third conversation gives bare lists, and every fifth an item that does not decode.
+    However long a conversation is, no sheet holds more than its eight turns.
     """
     conv, turn = F.col("conv_id"), F.col("turn")
     kind = (F.when(F.col("role") == "user", "note")
@@ -34,37 +35,40 @@ def conversation_sheets(spark, d):
         F.when(turn % 7 == 6, "").otherwise(F.concat(
             F.lit("src"), ((conv + turn) % 20).cast("string"))).alias("source"),
         F.col("text").alias("content"))
-    items = K.table(spark, d, "conversations").groupBy("conv_id").agg(F.transform(
+    block = F.floor(turn / 8).alias("block")
+    items = K.table(spark, d, "conversations").groupBy("conv_id", block).agg(F.transform(
         F.array_sort(F.collect_list(F.struct("turn", item.alias("i")))),
         lambda r: r["i"]).alias("items"))
     title = F.when(F.col("conv_id") % 2 == 0, F.concat(
         F.lit("Sheet "), F.col("conv_id").cast("string")))
     data = F.when(F.col("conv_id") % 3 == 0, F.to_json("items")).otherwise(
         F.to_json(F.struct(title.alias("title"), "items")))
-    return items.select(F.col("conv_id").cast("string").alias("id"), data.alias("data"),
+    sheet_id = F.concat_ws("-", "conv_id", "block")
+    return items.select(sheet_id.alias("id"), data.alias("data"),
                         F.current_timestamp().alias("created_at"))
 
 
 # Decoded items; sheets with a bad item are empty, and empty sheets take the defaults.
 SHEET_ITEMS = """
-broken as (select conv_id from conversations where conv_id % 5 = 4 and turn = 1),
-decoded as (select conv_id, turn, role, text, row_number() over (
-    partition by conv_id order by turn) - 1 pos from conversations
-  where conv_id not in (select conv_id from broken) and role in ('user', 'assistant')),
-titled as (select distinct conv_id, cast(conv_id as varchar) sheet_id,
+talk as (select *, turn // 8 block, conv_id || '-' || turn // 8 sheet_id from conversations),
+broken as (select sheet_id from talk where conv_id % 5 = 4 and turn = 1),
+decoded as (select sheet_id, conv_id, turn, role, text, row_number() over (
+    partition by sheet_id order by turn) - 1 pos from talk
+  where sheet_id not in (select sheet_id from broken) and role in ('user', 'assistant')),
+titled as (select distinct sheet_id,
     case when conv_id % 3 <> 0 and conv_id % 2 = 0
-          and conv_id not in (select conv_id from broken)
-         then 'Sheet ' || conv_id else '' end title from conversations),
+          and sheet_id not in (select sheet_id from broken)
+         then 'Sheet ' || conv_id else '' end title from talk),
 items as (select t.sheet_id, t.title, cast(pos as int) pos,
     case role when 'user' then 'note' else 'pericope' end kind,
     case role when 'user' then '' else 'B' || conv_id % 40 || ' 1,' || turn + 1 || '-' end address,
     case when role = 'user' or turn % 7 = 6 then '' else 'src' || (conv_id + turn) % 20 end as source,
     case role when 'user' then text else '' end content, conv_id % 40 book_number, turn + 1 lo
-  from decoded join titled t using (conv_id)
+  from decoded join titled t using (sheet_id)
   union all
   select t.sheet_id, t.title, p, 'pericope', 'J 3,16-17', s, '', -1, 0
   from titled t, (values (0, 'NVUL'), (1, 'NA28'), (2, 'BT_03'), (3, 'TRO+')) x(p, s)
-  where conv_id not in (select conv_id from decoded))"""
+  where t.sheet_id not in (select sheet_id from decoded))"""
 
 
 @query("sheet_decode", f"""with {SHEET_ITEMS.lstrip()}

@@ -41,6 +41,18 @@ def load_tables(tables: dict[str, DataFrame], path: str) -> None:
             rows.write.mode("overwrite").parquet(f"{path}/{name}")
 
 
+def save_bucketed(df: DataFrame, name: str, key: list[str], buckets: int,
+                  path: str | None = None) -> None:
+    """Store a catalog table bucketed by a join key, so joins on that key do not shuffle it.
+
+    Verses by (source, book_number, chapter) serve address lookups whose requests are too
+    many to broadcast; verses and embeddings by id serve the vector join.
+    """
+    writer = df.repartition(buckets, *key).write.mode("overwrite").bucketBy(
+        buckets, *key).sortBy(*key)
+    (writer.option("path", path) if path else writer).saveAsTable(name)
+
+
 def read_tables(spark: SparkSession, path: str, names: list[str]) -> dict[str, DataFrame]:
     return {n: spark.read.schema(schemas.TABLES[n]).parquet(f"{path}/{n}").select(
         *schemas.TABLES[n].names) for n in names}

@@ -21,9 +21,8 @@ def stream_upsert_sheets(changes: DataFrame, root: str, checkpoint: str) -> Stre
     """Run a stream of ``id, data, ts`` changes into ``root`` until its input is used up."""
 
     def write(batch: DataFrame, batch_id: int) -> None:
-        known = batch.filter(F.col("id").isNotNull())
-        newest = known.groupBy("id").agg(F.max("ts").alias("ts"))
-        rows = latest_changes(known).join(newest, "id").unionByName(
+        rows = latest_changes(batch).select(
+            "id", "data", F.col("last_ts").alias("ts"), "first_ts").unionByName(
             batch.filter(F.col("id").isNull()).select(
                 F.uuid().alias("id"), "data", "ts", F.col("ts").alias("first_ts")))
         rows.write.mode("overwrite").parquet(f"{root}/changes/batch_id={batch_id}")
