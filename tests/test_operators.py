@@ -314,6 +314,17 @@ def test_source_above(frame):
                                                 (4, "B")]
 
 
+def test_batch_input(frame):
+    items = frame("sheet_id string, pos int, kind string, source string",
+                  ("s", 0, "note", ""), ("s", 1, "pericope", "A"), ("s", 2, "pericope", "B"))
+    inputs = frame("input_id int, sheet_id string, at int, batch string",
+                   (1, "s", 0, "J 1;Ps 2"), (2, "s", 1, "J 1"), (3, "s", 2, "J 1"),
+                   (4, "s", 3, " J 1 ;; "), (5, "s", 3, "J 9"), (6, "t", 0, ";"))
+    assert rows(sheets.batch_requests(inputs, items)) == [
+        (1, "NVUL", 0, "J 1"), (1, "NVUL", 1, "Ps 2"), (2, "NVUL", 0, "J 1"), (3, "A", 0, "J 1"),
+        (4, "B", 0, "J 1"), (5, "B", 0, "J 9")]
+
+
 def test_hydrate_and_markdown(frame, verses, books):
     data = ('{"title":"T","items":[{"kind":"note","content":"<s>n</s>"},'
             '{"kind":"pericope","address":"J 3,16-17","source":"NVUL"},'

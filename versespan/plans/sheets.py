@@ -231,6 +231,26 @@ def expand_batch(spark, d):
     return S.expand_batch(inputs)
 
 
+@query("batch_requests", """with i as (select conv_id, turn, role, coalesce(last_value(
+    case when role = 'assistant' then 'src' || (conv_id + turn) % 20 end ignore nulls) over (
+    partition by conv_id order by turn rows between unbounded preceding and 1 preceding),
+  'NVUL') as source from conversations)
+select conv_id * 1000 + turn input_id, source, cast(p as int) pos,
+  'B' || conv_id % 40 || ' ' || a as address
+from i, (values (0, '1,1'), (1, '1,2-3')) x(p, a) where role = 'user'""")
+def batch_requests(spark, d):
+    conv, turn = F.col("conv_id"), F.col("turn")
+    talk = K.table(spark, d, "conversations")
+    items = talk.filter("role = 'assistant'").select(
+        conv.alias("sheet_id"), turn.alias("pos"), F.lit("pericope").alias("kind"),
+        F.concat(F.lit("src"), ((conv + turn) % 20).cast("string")).alias("source"))
+    book = F.concat(F.lit("B"), (conv % 40).cast("string"))
+    inputs = talk.filter("role = 'user'").select(
+        (conv * 1000 + turn).alias("input_id"), conv.alias("sheet_id"), turn.alias("at"),
+        F.concat(book, F.lit(" 1,1; ;"), book, F.lit(" 1,2-3;")).alias("batch"))
+    return S.batch_requests(inputs, items)
+
+
 @query("sheet_ids", """select event_id, event_id % 3 <> 0 as valid from events""")
 def sheet_ids(spark, d):
     event = F.lpad(F.col("event_id").cast("string"), 12, "0")
