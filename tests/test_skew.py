@@ -71,6 +71,23 @@ def test_fetch_verses(skewed, corpus, books, hot_requests):
     assert rows(answer(0)) == rows(answer(10**6))
 
 
+def test_a_hot_chapter_is_split(skewed, spark):
+    n = F.col("id")
+    verses = spark.range(0, 60000, 1, 16).select(
+        n.cast("string").alias("id"), F.lit("l").alias("language"), F.lit("S").alias("source"),
+        F.when(n % 3 == 0, 7).otherwise(n % 400).cast("int").alias("book_number"),
+        F.when(n % 3 == 0, 1).otherwise(1 + n % 7).cast("int").alias("chapter"),
+        (n % 999).cast("int").alias("verse"))
+    books = spark.range(400).select(n.cast("int").alias("book_number"), F.concat(
+        F.lit("B"), n.cast("string")).alias("short_name"))
+    asked = spark.range(900).select(n.alias("request_id"), F.concat(
+        F.lit("B"), (n % 400).cast("string"), F.lit(" 1,5")).alias("address"),
+        F.lit("S").alias("source"))
+    found = lookup.fetch_verses(asked, verses, books, broadcast_rows=0).rows
+    found.collect()
+    assert "SortMergeJoin(skew=true)" in found._jdf.queryExecution().executedPlan().toString()
+
+
 def test_commentaries(skewed, corpus, hot_requests):
     ids = hot_requests.select("request_id", F.when(
         F.col("request_id") % 3 == 0, "l/0/7/1/2").otherwise(F.concat(

@@ -129,18 +129,17 @@ def batch_requests(inputs: DataFrame, items: DataFrame) -> DataFrame:
     """Address requests of batch inputs typed into sheets.
 
     ``inputs`` has ``input_id, sheet_id, at, batch``; each takes the source of the nearest
-    pericope above item ``at``. Inputs are threaded between the items of their sheet and
-    the source is carried down to them.
+    pericope above item ``at``. The distinct places typed at are threaded between the items
+    of their sheet and the source is carried down to them.
     """
     placed = items.filter(F.col("kind") == "pericope").select(
-        "sheet_id", (2 * F.col("pos").cast("bigint") + 1).alias("place"), "source",
-        F.lit(None).cast(inputs.schema["input_id"].dataType).alias("input_id"),
-        F.lit(None).cast("string").alias("batch"))
-    typed = inputs.select(
-        "sheet_id", (2 * F.col("at").cast("bigint")).alias("place"),
-        F.lit(None).cast("string").alias("source"), "input_id", "batch")
-    filled = fill_source(placed.unionByName(typed), ["sheet_id"], "place")
-    return expand_batch(filled.filter(F.col("input_id").isNotNull()).select(
+        "sheet_id", (2 * F.col("pos").cast("bigint") + 1).alias("place"), "source")
+    typed = inputs.withColumn("place", 2 * F.col("at").cast("bigint"))
+    places = typed.select("sheet_id", "place").distinct().withColumn(
+        "source", F.lit(None).cast("string"))
+    above = fill_source(placed.unionByName(places), ["sheet_id"], "place").filter(
+        F.col("place") % 2 == 0).select("sheet_id", "place", "source_above")
+    return expand_batch(typed.join(above, ["sheet_id", "place"]).select(
         "input_id", F.col("source_above").alias("source"), "batch"))
 
 
