@@ -144,3 +144,25 @@ def test_collapsed_ranges(spark, rng):
     texts = [(k, v[0] + ".".join(str(a) if a == b else f"{a}-{b}" for a, b in v[1:]))
              for k, v in expected.items()]
     assert rows(export.collapse_ranges(df).whole) == sorted(texts, key=repr)
+
+
+def test_nearest_by_task_equals_join(spark):
+    from versespan.operators.search import nearest_in_source
+
+    n = F.col("id")
+    vectors = spark.range(0, 12000, 1, 3).select(
+        n.cast("string").alias("id"), F.concat(F.lit("S"), (n % 2).cast("string")).alias("source"),
+        F.array(*[((n * p) % 97 - 40).cast("float") for p in (7, 11, 13, 17)]).alias("embedding"))
+    asked = spark.range(9).select(
+        n.alias("request_id"), F.concat(F.lit("S"), (n % 3).cast("string")).alias("source"),
+        F.array(*[((n + 1) * p % 31 - 9).cast("float") for p in (3, 5, 7, 9)]).alias("vector"))
+    verses, stored = vectors.select("id", "source"), vectors.select("id", "embedding")
+    joined = nearest_in_source(asked, verses, stored, 20, broadcast_rows=0)
+    exact = {(r, rank): d for r, rank, d in rows(joined, "request_id", "rank", "distance")}
+    assert len(exact) == 6 * 20
+    for embeddings in (stored, vectors):
+        got = nearest_in_source(asked, verses, embeddings, 20)
+        found = rows(got, "request_id", "rank", "distance")
+        assert len(found) == len(exact)
+        for request, rank, distance in found:
+            assert abs(distance - exact[request, rank]) < 1e-9

@@ -157,36 +157,36 @@ def collapse_ranges(selected: DataFrame) -> Documents:
     """
     chapter = ["request_id", "book_number", "chapter"]
     within = Window.partitionBy(*chapter).orderBy("verse", "language", "source", "id")
-    ends = selected.groupBy(*chapter).agg(F.max("verse").alias("_last"))
     across = Window.partitionBy("request_id").orderBy("book_number", "chapter")
-    before = ends.select(*chapter, F.lag("_last").over(across).alias("_before"))
-
-    rows = selected.withColumn("_prev", F.lag("verse").over(within)) \
-        .join(before, chapter)
-    previous = F.coalesce("_prev", "_before")
-    starts = (previous.isNull() | (F.col("verse") != previous + 1)).cast("int")
-    runs = rows.withColumn("_start", starts).withColumn(
+    previous = F.lag("verse").over(within)
+    starts = F.when(F.col("verse") == previous + 1, 0).otherwise(1)
+    first = F.min(F.struct("verse", "language", "source", "id", "address"))
+    runs = selected.withColumn("_start", starts).withColumn(
         "_run", F.sum("_start").over(within)).groupBy(*chapter, "_run").agg(
-            F.min("verse").alias("lo"), F.max("verse").alias("hi"))
-
-    # Run 0 of a chapter continues the last run that started in an earlier chapter.
-    tops = runs.groupBy(*chapter).agg(F.max("_run").alias("_top"))
-    started = F.when(F.col("_top") > 0, F.struct(
-        "book_number", "chapter", F.col("_top").alias("_run")))
-    carried = tops.select(*chapter, F.last(started, ignorenulls=True).over(
+            F.min("verse").alias("lo"), F.max("verse").alias("hi"), first.alias("_first"))
+
+    # The first run of a chapter goes on with the last one of the chapter before if their
+    # numbers meet; a chapter that is all one such run passes on the run it belongs to.
+    ends = runs.groupBy(*chapter).agg(
+        F.max("_run").alias("_runs"), F.min_by("lo", "_run").alias("_lo"),
+        F.max_by("hi", "_run").alias("_hi")).withColumn("_goes_on", F.coalesce(
+            F.col("_lo") == F.lag("_hi").over(across) + 1, F.lit(False)))
+    last_start = F.when(~F.col("_goes_on") | (F.col("_runs") > 1), F.struct(
+        "book_number", "chapter", F.col("_runs").alias("_run")))
+    carried = ends.select(*chapter, "_goes_on", F.last(last_start, ignorenulls=True).over(
         across.rowsBetween(Window.unboundedPreceding, -1)).alias("_carry"))
     place = F.struct("book_number", "chapter", "_run")
     islands = runs.join(carried, chapter).withColumn("_island", F.when(
-        F.col("_run") > 0, place).otherwise(F.col("_carry"))).groupBy(
-        "request_id", "_island").agg(F.min_by("lo", place).alias("lo"),
-                                     F.max_by("hi", place).alias("hi"))
+        F.col("_goes_on") & (F.col("_run") == 1), F.col("_carry")).otherwise(place)).groupBy(
+        "request_id", "_island").agg(
+            F.min_by("lo", place).alias("lo"), F.max_by("hi", place).alias("hi"),
+            F.min_by("_first.address", place).alias("_address"))
 
     shown = F.when(F.col("lo") == F.col("hi"), F.col("lo").cast("string")).otherwise(
         F.concat(F.col("lo").cast("string"), F.lit("-"), F.col("hi").cast("string")))
-    first = F.struct("book_number", "chapter", "verse", "language", "source", "id")
-    prefix = selected.groupBy("request_id").agg(
-        A.address_prefix(F.min_by("address", first)).alias("_prefix"))
-    lines = islands.select("request_id", "_island", shown.alias("text"))
-    joined = assemble(lines, ["request_id"], ["_island"], sep=".")
-    return Documents(joined.whole.join(prefix, "request_id").select(
+    lines = islands.select("request_id", "_island", shown.alias("text"),
+                           A.address_prefix(F.col("_address")).alias("_prefix"))
+    joined = assemble(lines, ["request_id"], ["_island"], sep=".",
+                      extra=[F.min_by("_prefix", "_island").alias("_prefix")])
+    return Documents(joined.whole.select(
         "request_id", F.concat("_prefix", "document").alias("address")), joined.pieces)
