@@ -19,15 +19,14 @@ def check_constraints(df: DataFrame, not_null: list[str], key: list[str] | None
     """
     missing = F.array_compact(F.array(*[F.when(F.col(c).isNull(), F.lit(c))
                                         for c in not_null]))
-    counted = df.groupBy(*df.columns).agg(F.count("*").alias("copies")).withColumn(
-        "_missing", missing)
-    incomplete = counted.filter(F.size("_missing") > 0).select(
+    copies = F.count("*").alias("copies")
+    incomplete = df.filter(F.size(missing) > 0).groupBy(*df.columns).agg(copies).select(
         *df.columns, "copies",
-        F.concat(F.lit("missing "), F.array_join("_missing", ", ")).alias("reason"))
-    complete = counted.filter(F.size("_missing") == 0).drop("_missing")
+        F.concat(F.lit("missing "), F.array_join(missing, ", ")).alias("reason"))
+    whole = df.filter(F.size(missing) == 0)
     if not key:
-        whole = df.dropna(subset=not_null) if not_null else df
         return Checked(whole, incomplete)
+    complete = whole.groupBy(*df.columns).agg(copies)
     ranked = [*(order or []), *[c for c in df.columns if c not in (order or [])]]
     first = complete.groupBy(*key).agg(F.min(F.struct(*ranked)).alias("_first"))
     kept = first.select(*[F.col(f"_first.{c}").alias(c) for c in df.columns])

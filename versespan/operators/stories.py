@@ -83,7 +83,8 @@ def render_stories(stories: DataFrame, books: DataFrame, sources: DataFrame,
 
     names = books.select(*_BOOK, F.col("short_name").alias("book"))
     titles = sources.select("language", "source_number", F.col("name").alias("source"))
-    named = ranged.join(small_side(names), _BOOK).join(small_side(titles), ["language", "source_number"])
+    named = ranged.join(small_side(names), _BOOK).join(
+        small_side(titles), ["language", "source_number"])
     upper = F.when(F.col("last").isNull(), F.lit(A.CHAPTER_END)) \
         .when(F.col("last") == 0, F.lit(1)).otherwise(F.col("last"))
     labelled = named.select(

@@ -30,14 +30,16 @@ def read_sources(spark: SparkSession, root: str, table: str, fmt: str = "parquet
                  **options: str) -> DataFrame:
     """All files of one table below ``root``: ``<root>/<language>/<table>/<name>[.more].<fmt>``.
 
-    Files may differ in columns. Each row carries ``path`` (``<language>/<file>``, the same
-    for all tables of one source file), ``language`` and ``source_name``.
+    Files may differ in columns. Each row carries ``path`` (``<language>/<name>[.more].``,
+    the same for all tables of one source file), ``language`` and ``source_name``. The
+    extension is cut after its dot, so a file sorts before its companions.
     """
     reader = spark.read.format(fmt).option("mergeSchema", "true").options(**options)
     rows = reader.load(f"{root}/*/{table}")
     where = F.col("_metadata.file_path")
     language = F.regexp_extract(where, rf"([^/]+)/{table}/[^/]+\z", 1)
-    path = F.concat(language, F.lit("/"), F.regexp_extract(where, r"([^/]+)\z", 1))
+    path = F.concat(language, F.lit("/"), F.regexp_extract(
+        where, r"([^/]+\.)[^/.]*\z", 1))
     return rows.select("*", path.alias("path"), language.alias("language")).withColumn(
         "source_name", file_name(F.col("path")))
 
