@@ -59,10 +59,17 @@ def verses(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def written_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Documents with at least one verse, found without expanding them."""
-    return documents(spark, sf_dir).filter(F.exists(
-        F.split("text", r"\n|\. "), lambda p: F.trim(p) != "")).withColumnRenamed(
-        "lang", "language")
+    """Documents with at least one verse, found without expanding them.
+
+    Any character that separates nothing settles it; only texts of nothing but spaces,
+    line ends and full stops are looked at piece by piece.
+    """
+    pieces = F.exists(F.split("text", r"\n|\. "), lambda p: F.trim(p) != "")
+    docs = table(spark, sf_dir, "documents").filter(F.col("text").rlike(r"[^ \n.]") | pieces)
+    return docs.select(
+        F.col("lang").alias("language"), "source",
+        F.floor(F.col("doc_id") / 20).cast("int").alias("book_number"),
+        (F.col("doc_id") % 20).cast("int").alias("source_number"))
 
 
 def books(spark: SparkSession, sf_dir: str) -> DataFrame:
