@@ -169,7 +169,8 @@ def test_normalize_cross_refs(frame):
 
 
 def test_verse_dictionary(frame):
-    corpus = frame("id string, text string", ("grc/1/1/1/1", "<pb/>Λόγος ἦν, λόγος κακος"))
+    corpus = frame("id string, text string", ("grc/1/1/1/1", "<pb/>Λόγος ἦν, λόγος κακος"),
+                   ("grc/1/1/1/1", "λόγος"), ("grc/1/1/1/2", "other"))
     entry = '<dl><dt><a>L</a></dt></dl>'
     words = frame(schemas.DICTIONARY, ("grc", 1, "logos", entry, None, None, None, None),
                   ("en", 9, "logos", entry, None, None, None, None),
@@ -250,6 +251,15 @@ def test_errata(frame):
     }
 
 
+def test_errata_change_nothing_the_second_time(frame):
+    texts = [("pl", "a<b>x</b> > y.Zz &gt; <i>k</i>"), ("la", "a.Bc;de"),
+             ("grc", "<div class='x'>a</div><small>b</small><S>0</S>"), ("en", "<b>x</b>")]
+    once = errata.apply_errata(frame(
+        "id string, language string, source_number int, text string",
+        *[(str(i), lang, 1, text) for i, (lang, text) in enumerate(texts)]))
+    assert rows(errata.apply_errata(once)) == rows(once)
+
+
 def test_errata_rules_cover_the_list():
     listed = [r for stage in R.STAGES for r in stage]
     assert sum(isinstance(r, R.RowRule) for r in listed) == 35

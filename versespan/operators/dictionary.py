@@ -8,9 +8,7 @@ from pyspark.sql import functions as F
 from versespan.functions import entries as E
 from versespan.functions import text as X
 from versespan.functions.greek import greek_to_betacode
-from versespan.operators.joins import (
-    BROADCAST_ROWS, Checked, computed, is_small, small_side,
-)
+from versespan.operators.joins import BROADCAST_ROWS, Checked, computed, is_small
 
 
 def verse_words(text: Column) -> Column:
@@ -52,11 +50,12 @@ def verse_dictionary(requests: DataFrame, verses: DataFrame, dictionary: DataFra
     if broadcast_rows and is_small(ids, broadcast_rows):
         asked, ids = F.broadcast(asked), F.broadcast(ids)
     words = texts.join(asked, "id", "left_semi").select(
-        "id", F.explode(verse_words(F.col("text"))).alias("verse_word"))
+        "id", F.explode(verse_words(F.col("text"))).alias("verse_word")).distinct()
 
-    parsed = _read(dictionary.select("topic", "definition"))
-    if broadcast_rows:
-        parsed = small_side(parsed, broadcast_rows)
+    entries = dictionary.select("topic", "definition")
+    parsed = _read(entries)
+    if broadcast_rows and is_small(entries, broadcast_rows):    # the fields are no longer
+        parsed = F.broadcast(parsed)
     met = words.join(parsed, words["verse_word"] == parsed["topic"], "left").join(ids, "id")
     broken = F.coalesce(~F.col("_ok"), F.lit(False))
     rows = met.filter(~broken).select(
