@@ -471,3 +471,9 @@ def test_source_lists(frame):
         ("pl", ["A", "B"]), ("unknown", ["C"])]
     assert rows(lookup.list_sources(df, F.lit("a oLD")), "name") == [("A",)]
     assert lookup.list_sources(df, F.lit("")).count() == 3
+
+
+def test_table_orders(frame):
+    books = frame("language string, book_number int", ("pl", 2), ("la", 3), ("pl", 1))
+    assert [tuple(r) for r in lookup.in_table_order(books, "books").collect()] == [
+        ("la", 3), ("pl", 1), ("pl", 2)]

@@ -127,6 +127,17 @@ def test_stream_upserts(spark, frame, tmp_path):
         assert table.count() == 3
 
 
+def test_sheet_table_without_a_stream(spark, frame, tmp_path):
+    schema = "id string, data string, ts timestamp"
+    root, old, new = str(tmp_path / "table"), dt.datetime(2024, 1, 1), dt.datetime(2024, 1, 9)
+    T.write_changes(frame(schema, ("a", "{}", old), ("b", '{"title":"x"}', old)), root, 0)
+    T.write_changes(frame(schema, ("b", '{"title":"y"}', new), ("c", "{}", new)), root, 1)
+    T.write_changes(frame(schema, ("b", '{"title":"y"}', new), ("c", "{}", new)), root, 1)
+    T.compact(spark, root, str(tmp_path / "snap"), as_of=F.lit("2024-01-10").cast("timestamp"))
+    assert rows(spark.read.parquet(str(tmp_path / "snap"))) == [
+        ("b", '{"title":"y"}', old), ("c", "{}", new)]
+
+
 def test_bucketed_verses_are_not_shuffled(spark, frame, tmp_path):
     from versespan.operators.lookup import fetch_verses
 

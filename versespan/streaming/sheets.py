@@ -7,28 +7,34 @@ change folders with the last snapshot; ``compact`` folds them into a new one.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from versespan import schemas
-from versespan.operators.sheets import latest_changes, upsert_sheets
+from versespan.operators.sheets import cleanup_sheets, latest_changes, upsert_sheets
 
 _CHANGES = "id string, data string, ts timestamp, first_ts timestamp, batch_id bigint"
 
 
-def stream_upsert_sheets(changes: DataFrame, root: str, checkpoint: str) -> StreamingQuery:
-    """Run a stream of ``id, data, ts`` changes into ``root`` until its input is used up."""
+def write_changes(changes: DataFrame, root: str, batch_id: int) -> None:
+    """Store one batch of ``id, data, ts`` changes, one row per sheet.
+
+    A change without an id becomes a new sheet under a random id.
+    """
+    known = latest_changes(changes).select(
+        "id", "data", F.col("last_ts").alias("ts"), "first_ts")
+    fresh = changes.filter(F.col("id").isNull()).select(
+        F.uuid().alias("id"), "data", "ts", F.col("ts").alias("first_ts"))
+    known.unionByName(fresh).write.mode("overwrite").parquet(
+        f"{root}/changes/batch_id={batch_id}")
 
-    def write(batch: DataFrame, batch_id: int) -> None:
-        rows = latest_changes(batch).select(
-            "id", "data", F.col("last_ts").alias("ts"), "first_ts").unionByName(
-            batch.filter(F.col("id").isNull()).select(
-                F.uuid().alias("id"), "data", "ts", F.col("ts").alias("first_ts")))
-        rows.write.mode("overwrite").parquet(f"{root}/changes/batch_id={batch_id}")
 
-    return changes.writeStream.foreachBatch(write).option(
-        "checkpointLocation", checkpoint).trigger(availableNow=True).start()
+def stream_upsert_sheets(changes: DataFrame, root: str, checkpoint: str) -> StreamingQuery:
+    """Run a stream of ``id, data, ts`` changes into ``root`` until its input is used up."""
+    return changes.writeStream.foreachBatch(
+        lambda batch, batch_id: write_changes(batch, root, batch_id)
+    ).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
 def current_sheets(spark: SparkSession, root: str, snapshot: str | None = None,
@@ -45,6 +51,8 @@ def current_sheets(spark: SparkSession, root: str, snapshot: str | None = None,
 
 
 def compact(spark: SparkSession, root: str, target: str, snapshot: str | None = None,
-            after_batch: int = -1) -> None:
-    """Write the merged table to a new snapshot path."""
-    current_sheets(spark, root, snapshot, after_batch).write.parquet(target)
+            after_batch: int = -1, as_of: Column | None = None) -> None:
+    """Write the merged table to a new snapshot path, without sheets stale at ``as_of``."""
+    merged = current_sheets(spark, root, snapshot, after_batch)
+    kept = merged if as_of is None else cleanup_sheets(merged, as_of).kept
+    kept.write.parquet(target)
