@@ -77,15 +77,30 @@ def fetch_verses(requests: DataFrame, verses: DataFrame, books: DataFrame,
                  broadcast_rows: int = BROADCAST_ROWS) -> Checked:
     """Verses of each request ``(request_id, address, source or NULL)``.
 
-    A request finds each verse once. The verse table is read once and, while the
-    requests are few, never shuffled.
+    A request finds each verse once. The verse table is read once and, while the requests
+    or at least the different questions among them are few, never shuffled.
     """
-    wanted, rejects = wanted_chapters(requests, books, verses, chapters)
-    if broadcast_rows and is_small(requests.select("request_id"), broadcast_rows):
-        wanted = small_side(wanted, broadcast_rows)
+    asked = requests.select("request_id", "address", "source")
+    wanted, rejects = wanted_chapters(asked, books, verses, chapters)
+    if broadcast_rows and is_small(asked, broadcast_rows):
+        return Checked(_verses_of(verses, small_side(wanted, broadcast_rows)), rejects)
+    if broadcast_rows:
+        keyed = asked.withColumn("question", F.to_json(F.struct("address", "source")))
+        questions = keyed.select(
+            F.col("question").alias("request_id"), "address", "source").distinct()
+        once = wanted_chapters(questions, books, verses, chapters).rows
+        if is_small(once, broadcast_rows):
+            answers = _verses_of(verses, F.broadcast(once)).withColumnRenamed(
+                "request_id", "question")
+            return Checked(answers.join(keyed.select("request_id", "question"), "question")
+                           .select("request_id", *verses.columns), rejects)
+    return Checked(_verses_of(verses, wanted), rejects)
+
+
+def _verses_of(verses: DataFrame, wanted: DataFrame) -> DataFrame:
     found = verses.join(wanted, ["source", "book_number", "chapter"]).filter(
         A.contains_verse(F.col("parts"), F.col("verse")))
-    return Checked(found.select("request_id", *[F.col(c) for c in verses.columns]), rejects)
+    return found.select("request_id", *[F.col(c) for c in verses.columns])
 
 
 def canonical_order() -> list[Column]:
