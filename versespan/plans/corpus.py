@@ -58,6 +58,15 @@ def verses(spark: SparkSession, sf_dir: str) -> DataFrame:
         "source_number", "book_number", "chapter", "verse", "text", "doc_id")
 
 
+def chapters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The chapter directory, read off the lines: each is one chapter of one book."""
+    lines = documents(spark, sf_dir).select("source", "book_number", F.posexplode(
+        F.split("text", "\n")).alias("_c", "_line"))
+    pieces = F.exists(F.split("_line", r"\. "), lambda p: F.trim(p) != "")
+    return lines.filter(F.col("_line").rlike("[^ .]") | pieces).select(
+        "source", "book_number", (F.col("_c") + 1).alias("chapter"))
+
+
 def written_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents with at least one verse, found without expanding them.
 

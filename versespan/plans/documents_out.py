@@ -106,6 +106,6 @@ select t.sheet_id, t.title, case when t.title = '' then coalesce(body, '')
 from titled t left join bodies using (sheet_id)""")
 def sheet_markdown(spark, d):
     return E.sheet_markdown(conversation_sheets(spark, d), K.verses(spark, d),
-                            K.books(spark, d)).whole
+                            K.books(spark, d), K.chapters(spark, d)).whole
 
 

@@ -49,7 +49,8 @@ from documents d join verses v
 
 @query("fetch_verses", FETCH_VERSES)
 def fetch_verses(spark, d):
-    found = L.fetch_verses(document_requests(spark, d), K.verses(spark, d), K.books(spark, d))
+    found = L.fetch_verses(document_requests(spark, d), K.verses(spark, d), K.books(spark, d),
+                           K.chapters(spark, d))
     return found.rows.select(*_VERSE_COLUMNS)
 
 
@@ -66,7 +67,8 @@ def fetch_verses_no_source(spark, d):
         F.when(item % 3 == 0, F.concat(book, F.lit(" 1,1-2")))
         .when(item % 3 == 1, F.concat(book, F.lit(" 2"))).otherwise(book).alias("address"),
         F.lit(None).cast("string").alias("source"))
-    found = L.fetch_verses(requests, K.verses(spark, d), K.books(spark, d))
+    found = L.fetch_verses(requests, K.verses(spark, d), K.books(spark, d),
+                           K.chapters(spark, d))
     return found.rows.select("request_id", "id", "source", "chapter", "verse", "text")
 
 

@@ -98,7 +98,8 @@ rows as (select i.sheet_id, i.title, i.pos, i.kind, i.address, i.source, i.conte
 @query("hydrate_sheets", f"""{HYDRATED}
 select sheet_id, pos, kind, address, source, content, verse_id, text from rows""")
 def hydrate_sheets(spark, d):
-    rows = S.hydrate_sheets(conversation_sheets(spark, d), K.verses(spark, d), K.books(spark, d))
+    rows = S.hydrate_sheets(conversation_sheets(spark, d), K.verses(spark, d),
+                            K.books(spark, d), K.chapters(spark, d))
     return rows.select("sheet_id", "pos", "kind", "address", "source", "content", "verse_id",
                        "text")
 
