@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from versespan.functions import address as A
 from versespan.functions import text as X
-from versespan.operators.joins import BROADCAST_ROWS, Checked, small_side
+from versespan.operators.joins import BROADCAST_ROWS, Checked, answer_once, small_side
 from versespan.operators.lookup import split_ids
 from versespan.operators.ranges import clip_to, with_blocks
 
@@ -21,25 +21,31 @@ def fetch_commentaries(requests: DataFrame, commentaries: DataFrame,
     Both sides meet on (book, chapter block), so no interval is compared with verses of
     another chapter. Intervals are first clipped to the requested stretch of their book.
     """
-    ids, rejects = split_ids(requests.select("request_id", "verse_id"))
-    points = ids.withColumn("pos", A.position(F.col("chapter"), F.col("verse"))).select(
-        "request_id", *_BOOK, "pos", A.block(F.col("pos")).alias("block"))
-    stretch = points.groupBy(*_BOOK).agg(
-        F.min("pos").alias("first_pos"), F.max("pos").alias("last_pos"))
     spans = commentaries.select(
         *_BOOK, F.col("chapter_number_from").alias("chapter_from"),
         F.col("verse_number_from").alias("verse_from"), "marker", "text",
         A.position(F.col("chapter_number_from"), F.col("verse_number_from")).alias("lo"),
         A.position(F.col("chapter_number_to"), F.col("verse_number_to")).alias("hi"),
     ).filter(F.col("lo") <= F.col("hi"))
-    if broadcast_rows:
-        points, stretch = small_side(points, broadcast_rows), small_side(stretch, broadcast_rows)
-    clipped = clip_to(spans, stretch, _BOOK, "lo", "hi")
-    blocks = with_blocks(clipped, F.col("lo"), F.col("hi"))
-    rows = blocks.join(points, [*_BOOK, "block"]).filter(
-        F.col("pos").between(F.col("lo"), F.col("hi")))
-    return Checked(rows.select("request_id", "marker", "text", "chapter_from", "verse_from"),
-                   rejects)
+
+    def answer(asked: DataFrame) -> DataFrame:
+        ids = split_ids(asked).rows
+        points = ids.withColumn("pos", A.position(F.col("chapter"), F.col("verse"))).select(
+            "request_id", *_BOOK, "pos", A.block(F.col("pos")).alias("block"))
+        stretch = points.groupBy(*_BOOK).agg(
+            F.min("pos").alias("first_pos"), F.max("pos").alias("last_pos"))
+        if broadcast_rows:
+            points = small_side(points, broadcast_rows)
+            stretch = small_side(stretch, broadcast_rows)
+        clipped = clip_to(spans, stretch, _BOOK, "lo", "hi")
+        blocks = with_blocks(clipped, F.col("lo"), F.col("hi"))
+        met = blocks.join(points, [*_BOOK, "block"]).filter(
+            F.col("pos").between(F.col("lo"), F.col("hi")))
+        return met.select("request_id", "marker", "text", "chapter_from", "verse_from")
+
+    asked = requests.select("request_id", "verse_id")
+    return Checked(answer_once(asked, ["verse_id"], answer, broadcast_rows),
+                   split_ids(asked).rejects)
 
 
 def in_commentary_order(df: DataFrame) -> DataFrame:

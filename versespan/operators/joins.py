@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 from typing import NamedTuple
 
 from pyspark.sql import Column, DataFrame
@@ -43,6 +43,28 @@ def is_small(df: DataFrame, max_rows: int = BROADCAST_ROWS,
     return len(widths) <= max_rows and sum(w["w"] for w in widths) <= max_chars
 
 
+def answer_once(requests: DataFrame, by: list[str], answer: Callable[[DataFrame], DataFrame],
+                broadcast_rows: int = BROADCAST_ROWS) -> DataFrame:
+    """``answer(requests)``, asking each different question once where that pays.
+
+    A few requests are answered as they are. Many requests that repeat few questions (the
+    columns ``by``) are reduced to those questions, which can then be broadcast, and the
+    answers are handed back to the requests. Distinct questions are estimated first, so
+    requests that hardly repeat themselves are not shuffled to find that out.
+    """
+    if not broadcast_rows or is_small(requests, broadcast_rows):
+        return answer(requests)
+    keyed = requests.withColumn("question", F.to_json(F.struct(*by)))
+    if keyed.agg(F.approx_count_distinct("question")).first()[0] > 1.2 * broadcast_rows:
+        return answer(requests)
+    questions = keyed.select(F.col("question").alias("request_id"), *by).distinct()
+    if not is_small(questions, broadcast_rows):
+        return answer(requests)
+    found = answer(questions)
+    return found.withColumnRenamed("request_id", "question").join(
+        keyed.select("request_id", "question"), "question").select(*found.columns)
+
+
 def computed(df: DataFrame, value: Column, name: str) -> DataFrame:
     """Add a column that later steps read but Catalyst does not copy.
 

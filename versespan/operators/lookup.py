@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from versespan.functions import address as A
 from versespan.functions import text as X
 from versespan.operators.joins import (
-    BROADCAST_ROWS, Checked, computed, is_small, small_side,
+    BROADCAST_ROWS, Checked, answer_once, computed, small_side,
 )
 
 
@@ -80,27 +80,17 @@ def fetch_verses(requests: DataFrame, verses: DataFrame, books: DataFrame,
     A request finds each verse once. The verse table is read once and, while the requests
     or at least the different questions among them are few, never shuffled.
     """
+    def answer(asked: DataFrame) -> DataFrame:
+        wanted = wanted_chapters(asked, books, verses, chapters).rows
+        if broadcast_rows:
+            wanted = small_side(wanted, broadcast_rows)
+        found = verses.join(wanted, ["source", "book_number", "chapter"]).filter(
+            A.contains_verse(F.col("parts"), F.col("verse")))
+        return found.select("request_id", *[F.col(c) for c in verses.columns])
+
     asked = requests.select("request_id", "address", "source")
-    wanted, rejects = wanted_chapters(asked, books, verses, chapters)
-    if broadcast_rows and is_small(asked, broadcast_rows):
-        return Checked(_verses_of(verses, small_side(wanted, broadcast_rows)), rejects)
-    if broadcast_rows:
-        keyed = asked.withColumn("question", F.to_json(F.struct("address", "source")))
-        questions = keyed.select(
-            F.col("question").alias("request_id"), "address", "source").distinct()
-        once = wanted_chapters(questions, books, verses, chapters).rows
-        if is_small(once, broadcast_rows):
-            answers = _verses_of(verses, F.broadcast(once)).withColumnRenamed(
-                "request_id", "question")
-            return Checked(answers.join(keyed.select("request_id", "question"), "question")
-                           .select("request_id", *verses.columns), rejects)
-    return Checked(_verses_of(verses, wanted), rejects)
-
-
-def _verses_of(verses: DataFrame, wanted: DataFrame) -> DataFrame:
-    found = verses.join(wanted, ["source", "book_number", "chapter"]).filter(
-        A.contains_verse(F.col("parts"), F.col("verse")))
-    return found.select("request_id", *[F.col(c) for c in verses.columns])
+    return Checked(answer_once(asked, ["address", "source"], answer, broadcast_rows),
+                   parse_requests(asked).rejects)
 
 
 def canonical_order() -> list[Column]:

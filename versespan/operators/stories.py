@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from versespan.functions import address as A
 from versespan.operators.joins import (
-    BROADCAST_ROWS, Checked, next_position, repeat_rows, small_side,
+    BROADCAST_ROWS, Checked, answer_once, next_position, repeat_rows, small_side,
 )
 from versespan.operators.lookup import parse_requests
 from versespan.operators.ranges import with_blocks
@@ -112,21 +112,26 @@ def fetch_stories(requests: DataFrame, rendered: DataFrame,
     One row per covered verse, as many times as the address names it. Address ranges stay
     ranges: they meet the stories per chapter block and only the overlap is written out.
     """
-    parsed, rejects = parse_requests(requests.select("request_id", "source", "address"))
-    ranges = parsed.filter(F.col("parts").isNotNull()).select(
-        "request_id", "source", "book", F.col("chapter").alias("_c"),
-        F.explode("parts").alias("_p"))
-    asked = with_blocks(ranges.select(
-        "request_id", "source", "book",
-        A.position(F.col("_c"), F.col("_p.lo")).alias("lo"),
-        A.position(F.col("_c"), F.col("_p.hi")).alias("hi")), F.col("lo"), F.col("hi"))
-    if broadcast_rows:
-        asked = small_side(asked, broadcast_rows)
     told = with_blocks(rendered.select(*STORY_COLUMNS).filter(F.col("a") < F.col("b")),
                        F.col("a"), F.col("b"))
-    base = F.col("block") * A.POSITIONS_PER_CHAPTER
-    lo = F.greatest("lo", "a", base)
-    hi = F.least(F.col("hi"), F.col("b"), base + A.POSITIONS_PER_CHAPTER - 1)
-    met = told.join(asked, ["source", "book", "block"]).withColumn("covered", hi - lo + 1)
-    return Checked(repeat_rows(met.select("request_id", *STORY_COLUMNS, "covered"), "covered"),
-                   rejects)
+
+    def answer(requested: DataFrame) -> DataFrame:
+        parsed = parse_requests(requested).rows
+        ranges = parsed.filter(F.col("parts").isNotNull()).select(
+            "request_id", "source", "book", F.col("chapter").alias("_c"),
+            F.explode("parts").alias("_p"))
+        asked = with_blocks(ranges.select(
+            "request_id", "source", "book",
+            A.position(F.col("_c"), F.col("_p.lo")).alias("lo"),
+            A.position(F.col("_c"), F.col("_p.hi")).alias("hi")), F.col("lo"), F.col("hi"))
+        if broadcast_rows:
+            asked = small_side(asked, broadcast_rows)
+        base = F.col("block") * A.POSITIONS_PER_CHAPTER
+        lo = F.greatest("lo", "a", base)
+        hi = F.least(F.col("hi"), F.col("b"), base + A.POSITIONS_PER_CHAPTER - 1)
+        met = told.join(asked, ["source", "book", "block"]).withColumn("covered", hi - lo + 1)
+        return repeat_rows(met.select("request_id", *STORY_COLUMNS, "covered"), "covered")
+
+    asked = requests.select("request_id", "source", "address")
+    return Checked(answer_once(asked, ["source", "address"], answer, broadcast_rows),
+                   parse_requests(asked).rejects)
