@@ -40,7 +40,8 @@ def upsert_sheets(target: DataFrame, changes: DataFrame) -> DataFrame:
     """New snapshot: known ids take the new data and keep ``created_at``.
 
     ``changes`` has ``id, data, ts``; a new sheet is created at its first change. A change
-    without an id becomes a new sheet under a random id and never takes part in the join.
+    without an id becomes a new sheet under a random id and never takes part in the join;
+    the id is drawn when the snapshot is written, so read it from there.
     """
     latest = latest_changes(changes).select("id", F.col("data").alias("_new"), "first_ts")
     merged = target.join(latest, "id", "full_outer").select(
