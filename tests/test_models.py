@@ -166,3 +166,25 @@ def test_nearest_by_task_equals_join(spark):
         assert len(found) == len(exact)
         for request, rank, distance in found:
             assert abs(distance - exact[request, rank]) < 1e-9
+
+
+def test_python_tasks_do_not_need_the_package(tmp_path):
+    """Run from a folder where workers can not import the package."""
+    import os
+    import subprocess
+    import sys
+
+    root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    script = tmp_path / "run.py"
+    script.write_text(
+        f"import sys; sys.path.insert(0, {root!r})\n"
+        "import __spark_entry__ as entry\n"
+        "from versespan.session import build_session\n"
+        "spark = build_session(cpus=2)\n"
+        "for name in ('knn_search', 'embed_backlog', 'search_verses'):\n"
+        "    print(name, entry.queries()[name](spark, '/root/testdata/sf0.001').count() > 0)\n")
+    env = {k: v for k, v in os.environ.items() if k != "PYTHONPATH"}
+    done = subprocess.run([sys.executable, str(script)], cwd=tmp_path, env=env, timeout=240,
+                          capture_output=True, text=True)
+    assert done.stdout.split() == ["knn_search", "True", "embed_backlog", "True",
+                                   "search_verses", "True"], done.stderr[-2000:]
