@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+import public_tokenizers
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from versespan.llm import chat, langid, quality_cnn, quality_rules
+from versespan.llm import bpe, chat, counts, jaccard, langid, packing, quality_cnn, quality_rules, secrets, topk
 from versespan.llm.common import held_out, read_table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -91,3 +92,125 @@ def op4_quality_cnn(spark: SparkSession, sf_dir: str) -> DataFrame:
     scored = docs.select("doc_id", held_out().alias("held_out"),
                          quality_cnn.quality(model, F.col("text")).alias("score"))
     return scored.withColumn("predicted", (F.col("score") >= 0.7).cast("int"))
+
+
+@query("op1_sum_of_squares_packing")
+def op1_sum_of_squares_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
+    return packing.pack(docs, public_tokenizers.path("word_bpe_49k.json"))
+
+
+RANKS = "byte_bpe_50k.tiktoken"
+
+
+@query("op7_prefix_bpe")
+def op7_prefix_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
+    found = docs.select("doc_id", bpe.round_trip(
+        public_tokenizers.path(RANKS), public_tokenizers.PATTERN, F.col("text")).alias("found"))
+    return found.select("doc_id", "found.n_tokens", "found.ids_sha256", "found.decoded_sha256")
+
+
+@query("op8_edited_counts")
+def op8_edited_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Three edits for every document: a new beginning, a replaced stretch in the middle that
+    repeats the document's source, and a deletion near the end."""
+    docs = read_table(spark, sf_dir, "documents").select("doc_id", "text", "source")
+    size = F.coalesce(F.length("text"), F.lit(0))
+
+    def edit(start: Column, delete: int, insert: Column) -> Column:
+        return F.struct(start.cast("int").alias("start"), F.lit(delete).alias("delete"),
+                        insert.alias("insert"))
+
+    edits = F.array(
+        edit(F.lit(0), 0, F.lit("Edited: ")),
+        edit(size / 2, 12, F.concat(F.lit(" now's from "), F.coalesce("source", F.lit("")))),
+        edit(size * 9 / 10, 5, F.lit("")))
+    found = docs.select("doc_id", counts.edited_counts(
+        public_tokenizers.path(RANKS), public_tokenizers.PATTERN, F.col("text"), edits)
+        .alias("found"))
+    return found.select("doc_id", "found.n_pretokens", "found.n_tokens", "found.n_tokens_after",
+                        "found.n_chars_after", "found.n_encoded")
+
+
+TOP_K_SQL = """
+WITH v AS (
+  SELECT vec_id, list_transform(embedding, x -> floor(256 * x::DOUBLE)) AS q FROM embeddings
+  WHERE embedding IS NOT NULL AND len(embedding) > 0 AND vec_id IS NOT NULL
+    AND len(list_filter(embedding, x -> x IS NOT NULL AND isfinite(x))) = len(embedding)),
+s AS (
+  SELECT a.vec_id AS query_id, b.vec_id, list_inner_product(a.q, b.q)::BIGINT AS score
+  FROM v a JOIN v b ON a.vec_id <> b.vec_id WHERE a.vec_id % 50 = 0),
+r AS (
+  SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)::INTEGER AS rank
+  FROM s)
+SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 5
+"""
+
+
+@query("op9_sliced_top_k", TOP_K_SQL)
+def op9_sliced_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = read_table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
+    return topk.top_k(vectors, vectors.filter(F.col("vec_id") % 50 == 0))
+
+
+@query("op6_secret_cnn")
+def op6_secret_cnn(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
+    model = secrets.fit(docs)
+    found = docs.select("doc_id", secrets.secret_spans(model, F.col("text")).alias("found"))
+
+    def joined(spans: Column) -> Column:
+        return F.array_join(F.transform(spans, lambda s: F.concat_ws(
+            ":", s["kind"], s["start"], s["end"])), ",")
+
+    def count(kind: str) -> Column:
+        return F.size(F.filter("found", lambda s: s["kind"] == kind)).cast("bigint")
+
+    base = F.filter("found", lambda s: s["kind"] != "cnn")
+    return found.select(
+        "doc_id", *[count(kind).alias(f"n_{kind}") for kind in ("assign", "access", "hex")],
+        F.sha2(joined(base).cast("binary"), 256).alias("base_sha256"),
+        joined(F.col("found")).alias("spans"))
+
+
+JACCARD_SQL = r"""
+WITH RECURSIVE w AS (
+  SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''),
+           'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+           '[\x20\x09-\x0D]+'), x -> x <> '') AS words
+  FROM documents),
+s AS (
+  SELECT doc_id, list_distinct(CASE
+           WHEN len(words) = 0 THEN []
+           WHEN len(words) < 5 THEN [array_to_string(words, ' ')]
+           ELSE list_transform(range(1, len(words) - 3),
+                               i -> array_to_string(words[i:i + 4], ' ')) END) AS shingles
+  FROM w),
+c AS (                                  -- equal sets are compared once
+  SELECT min(doc_id) AS id, len(sorted) AS n, sorted, list(doc_id) AS members
+  FROM (SELECT doc_id, list_sort(shingles) AS sorted FROM s WHERE len(shingles) > 0)
+  GROUP BY sorted),
+e AS (SELECT id, n, unnest(sorted) AS shingle FROM c),
+p AS (
+  SELECT a.id AS a, b.id AS b, count(*) AS both, any_value(a.n) AS na, any_value(b.n) AS nb
+  FROM e a JOIN e b ON a.shingle = b.shingle AND a.id < b.id
+    AND 100 * a.n >= 80 * b.n AND 100 * b.n >= 80 * a.n
+  GROUP BY a.id, b.id
+  HAVING 100 * count(*) >= 80 * (any_value(a.n) + any_value(b.n) - count(*))),
+l AS (SELECT a AS u, b AS v FROM p UNION ALL SELECT b, a FROM p),
+r AS (
+  SELECT id AS node, id AS reached FROM c
+  UNION
+  SELECT r.node, l.v FROM r JOIN l ON r.reached = l.u),
+k AS (SELECT node, min(reached) AS least FROM r GROUP BY node),
+m AS (SELECT unnest(members) AS doc_id, id FROM c)
+SELECT s.doc_id, len(s.shingles)::BIGINT AS n_shingles, coalesce(k.least, s.doc_id) AS component_id
+FROM s LEFT JOIN (SELECT DISTINCT doc_id, id FROM m) m ON s.doc_id = m.doc_id
+  LEFT JOIN k ON m.id = k.node
+"""
+
+
+@query("op3_jaccard_tiles", JACCARD_SQL)
+def op3_jaccard_tiles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.near_duplicates(read_table(spark, sf_dir, "documents"))
