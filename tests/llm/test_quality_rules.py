@@ -31,9 +31,9 @@ def test_counts_equal_brute_force(frame):
 
 
 def test_divergent_documents_go_and_short_ones_stay(spark, frame):
-    names = [f"alpha{i} beta{i} the of and to in " for i in range(300)]
+    names = [f"the alpha{i} of beta{i} and gamma{i} to delta{i} in" for i in range(300)]
     good = [(i, " ".join(names[i * 9:i * 9 + 9]).capitalize() + ".", "en") for i in range(30)]
-    loud = (90, " ".join(f"WORD{i}!!" for i in range(200)), "en")
+    loud = (90, " ".join(f"{chr(65 + i % 26)}{chr(65 + i // 26)}LOUD!!" for i in range(200)), "en")
     short = (91, "###", "en")
     same = [(92, good[0][1], None)] * 2
     judged = Q.apply_rules(frame(SCHEMA + ", rule string, kept string",

@@ -42,8 +42,9 @@ def rule_features(docs: DataFrame, text: str = "text") -> DataFrame:
     and empty histograms. Column names of the input can not clash: all is in ``rule``, which
     replaces a column of that name.
     """
-    given = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
-    rows = docs.select(given.alias("row"), F.coalesce(F.col(text), F.lit("")).alias("text"))
+    given = {c: f"_in{i}" for i, c in enumerate(docs.columns)}
+    rows = docs.select(*[F.col(f"`{c}`").alias(g) for c, g in given.items()],
+                       F.coalesce(F.col(text), F.lit("")).alias("text"))
     rows = computed(rows, F.array_remove(F.split("text", f"[{SPACE}]+"), ""), "words")
     rows = computed(rows, F.filter(F.split("text", "\n"),
                                    lambda line: line.rlike(f"[^{SPACE}]")), "lines")
@@ -56,7 +57,7 @@ def rule_features(docs: DataFrame, text: str = "text") -> DataFrame:
     classes = [_kept_chars(F.col("text"), x) for x in (
         "[^a-z]+", "[^A-Z]+", "[^0-9]+", "[^#*$%&|<>]+", r"[^.,;:!?'\"()\-]+")]
     counts = rows.select(
-        "row", F.size("words").cast("bigint").alias("n_words"), body.cast("bigint").alias("body"),
+        *given.values(), F.size("words").cast("bigint").alias("n_words"), body.cast("bigint").alias("body"),
         (total - body).alias("blank"), F.array(*classes).alias("classes"),
         (F.size("lines") - F.size(F.array_distinct("lines"))).cast("bigint").alias("dup_lines"),
         common.alias("common"),
@@ -73,7 +74,7 @@ def rule_features(docs: DataFrame, text: str = "text") -> DataFrame:
         .alias("chars"),
         F.concat("common", F.array((F.col("n_words") - F.aggregate(
             "common", F.lit(0), lambda a, x: a + x)).cast("int"))).alias("common")), "base")
-    counts = counts.select("row", "base", "windows")
+    counts = counts.select(*given.values(), "base", "windows")
     repeats = computed(counts, F.when(
         F.size(F.array_distinct("windows")) < F.size("windows"),
         F.sort_array(F.transform("windows", lambda h, i: F.struct(h.alias("h"), i.alias("i")))),
@@ -88,7 +89,7 @@ def rule_features(docs: DataFrame, text: str = "text") -> DataFrame:
             F.lit(3), F.coalesce(F.get("starts", j + 1) - x, F.lit(3)))),
         F.lit(0), lambda a, x: a + x)
     return repeats.select(
-        *[F.col(f"row.`{c}`") for c in docs.columns if c != "rule"],
+        *[F.col(g).alias(c) for c, g in given.items() if c != "rule"],
         F.struct("base.n_words", "base.word_chars", "base.n_symbols", "base.n_dup_lines",
                  F.coalesce(covered, F.lit(0)).cast("bigint").alias("n_repeat_words"),
                  "base.chars", "base.common").alias("rule"))
@@ -172,3 +173,11 @@ def apply_rules(docs: DataFrame, text: str = "text", lang: str = "lang") -> Data
     """
     features = materialize(rule_features(docs, text), "rules")
     return judge(features, language_references(features, lang))
+
+
+def keep_good(docs: DataFrame, text: str = "text", lang: str = "lang") -> DataFrame:
+    """The rows of ``docs`` that :func:`apply_rules` keeps, all columns as they are."""
+    names = [f"_doc{i}" for i in range(len(docs.columns))]
+    found = apply_rules(docs.toDF(*names), names[docs.columns.index(text)],
+                        names[docs.columns.index(lang)])
+    return found.filter("kept").select(*names).toDF(*docs.columns)
