@@ -4,9 +4,11 @@ from __future__ import annotations
 
 import pytest
 from conftest import rows
+from pyspark.sql import functions as F
 from test_sources import _path
 
 from versespan.corpus import Corpus, build_corpus
+from versespan.operators.joins import joined_parts
 
 
 @pytest.fixture(scope="module")
@@ -76,7 +78,8 @@ def test_answers(spark, stored):
     assert rows(stored.verse_metadata(ids), "metadata") == [({},)]
     assert rows(stored.list_sources("bt"), "name") == [("BT",)]
     document = stored.export(ask(
-        spark, "request_id int, address string, source string", (1, "J 1,5", "BT"))).whole
+        spark, "request_id int, address string, source string", (1, "J 1,5", "BT")))
+    document = joined_parts(document, ["request_id"])
     assert document.first()["document"].endswith('"text":"slowo. Bog 1 5"}]}}')
 
 
@@ -106,3 +109,32 @@ def test_selection(spark, stored):
     assert rows(bundle.references, "reference") == [("J 2,1-3",)]
     assert rows(bundle.commentaries, "marker") == [("m n",)]
     assert rows(bundle.stories, "title") == [("Prolog",)]
+
+
+def test_lookups_parse_no_dictionary_entry(spark, stored):
+    ids = ask(spark, "request_id int, verse_id string", (1, "pl/1/500/1/2"))
+    found = stored.verse_dictionary(ids).rows
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert "xpath" not in plan.lower() and "entries" not in stored.dictionary.columns
+    assert rows(stored.entries, "topic", "well_formed")
+
+
+def test_sheets_of_a_corpus(spark, stored):
+    import datetime as dt
+
+    assert stored.sheets.count() == 0
+    t = dt.datetime(2024, 1, 1)
+    data = '{"title":"T","items":[{"kind":"pericope","address":"J 1,1-2","source":"BT"}]}'
+    changes = ask(spark, "id string, data string, ts timestamp", ("s", data, t), ("e", "{}", t),
+                  ("x", None, t))
+    assert rows(stored.upsert_sheets(changes, 0), "id") == [("x",)]
+    assert rows(stored.sheets, "id") == [("e",), ("s",)]
+    one = ask(spark, "id string", ("s",))
+    assert rows(stored.hydrate_sheets(one), "verse") == [(1,), (2,)]
+    text = joined_parts(stored.sheet_markdown(one), ["sheet_id"]).first()["document"]
+    assert text == ("# T\n\n###### J 1,1-2 (BT)\n- <sup>1</sup> slowo. Bog 1 1\n"
+                    "- <sup>2</sup> slowo. Bog 1 2")
+    kept = stored.cleanup_sheets(F.lit("2024-03-01").cast("timestamp")).kept
+    assert rows(kept, "id") == [("s",)]
+    batch = ask(spark, "input_id int, source string, batch string", (1, "BT", "J 1; J 2"))
+    assert rows(stored.expand_batch(batch), "address") == [("J 1",), ("J 2",)]

@@ -137,6 +137,9 @@ def test_plain_text_variants(evaluate):
         "a<small>b</small>c"]
     assert evaluate(["a &amp;lt; &#8217;&#39; <b>x</b> &#38;lt; <!-- c --> y&nbsp; z"],
                     X.html_to_text) == ["a &lt; ’' x &lt; y z"]
+    assert evaluate(["&#x201E;&#X41;&#128;&bdquo;&euro;&NotEqualTilde;&none; &#0;&#xD800;&#1114112;",
+                     "&amp;amp;&&num;x41;&#38;#65;&", None], X.html_to_text) == [
+        "„A€„€≂̸&none; \ufffd\ufffd\ufffd", "&amp;&#x41;&#65;&", ""]
     assert evaluate(["a <pb/> <f>n</f>  <i>z</i> "], X.print_clean) == ["a z"]
 
 

@@ -291,7 +291,9 @@ T0, T1, T2 = (dt.datetime(2024, 1, day) for day in (1, 2, 3))
 def test_upsert(frame):
     target = frame(schemas.SHEETS, ("a", "{}", T0), ("b", "{}", T0))
     changes = frame("id string, data string, ts timestamp", ("a", "1", T1), ("a", "2", T2),
-                    ("c", "3", T1), ("c", "4", T2), (None, "5", T1), (None, "5", T1))
+                    ("c", "3", T1), ("c", "4", T2), (None, "5", T1), (None, "5", T1),
+                    ("a", None, T2), ("d", None, T1), (None, None, T1))
+    assert sheets.check_changes(changes).rejects.count() == 3
     got = sheets.upsert_sheets(target, changes)
     assert rows(got.filter("length(id) = 1")) == [("a", "2", T0), ("b", "{}", T0), ("c", "4", T1)]
     new = got.filter("length(id) = 36")
@@ -348,7 +350,7 @@ def test_hydrate_and_markdown(frame, verses, books):
     assert rows(got.filter("sheet_id = 'e'"), "pos", "source", "verse") == [
         (0, "NVUL", 16), (0, "NVUL", 17), (1, "NA28", None), (2, "BT_03", None),
         (3, "TRO+", None)]
-    text = dict(rows(export.sheet_markdown(df, verses, books).whole, "sheet_id", "document"))
+    text = dict(rows(joins.joined_parts(export.sheet_markdown(df, verses, books), ["sheet_id"])))
     assert text["s"] == ("# T\n\nn\n\n###### J 3,16-17 (NVUL)\n- <sup>16</sup> t3.16\n"
                          "- <sup>17</sup> t3.17\n\n###### J 9,1 (NVUL)")
     assert text["e"].startswith("###### J 3,16-17 (NVUL)\n- <sup>16</sup> t3.16")
@@ -377,7 +379,7 @@ def test_collapse_ranges(frame):
     df = frame(schema, *[verse(1, 3, n) for n in (16, 17, 18, 20)], verse(2, 3, 36),
                verse(2, 4, 37), verse(2, 4, 1), verse(3, 1, 5), verse(3, 2, 6), verse(3, 3, 7),
                verse(4, 1, 1, "S"), verse(4, 1, 1, "T"), verse(4, 1, 2, "S"))
-    assert rows(export.collapse_ranges(df).whole) == [
+    assert rows(joins.joined_parts(export.collapse_ranges(df), ["request_id"])) == [
         (1, "J 3,16-18.20"), (2, "J 3,36.1.37"), (3, "J 1,5-7"), (4, "J 1,1.1-2")]
 
 
@@ -386,7 +388,7 @@ def test_collapse_then_parse_gives_the_verses(frame, spark):
         "1 request_id", "1 book_number", "2 chapter", "cast(1 + (id * id) % 211 as int) verse",
         "'l' language", "'S' source").distinct().selectExpr(
         "*", "cast(verse as string) id", "concat('J 2,', verse) address")
-    text = export.collapse_ranges(df).whole
+    text = joins.joined_parts(export.collapse_ranges(df), ["request_id"], "address")
     again = lookup.parse_addresses(text).rows
     assert rows(again, "verse") == rows(df, "verse")
 
@@ -396,7 +398,7 @@ def test_export_documents(frame, verses):
                   (2, "Ps", "NVUL"), (3, "Ps 2", "none"), (4, "J x1", "NVUL"))
     got, rejects = export.export_rows(asked, verses)
     assert [r[0] for r in rows(rejects)] == [4]
-    docs = dict(rows(export.export_documents(got).whole))
+    docs = dict(rows(joins.joined_parts(export.export_documents(got), ["request_id"])))
     assert docs[1] == (
         '{"source":"NVUL","book":"J","book_name":"J!","address":"J 3,17-","chapters":'
         '{"3":[{"verse":17,"text":"t3.17"},{"verse":18,"text":"t3.18"}]}}')
@@ -415,17 +417,50 @@ def test_export_reads_the_first_language(frame, verses):
 def test_documents_are_written(spark, frame, verses, tmp_path):
     asked = frame("request_id int, address string, source string", (1, "Ps 1,1-2", "NVUL"))
     docs = export.export_documents(export.export_rows(asked, verses).rows)
-    export.write_documents(docs.whole, asked, str(tmp_path / "json"))
-    assert rows(spark.read.parquet(str(tmp_path / "json")), "file_name") == [("Ps_1_1-2_NVUL",)]
-    sheet = frame("sheet_id string, title string, document string", ("id", "A b", "x"))
+    export.write_documents(docs, asked, str(tmp_path / "json"))
+    stored = spark.read.parquet(str(tmp_path / "json"))
+    assert rows(stored.select("file_name").distinct()) == [("Ps_1_1-2_NVUL",)]
+    assert rows(joins.joined_parts(stored, ["file_name"]), "document") == rows(
+        joins.joined_parts(docs, ["request_id"]), "document")
+    sheet = frame("sheet_id string, title string, part array<bigint>, text string",
+                  ("id", "A b", [1], "y"), ("id", "A b", [0], "x"))
     export.write_markdown(sheet, str(tmp_path / "md"))
-    assert rows(spark.read.parquet(str(tmp_path / "md"))) == [("a-b-id.md", "x")]
-
-
-def test_long_documents_come_back_in_pieces(frame):
-    lines = frame("k int, i int, text string", (1, 0, "ab"), (1, 1, "cd"), (2, 0, "x"))
-    whole, pieces = joins.assemble(lines, ["k"], ["i"], max_chars=3)
-    assert rows(whole) == [(2, "x")] and rows(pieces) == [(1, 0, "ab"), (1, 1, "cd")]
+    assert rows(joins.joined_parts(spark.read.parquet(str(tmp_path / "md")), ["file_name"])) == [
+        ("a-b-id.md", "xy")]
+
+
+def test_documents_of_any_size_have_equal_text(spark, frame):
+    """A document of many parts, far beyond what one part holds, equals its plain assembly."""
+    import json
+
+    rows_ = spark.range(30_000).selectExpr(
+        "1 request_id", "'B' requested", "'S' source", "'B' book", "'Book' book_name",
+        "cast(1 + id % 3 as int) chapter", "cast(id / 3 as int) verse",
+        "concat(repeat('x', 200), id) text")
+    parts = export.export_documents(rows_)
+    assert parts.count() > 100 and parts.agg(F.max(F.length("text"))).first()[0] < 100_000
+    whole = json.loads(joins.joined_parts(parts, ["request_id"]).first()["document"])
+    assert list(whole["chapters"]) == ["1", "2", "3"]
+    got = [(int(c), v["verse"], v["text"]) for c, vs in whole["chapters"].items() for v in vs]
+    assert got == sorted((r["chapter"], r["verse"], r["text"]) for r in rows_.collect())
+    lines = frame("k int, i int, text string", *[(1, i, f"{i};") for i in range(1000)], (2, 0, "x"))
+    parts = joins.in_parts(lines, ["k"], ["i"])
+    assert parts.count() == 5
+    assert rows(joins.joined_parts(parts, ["k"])) == [
+        (1, "".join(f"{i};" for i in range(1000))), (2, "x")]
+    selected = spark.range(3000).selectExpr(
+        "1 request_id", "1 book_number", "1 chapter", "cast(2 * id as int) verse", "'l' language",
+        "'S' source", "cast(id as string) id", "concat('J 1,', 2 * id) address")
+    text = joins.joined_parts(export.collapse_ranges(selected), ["request_id"]).first()["document"]
+    assert text == "J 1," + ".".join(str(2 * i) for i in range(3000))
+
+
+def test_very_wide_ranges_are_neither_arrays_nor_cut(frame):
+    asked = frame("request_id int, address string", (1, "J 3,1-700000000"), (2, "J 2,5-6"),
+                  (3, "J"))
+    got = lookup.parse_addresses(asked).rows
+    found = got.groupBy("request_id").agg(F.count("*"), F.min("verse"), F.max("verse"))
+    assert rows(found) == [(1, 700000000, 1, 700000000), (2, 2, 5, 6), (3, 1, None, None)]
 
 
 def test_selection_bundle(frame, verses, books):

@@ -5,17 +5,18 @@ from __future__ import annotations
 from dataclasses import dataclass
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from versespan import schemas
 from versespan.operators import (
     commentaries, constraints, dictionary, errata, export, lookup, references, search,
-    selection, stories,
+    selection, sheets, stories,
 )
-from versespan.operators.joins import Checked, Documents
+from versespan.operators.joins import Checked
 from versespan.session import materialize
 from versespan.sources import files, sinks
+from versespan.streaming import sheets as sheet_log
 
 _RENDERED = ("source string, book string, title string, address string, a bigint, b bigint, "
              "language string, book_number int, start_chapter bigint, start_verse bigint, "
@@ -41,8 +42,8 @@ def build_corpus(spark: SparkSession, root: str, out: str, fmt: str = "parquet",
     """Merge the source files below ``root`` and store the corpus at ``out``.
 
     Texts and markers are corrected before anything reads them. Rows a table does not
-    accept go to ``rejects/<table>``. Two tables are derived and stored with the rest: the
-    chapters that exist, and the rendered stories. ``refs`` is the path of a reference list
+    accept go to ``rejects/<table>``. Three tables are derived and stored with the rest: the
+    chapters that exist, the rendered stories, and the fields of the dictionary's entries. ``refs`` is the path of a reference list
     whose book names ``book_names`` (``name, number``) explains.
     """
     merged = files.merge_corpus(_raw_tables(spark, root, fmt))
@@ -65,6 +66,8 @@ def build_corpus(spark: SparkSession, root: str, out: str, fmt: str = "parquet",
     lookup.chapter_directory(stored.verses).write.mode("overwrite").parquet(f"{out}/chapters")
     stories.render_stories(stored.stories, stored.books, stored.sources).write.mode(
         "overwrite").parquet(f"{out}/rendered")
+    dictionary.read_entries(stored.dictionary).repartitionByRange("topic").write.mode(
+        "overwrite").parquet(f"{out}/entries")
 
 
 @dataclass(frozen=True)
@@ -122,6 +125,15 @@ class Corpus:
     def rendered(self) -> DataFrame:
         return self._table("rendered", _RENDERED)
 
+    @property
+    def entries(self) -> DataFrame:
+        return self._table("entries", dictionary.ENTRIES)
+
+    @property
+    def sheets(self) -> DataFrame:
+        """User sheets as they are after the last change stored."""
+        return sheet_log.current_sheets(self.spark, f"{self.path}/sheets")
+
     @property
     def embeddings(self) -> DataFrame:
         return self._table("embeddings", "id string, source string, embedding array<float>")
@@ -146,7 +158,7 @@ class Corpus:
             requests, self.refs, self.books, self.sources)
 
     def verse_dictionary(self, requests: DataFrame) -> Checked:
-        return dictionary.verse_dictionary(requests, self.verses, self.dictionary)
+        return dictionary.verse_dictionary(requests, self.verses, self.entries)
 
     def search(self, requests: DataFrame, embed: search.Embed, k: int = search.RESULTS) -> Checked:
         return search.search_verses(requests, self.verses, self.books, self.embeddings, embed,
@@ -156,11 +168,36 @@ class Corpus:
         return selection.selection_bundle(
             selected, verses=self.verses, books=self.books, sources=self.sources,
             refs=self.refs, rendered=self.rendered, commentaries=self.commentaries,
-            dictionary=self.dictionary)
+            dictionary=self.entries)
 
-    def export(self, requests: DataFrame) -> Documents:
+    def export(self, requests: DataFrame) -> DataFrame:
+        """JSON documents as ordered parts ``request_id, part, text``."""
         return export.export_documents(export.export_rows(requests, self.verses).rows)
 
+    def upsert_sheets(self, changes: DataFrame, batch_id: int) -> DataFrame:
+        """Store a batch of ``id, data, ts`` changes and return those without data, which are
+        rejected. Batches count up; storing one again replaces it."""
+        sheet_log.write_changes(changes, f"{self.path}/sheets", batch_id)
+        return sheets.check_changes(changes).rejects
+
+    def fetch_sheets(self, ids: DataFrame) -> DataFrame:
+        return sheets.fetch_sheets(self.sheets, ids)
+
+    def hydrate_sheets(self, ids: DataFrame) -> DataFrame:
+        return sheets.hydrate_sheets(self.fetch_sheets(ids), self.verses, self.books,
+                                     self.chapters)
+
+    def cleanup_sheets(self, as_of: Column) -> sheets.Cleanup:
+        return sheets.cleanup_sheets(self.sheets, as_of)
+
+    def expand_batch(self, inputs: DataFrame) -> DataFrame:
+        return sheets.expand_batch(inputs)
+
+    def sheet_markdown(self, ids: DataFrame) -> DataFrame:
+        """Markdown as ordered parts ``sheet_id, title, part, text``."""
+        return export.sheet_markdown(self.fetch_sheets(ids), self.verses, self.books,
+                                     self.chapters)
+
     def list_sources(self, query: str = "") -> DataFrame:
         return lookup.list_sources(self.sources, F.lit(query))
 

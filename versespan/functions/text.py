@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Sequence
+from html.entities import html5
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -14,13 +16,11 @@ FORMAT_TAGS = ("strong", "b", "br", "div", "pb", "t")
 METADATA_TAGS = ("S", "m", "f", "n", "h", "e")
 PRINT_TAGS = ("f", "e", "n", "m", "S")
 
-# Named entities decoded by ``html_to_text`` (the ampersand goes last).
-ENTITIES = {
-    "&lt;": "<", "&gt;": ">", "&quot;": '"', "&apos;": "'", "&nbsp;": "\u00a0",
-    "&copy;": "©", "&middot;": "·", "&reg;": "®", "&hellip;": "…", "&mdash;": "—",
-    "&ndash;": "–", "&laquo;": "«", "&raquo;": "»", "&lsquo;": "‘",
-    "&rsquo;": "’", "&ldquo;": "“", "&rdquo;": "”", "&bdquo;": "„",
-}
+# Every named entity that ends in a semicolon, from the standard library's HTML table, and the
+# numbers that browsers read as Windows-1252.
+ENTITIES = {f"&{name}": char for name, char in html5.items() if name.endswith(";")}
+WINDOWS_1252 = {str(n): char for n in range(0x80, 0xA0)
+                if (char := bytes([n]).decode("cp1252", "ignore"))}
 
 
 def text_without_format(x: Column) -> Column:
@@ -102,28 +102,37 @@ def strip_sm_tags(x: Column) -> Column:
     return F.regexp_replace(x, r"(?i)</?m\b[^>]*>", "")
 
 
+def _decoded_entity(x: Column) -> Column:
+    """The character of one ``&...;``; an unknown name stays as it is."""
+    point = F.when(x.rlike("^&#[xX]"), F.conv(F.regexp_extract(x, "^&#[xX](.*);", 1), 16, 10)) \
+        .otherwise(F.regexp_extract(x, "^&#(.*);", 1)).try_cast("bigint")
+    no_char = (point == 0) | (point > 0x10FFFF) | point.between(0xD800, 0xDFFF)
+    windows = F.from_json(F.lit(json.dumps(WINDOWS_1252)), "map<string,string>")
+    char = F.coalesce(F.try_element_at(windows, point.cast("string")), F.decode(
+        F.unhex(F.lpad(F.hex(point), 8, "0")), "UTF-32"))
+    names = F.from_json(F.lit(json.dumps(ENTITIES)), "map<string,string>")
+    return F.when(x.startswith("&#"), F.when(no_char, "\ufffd").otherwise(char)).otherwise(
+        F.coalesce(F.try_element_at(names, x), x))
+
+
 def html_to_text(x: Column) -> Column:
-    """Text content of a fragment with entities decoded and whitespace collapsed."""
+    """Text content of a fragment with entities decoded and whitespace collapsed.
+
+    The text is read once from left to right, so what an entity stands for is never read as
+    part of another one.
+    """
     x = F.coalesce(x, F.lit(""))
     x = F.regexp_replace(x, r"(?s)<!--.*?(?:-->|\z)", "")
     x = F.regexp_replace(x, r"</?[A-Za-z!?][^>]*(?:>|\z)", "")
-    for name, char in ENTITIES.items():
-        x = F.replace(x, F.lit(name), F.lit(char))
-
-    def decode(acc: Column, code: Column) -> Column:
-        point = F.lpad(F.hex(code.try_cast("int")), 8, "0")
-        return F.replace(acc, F.concat(F.lit("&#"), code, F.lit(";")),
-                         F.decode(F.unhex(point), "UTF-32"))
-
-    def numeric(text: Column) -> Column:
-        codes = F.filter(
-            F.array_distinct(F.regexp_extract_all(text, F.lit(r"&#(\d{1,7});"), F.lit(1))),
-            lambda c: ~c.cast("int").isin(0, 38) & (c.cast("int") < 0x110000)
-            & ~c.cast("int").between(0xD800, 0xDFFF))
-        return F.aggregate(codes, text, decode)
-
-    x = let(x, numeric)
-    x = F.replace(F.replace(x, F.lit("&amp;"), F.lit("&")), F.lit("&#38;"), F.lit("&"))
+    piece = "&(?:#[0-9]{1,9}|#[xX][0-9A-Fa-f]{1,8}|[A-Za-z][A-Za-z0-9]*);|[^&]+|&"
+
+    def decoded(text: Column) -> Column:
+        return F.when(~text.contains("&"), text).otherwise(F.array_join(F.transform(
+            F.regexp_extract_all(text, F.lit(piece), F.lit(0)),
+            lambda p: F.when(p.startswith("&") & (F.length(p) > 1), _decoded_entity(p))
+            .otherwise(p)), ""))
+
+    x = let(x, decoded)
     x = F.regexp_replace(x, BROWSER_SPACE + "+", " ")
     return F.trim(x)
 

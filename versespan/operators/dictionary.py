@@ -29,6 +29,18 @@ def parse_entries(dictionary: DataFrame) -> Checked:
                                       F.lit("definition is not well-formed").alias("reason")))
 
 
+ENTRIES = ("language string, source_number int, topic string, well_formed boolean, word string, "
+           "meaning string, parse string, forms array<string>")
+
+
+def read_entries(dictionary: DataFrame) -> DataFrame:
+    """Every entry with its fields, in the layout ``ENTRIES``: what a corpus stores, so that a
+    lookup parses nothing. A malformed entry keeps its key and has no fields."""
+    rows = _read(dictionary.select("language", "source_number", "topic", "definition"))
+    return rows.select("language", "source_number", "topic", F.col("_ok").alias("well_formed"),
+                       "_e.*")
+
+
 def _read(entries: DataFrame) -> DataFrame:
     """Entries with ``_ok`` and the fields ``_e`` instead of their definition."""
     wrapped = entries.withColumn("_xml", E.wrap_entry(F.col("definition")))
@@ -43,6 +55,7 @@ def verse_dictionary(requests: DataFrame, verses: DataFrame, dictionary: DataFra
 
     A word found in several dictionaries gives several rows; one found in none is kept
     with its own spelling as topic. Words whose entry is malformed are rejected.
+    ``dictionary`` holds definitions, or the entries ``read_entries`` made of them.
     """
     ids = requests.select("request_id", F.col("verse_id").alias("id"))
     texts = verses.select("id", "text")
@@ -52,17 +65,16 @@ def verse_dictionary(requests: DataFrame, verses: DataFrame, dictionary: DataFra
     words = texts.join(asked, "id", "left_semi").select(
         "id", F.explode(verse_words(F.col("text"))).alias("verse_word")).distinct()
 
-    entries = dictionary.select("topic", "definition")
-    parsed = _read(entries)
-    if broadcast_rows and is_small(entries, broadcast_rows):    # the fields are no longer
+    raw = "definition" in dictionary.columns
+    parsed = read_entries(dictionary) if raw else dictionary
+    parsed = parsed.select("topic", "well_formed", "word", "meaning", "parse", "forms")
+    if broadcast_rows and is_small(dictionary, broadcast_rows):    # the fields are no longer
         parsed = F.broadcast(parsed)
     met = words.join(parsed, words["verse_word"] == parsed["topic"], "left").join(ids, "id")
-    broken = F.coalesce(~F.col("_ok"), F.lit(False))
+    broken = F.coalesce(~F.col("well_formed"), F.lit(False))
     rows = met.filter(~broken).select(
-        "request_id", F.coalesce("topic", "verse_word").alias("topic"),
-        F.col("_e.word").alias("word"), F.col("_e.meaning").alias("meaning"),
-        F.col("_e.parse").alias("parse"),
-        F.coalesce(F.col("_e.forms"), F.array().cast("array<string>")).alias("forms"))
+        "request_id", F.coalesce("topic", "verse_word").alias("topic"), "word", "meaning",
+        "parse", F.coalesce("forms", F.array().cast("array<string>")).alias("forms"))
     rejects = met.filter(broken).select("request_id", F.concat(
         F.lit("definition is not well-formed: "), F.col("topic")).alias("reason"))
     return Checked(rows, rejects)

@@ -27,6 +27,10 @@ def _apply(rule: R.Rule, text: Column) -> Column:
             text = F.replace(text, F.lit(find), F.lit(replacement))
         else:
             text = F.regexp_replace(text, find, replacement)
+    if rule.hanging:
+        runs = F.regexp_extract_all(text, F.lit("<[^<>]*>|[^<>]+|[<>]"), F.lit(0))
+        text = F.array_join(F.transform(
+            runs, lambda r: F.when(r == ">", rule.hanging).otherwise(r)), "")
     return F.concat(text, F.lit(rule.suffix)) if rule.suffix else text
 
 

@@ -13,7 +13,7 @@ class Rule(NamedTuple):
     ``steps`` are (pattern, replacement) pairs applied in order, patterns being literal
     strings or regular expressions. ``gate`` limits the rule to texts it is found in,
     ``source_number`` to one source, ``first_only`` to the first match; ``suffix`` is
-    appended where the rule applied.
+    appended where the rule applied. ``hanging`` replaces every ``>`` that closes no tag.
     """
 
     language: str
@@ -23,6 +23,7 @@ class Rule(NamedTuple):
     source_number: int | None = None
     first_only: bool = False
     suffix: str = ""
+    hanging: str = ""
 
 
 class RowRule(NamedTuple):
@@ -110,8 +111,7 @@ CLOSING_RULES = (
     Rule("pl", (("&lt;", "‹"),), literal=True),
     Rule("pl", ((r"([.,;!?])([A-ZĄĆĘŁŃÓŚŹŻ])", "$1 $2"),)),
     Rule("la", ((r"([.,:;!?])([A-Za-z])", "$1 $2"),), gate=r"[.,:;!?][A-Zaz]"),
-    Rule("pl", ((r"<([^<>]*)>", "\ue000$1\ue001"), (">", "\u203a"),
-                ("\ue000([^\ue001]*)\ue001", "<$1>")), gate=">"),
+    Rule("pl", (), gate=">", hanging="\u203a"),
 )
 
 STAGES = (ROWS_BEFORE_TAGS, TAG_RULES, ROWS_BEFORE_RETAG, RETAG_RULES, ROWS_AFTER_RETAG,

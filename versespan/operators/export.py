@@ -8,9 +8,7 @@ from pyspark.sql.window import Window
 
 from versespan.functions import address as A
 from versespan.functions import text as X
-from versespan.operators.joins import (
-    Checked, Documents, assemble, computed, small_side, split_by_size,
-)
+from versespan.operators.joins import PART_LINES, Checked, computed, in_parts, small_side
 from versespan.operators.sheets import decode_sheets, pericope_verses, shown_items
 
 
@@ -50,39 +48,60 @@ def export_rows(requests: DataFrame, verses: DataFrame,
     return Checked(rows, rejects)
 
 
-def _chapters(rows: DataFrame) -> DataFrame:
-    verse = F.struct("verse", "text")
-    return rows.groupBy("request_id", "requested", "source", "book", "chapter").agg(
-        F.min("book_name").alias("book_name"),
-        F.to_json(F.array_sort(F.collect_list(verse)), {"ignoreNullFields": "false"})
-        .alias("verses"))
+_EDGE = 2**62               # before and after every chapter number
 
 
-def export_chapters(rows: DataFrame) -> Documents:
-    """One row per (request, chapter) with its verses as a JSON list."""
-    fitting, pieces = split_by_size(rows, ["request_id", "chapter"], "text")
-    return Documents(_chapters(fitting), pieces)
+def _verse_json(rows: DataFrame) -> DataFrame:
+    return rows.withColumn("_json", F.to_json(F.struct("verse", "text"),
+                                              {"ignoreNullFields": "false"}))
 
 
-def export_documents(rows: DataFrame) -> Documents:
-    """One JSON document per request, chapters in numeric order.
+def export_chapters(rows: DataFrame) -> DataFrame:
+    """Verses as JSON lists, a row per (request, chapter, ``part``): ``verses`` of as many
+    verse numbers as a part holds."""
+    key = ["request_id", "requested", "source", "book", "chapter"]
+    names = rows.groupBy(*key).agg(F.min("book_name").alias("book_name"))
+    lists = in_parts(_verse_json(rows), key, ["verse"], ["text"], "_json", ",")
+    return lists.withColumn("verses", F.concat(F.lit("["), "text", F.lit("]"))).drop("text").join(
+        names, key)
 
-    A document too long for one value comes back as its verses.
+
+def export_documents(rows: DataFrame) -> DataFrame:
+    """JSON documents as ordered parts ``request_id, part, text``, chapters in numeric order.
+
+    The parts of a request, one after another, are its document; see ``joined_parts``. What
+    stands between the verses (header, chapter numbers, commas) has parts of its own, so the
+    verses are gathered part by part only.
     """
-    fitting, pieces = split_by_size(rows, ["request_id"], "text")
-    chapter = F.concat(F.lit('"'), F.col("chapter").cast("string"), F.lit('":'), F.col("verses"))
-    bodies = _chapters(fitting).groupBy("request_id").agg(
+    block = F.floor(F.coalesce(F.col("verse"), F.lit(-1)) / PART_LINES).cast("bigint")
+    body = in_parts(_verse_json(rows), ["request_id"], ["chapter", "verse"], ["text"], "_json", ",")
+    body = body.select("request_id", F.concat("part", F.array(F.lit(1).cast("bigint")))
+                       .alias("part"), "text")
+
+    places = rows.select("request_id", F.col("chapter").cast("bigint").alias("chapter"),
+                         block.alias("block")).distinct()
+    first_block = places.groupBy("request_id", "chapter").agg(F.min("block").alias("_first"))
+    first_chapter = first_block.groupBy("request_id").agg(F.min("chapter").alias("_begin"))
+    opening = F.concat(F.when(F.col("chapter") == F.col("_begin"), '"').otherwise('],"'),
+                       F.col("chapter").cast("string"), F.lit('":['))
+    between = places.join(first_block, ["request_id", "chapter"]).join(
+        first_chapter, "request_id").select(
+        "request_id", F.array("chapter", "block", F.lit(0).cast("bigint")).alias("part"),
+        F.when(F.col("block") == F.col("_first"), opening).otherwise(",").alias("text"))
+
+    heads = rows.groupBy("request_id").agg(
         F.min("source").alias("source"), F.min("book").alias("book"),
-        F.min_by("book_name", "chapter").alias("book_name"),
-        F.min("requested").alias("address"),
-        F.array_sort(F.collect_list(F.struct("chapter", chapter.alias("body"))))
-        .alias("bodies"))
+        F.min_by("book_name", F.struct("chapter", "book_name")).alias("book_name"),
+        F.min("requested").alias("address"))
     header = F.to_json(F.struct("source", "book", "book_name", "address"),
                        {"ignoreNullFields": "false"})
-    whole = bodies.select("request_id", F.concat(
-        F.regexp_replace(header, r"\}\z", ""), F.lit(',"chapters":{'),
-        F.array_join(F.col("bodies.body"), ","), F.lit("}}")).alias("document"))
-    return Documents(whole, pieces)
+    ends = F.array(*[F.struct(
+        F.array(F.lit(edge).cast("bigint"), *[F.lit(0).cast("bigint")] * 2).alias("part"),
+        text.alias("text")) for edge, text in (
+            (-_EDGE, F.concat(F.regexp_replace(header, r"\}\z", ""), F.lit(',"chapters":{'))),
+            (_EDGE, F.lit("]}}")))])
+    edges = heads.select("request_id", F.inline(ends))
+    return body.unionByName(between).unionByName(edges)
 
 
 def markdown_lines(sheets: DataFrame, verses: DataFrame, books: DataFrame,
@@ -90,17 +109,19 @@ def markdown_lines(sheets: DataFrame, verses: DataFrame, books: DataFrame,
     """Ordered lines below the title of each sheet's Markdown.
 
     Notes and pericope headings come from the sheets alone, verse lines from one lookup.
-    Each line carries the separator in front of it.
+    Each line carries the separator in front of it; the first of an untitled sheet has none.
     """
     items = shown_items(sheets)
     opening = F.when(F.col("kind") == "note", X.strip_sm_tags(F.col("content"))).otherwise(
         F.concat(F.lit("###### "), "address", F.lit(" ("), "source", F.lit(")")))
     place = ["sheet_id", "pos", "book_number", "chapter", "verse", "verse_id"]
     none = F.lit(None)
-    blocks = items.select(
+    first = items.groupBy("sheet_id").agg(F.min("pos").alias("_first"))
+    gap = F.when((F.col("title") == "") & (F.col("pos") == F.col("_first")), "").otherwise("\n\n")
+    blocks = items.join(first, "sheet_id").select(
         "sheet_id", "pos", none.cast("int").alias("book_number"),
         none.cast("int").alias("chapter"), none.cast("int").alias("verse"),
-        none.cast("string").alias("verse_id"), F.concat(F.lit("\n\n"), opening).alias("text"))
+        none.cast("string").alias("verse_id"), F.concat(gap, opening).alias("text"))
     hits = pericope_verses(items, verses, books, chapters).rows
     clean = X.html_to_text(X.strip_sm_tags(F.col("text")))
     number = F.concat(F.lit("\n- <sup>"), F.col("verse").cast("string"), F.lit("</sup>"))
@@ -110,31 +131,35 @@ def markdown_lines(sheets: DataFrame, verses: DataFrame, books: DataFrame,
 
 
 def sheet_markdown(sheets: DataFrame, verses: DataFrame, books: DataFrame,
-                   chapters: DataFrame | None = None) -> Documents:
-    """One Markdown document per sheet: title, then notes and pericopes in order."""
-    body = assemble(markdown_lines(sheets, verses, books, chapters), ["sheet_id"],
-                    ["pos", "book_number", "chapter", "verse", "verse_id"])
+                   chapters: DataFrame | None = None) -> DataFrame:
+    """Markdown of each sheet as ordered parts ``sheet_id, title, part, text``: the title (empty
+    text if there is none), then notes and pericopes in order."""
     titles = decode_sheets(sheets).select(F.col("id").alias("sheet_id"), "title")
-    text = F.coalesce("document", F.lit(""))
-    whole = titles.join(body.whole, "sheet_id", "left").join(
-        body.pieces.select("sheet_id").distinct(), "sheet_id", "left_anti").select(
-        "sheet_id", "title", F.when(F.col("title") == "", F.substring(text, 3, 2**31 - 1))
-        .otherwise(F.concat(F.lit("# "), "title", text)).alias("document"))
-    return Documents(whole, body.pieces)
+    before = F.array(*[F.lit(-1).cast("bigint")] * 4)
+    top = titles.select("sheet_id", "title", before.alias("part"), F.when(
+        F.col("title") == "", "").otherwise(F.concat(F.lit("# "), "title")).alias("text"))
+    body = in_parts(markdown_lines(sheets, verses, books, chapters), ["sheet_id"],
+                    ["pos", "book_number", "chapter", "verse"], ["verse_id"])
+    return top.unionByName(body.join(titles, "sheet_id").select(*top.columns))
+
+
+def _store(parts: DataFrame, path: str) -> None:
+    """Store ``file_name, part, text``, the parts of a file one after another."""
+    parts.select("file_name", "part", "text").repartitionByRange("file_name", "part") \
+        .sortWithinPartitions("file_name", "part").write.mode("overwrite").parquet(path)
 
 
-def write_documents(documents: DataFrame, requests: DataFrame, path: str) -> None:
-    """Store one JSON document per row under its file-safe name."""
+def write_documents(parts: DataFrame, requests: DataFrame, path: str) -> None:
+    """Store the parts of JSON documents under their file-safe names."""
     names = requests.select("request_id", X.file_safe(
         F.col("address"), F.col("source")).alias("file_name"))
-    documents.join(names, "request_id").select("file_name", "document").write.mode(
-        "overwrite").parquet(path)
+    _store(parts.join(names, "request_id"), path)
 
 
-def write_markdown(documents: DataFrame, path: str, stem: str = "sheet") -> None:
-    """Store the documents with their file names, one row per file."""
-    documents.select(X.export_name(F.col("title"), F.col("sheet_id"), stem).alias("file_name"),
-                     "document").write.mode("overwrite").parquet(path)
+def write_markdown(parts: DataFrame, path: str, stem: str = "sheet") -> None:
+    """Store the parts of Markdown documents under their file names."""
+    _store(parts.withColumn("file_name", X.export_name(
+        F.col("title"), F.col("sheet_id"), stem)), path)
 
 
 def page_labels(rows: DataFrame) -> DataFrame:
@@ -147,8 +172,9 @@ def page_labels(rows: DataFrame) -> DataFrame:
         F.col("_hi.chapter"), F.col("_hi.verse")).alias("label"))
 
 
-def collapse_ranges(selected: DataFrame) -> Documents:
-    """Address text of each request's selected verses, such as ``J 3,16-18.20``.
+def collapse_ranges(selected: DataFrame) -> DataFrame:
+    """Address text of each request's selected verses, such as ``J 3,16-18.20``, as ordered
+    parts ``request_id, part, text``.
 
     ``selected`` has ``request_id, book_number, chapter, verse, language, source, id,
     address``. A run is broken wherever a verse is not its predecessor plus one; chapters
@@ -184,9 +210,13 @@ def collapse_ranges(selected: DataFrame) -> Documents:
 
     shown = F.when(F.col("lo") == F.col("hi"), F.col("lo").cast("string")).otherwise(
         F.concat(F.col("lo").cast("string"), F.lit("-"), F.col("hi").cast("string")))
-    lines = islands.select("request_id", "_island", shown.alias("text"),
-                           A.address_prefix(F.col("_address")).alias("_prefix"))
-    joined = assemble(lines, ["request_id"], ["_island"], sep=".",
-                      extra=[F.min_by("_prefix", "_island").alias("_prefix")])
-    return Documents(joined.whole.select(
-        "request_id", F.concat("_prefix", "document").alias("address")), joined.pieces)
+    lines = islands.select("request_id", "_island.book_number", "_island.chapter",
+                           F.col("_island._run").alias("run"), shown.alias("text"))
+    parts = in_parts(lines, ["request_id"], ["book_number", "chapter", "run"], sep=".")
+    begins = islands.groupBy("request_id").agg(F.min_by(
+        A.address_prefix(F.col("_address")), F.col("_island")).alias("_prefix"))
+    first = parts.groupBy("request_id").agg(F.min("part").alias("_first")).join(
+        begins, "request_id")
+    return parts.join(first, "request_id").select("request_id", "part", F.concat(
+        F.when(F.col("part") == F.col("_first"), F.col("_prefix")).otherwise("."), "text")
+        .alias("text"))

@@ -9,12 +9,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from versespan.session import materialize
-
 BROADCAST_ROWS = 50_000
 BROADCAST_CHARS = 32 * 1024 * 1024
-DOCUMENT_CHARS = 64 * 1024 * 1024
-DOCUMENT_LINES = 500_000
+PART_LINES = 256
 COPIES_PER_CHUNK = 65_536
 
 
@@ -150,42 +147,41 @@ def top_per_request(df: DataFrame, request: str, order: list[Column], k: int,
     return first.withColumn("rank", F.row_number().over(whole)).filter(F.col("rank") <= k)
 
 
-class Documents(NamedTuple):
-    """Whole documents, and the ordered pieces of those too long for one value."""
-
-    whole: DataFrame
-    pieces: DataFrame
-
-
-def split_by_size(lines: DataFrame, key: list[str], text: str,
-                  max_chars: int = DOCUMENT_CHARS,
-                  max_lines: int = DOCUMENT_LINES) -> tuple[DataFrame, DataFrame]:
-    """Lines of the groups that fit into one value, and the lines of those that do not.
+def explode_range(df: DataFrame, lo: Column, hi: Column, out: str) -> DataFrame:
+    """One row per number from ``lo`` to ``hi``, in chunks, so a very wide range is no array.
 
-    Sizes are summed with map-side combining, so a very large group is recognised without
-    being gathered. The lines are written out once, as they are read for both purposes.
+    An empty range gives no row, one with a NULL end a single row with NULL.
     """
-    stored = materialize(lines, "lines")
-    sizes = stored.groupBy(*key).agg(F.sum(F.length(text)).alias("_chars"),
-                                     F.count("*").alias("_lines"))
-    large = sizes.filter((F.col("_chars") > max_chars) | (F.col("_lines") > max_lines)) \
-        .select(*key)
-    if large.isEmpty():
-        return stored, stored.filter(F.lit(False))
-    marked = small_side(large)
-    return stored.join(marked, key, "left_anti"), stored.join(marked, key, "left_semi")
-
-
-def assemble(lines: DataFrame, key: list[str], order: list[str], text: str = "text",
-             out: str = "document", sep: str = "", extra: Sequence[Column] = (),
-             max_chars: int = DOCUMENT_CHARS) -> Documents:
-    """Concatenate each document's lines in order; ``extra`` aggregates ride along.
-
-    A document above the size bound is not gathered into one row: it comes back as its
-    ordered lines, and those joined by ``sep`` are the document.
+    start, stop = lo.cast("bigint"), hi.cast("bigint")
+    open_end = start.isNull() | stop.isNull()
+    chunks = F.when(open_end, F.array(F.lit(None).cast("bigint"))).when(
+        start <= stop, F.sequence(F.lit(0).cast("bigint"), F.floor(
+            (stop - start) / COPIES_PER_CHUNK).cast("bigint")))
+    first = start + F.col("_chunk") * COPIES_PER_CHUNK
+    numbers = F.when(F.col("_chunk").isNull(), F.array(F.lit(None).cast("bigint"))).otherwise(
+        F.sequence(first, F.least(stop, first + (COPIES_PER_CHUNK - 1))))
+    return df.withColumn("_chunk", F.explode(chunks)).withColumn(
+        out, F.explode(numbers)).drop("_chunk")
+
+
+def in_parts(lines: DataFrame, key: list[str], order: list[str], within: Sequence[str] = (),
+             text: str = "text", sep: str = "") -> DataFrame:
+    """Documents as ordered parts ``key, part, text``, whatever their size.
+
+    ``order`` are integer columns (NULL counts as -1); the last numbers the lines, and every
+    ``PART_LINES`` numbers begin a new part. ``within`` orders lines of one number. ``part``
+    is an array that sorts as the parts follow one another, so no task ever holds more
+    than one part.
     """
-    fitting, pieces = split_by_size(lines, key, text, max_chars)
-    ordered = F.array_sort(F.collect_list(F.struct(*order, F.col(text).alias("_text"))))
-    whole = fitting.groupBy(*key).agg(
-        F.array_join(F.transform(ordered, lambda r: r["_text"]), sep).alias(out), *extra)
-    return Documents(whole, pieces)
+    cells = [F.coalesce(F.col(c).cast("bigint"), F.lit(-1).cast("bigint")) for c in order]
+    place = F.array(*cells[:-1], F.floor(cells[-1] / PART_LINES).cast("bigint"))
+    ordered = F.array_sort(F.collect_list(F.struct(*order, *within, F.col(text).alias("_text"))))
+    return lines.groupBy(*key, place.alias("part")).agg(
+        F.array_join(F.transform(ordered, lambda r: r["_text"]), sep).alias("text"))
+
+
+def joined_parts(parts: DataFrame, key: list[str], out: str = "document") -> DataFrame:
+    """Each document as one value, for documents known to fit into one."""
+    ordered = F.array_sort(F.collect_list(F.struct("part", "text")))
+    return parts.groupBy(*key).agg(
+        F.array_join(F.transform(ordered, lambda p: p["text"]), "").alias(out))

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from versespan.functions import address as A
 from versespan.functions import text as X
 from versespan.operators.joins import (
-    BROADCAST_ROWS, Checked, answer_once, computed, small_side,
+    BROADCAST_ROWS, Checked, answer_once, computed, explode_range, small_side,
 )
 
 
@@ -29,8 +29,9 @@ def parse_addresses(requests: DataFrame) -> Checked:
     anything = F.array(F.struct(F.lit(None).cast("int").alias("lo"),
                                 F.lit(None).cast("int").alias("hi")))
     ranges = rows.withColumn("_r", F.explode(F.coalesce("parts", anything)))
-    verses = ranges.withColumn("verse", F.explode_outer(F.sequence("_r.lo", "_r.hi")))
-    return Checked(verses.select("request_id", "book", "chapter", "verse"), rejects)
+    verses = explode_range(ranges, F.col("_r.lo"), F.col("_r.hi"), "verse")
+    return Checked(verses.select("request_id", "book", "chapter", F.col("verse").cast("int")
+                                 .alias("verse")), rejects)
 
 
 def book_numbers(books: DataFrame) -> DataFrame:

@@ -6,13 +6,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from versespan.functions import address as A
+from versespan.operators.joins import explode_range
 
 
 def with_blocks(df: DataFrame, lo: Column, hi: Column, column: str = "block") -> DataFrame:
     """One row per block a position range touches; an empty or NULL range gives none."""
-    first, last = A.block(lo), A.block(hi)
-    spans = F.when(lo <= hi, F.sequence(first, last))
-    return df.withColumn(column, F.explode(spans))
+    return explode_range(df.filter(lo <= hi), A.block(lo), A.block(hi), column)
 
 
 def clip_to(df: DataFrame, bounds: DataFrame, keys: list[str], lo: str, hi: str) -> DataFrame:

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from versespan.operators.commentaries import fetch_commentaries
 from versespan.operators.dictionary import verse_dictionary
 from versespan.operators.export import collapse_ranges
+from versespan.operators.joins import joined_parts
 from versespan.operators.references import cross_references_by_address
 from versespan.operators.stories import fetch_stories
 from versespan.session import materialize
@@ -37,7 +38,7 @@ def selection_bundle(selected: DataFrame, *, verses: DataFrame, books: DataFrame
     own = selected.groupBy("request_id").agg(
         F.min("source").alias("source"), F.count_distinct("id").alias("_n"),
         F.min("id").alias("verse_id"), F.min("address").alias("_address"))
-    addressed = collapse_ranges(selected).whole.join(
+    addressed = joined_parts(collapse_ranges(selected), ["request_id"], "address").join(
         own.select("request_id", "source"), "request_id")
     single = own.filter(F.col("_n") == 1).select(
         "request_id", "source", "verse_id", F.col("_address").alias("address"))

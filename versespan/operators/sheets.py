@@ -25,13 +25,20 @@ DEFAULT_ITEMS = (
 RETENTION = "7 days"         # fixed value: how long an untitled sheet is kept
 
 
+def check_changes(changes: DataFrame) -> Checked:
+    """Changes that can be stored, and those without data, which no sheet may be."""
+    empty = F.col("data").isNull()
+    return Checked(changes.filter(~empty), changes.filter(empty).withColumn(
+        "reason", F.lit("sheet has no data")))
+
+
 def latest_changes(changes: DataFrame, order: str = "ts") -> DataFrame:
     """One row per sheet: its latest data and the times of its first and last change.
 
     An aggregate, not a window: a sheet edited very often is reduced before the shuffle.
-    Equal times are settled by the data itself.
+    Equal times are settled by the data itself. Changes without data are left out.
     """
-    return changes.filter(F.col("id").isNotNull()).groupBy("id").agg(
+    return check_changes(changes).rows.filter(F.col("id").isNotNull()).groupBy("id").agg(
         F.max(F.struct(order, "data"))["data"].alias("data"),
         F.min(order).alias("first_ts"), F.max(order).alias("last_ts"))
 
@@ -41,15 +48,15 @@ def upsert_sheets(target: DataFrame, changes: DataFrame) -> DataFrame:
 
     ``changes`` has ``id, data, ts``; a new sheet is created at its first change. A change
     without an id becomes a new sheet under a random id and never takes part in the join;
-    the id is drawn when the snapshot is written, so read it from there.
+    the id is drawn when the snapshot is written, so read it from there. Changes without
+    data change nothing; ``check_changes`` lists them.
     """
     latest = latest_changes(changes).select("id", F.col("data").alias("_new"), "first_ts")
     merged = target.join(latest, "id", "full_outer").select(
         "id", F.coalesce("_new", "data").alias("data"),
         F.coalesce("created_at", "first_ts").alias("created_at"))
-    fresh = changes.filter(F.col("id").isNull()).select(
-        F.uuid().alias("id"), F.coalesce("data", F.lit("{}")).alias("data"),
-        F.col("ts").alias("created_at"))
+    fresh = check_changes(changes).rows.filter(F.col("id").isNull()).select(
+        F.uuid().alias("id"), "data", F.col("ts").alias("created_at"))
     return merged.unionByName(fresh)
 
 

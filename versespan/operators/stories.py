@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from versespan.functions import address as A
 from versespan.operators.joins import (
-    BROADCAST_ROWS, Checked, answer_once, next_position, repeat_rows, small_side,
+    BROADCAST_ROWS, Checked, answer_once, explode_range, next_position, repeat_rows, small_side,
 )
 from versespan.operators.lookup import parse_requests
 from versespan.operators.ranges import with_blocks
@@ -69,9 +69,9 @@ def render_stories(stories: DataFrame, books: DataFrame, sources: DataFrame,
         keep = F.coalesce(keep, nxt.isNull() & stop.isNull())
     at_chapter_start = stop.isNull() | (stop == 1)
     last = F.when(nxt > start, F.when(at_chapter_start, nxt - 1).otherwise(nxt)).otherwise(start)
-    covered = headings_with_next(stories).filter(keep).withColumn("last_chapter", last) \
-        .withColumn("chapter", F.explode(F.when(
-            start <= F.col("last_chapter"), F.sequence(start, F.col("last_chapter")))))
+    covered = headings_with_next(stories).filter(keep).withColumn("last_chapter", last).filter(
+        start <= F.col("last_chapter"))
+    covered = explode_range(covered, start, F.col("last_chapter"), "chapter")
     ends = (
         F.when(nxt == start, stop - 1)
         .when((nxt > start) & (F.col("chapter") == F.col("last_chapter")) & ~at_chapter_start,

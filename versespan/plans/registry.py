@@ -25,5 +25,5 @@ def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:
 
 def load() -> None:
     from versespan.plans import (  # noqa: F401 - importing registers the queries
-        cleaning, documents_out, ingest, lookups, references, searching, sheets, texts,
+        cleaning, documents_out, ingest, lookups, ordering, references, searching, sheets, texts,
     )

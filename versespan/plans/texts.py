@@ -40,7 +40,7 @@ def _without_elements(column: str, tags: tuple[str, ...], passes: int = 12) -> s
 
 _SPACES = r"[\s\x{1680}\x{2000}-\x{2006}\x{2008}-\x{200a}\x{2028}\x{2029}\x{205f}\x{3000}]"
 _NOT_SPACE = _SPACES.replace("[", "[^", 1)
-_FORMAT = "(?i)</?(?:" + "|".join(X.FORMAT_TAGS) + ")[^>]*>"
+_FORMAT = "(?i)</?(?:strong|b|br|div|pb|t)[^>]*>"
 _PAGE_TAGS = ("b", "i", "em", "p", "li", "a", "title", "style", "h1", "ul")
 
 
@@ -55,22 +55,21 @@ _page_query("text_without_metadata",
             _rewrite(_without_elements("html", _PAGE_TAGS), _SPACES + "+", " "),
             lambda x: X.text_without_metadata(x, _PAGE_TAGS))
 _page_query("raw_text", _rewrite(_rewrite(_without_elements(
-    _rewrite("html", _FORMAT), X.METADATA_TAGS), _SPACES + "+", " "), "</?(?:J|i)>"), X.raw_text)
+    _rewrite("html", _FORMAT), ("S", "m", "f", "n", "h", "e")), _SPACES + "+", " "), "</?(?:J|i)>"), X.raw_text)
 _page_query("strip_tags_scan", f"replace({_rewrite('html', '<[^>]*(?:>|$)')}, '>', '')",
             X.strip_tags_scan)
 _page_query("strip_sm_tags", _fold("html", [(r"(?i)</?s\b[^>]*>", ""), (r"(?i)</?m\b[^>]*>", "")]),
             X.strip_sm_tags)
 _page_query("print_clean", "trim(" + _fold("html", [
-    (r"<[a-zA-Z]+\s*/>", ""), *[(f"<{t}>[^<]*</{t}>", "") for t in X.PRINT_TAGS],
+    (r"<[a-zA-Z]+\s*/>", ""), *[(f"<{t}>[^<]*</{t}>", "") for t in ("f", "e", "n", "m", "S")],
     ("<[^>]+>", ""), (r"\s+", " ")]) + ")", X.print_clean)
 
 
 def _decoded(column: str) -> str:
     column = _fold(column, [(r"(?s)<!--.*?(?:-->|$)", ""), (r"</?[A-Za-z!?][^>]*(?:>|$)", "")])
-    for name, char in X.ENTITIES.items():
-        char = "chr(160)" if name == "&nbsp;" else "'" + char.replace("'", "''") + "'"
+    for name, char in (("&lt;", "'<'"), ("&gt;", "'>'"), ("&quot;", "'\"'"), ("&nbsp;", "chr(160)"),
+                       ("&copy;", "chr(169)"), ("&middot;", "chr(183)"), ("&mdash;", "chr(8212)"), ("&amp;", "'&'")):
         column = f"replace({column}, '{name}', {char})"
-    column = f"replace({column}, '&amp;', '&')"
     return "trim(" + _rewrite(column, r"[\s\x{a0}]+", " ") + ")"
 
 

@@ -7,12 +7,15 @@ change folders with the last snapshot; ``compact`` folds them into a new one.
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from versespan import schemas
-from versespan.operators.sheets import cleanup_sheets, latest_changes, upsert_sheets
+from versespan.operators.sheets import (
+    check_changes, cleanup_sheets, latest_changes, upsert_sheets,
+)
 
 _CHANGES = "id string, data string, ts timestamp, first_ts timestamp, batch_id bigint"
 
@@ -24,7 +27,7 @@ def write_changes(changes: DataFrame, root: str, batch_id: int) -> None:
     """
     known = latest_changes(changes).select(
         "id", "data", F.col("last_ts").alias("ts"), "first_ts")
-    fresh = changes.filter(F.col("id").isNull()).select(
+    fresh = check_changes(changes).rows.filter(F.col("id").isNull()).select(
         F.uuid().alias("id"), "data", "ts", F.col("ts").alias("first_ts"))
     known.unionByName(fresh).write.mode("overwrite").parquet(
         f"{root}/changes/batch_id={batch_id}")
@@ -39,9 +42,17 @@ def stream_upsert_sheets(changes: DataFrame, root: str, checkpoint: str) -> Stre
 
 def current_sheets(spark: SparkSession, root: str, snapshot: str | None = None,
                    after_batch: int = -1) -> DataFrame:
-    """The sheet table: the snapshot, if any, with the later change folders merged in."""
-    log = spark.read.schema(_CHANGES).parquet(f"{root}/changes").filter(
-        F.col("batch_id") > after_batch)
+    """The sheet table: the snapshot, if any, with the later change folders merged in.
+
+    Before the first change there are no folders and the snapshot is all.
+    """
+    try:
+        log = spark.read.schema(_CHANGES).parquet(f"{root}/changes").filter(
+            F.col("batch_id") > after_batch)
+    except AnalysisException as error:
+        if "PATH_NOT_FOUND" not in str(error.getCondition()):
+            raise
+        log = spark.createDataFrame([], _CHANGES)
     latest = log.groupBy("id").agg(
         F.max(F.struct("ts", "batch_id", "data"))["data"].alias("data"),
         F.min("first_ts").alias("ts"))
