@@ -5,12 +5,15 @@ from __future__ import annotations
 from collections.abc import Callable, Sequence
 from typing import NamedTuple
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 BROADCAST_ROWS = 50_000
 BROADCAST_CHARS = 32 * 1024 * 1024
+NARROW_CHARS = 2000
 PART_LINES = 256
 COPIES_PER_CHUNK = 65_536
 
@@ -24,13 +27,29 @@ class Checked(NamedTuple):
 
 def small_side(df: DataFrame, max_rows: int = BROADCAST_ROWS,
                max_chars: int = BROADCAST_CHARS) -> DataFrame:
-    """Mark ``df`` for broadcast if it measures below both bounds, else return it as it is.
+    """``df`` marked for broadcast if it is below both bounds, else as it is.
 
     Without the mark the join is left to Catalyst and AQE: a shuffled join on the same
-    keys, with skewed partitions split at run time. Only row widths are measured, and the
-    job stops at the first partitions that exceed the bound.
+    keys, with skewed partitions split at run time. What was read to find the size is kept:
+    the rows of a small side are the plan's own data from then on, so what they come from
+    is not computed again. Rows of more than ``NARROW_CHARS`` characters are only measured.
     """
-    return F.broadcast(df) if is_small(df, max_rows, max_chars) else df
+    width = F.length(F.to_json(F.struct(*[F.col(f"`{c}`") for c in df.columns])))
+    names = [f"_c{i}" for i in range(len(df.columns))]
+    row = F.struct(*[F.col(f"`{c}`").alias(n) for c, n in zip(df.columns, names)])
+    read = df.select(width.alias("w"), F.when(width <= NARROW_CHARS, row).alias("r")).limit(
+        max_rows + 1).toArrow()
+    widths = read.column("w").to_numpy()
+    if len(widths) > max_rows or widths.sum() > max_chars:
+        return df
+    if not len(widths) or widths.max() > NARROW_CHARS:
+        return F.broadcast(df)
+    rows = read.column("r").combine_chunks()
+    rows = rows.chunk(0) if isinstance(rows, pa.ChunkedArray) else rows
+    table = pa.Table.from_arrays([rows.field(n) for n in names], names)
+    kept = df.sparkSession.createDataFrame(
+        table, T.StructType([T.StructField(n, f.dataType) for n, f in zip(names, df.schema)]))
+    return F.broadcast(kept.toDF(*df.columns))
 
 
 def is_small(df: DataFrame, max_rows: int = BROADCAST_ROWS,
