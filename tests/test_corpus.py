@@ -138,3 +138,29 @@ def test_sheets_of_a_corpus(spark, stored):
     assert rows(kept, "id") == [("s",)]
     batch = ask(spark, "input_id int, source string, batch string", (1, "BT", "J 1; J 2"))
     assert rows(stored.expand_batch(batch), "address") == [("J 1",), ("J 2",)]
+
+
+def test_lookups_prune_what_is_stored(spark, stored):
+    """Few requests reach the scan as literals: partitions by language or source are skipped."""
+    def scans(df):
+        plan = df._jdf.queryExecution().executedPlan().toString()
+        return [line for line in plan.splitlines() if "FileScan" in line]
+
+    asked = ask(spark, "request_id int, address string, source string", (1, "J 1,1-5", "BT"))
+    ids = ask(spark, "request_id int, verse_id string", (1, "pl/1/500/1/2"))
+    for found in (stored.fetch_verses(asked).rows, stored.verse_metadata(ids),
+                  stored.verse_dictionary(ids).rows):
+        verses = [line for line in scans(found) if "/verses]" in line]
+        assert verses and all("PartitionFilters: [language" in line.replace("isnotnull(language", "")
+                              or "language#" in line.split("PartitionFilters: [")[1].split("]")[0]
+                              for line in verses), verses
+    stored.embed_source("BT", lambda texts: [[1.0, 2.0, 3.0] for _ in texts])
+    near = stored.search(ask(spark, "request_id int, search string", (1, "@BT 1 1")),
+                         lambda texts: [[1.0, 0.0, 1.0] for _ in texts], k=2)
+    assert near.rows.count() == 2
+    from versespan.operators.search import nearest_in_source
+    plan = nearest_in_source(ask(spark, "request_id int, source string, vector array<float>",
+                                 (1, "BT", [1.0, 0.0, 1.0])), stored.verses, stored.embeddings, 2)
+    vectors = [line for line in scans(plan) if "/embeddings]" in line]
+    assert vectors and all("source#" in line.split("PartitionFilters: [")[1].split("]")[0]
+                           for line in vectors)

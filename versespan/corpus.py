@@ -21,7 +21,7 @@ from versespan.streaming import sheets as sheet_log
 _RENDERED = ("source string, book string, title string, address string, a bigint, b bigint, "
              "language string, book_number int, start_chapter bigint, start_verse bigint, "
              "chapter bigint")
-_CHAPTERS = "source string, book_number int, chapter int"
+_CHAPTERS = "language string, source string, book_number int, chapter int"
 
 
 def _raw_tables(spark: SparkSession, root: str, fmt: str) -> dict[str, DataFrame]:
@@ -63,7 +63,7 @@ def build_corpus(spark: SparkSession, root: str, out: str, fmt: str = "parquet",
         errata.add_missing_reference(numbered).write.mode("overwrite").parquet(f"{out}/refs")
 
     stored = Corpus(spark, out)
-    lookup.chapter_directory(stored.verses).write.mode("overwrite").parquet(f"{out}/chapters")
+    lookup.stored_directory(stored.verses).write.mode("overwrite").parquet(f"{out}/chapters")
     stories.render_stories(stored.stories, stored.books, stored.sources).write.mode(
         "overwrite").parquet(f"{out}/rendered")
     dictionary.read_entries(stored.dictionary).repartitionByRange("topic").write.mode(
@@ -142,7 +142,7 @@ class Corpus:
         return lookup.fetch_verses(requests, self.verses, self.books, self.chapters)
 
     def verse_metadata(self, requests: DataFrame) -> DataFrame:
-        return lookup.verse_metadata(requests, self.verses)
+        return lookup.verse_metadata(requests, self.verses, keyed=True)
 
     def fetch_commentaries(self, requests: DataFrame) -> Checked:
         return commentaries.fetch_commentaries(requests, self.commentaries)
@@ -158,7 +158,8 @@ class Corpus:
             requests, self.refs, self.books, self.sources)
 
     def verse_dictionary(self, requests: DataFrame) -> Checked:
-        return dictionary.verse_dictionary(requests, self.verses, self.entries)
+        return dictionary.verse_dictionary(requests, self.verses, self.entries,
+                                           keyed=True)
 
     def search(self, requests: DataFrame, embed: search.Embed, k: int = search.RESULTS) -> Checked:
         return search.search_verses(requests, self.verses, self.books, self.embeddings, embed,
@@ -206,5 +207,5 @@ class Corpus:
         new = materialize(search.embed_backlog(
             self.verses, self.embeddings, embed, source), "embedded")
         new.filter(F.col("error").isNull()).select("id", "source", "embedding").write.mode(
-            "append").parquet(f"{self.path}/embeddings")
+            "append").partitionBy("source").parquet(f"{self.path}/embeddings")
         return new.filter(F.col("error").isNotNull()).select("id", "error")

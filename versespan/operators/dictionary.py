@@ -8,7 +8,8 @@ from pyspark.sql import functions as F
 from versespan.functions import entries as E
 from versespan.functions import text as X
 from versespan.functions.greek import greek_to_betacode
-from versespan.operators.joins import BROADCAST_ROWS, Checked, computed, is_small
+from versespan.operators.joins import BROADCAST_ROWS, Checked, computed, is_small, small_side
+from versespan.operators.lookup import with_ids
 
 
 def verse_words(text: Column) -> Column:
@@ -50,19 +51,21 @@ def _read(entries: DataFrame) -> DataFrame:
 
 
 def verse_dictionary(requests: DataFrame, verses: DataFrame, dictionary: DataFrame,
-                     broadcast_rows: int = BROADCAST_ROWS) -> Checked:
+                     broadcast_rows: int = BROADCAST_ROWS, keyed: bool = False) -> Checked:
     """Entries for each distinct word of the verses in ``(request_id, verse_id)``.
 
     A word found in several dictionaries gives several rows; one found in none is kept
     with its own spelling as topic. Words whose entry is malformed are rejected.
-    ``dictionary`` holds definitions, or the entries ``read_entries`` made of them.
+    ``dictionary`` holds definitions, or the entries ``read_entries`` made of them. For
+    ``keyed`` see ``with_ids``.
     """
     ids = requests.select("request_id", F.col("verse_id").alias("id"))
-    texts = verses.select("id", "text")
     asked = ids.select("id").distinct()
-    if broadcast_rows and is_small(ids, broadcast_rows):
-        asked, ids = F.broadcast(asked), F.broadcast(ids)
-    words = texts.join(asked, "id", "left_semi").select(
+    if broadcast_rows:
+        texts, ids = with_ids(verses, asked, keyed), small_side(ids, broadcast_rows)
+    else:
+        texts = verses.join(asked, "id", "left_semi")
+    words = texts.select(
         "id", F.explode(verse_words(F.col("text"))).alias("verse_word")).distinct()
 
     raw = "definition" in dictionary.columns

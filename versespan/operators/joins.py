@@ -6,6 +6,7 @@ from collections.abc import Callable, Sequence
 from typing import NamedTuple
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -14,6 +15,7 @@ from pyspark.sql.window import Window
 BROADCAST_ROWS = 50_000
 BROADCAST_CHARS = 32 * 1024 * 1024
 NARROW_CHARS = 2000
+PRUNED_VALUES = 500
 PART_LINES = 256
 COPIES_PER_CHUNK = 65_536
 
@@ -34,6 +36,29 @@ def small_side(df: DataFrame, max_rows: int = BROADCAST_ROWS,
     the rows of a small side are the plan's own data from then on, so what they come from
     is not computed again. Rows of more than ``NARROW_CHARS`` characters are only measured.
     """
+    return measured(df, max_rows, max_chars).rows
+
+
+class Measured(NamedTuple):
+    """A side of a join, and its values if they were few enough to be read."""
+
+    rows: DataFrame
+    values: pa.Table | None
+
+
+def pruned(big: DataFrame, values: pa.Table | None, columns: Sequence[str]) -> DataFrame:
+    """``big`` filtered to the values the small side has in ``columns``, where these are few:
+    literals that reach the scan and prune its partitions and row groups."""
+    for name in columns if values is not None else ():
+        found = pc.unique(values.column(name).drop_null())
+        if len(found) <= PRUNED_VALUES:
+            big = big.filter(F.col(name).isin(found.to_pylist()))
+    return big
+
+
+def measured(df: DataFrame, max_rows: int = BROADCAST_ROWS,
+             max_chars: int = BROADCAST_CHARS) -> Measured:
+    """See ``small_side``."""
     width = F.length(F.to_json(F.struct(*[F.col(f"`{c}`") for c in df.columns])))
     names = [f"_c{i}" for i in range(len(df.columns))]
     row = F.struct(*[F.col(f"`{c}`").alias(n) for c, n in zip(df.columns, names)])
@@ -41,15 +66,15 @@ def small_side(df: DataFrame, max_rows: int = BROADCAST_ROWS,
         max_rows + 1).toArrow()
     widths = read.column("w").to_numpy()
     if len(widths) > max_rows or widths.sum() > max_chars:
-        return df
+        return Measured(df, None)
     if not len(widths) or widths.max() > NARROW_CHARS:
-        return F.broadcast(df)
+        return Measured(F.broadcast(df), None)
     rows = read.column("r").combine_chunks()
     rows = rows.chunk(0) if isinstance(rows, pa.ChunkedArray) else rows
     table = pa.Table.from_arrays([rows.field(n) for n in names], names)
     kept = df.sparkSession.createDataFrame(
         table, T.StructType([T.StructField(n, f.dataType) for n, f in zip(names, df.schema)]))
-    return F.broadcast(kept.toDF(*df.columns))
+    return Measured(F.broadcast(kept.toDF(*df.columns)), table.rename_columns(df.columns))
 
 
 def is_small(df: DataFrame, max_rows: int = BROADCAST_ROWS,

@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from versespan.functions import address as A
 from versespan.functions import text as X
 from versespan.operators.joins import (
-    BROADCAST_ROWS, Checked, answer_once, computed, explode_range, small_side,
+    BROADCAST_ROWS, PRUNED_VALUES, Checked, answer_once, computed, explode_range, measured, pruned,
 )
 
 
@@ -44,6 +45,29 @@ def chapter_directory(verses: DataFrame) -> DataFrame:
     return verses.select("source", "book_number", "chapter").distinct()
 
 
+def stored_directory(verses: DataFrame) -> DataFrame:
+    """The same with the language each source's chapter is stored under."""
+    return verses.select("language", "source", "book_number", "chapter").distinct()
+
+
+ID_PARTS = ["language", "source_number", "book_number", "chapter", "verse"]
+
+
+def with_ids(verses: DataFrame, ids: DataFrame, keyed: bool = False) -> DataFrame:
+    """Verses joined with rows that carry their ``id``.
+
+    ``keyed`` says that ids are made of the verse's own columns, as in a stored corpus: few
+    ids then prune what is read.
+    """
+    small, values = measured(ids)
+    if keyed and values is not None:
+        listed = ids.sparkSession.createDataFrame(
+            [(i,) for i in pc.unique(values.column("id")).to_pylist()], "verse_id string")
+        parts = split_ids(listed.withColumn("request_id", F.lit(0))).rows
+        verses = pruned(verses, measured(parts.select(*ID_PARTS)).values, ID_PARTS)
+    return verses.join(small, "id")
+
+
 def wanted_chapters(requests: DataFrame, books: DataFrame, verses: DataFrame,
                     chapters: DataFrame | None = None) -> Checked:
     """Requests as fully keyed rows ``(request_id, source, book_number, chapter, parts)``.
@@ -63,6 +87,7 @@ def wanted_chapters(requests: DataFrame, books: DataFrame, verses: DataFrame,
     keys = [(F.lit(False), F.col("source"), any_chapter), (*any_source, F.col("chapter")),
             (*any_source, any_chapter)]
     have = (chapters if chapters is not None else chapter_directory(verses)).select(
+        "source", "book_number", "chapter").distinct().select(
         F.col("source").alias("_s"), "book_number", F.col("chapter").alias("_c"),
         F.inline(F.array(*[F.struct(o.alias("_any"), s.alias("_source"), c.alias("_chapter"))
                            for o, s, c in keys])))
@@ -73,6 +98,17 @@ def wanted_chapters(requests: DataFrame, books: DataFrame, verses: DataFrame,
     return Checked(rows, rejects)
 
 
+def in_languages(verses: DataFrame, values, chapters: DataFrame | None) -> DataFrame:
+    """``verses`` in the languages of the sources asked for, if the directory names them."""
+    if values is None or chapters is None or "language" not in chapters.columns:
+        return verses
+    named = pruned(chapters, values, ["source"]).select("language").distinct()
+    languages = named.limit(PRUNED_VALUES + 1).collect()
+    if len(languages) > PRUNED_VALUES:
+        return verses
+    return verses.filter(F.col("language").isin([r["language"] for r in languages]))
+
+
 def fetch_verses(requests: DataFrame, verses: DataFrame, books: DataFrame,
                  chapters: DataFrame | None = None,
                  broadcast_rows: int = BROADCAST_ROWS) -> Checked:
@@ -82,10 +118,12 @@ def fetch_verses(requests: DataFrame, verses: DataFrame, books: DataFrame,
     or at least the different questions among them are few, never shuffled.
     """
     def answer(asked: DataFrame) -> DataFrame:
-        wanted = wanted_chapters(asked, books, verses, chapters).rows
+        wanted, stored = wanted_chapters(asked, books, verses, chapters).rows, verses
         if broadcast_rows:
-            wanted = small_side(wanted, broadcast_rows)
-        found = verses.join(wanted, ["source", "book_number", "chapter"]).filter(
+            wanted, values = measured(wanted, broadcast_rows)
+            stored = in_languages(pruned(verses, values, ["source", "book_number", "chapter"]),
+                                  values, chapters)
+        found = stored.join(wanted, ["source", "book_number", "chapter"]).filter(
             A.contains_verse(F.col("parts"), F.col("verse")))
         return found.select("request_id", *[F.col(c) for c in verses.columns])
 
@@ -128,10 +166,10 @@ def split_ids(requests: DataFrame) -> Checked:
     return Checked(rows, rejects)
 
 
-def verse_metadata(requests: DataFrame, verses: DataFrame) -> DataFrame:
-    """Tag values of requested verses as a map."""
-    ids = small_side(requests.select("request_id", F.col("verse_id").alias("id")))
-    return verses.select("id", "text").join(ids, "id").select(
+def verse_metadata(requests: DataFrame, verses: DataFrame, keyed: bool = False) -> DataFrame:
+    """Tag values of requested verses as a map; for ``keyed`` see ``with_ids``."""
+    ids = requests.select("request_id", F.col("verse_id").alias("id"))
+    return with_ids(verses, ids, keyed).select(
         "request_id", F.col("id").alias("verse_id"),
         X.collect_tags(F.col("text")).alias("metadata"))
 
