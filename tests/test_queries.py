@@ -7,13 +7,15 @@ import pytest
 
 import __spark_entry__ as entry
 
+from versespan.plans import registry
+
 
 @pytest.fixture(scope="module")
 def duck(sf_dir):
     return check_oracle.connect(sf_dir)
 
 
-@pytest.mark.parametrize("name", sorted(entry.queries()))
+@pytest.mark.parametrize("name", sorted(registry.QUERIES))
 def test_query_equals_sql(spark, duck, sf_dir, name):
     ok, note = check_oracle.compare(spark, duck, name, sf_dir)
     assert ok, note
