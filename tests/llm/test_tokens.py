@@ -93,7 +93,7 @@ def test_edited_trees_equal_a_fresh_count(tik, texts):
             assert tree.text() == now and tree.n_chars == len(now)
             assert tree.n_tokens == len(tik.encode_ordinary(now)), (text[:40], start, insert)
             leaf = rng.randrange(len(tree.leaves))
-            before = [p for own in tree.leaves[:leaf] for p in own]
+            before = [p for i in range(leaf) for p in tree.pieces_in(i)]
             assert tree.tokens_before(leaf) == sum(len(tik.encode_ordinary(p)) for p in before)
 
 

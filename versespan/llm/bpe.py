@@ -13,9 +13,12 @@ from __future__ import annotations
 import base64
 import hashlib
 import re
-from collections.abc import Callable, Iterable
+import sys
+from array import array
+from collections.abc import Callable, Iterable, Sequence
 from typing import Any
 
+import ahocorasick
 import numpy as np
 import pyarrow as pa
 import regex
@@ -24,11 +27,28 @@ from pyspark.sql import functions as F
 
 from versespan.llm.common import kept_in_process, text_blocks
 
-MEMO_BYTES = 40              # prefixes of longer pre-tokens are not remembered
+MEMO_BYTES = 40              # longer pre-tokens are not remembered
 MEMO_ENTRIES = 400_000
 LOOSE_SPACE = re.compile(r" (?:\s|\Z)")
 
 
+def read_ranks(path: str) -> dict[bytes, int]:
+    with open(path, "rb") as lines:
+        return {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, lines)}
+
+
+def quick_split(text: str) -> tuple[str, ...] | None:
+    """The pre-tokens of a space and a word of letters, with a full stop or comma or without;
+    anything else needs the pattern."""
+    word = text[1:]
+    if text[:1] == " " and word[:-1].isalpha():
+        if word[-1] in ".,":
+            return (text[:-1], word[-1])
+        if word.isalpha():
+            return (text,)
+    return None
+
+
 class Vocabulary:
     """Ranks of a tiktoken file, with the two parts each token is merged from."""
 
@@ -47,12 +67,16 @@ class Vocabulary:
                 self.parts[rank] = (ranks[two[0]], ranks[two[1]])
                 self.usable[token] = rank
         self._apart: dict[tuple[int, int], bool] = {}
+        # finds the usable tokens that end at each byte of a text
+        self.suffixes = ahocorasick.Automaton()
+        for token, rank in self.usable.items():
+            self.suffixes.add_word(token.decode("latin-1"), (len(token), rank))
+        if self.usable:
+            self.suffixes.make_automaton()
 
     @classmethod
     def load(cls, path: str) -> Vocabulary:
-        with open(path, "rb") as lines:
-            return cls({base64.b64decode(token): int(rank)
-                        for token, rank in map(bytes.split, lines)})
+        return cls(read_ranks(path))
 
     def _merged_below(self, token: bytes, limit: int) -> list[bytes]:
         """The token's bytes after all merges that rank below it."""
@@ -150,16 +174,19 @@ class PrefixEncoding:
 class Encoder:
     """Whole texts to ids: pre-tokens by the pattern, each encoded for itself.
 
-    What was found out about prefixes of short pre-tokens, and about pre-tokens between
-    spaces, is remembered in tables of bounded size.
+    What was found out about pairs of tokens and about short pre-tokens is remembered in
+    tables of bounded size.
     """
 
     def __init__(self, vocabulary: Vocabulary, pattern: str):
         self.vocabulary = vocabulary
         self.find = regex.compile(pattern).findall
-        self.prefixes: dict[bytes, int] = {}
         self.pieces: dict[str, tuple[int, ...]] = {}
 
+    def pieces_of(self, text: str) -> Sequence[str]:
+        """The pre-tokens of a text."""
+        return quick_split(text) or self.find(text)
+
     def piece_ids(self, piece: str) -> tuple[int, ...]:
         """Ids of one pre-token."""
         found = self.pieces.get(piece)
@@ -176,25 +203,17 @@ class Encoder:
         whole = v.ranks.get(data)
         if whole is not None:
             return (whole,)
-        if len(data) > MEMO_BYTES:
-            return tuple(PrefixEncoding(v, data).ids())
-        known, apart, usable = self.prefixes, v.apart, v.usable
-        if len(known) > MEMO_ENTRIES:
-            known.clear()
-        last = []
-        for end in range(1, len(data) + 1):
-            prefix = data[:end]
-            token = known.get(prefix)
-            if token is None:
-                token = usable.get(prefix)
-                start = 0
-                while token is None:
-                    start += 1
-                    token = usable.get(prefix[start:])
-                    if token is not None and not apart(last[start - 1], token):
-                        token = None
-                known[prefix] = token
-            last.append(token)
+        last = [-1] * len(data)                  # of the prefix that ends at each byte
+        known, apart = v._apart, v.apart
+        for end, (size, token) in v.suffixes.iter(data.decode("latin-1")):
+            if last[end] < 0:
+                if size > end:
+                    last[end] = token
+                else:
+                    pair = (last[end - size], token)
+                    fits = known.get(pair)
+                    if fits or fits is None and apart(*pair):
+                        last[end] = token
         out, end, tokens = [], len(data), v.tokens
         while end:
             out.append(last[end - 1])
@@ -245,9 +264,15 @@ def kept_encoder(path: str, pattern: str) -> Encoder:
 def id_bytes(encoder: Encoder, text: str) -> bytes:
     """The ids of a pre-token sequence as little-endian unsigned 32-bit integers."""
     ids: list[int] = []
-    for piece in encoder.find(text):
+    for piece in encoder.pieces_of(text):
         ids += encoder.piece_ids(piece)
-    return np.array(ids, "<u4").tobytes()
+    return little_endian(ids)
+
+
+def little_endian(values: Iterable[int]) -> bytes:
+    """The values as unsigned 32-bit integers; ``array`` is quick for the few of a word."""
+    packed = array("I", values)
+    return packed.tobytes() if sys.byteorder == "little" else np.array(packed, "<u4").tobytes()
 
 
 def decode(vocabulary: Vocabulary, ids: Iterable[int]) -> bytes:

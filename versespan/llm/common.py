@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import sys
 from collections.abc import Callable, Hashable, Iterator
 from typing import Any
@@ -75,4 +76,5 @@ def kept_in_process(key: Hashable, make: Callable[[], Any]) -> Any:
     kept = sys.__dict__.setdefault("_versespan_kept", {})
     if key not in kept:
         kept[key] = make()
+        gc.freeze()              # large tables that stay need not be looked through again
     return kept[key]

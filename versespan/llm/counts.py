@@ -9,13 +9,16 @@ the first of the leaves, empties the others and updates the sums on their paths.
 from __future__ import annotations
 
 from collections.abc import Callable, Sequence
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import regex
+import tiktoken
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from versespan.llm.bpe import Chunks, kept_encoder
+from versespan.llm.bpe import Chunks, little_endian, quick_split, read_ranks
 from versespan.llm.common import kept_in_process, text_blocks
 
 LOOK = 2                 # the pattern looks at most this far beyond the end of a pre-token
@@ -25,7 +28,7 @@ class CountTree:
     def __init__(self, pieces: Sequence[str], chars: np.ndarray, tokens: np.ndarray,
                  split: Callable[[str], list[str]], count: Callable[[str], int]):
         self.split, self.count = split, count
-        self.leaves: list[list[str]] = [[p] for p in pieces]
+        self.leaves: list[str | list[str]] = list(pieces)       # a pre-token, or a run of them
         self.width = 1 << max(len(pieces) - 1, 0).bit_length()
         self.chars, self.tokens = self._sums(chars), self._sums(tokens)
         self.encoded = 0         # pre-tokens encoded again by edits
@@ -65,6 +68,10 @@ class CountTree:
                 node += 1
         return node - self.width, before
 
+    def pieces_in(self, leaf: int) -> list[str]:
+        held = self.leaves[leaf]
+        return [held] if isinstance(held, str) else held
+
     def _set(self, leaf: int, pieces: list[str], tokens: int) -> None:
         self.leaves[leaf] = pieces
         node = leaf + self.width
@@ -75,7 +82,7 @@ class CountTree:
                 sums[node] = sums[2 * node] + sums[2 * node + 1]
 
     def text(self) -> str:
-        return "".join(p for leaf in self.leaves for p in leaf)
+        return "".join("".join(leaf) for leaf in self.leaves)
 
     def edit(self, start: int, delete: int, insert: str) -> None:
         """Replace ``delete`` characters from ``start`` on by ``insert``; positions beyond the
@@ -91,13 +98,13 @@ class CountTree:
         first, before = self._find(min(anchor, max(self.n_chars - 1, 0)))
         first = min(first, len(self.leaves) - 1)
         last, ahead = first, 8
-        old: list[str] = list(self.leaves[first])
+        old: list[str] = list(self.pieces_in(first))
         size = sum(map(len, old))
         while True:
             while last + 1 < len(self.leaves) and before + size < stop + ahead:
                 last += 1
-                old += self.leaves[last]
-                size += sum(map(len, self.leaves[last]))
+                old += self.pieces_in(last)
+                size += sum(map(len, self.pieces_in(last)))
             at_end = last + 1 == len(self.leaves)
             whole = "".join(old)
             new_text = whole[:start - before] + insert + whole[stop - before:]
@@ -112,9 +119,9 @@ class CountTree:
         changed, tail, leaf = n_old, [], first - 1
         while changed > 0 or leaf < first:
             leaf += 1
-            changed -= len(self.leaves[leaf])
+            changed -= len(self.pieces_in(leaf))
         if changed < 0:
-            tail = self.leaves[leaf][changed:]
+            tail = self.pieces_in(leaf)[changed:]
         fresh = new[:n_new]
         self.encoded += len(fresh)
         pieces = fresh + tail
@@ -145,25 +152,27 @@ class CountTree:
 def tree_of(text: str, chunks: Chunks, split: Callable[[str], list[str]],
             count: Callable[[str], int]) -> CountTree:
     parts = chunks(text)
-    pieces = [p for part in parts for p in part[0]]
-    chars = np.frombuffer(b"".join([part[1] for part in parts]), np.uint32)
-    tokens = np.frombuffer(b"".join([part[2] for part in parts]), np.uint32)
+    pieces = list(chain.from_iterable([part[0] for part in parts]))
+    chars = np.frombuffer(b"".join([part[1] for part in parts]), "<u4")
+    tokens = np.frombuffer(b"".join([part[2] for part in parts]), "<u4")
     return CountTree(pieces, chars, tokens, split, count)
 
 
 def _tools(path: str, pattern: str) -> tuple:
-    encoder = kept_encoder(path, pattern)
+    """Per worker: what splits a text into counted stretches, into pre-tokens, and counts one."""
+    encoding = kept_in_process(("tiktoken", path, pattern), lambda: tiktoken.Encoding(
+        "counts", pat_str=pattern, mergeable_ranks=read_ranks(path), special_tokens={}))
+    find = regex.compile(pattern).findall
 
     def count(piece: str) -> int:
-        return len(encoder.piece_ids(piece))
+        return len(encoding.encode_ordinary(piece))
 
-    def part(text: str) -> tuple[list[str], bytes, bytes]:
-        pieces = encoder.find(text)
-        return (pieces, np.array([len(p) for p in pieces], np.uint32).tobytes(),
-                np.array([count(p) for p in pieces], np.uint32).tobytes())
+    def part(text: str) -> tuple[Sequence[str], bytes, bytes]:
+        pieces = quick_split(text) or tuple(find(text))
+        return (pieces, little_endian(map(len, pieces)), little_endian(map(count, pieces)))
 
     chunks = kept_in_process(("bpe counts", path, pattern), lambda: Chunks(part))
-    return chunks, encoder.find, count
+    return chunks, find, count
 
 
 def edited_counts(path: str, pattern: str, text: Column, edits: Column) -> Column:
