@@ -35,7 +35,8 @@ TILE_ROWS = 1024
 BROADCAST_IDS = 1_000_000
 MARKS = 1 << 20              # places of the filter for texts that are needed
 BANDS = 1.26                 # sizes of linked sets differ by less than this factor
-WIDTHS = ((512, 256), (2048, 1024), (8192, 4096), (1 << 62, 16384))
+WIDTHS = ((128, 256), (512, 1024), (2048, 4096), (1 << 62, 16384))
+FIRST = 4                    # shingles of a prefix by which a pair met twice is recognised
 
 
 def prefix_length(n: int) -> int:
@@ -99,8 +100,9 @@ def frequent_shingles(docs: DataFrame, text: str) -> np.ndarray:
 
 
 def profiles(docs: DataFrame, text: str, frequent) -> DataFrame:
-    """Per row ``doc_id, class, n, bitmap, light, heavy``: the size and class of its set, and the
-    infrequent and frequent shingles of its prefix. ``frequent`` is a broadcast sorted array."""
+    """Per row ``doc_id, class, n, bitmap, prefix, lights``: the size and class of its set, and
+    its prefix, of which the first ``lights`` shingles are infrequent. ``frequent`` is a
+    broadcast sorted array."""
     kind = docs.schema["doc_id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -108,7 +110,7 @@ def profiles(docs: DataFrame, text: str, frequent) -> DataFrame:
         for batch in batches:
             place = 0
             for block in text_blocks(batch.column(1)):
-                classes, sizes, maps, light, heavy = [], [], [], [], []
+                classes, sizes, maps, prefixes, lights = [], [], [], [], []
                 for own in shingle_sets(*as_bytes(block)):
                     classes.append(_class_of(own) if len(own) else None)
                     sizes.append(len(own))
@@ -120,19 +122,19 @@ def profiles(docs: DataFrame, text: str, frequent) -> DataFrame:
                     else:
                         is_heavy = np.zeros(len(own), bool)
                     rare = own[~is_heavy][:most]
-                    light.append(rare.view(np.int64))
-                    heavy.append(own[is_heavy][:most - len(rare)].view(np.int64))
-                keys = pa.list_(pa.int64())
+                    prefixes.append(np.concatenate(
+                        [rare, own[is_heavy][:most - len(rare)]]).view(np.int64))
+                    lights.append(len(rare))
                 yield pa.RecordBatch.from_arrays(
                     [batch.column(0).slice(place, len(block)), pa.array(classes, pa.int64()),
                      pa.array(sizes, pa.int64()), pa.array(maps, pa.binary()),
-                     pa.array(light, keys), pa.array(heavy, keys)],
-                    ["doc_id", "class", "n", "bitmap", "light", "heavy"])
+                     pa.array(prefixes, pa.list_(pa.int64())), pa.array(lights, pa.int32())],
+                    ["doc_id", "class", "n", "bitmap", "prefix", "lights"])
                 place += len(block)
 
     return docs.select("doc_id", F.col(text).alias("text")).mapInArrow(
-        run, f"doc_id {kind}, class bigint, n bigint, bitmap binary, "
-             "light array<bigint>, heavy array<bigint>")
+        run, f"doc_id {kind}, class bigint, n bigint, bitmap binary, prefix array<bigint>, "
+             "lights int")
 
 
 def _runs(batches: Iterator[pa.RecordBatch], columns: int) -> Iterator[pa.Table]:
@@ -168,13 +170,16 @@ def _shared_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def shared_shingles(profile: DataFrame) -> DataFrame:
-    """``key, class, n, band``: prefix shingles that several classes have. Infrequent ones are
-    found by sorting; frequent ones are kept as they are, as one of them may be very common."""
+    """``key, class, n, pos, band``: prefix shingles that several classes have, and their place in
+    the prefix. Infrequent ones are found by sorting; frequent ones are kept as they are, as
+    one of them may be very common."""
     known = profile.filter(F.col("n") > 3)
-    light = known.select(F.explode("light").alias("key"), "class", "n") \
+    each = known.select("class", "n", "lights", F.posexplode("prefix").alias("pos", "key"))
+    columns = ["key", "class", "n", "pos"]
+    light = each.filter(F.col("pos") < F.col("lights")).select(*columns) \
         .repartition("key").sortWithinPartitions("key", "class") \
-        .mapInArrow(_shared_rows, "key bigint, class bigint, n bigint")
-    heavy = known.select(F.explode("heavy").alias("key"), "class", "n").distinct()
+        .mapInArrow(_shared_rows, "key bigint, class bigint, n bigint, pos int")
+    heavy = each.filter(F.col("pos") >= F.col("lights")).select(*columns).distinct()
     band = F.floor(F.log(F.col("n")) / F.log(F.lit(BANDS)))
     return materialize(light.unionByName(heavy).withColumn("band", band), "shared")
 
@@ -226,13 +231,16 @@ def _filter_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
 def _tile_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Pairs of different components inside the tiles of sorted rows.
 
-    Rows: ``key, tile, i, j, class, n, root, band, chunk, bitmap``. Two classes meet in the tile
-    of the larger band (or their own), and in the tile pair of their chunks.
+    Rows: ``key, tile, i, j, class, n, pos, root, band, chunk, first, bitmap``. Two classes meet
+    in the tile of the larger band (or their own), and in the tile pair of their chunks. They
+    share a shingle so early in both prefixes that the rest leaves room for the overlap, and
+    they are tried only where they first meet, as far as their first shingles tell.
     """
     for table in _runs(batches, 4):
-        key, tile, i, j, own, n, root, band, chunk = (
-            table.column(c).to_numpy() for c in range(9))
-        maps = table.column(9).to_pylist()
+        key, tile, i, j, own, n, pos, root, band, chunk = (
+            table.column(c).to_numpy() for c in range(10))
+        head = np.frombuffer(b"".join(table.column(10).to_pylist()), np.int64).reshape(-1, FIRST)
+        maps = table.column(11).to_pylist()
         change = np.zeros(len(key) - 1, bool)
         for c in (key, tile, i, j):
             change |= c[1:] != c[:-1]
@@ -241,6 +249,16 @@ def _tile_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
         def decided(left: list, right: list) -> Iterator[pa.RecordBatch]:
             a, b = np.concatenate(left), np.concatenate(right)
+            total = n[a] + n[b]
+            least = -(-PERCENT * total // (100 + PERCENT))
+            early = (n[a] - pos[a] >= least) & (n[b] - pos[b] >= least)
+            a, b = a[early], b[early]
+            met = np.zeros(len(a), bool)
+            for x in range(FIRST):
+                for y in range(FIRST):
+                    met |= ((head[a, x] == head[b, y]) & (head[a, x] != 0)
+                            & (x < pos[a]) & (y < pos[b]))
+            a, b = a[~met], b[~met]
             fine = _may_link(n, maps, a, b)
             a, b = own[a[fine]], own[b[fine]]
             if len(a):
@@ -254,9 +272,8 @@ def _tile_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             a, b = np.triu_indices(last - first, 1)
             a, b = a + first, b + first
             meet = (root[a] != root[b]) & ((band[a] == tile[a]) | (band[b] == tile[a]))
-            cross = ((chunk[a] == i[a]) & (chunk[b] == j[a])) | (
+            meet &= ((chunk[a] == i[a]) & (chunk[b] == j[a])) | (
                 (chunk[a] == j[a]) & (chunk[b] == i[a]))
-            meet &= cross
             if meet.any():
                 found_a.append(a[meet])
                 found_b.append(b[meet])
@@ -366,6 +383,25 @@ def _with_maps(pairs: DataFrame, maps: DataFrame) -> DataFrame:
     return pairs.join(left, "a").join(right, "b").select("a", "b", "n_a", "n_b", "map_a", "map_b")
 
 
+def _class_maps(profile: DataFrame) -> DataFrame:
+    """``class, n, bitmap, first``: per class the first shingles of its prefix as bytes, too."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            heads = []
+            for prefix in batch.column(3):
+                own = np.zeros(FIRST, np.int64)
+                values = prefix.values.to_numpy()[:FIRST]
+                own[:len(values)] = values
+                heads.append(own.tobytes())
+            yield pa.RecordBatch.from_arrays(
+                [*batch.columns[:3], pa.array(heads, pa.binary())],
+                ["class", "n", "bitmap", "first"])
+
+    known = profile.filter(F.col("n") > 3).select("class", "n", "bitmap", "prefix")
+    return known.mapInArrow(run, "class bigint, n bigint, bitmap binary, first binary") \
+        .groupBy("class").agg(*[F.first(c).alias(c) for c in ("n", "bitmap", "first")])
+
+
 def star_pairs(shared: DataFrame, maps: DataFrame) -> DataFrame:
     """Each class with the least class of its shingle and band, where bitmaps allow a link."""
     least = shared.groupBy("key", "band").agg(
@@ -378,27 +414,35 @@ def star_pairs(shared: DataFrame, maps: DataFrame) -> DataFrame:
 def tile_pairs(shared: DataFrame, maps: DataFrame, roots: DataFrame) -> DataFrame:
     """Pairs of different components that share a shingle, where sizes and bitmaps allow a link.
 
-    A shingle of more than ``TILE_ROWS`` classes is split into chunks whose pairs are tiles of
-    their own, so no tile grows with the table.
+    Shingles of two classes are pairs as they are. A shingle of more than ``TILE_ROWS`` classes
+    is split into chunks whose pairs are tiles of their own, so no tile grows with the table.
     """
     rooted = shared.join(roots.select(F.col("node").alias("class"), "root"), "class", "left") \
         .withColumn("root", F.coalesce("root", "class"))
     rooted = materialize(rooted, "rooted")
-    kinds = rooted.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high"),
-                                      F.count("*").alias("rows"))
-    mixed_keys = kinds.filter(F.col("low") != F.col("high")).select(
-        "key", F.ceil(F.col("rows") / TILE_ROWS).alias("chunks"))
-    rows = rooted.join(mixed_keys, "key")
+    one = F.struct("class", "n")
+    kinds = rooted.groupBy("key").agg(
+        F.min("root").alias("low"), F.max("root").alias("high"), F.count("*").alias("rows"),
+        F.min(one).alias("x"), F.max(one).alias("y"), F.max("band").alias("top"))
+    kinds = materialize(kinds.filter(F.col("low") != F.col("high")), "kinds")
+    near = 100 * F.least("x.n", "y.n") >= PERCENT * F.greatest("x.n", "y.n")
+    twos = kinds.filter((F.col("rows") == 2) & near).select(
+        F.col("x.class").alias("a"), F.col("y.class").alias("b")).distinct()
+    twos = _with_maps(twos, maps).mapInArrow(_filter_pairs, "a bigint, b bigint")
+
+    rows = rooted.join(kinds.filter(F.col("rows") > 2).select(
+        "key", "top", F.ceil(F.col("rows") / TILE_ROWS).alias("chunks")), "key")
+    rows = rows.join(maps.select("class", "first", "bitmap"), "class")
     rows = rows.withColumn("chunk", F.pmod(F.xxhash64("class"), F.col("chunks")))
     rows = rows.withColumn("other", F.explode(F.sequence(
         F.lit(0).cast("bigint"), F.col("chunks") - 1)))
-    rows = rows.withColumn("tile", F.explode(F.array(F.col("band"), F.col("band") + 1)))
+    rows = rows.withColumn("tile", F.explode(F.when(F.col("band") < F.col("top"), F.array(
+        F.col("band"), F.col("band") + 1)).otherwise(F.array("band"))))
     rows = rows.select("key", "tile", F.least("chunk", "other").alias("i"),
-                       F.greatest("chunk", "other").alias("j"), "class", "n", "root", "band",
-                       "chunk")
-    rows = rows.join(maps.select("class", "bitmap"), "class").select(*rows.columns, "bitmap")
+                       F.greatest("chunk", "other").alias("j"), "class", "n", "pos", "root",
+                       "band", "chunk", "first", "bitmap")
     tiles = rows.repartition("key", "tile", "i", "j").sortWithinPartitions("key", "tile", "i", "j")
-    return tiles.mapInArrow(_tile_pairs, "a bigint, b bigint").distinct()
+    return tiles.mapInArrow(_tile_pairs, "a bigint, b bigint").unionByName(twos).distinct()
 
 
 def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -415,9 +459,7 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
     frequent = spark.sparkContext.broadcast(frequent_shingles(rows, "text"))
     profile = materialize(profiles(rows, "text", frequent), "profiles")
     shared = shared_shingles(profile)
-    maps = profile.filter(F.col("n") > 3).groupBy("class").agg(
-        F.first("n").alias("n"), F.first("bitmap").alias("bitmap"))
-    maps = materialize(maps, "maps")
+    maps = materialize(_class_maps(profile), "maps")
     texts = Texts(rows, "text")
     first = links_among(star_pairs(shared, maps), texts)
     roots = materialize(components(first), "roots")

@@ -60,6 +60,6 @@ def shingle_sets(data: np.ndarray, starts: np.ndarray) -> Iterator[np.ndarray]:
             yield np.unique(rolling[a:b - SHINGLE + 1])
         elif b > a:
             own = (words[a:b] * _PLACE[:b - a]).sum(dtype=np.uint64, keepdims=True)
-            yield mixed(own + np.uint64(b - a) * _STEP)
+            yield mixed(own + np.uint64((b - a) * int(_STEP) % (1 << 64)))
         else:
             yield np.zeros(0, np.uint64)
