@@ -1,4 +1,5 @@
 import math
+import random
 import re
 
 from versespan.llm import quality_rules as Q
@@ -59,3 +60,22 @@ def test_no_documents_and_no_languages(frame):
     assert Q.apply_rules(frame(SCHEMA)).count() == 0
     row = Q.apply_rules(frame(SCHEMA, (1, PROSE * 4, None))).first()
     assert row["char_distance"] is None and row["base_failed"] == (not row["kept"])
+
+
+def test_long_texts_without_common_words_go(frame):
+    rng = random.Random(4)
+    common = "the of and to in a is that for it".split()
+
+    def prose(words):
+        return " ".join(rng.choice(common) if rng.random() < 0.4 else f"word{rng.random()}"
+                        for _ in range(words)).capitalize() + "."
+
+    good = [(i, prose(rng.choice([60, 120, 300, 900])), "en") for i in range(80)]
+    bare = [(90 + i, " ".join(f"Word{rng.random()}" for _ in range(n)) + ".", "en")
+            for i, n in enumerate((60, 120, 400, 2000))]
+    rows = {r["doc_id"]: r for r in Q.apply_rules(frame(SCHEMA, *good, *bare)).collect()}
+    assert not any(r["base_failed"] for r in rows.values())
+    assert all(rows[i]["kept"] for i in range(80))
+    assert rows[90]["kept"] and rows[90]["word_distance"] is None
+    for i in (91, 92, 93):
+        assert rows[i]["char_distance"] <= Q.MAX_CHAR_DISTANCE and not rows[i]["kept"]

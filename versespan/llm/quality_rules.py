@@ -24,9 +24,12 @@ COMMON_WORDS = (
 MIN_WORDS = 50
 MAX_REPEAT_PERCENT = 50
 MIN_CHARS = 200          # fewer characters: the character histogram says too little
-MIN_COMMON_WORDS = 25    # fewer common words: the word histogram says too little
+MIN_JUDGED_WORDS = 100   # fewer words, common or not: the word histogram says too little
 MAX_CHAR_DISTANCE = 0.28
-MAX_WORD_DISTANCE = 0.5
+LOW_SHARE = 0.05         # the word limit lies WORD_SPREADS times as far above the median distance
+WORD_SPREADS = 3.0       # as the distance of this share lies below it,
+LEAST_WORD_LIMIT = 0.2   # and not lower than chance alone brings a text of 100 words
+DISTANCE_STEPS = 1000
 MIN_SHARE = 0.01         # a language gets a reference if it has this share of the documents
 CHAR_BINS = 7
 
@@ -135,33 +138,58 @@ def js_distance(shares: Column, reference: list[float]) -> Column:
         F.aggregate(terms, F.lit(0.0), lambda a, x: a + x) / 2, F.lit(0.0)))
 
 
+def _nearest(name: str, references: list[dict]) -> Column:
+    found = [js_distance(F.col(f"_s.{name}"), r[name]) for r in references]
+    if not found:
+        return F.lit(None).cast("double")
+    return reduce(F.least, found) if len(found) > 1 else found[0]
+
+
+def word_limit(features: DataFrame, references: list[dict]) -> float:
+    """The word distance from which a document diverges: the median distance of all documents
+    that pass the base rules and are long enough to be judged, and ``WORD_SPREADS`` times what
+    lies between it and their ``LOW_SHARE``. Both are read off below the documents that
+    diverge, so these do not move the limit as long as they are not many.
+
+    Distances come to the driver as counts of ``DISTANCE_STEPS`` steps.
+    """
+    long = features.filter(~base_failed() & (F.col("rule.n_words") >= MIN_JUDGED_WORDS))
+    rows = computed(long, F.struct(_share(F.col("rule.common")).alias("common")), "_s").select(
+        F.floor(_nearest("common", references) * DISTANCE_STEPS).alias("step"))
+    counts = rows.filter("step IS NOT NULL").groupBy("step").count().orderBy("step").collect()
+    total = sum(r["count"] for r in counts)
+
+    def reached(share: float) -> float:
+        seen = 0
+        for r in counts:
+            seen += r["count"]
+            if seen >= share * total:
+                return (r["step"] + 0.5) / DISTANCE_STEPS
+        return 0.0
+
+    middle = reached(0.5)
+    return max(LEAST_WORD_LIMIT, middle + WORD_SPREADS * (middle - reached(LOW_SHARE)))
+
+
 def judge(features: DataFrame, references: list[dict]) -> DataFrame:
     """Add ``base_failed, kept, char_distance, word_distance`` to rows with ``rule``.
 
     The distances are those to the nearest language reference, NULL where the document is too
     short to tell (or there are no references); such a document is kept unless a base rule
-    fails it.
+    fails it. ``features`` are read twice, first for :func:`word_limit`.
     """
+    limit = word_limit(features, references)
     chars = F.aggregate("rule.chars", F.lit(0), lambda a, x: a + x)
-    common = F.aggregate(
-        F.slice("rule.common", 1, len(COMMON_WORDS)), F.lit(0), lambda a, x: a + x)
     rows = computed(features, F.struct(_share(F.col("rule.chars")).alias("chars"),
                                        _share(F.col("rule.common")).alias("common"),
-                                       chars.alias("n_chars"), common.alias("n_common")), "_s")
-
-    def nearest(name: str) -> Column:
-        found = [js_distance(F.col(f"_s.{name}"), r[name]) for r in references]
-        if not found:
-            return F.lit(None).cast("double")
-        return reduce(F.least, found) if len(found) > 1 else found[0]
-
+                                       chars.alias("n_chars")), "_s")
     rows = rows.withColumn("char_distance", F.when(
-        F.col("_s.n_chars") >= MIN_CHARS, nearest("chars")))
+        F.col("_s.n_chars") >= MIN_CHARS, _nearest("chars", references)))
     rows = rows.withColumn("word_distance", F.when(
-        F.col("_s.n_common") >= MIN_COMMON_WORDS, nearest("common")))
+        F.col("rule.n_words") >= MIN_JUDGED_WORDS, _nearest("common", references)))
     rows = rows.withColumn("base_failed", base_failed())
     diverges = (F.coalesce(F.col("char_distance") > MAX_CHAR_DISTANCE, F.lit(False))
-                | F.coalesce(F.col("word_distance") > MAX_WORD_DISTANCE, F.lit(False)))
+                | F.coalesce(F.col("word_distance") > limit, F.lit(False)))
     return rows.withColumn("kept", ~F.col("base_failed") & ~diverges).drop("_s")
 
 
