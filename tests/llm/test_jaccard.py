@@ -84,6 +84,12 @@ def test_odd_rows(frame):
         [(1, "a b", "y", 2), (None, "a b", "", 3)], key=str)
 
 
+def test_rows_that_repeat_an_id_link_for_themselves(frame):
+    rows = [(7, "a b c d e"), (8, "p q r s t"), (9, "a b c d e"), (9, "p q r s t")]
+    got = result(jaccard.near_duplicates(frame(SCHEMA, *[(*r, "x", 1) for r in rows])))
+    assert got == [(7, 1, 7), (8, 1, 8), (9, 1, 7), (9, 1, 8)]
+
+
 def test_shingle_sets_of_a_block_equal_those_of_single_texts():
     data = ["a b c d e f", "", "x", "É é a b c d", " lead", "t\x1cu v w x y z " * 50]
     joined = np.frombuffer("".join(data).encode(), np.uint8)

@@ -449,8 +449,8 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
     """``doc_id, n_shingles, component_id`` for every row.
 
     NULL and empty texts and texts without words have no shingles and are a component of their
-    own. Rows that repeat an id are one document, which links as any of its texts does; a
-    repeated row is returned as often as it occurs. A row with a NULL id has a NULL component
+    own. Rows that repeat an id each link for themselves, by their own text, and may be in
+    different components; each is returned once, with its own size. A row with a NULL id has a NULL component
     (but links others). Other columns are ignored; an empty table gives no rows. Sets are
     compared by 64-bit hashes of their shingles.
     """
@@ -469,7 +469,8 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
 
 
 def _labelled(profile: DataFrame, roots: DataFrame) -> DataFrame:
-    """Every row with the least id of its component: classes that share a root or an id."""
+    """Every row with the least id of its component: classes that share a root. An id
+    does not link its rows."""
     root = F.coalesce(F.col("root"), F.col("class")).alias("root")
     owned = profile.select("doc_id", "class", "n").join(
         roots.withColumnRenamed("node", "class"), "class", "left").select("doc_id", "n", root)
@@ -482,7 +483,8 @@ def _labelled(profile: DataFrame, roots: DataFrame) -> DataFrame:
 
 def keep_first(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """The rows whose document is the first of its component, all columns as they are. Rows
-    with a NULL id stay.
+    with a NULL id stay, and so do all rows of a repeated id that stays; an id goes with all
+    its rows if one of them is a copy.
 
     The ids that go are sent to all tasks up to a million of them, so that texts need not move;
     beyond that both sides are shuffled.
