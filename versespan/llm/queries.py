@@ -8,7 +8,19 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from versespan.llm import bpe, chat, counts, jaccard, langid, packing, quality_cnn, quality_rules, secrets, topk
+from versespan.llm import (
+    bpe,
+    chat,
+    counts,
+    filter_audit,
+    jaccard,
+    langid,
+    packing,
+    quality_cnn,
+    quality_rules,
+    secrets,
+    topk,
+)
 from versespan.llm.common import held_out, read_table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -214,3 +226,57 @@ FROM s LEFT JOIN (SELECT DISTINCT doc_id, id FROM m) m ON s.doc_id = m.doc_id
 @query("op3_jaccard_tiles", JACCARD_SQL)
 def op3_jaccard_tiles(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.near_duplicates(read_table(spark, sf_dir, "documents"))
+
+
+FILTER_AUDIT_SQL = r"""
+WITH t AS (
+  SELECT doc_id, coalesce(source, '') AS part, coalesce(text, '') AS text FROM documents),
+w AS (
+  SELECT *, list_filter(regexp_split_to_array(text, '[\x20\x09-\x0D]+'), x -> x <> '') AS words,
+         min(doc_id) OVER (PARTITION BY text) AS least
+  FROM t),
+l AS (
+  SELECT doc_id, coalesce(bool_or(quality = 1), false) AS good,
+         coalesce(bool_or(toxic = 1), false) AS bad
+  FROM labels GROUP BY doc_id),
+d AS (
+  SELECT part, coalesce(good, false) AS good, coalesce(bad, false) AS bad,
+         CASE WHEN len(words) < 50 THEN 'A' ELSE '' END
+         || CASE WHEN 100 * len(list_distinct(words)) < 65 * len(words) THEN 'B' ELSE '' END
+         || CASE WHEN 100 * length(regexp_replace(text, '[^A-Z]', '', 'g')) > 5 * length(text)
+                 THEN 'C' ELSE '' END
+         || CASE WHEN regexp_matches(text, '[#$%&*|]') THEN 'D' ELSE '' END
+         || CASE WHEN w.doc_id > least THEN 'E' ELSE '' END AS fails
+  FROM w LEFT JOIN l ON w.doc_id = l.doc_id),
+n AS (SELECT unnest(['A', 'B', 'C', 'D', 'E']) AS f),
+o AS (
+  SELECT a.f || b.f || c.f || d.f || e.f AS filter_order FROM n a, n b, n c, n d, n e
+  WHERE len(list_distinct([a.f, b.f, c.f, d.f, e.f])) = 5),
+s AS (
+  SELECT filter_order, step::INTEGER AS step, filter_order[step:step] AS f,
+         filter_order[1:step - 1] AS before
+  FROM o, range(1, 6) r(step)),
+p AS (
+  SELECT part, filter_order, step, f, good, bad, fails, contains(fails, f) AS failing,
+         len(list_intersect(string_split(before, ''), string_split(fails, ''))) > 0
+           AND before <> '' AND fails <> '' AS gone
+  FROM d, s),
+r AS (
+  SELECT part, filter_order, step, any_value(f) AS f,
+         count(*) FILTER (NOT failing AND NOT gone) AS kept,
+         count(*) FILTER (failing AND NOT gone) AS removed,
+         count(*) FILTER (failing AND gone) AS redundant,
+         count(*) FILTER (fails = f) AS unique_fails,
+         count(*) FILTER (failing AND NOT gone AND good) AS good_lost,
+         count(*) FILTER (failing AND NOT gone AND bad) AS toxic_lost
+  FROM p GROUP BY part, filter_order, step)
+SELECT part, filter_order, step, kept, removed, redundant, unique_fails, good_lost, toxic_lost,
+       (sum(removed) OVER (PARTITION BY part, f))::BIGINT AS shapley
+FROM r
+"""
+
+
+@query("op11_filter_audit", FILTER_AUDIT_SQL)
+def op11_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filter_audit.audit(read_table(spark, sf_dir, "documents"),
+                              read_table(spark, sf_dir, "labels"))
