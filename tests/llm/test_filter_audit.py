@@ -4,6 +4,7 @@ from itertools import permutations
 import pytest
 
 from versespan.llm import filter_audit
+from versespan.llm.common import unpacked
 
 DOCS = "doc_id long, text string, source string, mask int, good boolean"
 LABELS = "doc_id long, quality int, toxic int, part string"
@@ -75,9 +76,10 @@ LABELLED = [(1, 1, 0), (2, 1, 1), (2, 0, 0), (4, None, 1), (5, 1, None), (7, 0,
             (99, 1, 1), (10, 1, 0)]
 
 
-@pytest.mark.parametrize("size", [1, 400, 4 << 20])
-def test_equals_brute_force(frame, monkeypatch, size):
+@pytest.mark.parametrize("size,words", [(1, 7), (400, 50), (4 << 20, 1 << 19)])
+def test_equals_brute_force(frame, monkeypatch, size, words):
     monkeypatch.setattr(filter_audit, "SHARD_BYTES", size)
+    monkeypatch.setattr(filter_audit, "WORDS_PER_BUCKET", words)
     assert run(frame, ROWS, LABELLED) == brute(ROWS, LABELLED)
 
 
@@ -86,14 +88,17 @@ def test_empty_tables(frame):
     assert run(frame, ROWS[:2], []) == brute(ROWS[:2], [])
 
 
-def test_matrix_is_the_texts(spark, frame):
+def test_matrix_is_the_texts(frame, monkeypatch):
+    monkeypatch.setattr(filter_audit, "SHARD_BYTES", 300)
+    monkeypatch.setattr(filter_audit, "WORDS_PER_BUCKET", 20)
     matrix = filter_audit.document_term_matrix(frame(DOCS, *[(*r, 7, True) for r in ROWS])).collect()
     listed = {}
     for shard in matrix:
+        indices, counts = (unpacked(bytes(shard[c])).tolist() for c in ("indices", "counts"))
         for i, key in enumerate(shard["doc_ids"]):
             at = slice(shard["starts"][i], shard["starts"][i + 1])
             listed.setdefault(key, []).append(
-                dict(zip(shard["indices"][at], shard["counts"][at], strict=True)))
+                dict(zip(indices[at], counts[at], strict=True)))
     words = {w for _, t, _ in ROWS for w in WORDS.findall(t or "")}
     used = {i for rows in listed.values() for r in rows for i in r}
     assert used == set(range(len(words)))

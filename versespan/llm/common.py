@@ -13,6 +13,8 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from versespan.session import shared_dir
+
 BLOCK_BYTES = 1 << 20
 BUCKETS = 1 << 20
 
@@ -55,6 +57,50 @@ def as_bytes(block: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return whole[offsets[0]:offsets[-1]], offsets - offsets[0]
 
 
+def stored(df: DataFrame, purpose: str) -> tuple[DataFrame, str]:
+    """``df`` written to the shared folder and read back, and the folder, for :func:`discard`."""
+    path = shared_dir(df.sparkSession, purpose)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path), path
+
+
+def discard(spark: SparkSession, path: str) -> None:
+    """Remove a scratch folder that nothing reads any more."""
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
+
+
+def packed(values: np.ndarray) -> bytes:
+    """Integers as bytes: differences, their bytes of equal weight side by side, compressed."""
+    steps = np.diff(values.astype("<i8"), prepend=0)
+    planes = np.ascontiguousarray(steps.view(np.uint8).reshape(-1, 8).T)
+    return len(values).to_bytes(8, "little") + pa.Codec("zstd", 1).compress(
+        planes.tobytes(), asbytes=True)
+
+
+def unpacked(blob: bytes) -> np.ndarray:
+    size = int.from_bytes(blob[:8], "little")
+    if not size:
+        return np.zeros(0, np.int64)
+    planes = pa.Codec("zstd").decompress(blob[8:], 8 * size, asbytes=True)
+    steps = np.frombuffer(planes, np.uint8).reshape(8, size).T
+    return np.cumsum(np.ascontiguousarray(steps).view("<i8").ravel())
+
+
+def mixed(hashes: np.ndarray) -> np.ndarray:
+    """64-bit hashes with every input bit spread over all bits."""
+    hashes = hashes ^ (hashes >> np.uint64(33))
+    hashes *= np.uint64(0xFF51AFD7ED558CCD)
+    hashes ^= hashes >> np.uint64(29)
+    hashes *= np.uint64(0xC4CEB9FE1A85EC53)
+    return hashes ^ (hashes >> np.uint64(32))
+
+
+def bucket_of(hashes: np.ndarray, n: int) -> np.ndarray:
+    """The bucket of each 64-bit hash, of ``n`` (below 2**31); larger hashes never come earlier."""
+    return ((hashes >> np.uint64(33)) * np.uint64(n) >> np.uint64(31)).astype(np.int64)
+
+
 def bounded_sample(rows: DataFrame, key: str, n: int) -> DataFrame:
     """About ``n`` rows picked by a hash of ``key``, at most ``2 * n``; all if there are few.
 

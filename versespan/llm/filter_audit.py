@@ -4,7 +4,7 @@ Texts are read once, in blocks. A block becomes a shard of a sparse document-ter
 words are numbered inside the block, and a row of the shard table holds the compressed rows
 (where each document's entries start, their words, their counts) and the block's word list.
 The word lists of all shards make one dictionary that numbers words without gaps, a shard's
-list is exchanged for those numbers, and what is stored are shards of one matrix over all
+own numbers are exchanged for those, and what is stored are shards of one matrix over all
 documents. Row sums are then word counts and the number of a row's entries is the number of
 its distinct words.
 
@@ -42,15 +42,19 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from versespan.llm.common import as_bytes, text_blocks
+from versespan.llm.common import as_bytes, bucket_of, mixed, packed, text_blocks, unpacked
 from versespan.operators.joins import small_side
 from versespan.session import materialize
 
 FILTERS = "ABCDE"
 SHARD_BYTES = 4 << 20
+WORDS_PER_BUCKET = 1 << 19
 SHARDS = ("shard bigint, doc_ids array<bigint>, parts array<string>, digests array<binary>, "
-          "marks array<int>, starts array<int>, codes array<int>, counts array<int>, "
-          "words array<binary>")
+          "marks array<int>, starts array<int>, codes binary, counts binary, n_words bigint, "
+          "words binary")
+NUMBERED = "shard bigint, bucket bigint, n_words bigint, numbers binary, words binary"
+MATRIX = ("shard bigint, doc_ids array<bigint>, parts array<string>, digests array<binary>, "
+          "marks array<int>, starts array<int>, counts binary, indices binary")
 ROWS = "doc_id bigint, part string, digest binary, mask int"
 ORDERS = "array<struct<filter_order:string,step:int,bit:int,before:int>>"
 
@@ -71,19 +75,44 @@ def _sums(flags: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     return np.diff(np.concatenate([[0], np.cumsum(flags)])[offsets])
 
 
+def _word_hashes(words: pa.Array) -> np.ndarray:
+    data, offsets = as_bytes(words)
+    sizes = np.diff(offsets)
+    weights = np.full(int(sizes.max(initial=1)), 0x9E3779B97F4A7C15, np.uint64)
+    weights[0] = 1
+    np.multiply.accumulate(weights, out=weights)
+    place = np.arange(len(data)) - np.repeat(offsets[:-1], sizes)
+    return mixed(np.add.reduceat((data + np.uint64(1)) * weights[place], offsets[:-1])) \
+        if len(words) else np.zeros(0, np.uint64)
+
+
 def _shard(block: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, pa.Array]:
     """Where the entries of each text start, the entries' words (numbered in the block) and
-    counts, and the words."""
+    counts, and the words in the order of their hashes."""
     split = pc.ascii_split_whitespace(block)
     owner = np.repeat(np.arange(len(block)), pc.list_value_length(split).to_numpy())
     words = split.flatten()
     real = pc.not_equal(words, "")
     owner = owner[real.to_numpy(zero_copy_only=False)]
     encoded = words.filter(real).dictionary_encode()
-    pairs, counts = np.unique(owner.astype(np.int64) << 32 | encoded.indices.to_numpy(),
+    order = np.argsort(_word_hashes(encoded.dictionary), kind="stable")
+    code = np.empty(len(order), np.int64)
+    code[order] = np.arange(len(order))
+    pairs, counts = np.unique(owner.astype(np.int64) << 32 | code[encoded.indices.to_numpy()],
                               return_counts=True)
     starts = np.searchsorted(pairs, np.arange(len(block) + 1, dtype=np.int64) << 32)
-    return starts, pairs & 0xFFFFFFFF, counts, encoded.dictionary
+    return starts, pairs & 0xFFFFFFFF, counts, encoded.dictionary.take(pa.array(order))
+
+
+def _lines(words: pa.Array) -> bytes:
+    """Words, which hold no white space, as compressed lines."""
+    text = b"\n".join(words.cast(pa.large_binary()).to_pylist())
+    return len(text).to_bytes(8, "little") + pa.Codec("zstd", 1).compress(text, asbytes=True)
+
+
+def _words(blob: bytes) -> list[bytes]:
+    return pa.Codec("zstd").decompress(
+        blob[8:], int.from_bytes(blob[:8], "little"), asbytes=True).split(b"\n")
 
 
 def _read_shards(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -99,33 +128,65 @@ def _read_shards(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                        for a, b in zip(offsets[:-1], offsets[1:], strict=True)]
             here = batch.slice(done, len(block))
             done += len(block)
-            cells = [pa.scalar(task << 32 | number), here.column("doc_id"), here.column("part"),
-                     pa.array(digests, pa.binary()), pa.array(marks, pa.int32()),
-                     pa.array(starts, pa.int32()), pa.array(codes, pa.int32()),
-                     pa.array(counts, pa.int32()), words.cast(pa.large_binary()).cast(pa.binary())]
-            number += 1
+            lists = [here.column("doc_id"), here.column("part"), pa.array(digests, pa.binary()),
+                     pa.array(marks, pa.int32()), pa.array(starts, pa.int32())]
             yield pa.RecordBatch.from_arrays(
-                [pa.array([cells[0].as_py()], pa.int64()),
-                 *[pa.ListArray.from_arrays(pa.array([0, len(c)], pa.int32()), c)
-                   for c in cells[1:]]],
+                [pa.array([task << 32 | number], pa.int64()),
+                 *[pa.ListArray.from_arrays(pa.array([0, len(c)], pa.int32()), c) for c in lists],
+                 pa.array([packed(codes)], pa.binary()), pa.array([packed(counts)], pa.binary()),
+                 pa.array([len(words)], pa.int64()), pa.array([_lines(words)], pa.binary())],
                 ["shard", "doc_ids", "parts", "digests", "marks", "starts", "codes", "counts",
-                 "words"])
+                 "n_words", "words"])
+            number += 1
 
 
-def dictionary(words: DataFrame) -> DataFrame:
-    """``word, id``: the distinct values of ``word``, numbered from 0 without gaps.
+def dictionary(shards: DataFrame) -> DataFrame:
+    """Every distinct word of the shards numbered, and each shard's words as such numbers.
 
-    A task numbers the words it holds; the counts of the tasks, one row each, say where each
-    task's numbers begin. The numbers are written before they are used, so they stay.
+    Words are dealt to buckets by their hash; a shard's list is in the order of the hashes, so a
+    bucket takes one stretch of it. A bucket numbers its distinct words from 0. Rows with a
+    ``shard`` hold the ``numbers`` of that stretch, rows without hold the bucket's ``words`` and
+    how many they are. A word comes once from each shard, however often it is used there, and
+    the number of buckets follows the number of words, so a bucket's size does not grow.
     """
-    found = materialize(words.select("word").distinct().withColumn(
-        "place", F.monotonically_increasing_id()), "words")
-    task = F.shiftright("place", 33)
-    sizes = found.groupBy(task.alias("task")).count()
-    begin = sizes.select("task", (F.sum("count").over(Window.orderBy("task")) - F.col("count"))
-                         .alias("begin"))
-    return found.withColumn("task", task).join(small_side(begin), "task").select(
-        "word", (F.col("begin") + F.col("place").bitwiseAND((1 << 33) - 1)).alias("id"))
+    total = shards.agg(F.sum("n_words")).first()[0] or 0
+    n = total // WORDS_PER_BUCKET + 1
+
+    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for row in range(batch.num_rows):
+                if not batch.column("n_words")[row].as_py():
+                    continue
+                words = pa.array(_words(batch.column("words")[row].as_py()), pa.large_binary())
+                bucket = bucket_of(_word_hashes(words), n)
+                ends = np.searchsorted(bucket, np.unique(bucket), side="right")
+                for first, end in zip([0, *ends[:-1]], ends, strict=True):
+                    yield pa.RecordBatch.from_arrays(
+                        [batch.column("shard").slice(row, 1), pa.array([bucket[first]], pa.int64()),
+                         pa.array([_lines(words[first:end])], pa.binary())],
+                        ["shard", "bucket", "words"])
+
+    def number(group: pa.Table) -> pa.Table:
+        lists = [_words(blob.as_py()) for blob in group.column("words")]
+        sizes = np.cumsum([0, *map(len, lists)])
+        encoded = pa.array([w for words in lists for w in words], pa.large_binary()) \
+            .dictionary_encode()
+        order = np.argsort(_word_hashes(encoded.dictionary), kind="stable")
+        rank = np.empty(len(order), np.int64)
+        rank[order] = np.arange(len(order))
+        ranks = rank[encoded.indices.to_numpy()]
+        bucket = group.column("bucket")[0].as_py()
+        rows = [{"shard": s.as_py(), "bucket": bucket, "numbers": packed(ranks[a:b])}
+                for s, a, b in zip(group.column("shard"), sizes[:-1], sizes[1:], strict=True)]
+        words = {"shard": None, "bucket": bucket, "n_words": len(order),
+                 "words": _lines(encoded.dictionary.take(pa.array(order)))}
+        return pa.Table.from_pylist([*rows, words], pa.schema([
+            ("shard", pa.int64()), ("bucket", pa.int64()), ("n_words", pa.int64()),
+            ("numbers", pa.binary()), ("words", pa.binary())]))
+
+    dealt = shards.select("shard", "n_words", "words").mapInArrow(
+        deal, "shard bigint, bucket bigint, words binary")
+    return materialize(dealt.groupBy("bucket").applyInArrow(number, NUMBERED), "dictionary")
 
 
 def document_term_matrix(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
@@ -133,23 +194,34 @@ def document_term_matrix(docs: DataFrame, doc_id: str = "doc_id", text: str = "t
     """Stored shards of the document-term matrix, about ``SHARD_BYTES`` of text each.
 
     ``doc_ids``, ``parts``, ``digests`` (SHA-256 of the text) and ``marks`` (bits C and D) have an
-    entry a document; document i's entries are ``indices`` and ``counts`` from ``starts[i]`` to
-    before ``starts[i + 1]``. ``indices`` are numbers of the one dictionary.
-
-    A word travels once a shard, not once a document, so the words that all documents share
-    weigh no more than the rest.
+    entry a document; document i's entries are those of ``indices`` and ``counts`` (``unpacked``)
+    from ``starts[i]`` to before ``starts[i + 1]``. ``indices`` number the words of all shards
+    from 0 without gaps: a bucket's words follow those of the buckets before it.
     """
     shards = materialize(docs.select(
         F.col(doc_id).cast("bigint").alias("doc_id"),
         F.coalesce(F.col(part).cast("string"), F.lit("")).alias("part"),
         F.col(text).alias("text")).mapInArrow(_read_shards, SHARDS), "shards")
-    listed = shards.select("shard", F.posexplode("words").alias("code", "word"))
-    numbers = listed.join(dictionary(listed), "word").groupBy("shard").agg(
-        F.transform(F.array_sort(F.collect_list(F.struct("code", "id"))), lambda w: w["id"])
-        .alias("ids"))
-    whole = shards.drop("words").join(numbers, "shard", "left")
-    return materialize(whole.withColumn(
-        "indices", F.transform("codes", lambda c: F.col("ids")[c])).drop("codes", "ids"), "matrix")
+    known = dictionary(shards)
+    begin = known.filter("shard IS NULL").select("bucket", (F.sum("n_words").over(
+        Window.orderBy("bucket")) - F.col("n_words")).alias("begin"))
+    numbers = known.filter("shard IS NOT NULL").select("shard", "bucket", "numbers") \
+        .join(small_side(begin), "bucket").groupBy("shard").agg(
+            F.array_sort(F.collect_list(F.struct("bucket", "begin", "numbers"))).alias("stretches"))
+
+    def exchange(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for row in range(batch.num_rows):
+                stretches = batch.column("stretches")[row].as_py() or []
+                ids = np.concatenate([np.zeros(0, np.int64), *[
+                    s["begin"] + unpacked(s["numbers"]) for s in stretches]])
+                indices = ids[unpacked(batch.column("codes")[row].as_py())]
+                kept = batch.slice(row, 1).drop_columns(["codes", "stretches"])
+                yield kept.append_column("indices", pa.array([packed(indices)], pa.binary()))
+
+    return materialize(shards.drop("words", "n_words").join(numbers, "shard", "left").select(
+        "shard", "doc_ids", "parts", "digests", "marks", "starts", "counts", "codes", "stretches")
+        .mapInArrow(exchange, MATRIX), "matrix")
 
 
 def _read_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -159,8 +231,9 @@ def _read_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 return batch.column(name)[row].values
 
             starts = values("starts").to_numpy()
+            counts = unpacked(batch.column("counts")[row].as_py())
             entries = np.diff(starts)
-            sums = np.diff(np.concatenate([[0], np.cumsum(values("counts").to_numpy())])[starts])
+            sums = np.diff(np.concatenate([[0], np.cumsum(counts)])[starts])
             mask = values("marks").to_numpy() | np.where(sums < 50, 1, 0) \
                 | np.where(100 * entries < 65 * sums, 2, 0)
             yield pa.RecordBatch.from_arrays(

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from versespan.llm import (
     bpe,
     chat,
+    codebooks,
     counts,
     filter_audit,
     jaccard,
@@ -232,7 +233,7 @@ FILTER_AUDIT_SQL = r"""
 WITH t AS (
   SELECT doc_id, coalesce(source, '') AS part, coalesce(text, '') AS text FROM documents),
 w AS (
-  SELECT *, list_filter(regexp_split_to_array(text, '[\x20\x09-\x0D]+'), x -> x <> '') AS words,
+  SELECT *, list_filter(regexp_split_to_array(text, '[\x20\x09-\x0D]+'), lambda x: x <> '') AS words,
          min(doc_id) OVER (PARTITION BY text) AS least
   FROM t),
 l AS (
@@ -280,3 +281,63 @@ FROM r
 def op11_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return filter_audit.audit(read_table(spark, sf_dir, "documents"),
                               read_table(spark, sf_dir, "labels"))
+
+
+def _codebook_sql(entries: int = 256, rounds: int = 4, parts: int = 4) -> str:
+    """The rounds as one common table expression each: ``a`` assigns, ``c`` holds entries."""
+    def assign(r: int) -> str:
+        return f"""
+a{r} AS (
+  SELECT vec_id, part, x, entry, d FROM (
+    SELECT p.vec_id, p.part, p.x, c.entry,
+           list_sum(list_transform(range(1, len(p.x) + 1),
+             lambda i: (p.x[i] - c.x[i]) * (p.x[i] - c.x[i])))::BIGINT AS d
+    FROM p JOIN c{r} c ON p.part = c.part)
+  QUALIFY row_number() OVER (PARTITION BY vec_id, part ORDER BY d, entry) = 1)"""
+
+    def move(r: int) -> str:
+        return f"""
+m{r} AS (
+  SELECT part, entry, list(m ORDER BY place) AS x FROM (
+    SELECT part, entry, place, (s - ((s % n) + n) % n) // n AS m FROM (
+      SELECT part, entry, place, sum(v)::BIGINT AS s, count(*)::BIGINT AS n FROM (
+        SELECT part, entry, unnest(x) AS v, generate_subscripts(x, 1) AS place FROM a{r})
+      GROUP BY part, entry, place))
+  GROUP BY part, entry),
+c{r + 1} AS (
+  SELECT c.part, c.entry, coalesce(m.x, c.x) AS x
+  FROM c{r} c LEFT JOIN m{r} m ON c.part = m.part AND c.entry = m.entry)"""
+
+    steps = [assign(0)]
+    for r in range(rounds):
+        steps += [move(r), assign(r + 1)]
+    return f"""
+WITH v AS (
+  SELECT vec_id, label,
+         list_transform(embedding, lambda x: floor(1024 * x::DOUBLE)::BIGINT) AS q
+  FROM embeddings
+  WHERE embedding IS NOT NULL AND len(embedding) > 0
+    AND len(list_filter(embedding, lambda x: x IS NOT NULL AND isfinite(x))) = len(embedding)),
+p AS (
+  SELECT vec_id, part, q[part * (len(q) // {parts}) + 1:(part + 1) * (len(q) // {parts})] AS x
+  FROM v, range({parts}) r(part)),
+f AS (SELECT vec_id, row_number() OVER (ORDER BY vec_id) - 1 AS entry FROM v
+      ORDER BY vec_id LIMIT {entries}),
+c0 AS (SELECT part, entry, x FROM p JOIN f ON p.vec_id = f.vec_id),
+{",".join(steps)},
+h AS (
+  SELECT sha256(string_agg(array_to_string(x, ','), ',' ORDER BY part, entry)) AS codebooks_sha256
+  FROM c{rounds}),
+e AS (
+  SELECT vec_id, string_agg(lpad(lower(to_hex(entry)), 2, '0'), '' ORDER BY part) AS code,
+         sum(d)::BIGINT AS error
+  FROM a{rounds} GROUP BY vec_id)
+SELECT e.vec_id, code, error,
+       (sum(error) OVER (PARTITION BY label))::BIGINT AS label_error, codebooks_sha256
+FROM e JOIN v ON e.vec_id = v.vec_id, h
+"""
+
+
+@query("op13_adaptive_codes", _codebook_sql())
+def op13_adaptive_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return codebooks.codes(read_table(spark, sf_dir, "embeddings"))
