@@ -46,7 +46,7 @@ PARTS = 4
 ENTRIES = 256
 ROUNDS = 4
 SCALE = 1024
-ENOUGH = 0.999           # share of parts whose uncertain entries the next round's b covers
+ENOUGH = 0.95            # share of parts whose uncertain entries the next round's b covers
 LIMB_BITS = 32
 LARGEST = {"<f4": float(np.finfo("<f4").max), "<f8": float(np.finfo("<f8").max)}
 BLOCK_ROWS = 4096
