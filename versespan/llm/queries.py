@@ -20,6 +20,7 @@ from versespan.llm import (
     quality_cnn,
     quality_rules,
     secrets,
+    suffix_dedup,
     topk,
 )
 from versespan.llm.common import held_out, read_table
@@ -341,3 +342,35 @@ FROM e JOIN v ON e.vec_id = v.vec_id, h
 @query("op13_adaptive_codes", _codebook_sql())
 def op13_adaptive_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return codebooks.codes(read_table(spark, sf_dir, "embeddings"))
+
+
+REPEATS_SQL = """
+WITH d AS (
+  SELECT doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents),
+w AS (
+  SELECT doc_id, i, substr(h, 2 * i + 1, 100) AS s
+  FROM d, range(0, greatest((length(h) // 2) - 49, 0)) r(i)),
+g AS (SELECT doc_id, i FROM (SELECT doc_id, i, min(doc_id) OVER (PARTITION BY s) AS least FROM w)
+      WHERE least < doc_id),
+n AS (SELECT *, CASE WHEN i > 50 + lag(i) OVER (PARTITION BY doc_id ORDER BY i) THEN 1 ELSE 0 END AS new
+      FROM g),
+k AS (SELECT *, sum(new) OVER (PARTITION BY doc_id ORDER BY i) AS run FROM n),
+s AS (SELECT doc_id, min(i) AS a, max(i) + 50 AS b FROM k GROUP BY doc_id, run),
+p AS (SELECT doc_id, lag(b, 1, 0) OVER (PARTITION BY doc_id ORDER BY a) AS a, a AS b FROM s
+      UNION ALL SELECT doc_id, max(b), NULL FROM s GROUP BY doc_id),
+t AS (
+  SELECT p.doc_id, string_agg(CASE WHEN p.b IS NULL THEN substr(h, 2 * p.a + 1)
+                                   ELSE substr(h, 2 * p.a + 1, 2 * (p.b - p.a)) END,
+                              '' ORDER BY p.a) AS left_over
+  FROM p JOIN d ON p.doc_id = d.doc_id GROUP BY p.doc_id),
+c AS (SELECT doc_id, sum(b - a)::BIGINT AS n_removed, count(*) AS n_spans FROM s GROUP BY doc_id)
+SELECT d.doc_id, (length(h) // 2)::BIGINT AS n_bytes, coalesce(n_removed, 0)::BIGINT AS n_removed,
+       coalesce(n_spans, 0)::BIGINT AS n_spans,
+       sha256(unhex(coalesce(left_over, h))) AS kept_sha256
+FROM d LEFT JOIN c ON d.doc_id = c.doc_id LEFT JOIN t ON d.doc_id = t.doc_id
+"""
+
+
+@query("op12_grouped_suffixes", REPEATS_SQL)
+def op12_grouped_suffixes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.repeats(read_table(spark, sf_dir, "documents")).drop("spans")
