@@ -10,8 +10,8 @@ from pyspark.sql import functions as F
 
 from versespan import schemas
 from versespan.operators import (
-    commentaries, constraints, dictionary, errata, export, lookup, references, search,
-    selection, sheets, stories,
+    commentaries, constraints, dictionary, errata, export, intervals, lookup, references,
+    search, selection, sheets, stories,
 )
 from versespan.operators.joins import Checked
 from versespan.session import materialize
@@ -21,6 +21,11 @@ from versespan.streaming import sheets as sheet_log
 _RENDERED = ("source string, book string, title string, address string, a bigint, b bigint, "
              "language string, book_number int, start_chapter bigint, start_verse bigint, "
              "chapter bigint")
+_STORY_INDEX = ("source string, book string, title string, address string, a bigint, b bigint, "
+                "block bigint, lo bigint, hi bigint")
+_COMMENTARY_INDEX = ("language string, source_number int, book_number int, marker string, "
+                     "text string, chapter_from int, verse_from int, block bigint, lo bigint, "
+                     "hi bigint")
 _CHAPTERS = "language string, source string, book_number int, chapter int"
 
 
@@ -42,9 +47,10 @@ def build_corpus(spark: SparkSession, root: str, out: str, fmt: str = "parquet",
     """Merge the source files below ``root`` and store the corpus at ``out``.
 
     Texts and markers are corrected before anything reads them. Rows a table does not
-    accept go to ``rejects/<table>``. Three tables are derived and stored with the rest: the
-    chapters that exist, the rendered stories, and the fields of the dictionary's entries. ``refs`` is the path of a reference list
-    whose book names ``book_names`` (``name, number``) explains.
+    accept go to ``rejects/<table>``. Derived and stored with the rest are the chapters that
+    exist, the rendered stories, interval indexes of stories and commentaries, and the fields of
+    the dictionary's entries. ``refs`` is the path of a reference list whose book names
+    ``book_names`` (``name, number``) explains; references lie in order of their place.
     """
     merged = files.merge_corpus(_raw_tables(spark, root, fmt))
     if "verses" in merged:
@@ -60,12 +66,19 @@ def build_corpus(spark: SparkSession, root: str, out: str, fmt: str = "parquet",
     sinks.load_tables(accepted, out)
     if refs is not None and book_names is not None:
         numbered = references.normalize_cross_refs(files.read_cross_refs(spark, refs), book_names)
-        errata.add_missing_reference(numbered).write.mode("overwrite").parquet(f"{out}/refs")
+        place = ["book_number", "chapter", "verse"]
+        errata.add_missing_reference(numbered).repartitionByRange(*place) \
+            .sortWithinPartitions(*place).write.mode("overwrite").parquet(f"{out}/refs")
 
     stored = Corpus(spark, out)
     lookup.stored_directory(stored.verses).write.mode("overwrite").parquet(f"{out}/chapters")
     stories.render_stories(stored.stories, stored.books, stored.sources).write.mode(
         "overwrite").parquet(f"{out}/rendered")
+    intervals.store_index(stories.story_index(stored.rendered), ["source", "book"], "source",
+                          f"{out}/story_index")
+    intervals.store_index(commentaries.commentary_index(stored.commentaries),
+                          ["language", "source_number", "book_number"], "language",
+                          f"{out}/commentary_index")
     dictionary.read_entries(stored.dictionary).repartitionByRange("topic").write.mode(
         "overwrite").parquet(f"{out}/entries")
 
@@ -125,6 +138,14 @@ class Corpus:
     def rendered(self) -> DataFrame:
         return self._table("rendered", _RENDERED)
 
+    @property
+    def story_index(self) -> DataFrame:
+        return self._table("story_index", _STORY_INDEX)
+
+    @property
+    def commentary_index(self) -> DataFrame:
+        return self._table("commentary_index", _COMMENTARY_INDEX)
+
     @property
     def entries(self) -> DataFrame:
         return self._table("entries", dictionary.ENTRIES)
@@ -145,10 +166,10 @@ class Corpus:
         return lookup.verse_metadata(requests, self.verses, keyed=True)
 
     def fetch_commentaries(self, requests: DataFrame) -> Checked:
-        return commentaries.fetch_commentaries(requests, self.commentaries)
+        return commentaries.fetch_commentaries(requests, self.commentary_index)
 
     def fetch_stories(self, requests: DataFrame) -> Checked:
-        return stories.fetch_stories(requests, self.rendered)
+        return stories.fetch_stories(requests, self.story_index)
 
     def cross_references(self, requests: DataFrame) -> Checked:
         return references.cross_references(requests, self.refs, self.books)
@@ -168,8 +189,8 @@ class Corpus:
     def select(self, selected: DataFrame) -> selection.Bundle:
         return selection.selection_bundle(
             selected, verses=self.verses, books=self.books, sources=self.sources,
-            refs=self.refs, rendered=self.rendered, commentaries=self.commentaries,
-            dictionary=self.entries)
+            refs=self.refs, rendered=self.story_index, commentaries=self.commentary_index,
+            dictionary=self.entries, keyed=True)
 
     def export(self, requests: DataFrame) -> DataFrame:
         """JSON documents as ordered parts ``request_id, part, text``."""

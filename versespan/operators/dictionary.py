@@ -65,13 +65,19 @@ def verse_dictionary(requests: DataFrame, verses: DataFrame, dictionary: DataFra
         texts, ids = with_ids(verses, asked, keyed), small_side(ids, broadcast_rows)
     else:
         texts = verses.join(asked, "id", "left_semi")
+    small = bool(broadcast_rows) and is_small(dictionary, broadcast_rows)
+    return entries_of(texts, ids, dictionary, small)
+
+
+def entries_of(texts: DataFrame, ids: DataFrame, dictionary: DataFrame,
+               small: bool = False) -> Checked:
+    """Entries for the words of verses ``texts`` (``id, text``) asked for by ``ids``
+    (``request_id, id``); ``small`` says that the dictionary may be broadcast."""
     words = texts.select(
         "id", F.explode(verse_words(F.col("text"))).alias("verse_word")).distinct()
-
-    raw = "definition" in dictionary.columns
-    parsed = read_entries(dictionary) if raw else dictionary
+    parsed = read_entries(dictionary) if "definition" in dictionary.columns else dictionary
     parsed = parsed.select("topic", "well_formed", "word", "meaning", "parse", "forms")
-    if broadcast_rows and is_small(dictionary, broadcast_rows):    # the fields are no longer
+    if small:
         parsed = F.broadcast(parsed)
     met = words.join(parsed, words["verse_word"] == parsed["topic"], "left").join(ids, "id")
     broken = F.coalesce(~F.col("well_formed"), F.lit(False))

@@ -93,8 +93,11 @@ def answer_once(requests: DataFrame, by: list[str], answer: Callable[[DataFrame]
     answers are handed back to the requests. Distinct questions are estimated first, so
     requests that hardly repeat themselves are not shuffled to find that out.
     """
-    if not broadcast_rows or is_small(requests, broadcast_rows):
+    if not broadcast_rows:
         return answer(requests)
+    few = measured(requests, broadcast_rows).rows
+    if few is not requests:              # what was read is the answer's input from here on
+        return answer(few)
     keyed = requests.withColumn("question", F.to_json(F.struct(*by)))
     if keyed.agg(F.approx_count_distinct("question")).first()[0] > 1.2 * broadcast_rows:
         return answer(requests)

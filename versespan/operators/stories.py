@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from versespan.functions import address as A
+from versespan.operators.intervals import covering, interval_index
 from versespan.operators.joins import (
-    BROADCAST_ROWS, Checked, answer_once, explode_range, next_position, repeat_rows, small_side,
+    BROADCAST_ROWS, Checked, answer_once, explode_range, measured, next_position, repeat_rows,
+    small_side,
 )
 from versespan.operators.lookup import parse_requests
 from versespan.operators.ranges import with_blocks
@@ -105,32 +108,51 @@ def in_story_order(rendered: DataFrame) -> DataFrame:
         "language", "source", "book_number", "start_chapter", "start_verse", "chapter")])
 
 
+def story_index(rendered: DataFrame) -> DataFrame:
+    """Rendered stories as an interval index by source and book, as a corpus stores them."""
+    return interval_index(rendered.filter(F.col("a") < F.col("b")).select(
+        *STORY_COLUMNS, F.col("a").alias("lo"), F.col("b").alias("hi")))
+
+
+def ranges_asked(ranges: DataFrame) -> DataFrame:
+    """Verse ranges ``(request_id, source, book, chapter, lo, hi)`` as the pieces an index is
+    asked for, one per block."""
+    pieces = with_blocks(ranges.select(
+        "request_id", "source", "book", A.position(F.col("chapter"), F.col("lo")).alias("_lo"),
+        A.position(F.col("chapter"), F.col("hi")).alias("_hi")), F.col("_lo"), F.col("_hi"))
+    base = F.col("block") * A.POSITIONS_PER_CHAPTER
+    return pieces.select(
+        "request_id", "source", "book", F.col("block").cast("bigint").alias("block"),
+        F.greatest("_lo", base).alias("first"),
+        F.least(F.col("_hi"), base + (A.POSITIONS_PER_CHAPTER - 1)).alias("last"))
+
+
+def stories_met(index: DataFrame, pieces: DataFrame, values: pa.Table | None) -> DataFrame:
+    """Stories that cover verses of the pieces, a row per verse covered."""
+    met = covering(index, pieces, ["source", "book"], values)
+    covered = F.least("hi", "last") - F.greatest("lo", "first") + 1
+    return repeat_rows(met.select("request_id", *STORY_COLUMNS, covered.alias("covered")),
+                       "covered")
+
+
 def fetch_stories(requests: DataFrame, rendered: DataFrame,
                   broadcast_rows: int = BROADCAST_ROWS) -> Checked:
     """Stories covering the verses of each ``(request_id, source, address)``.
 
-    One row per covered verse, as many times as the address names it. Address ranges stay
-    ranges: they meet the stories per chapter block and only the overlap is written out.
+    ``rendered`` holds the rendered stories, or the index ``story_index`` made of them, of
+    which a request reads its blocks only. One row per covered verse, as many times as the
+    address names it: address ranges stay ranges and only the overlap is written out.
     """
-    told = with_blocks(rendered.select(*STORY_COLUMNS).filter(F.col("a") < F.col("b")),
-                       F.col("a"), F.col("b"))
+    index = rendered if "block" in rendered.columns else story_index(rendered)
 
     def answer(requested: DataFrame) -> DataFrame:
         parsed = parse_requests(requested).rows
-        ranges = parsed.filter(F.col("parts").isNotNull()).select(
-            "request_id", "source", "book", F.col("chapter").alias("_c"),
-            F.explode("parts").alias("_p"))
-        asked = with_blocks(ranges.select(
-            "request_id", "source", "book",
-            A.position(F.col("_c"), F.col("_p.lo")).alias("lo"),
-            A.position(F.col("_c"), F.col("_p.hi")).alias("hi")), F.col("lo"), F.col("hi"))
+        pieces, values = ranges_asked(parsed.filter(F.col("parts").isNotNull()).select(
+            "request_id", "source", "book", "chapter", F.explode("parts").alias("_p")).select(
+            "request_id", "source", "book", "chapter", "_p.lo", "_p.hi")), None
         if broadcast_rows:
-            asked = small_side(asked, broadcast_rows)
-        base = F.col("block") * A.POSITIONS_PER_CHAPTER
-        lo = F.greatest("lo", "a", base)
-        hi = F.least(F.col("hi"), F.col("b"), base + A.POSITIONS_PER_CHAPTER - 1)
-        met = told.join(asked, ["source", "book", "block"]).withColumn("covered", hi - lo + 1)
-        return repeat_rows(met.select("request_id", *STORY_COLUMNS, "covered"), "covered")
+            pieces, values = measured(pieces, broadcast_rows)
+        return stories_met(index, pieces, values)
 
     asked = requests.select("request_id", "source", "address")
     return Checked(answer_once(asked, ["source", "address"], answer, broadcast_rows),
