@@ -51,7 +51,7 @@ def selection_requests(selected: DataFrame) -> DataFrame:
 
     named = own.filter(F.col("_a.error").isNull() & F.col("_a.parts").isNotNull()).select(
         "request_id", "source", F.col("_a.book").alias("book"), F.col("_a.chapter").alias("chapter"))
-    references = numbers.select("request_id", "verse").join(named, "request_id").select(
+    references = numbers.select("request_id", "verse").hint("merge").join(named, "request_id").select(
         F.lit("reference").alias("lookup"), "request_id", "source",
         F.lit(None).cast("string").alias("id"), "book", "chapter", F.col("verse").alias("lo"),
         F.col("verse").alias("hi"))
@@ -78,10 +78,16 @@ def selection_bundle(selected: DataFrame, *, verses: DataFrame, books: DataFrame
     Cross references come up for every selection, by its verses in its first verse's chapter.
     Dictionary, commentaries and stories come up where exactly one verse is selected. All
     lookups share one frame of requests, which is measured once: a small one is kept, broadcast
-    and prunes what is read; a large one is written, and its joins are left to Spark.
+    and prunes what is read; a large one is written, and its joins are left to Spark. What the
+    frame is made of is measured too, as a few rows need no shuffle.
     ``commentaries`` and ``rendered`` are the tables or their stored indexes; ``keyed`` says
     that verse ids are made of the verse's own columns.
     """
+    selected = selected.select("request_id", "book_number", "chapter", "verse", "language", "source",
+                               "id", "address")
+    if broadcast_rows:                        # few rows are put together in one task
+        few = measured(selected, broadcast_rows).rows
+        selected = selected if few is selected else few.coalesce(1)
     frame = selection_requests(selected)
     asked, values = measured(frame, broadcast_rows) if broadcast_rows else (frame, None)
     if asked is frame:
