@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from versespan.functions import address as A
 from versespan.functions import text as X
 from versespan.functions.core import squeeze
 from versespan.functions.greek import greek_to_betacode
@@ -11,9 +12,11 @@ from versespan.operators import commentaries as C
 from versespan.operators import dictionary as D
 from versespan.operators import lookup as L
 from versespan.operators import stories as S
+from versespan.operators.intervals import store_index
 from versespan.operators.references import first_book_names
 from versespan.plans import corpus as K
 from versespan.plans.registry import query
+from versespan.session import shared_dir
 
 _VERSE_COLUMNS = ["request_id", "id", "language", "source", "book", "address",
                   "source_number", "book_number", "chapter", "verse", "text"]
@@ -271,3 +274,45 @@ def source_search(spark, d):
     return L.list_sources(rows, F.lit("OF E"))
 
 
+
+
+def _first_verses(spark, d):
+    """A request for the first verse of each document's first chapter, whether there is one."""
+    return K.documents(spark, d).select(
+        F.col("doc_id").alias("request_id"), A.verse_id(
+            F.col("lang"), F.col("source_number"), F.col("book_number"), F.lit(1), F.lit(1))
+        .alias("verse_id"))
+
+
+@query("commentaries_from_index", f"""with {K.VERSES},
+commentaries as (select language, source_number, book_number, chapter cf, verse vf,
+    chapter + length(text) % 3 ct, verse + 5 vt, substr(text,1,3) marker, text
+  from verses where length(text) % 11 = 0)
+select d.doc_id request_id, c.marker, c.text, c.cf chapter_from, c.vf verse_from
+from documents d join commentaries c on c.language = d.lang
+  and c.source_number = d.doc_id % 20 and c.book_number = d.doc_id // 20
+where 1001 between 1000 * c.cf + c.vf and 1000 * c.ct + c.vt""")
+def commentaries_from_index(spark, d):
+    """The index is built, stored and asked."""
+    path = shared_dir(spark, "commentary-index")
+    store_index(C.commentary_index(K.commentaries(spark, d)),
+                ["language", "source_number", "book_number"], "language", path)
+    return C.fetch_commentaries(_first_verses(spark, d), spark.read.parquet(path)).rows
+
+
+@query("stories_from_index", f"""with {K.STORIES}
+select doc_id request_id, d.source, r.book, r.title, r.address, cast(r.a as bigint) a,
+  cast(r.b as bigint) b
+from documents d join rendered r on r.source = d.source and r.book = concat('B', d.doc_id // 20),
+  (values (1002), (1003)) p(pos)
+where pos between r.a and r.b and r.a <> r.b""")
+def stories_from_index(spark, d):
+    """The index is built, stored and asked."""
+    path = shared_dir(spark, "story-index")
+    rendered = S.render_stories(K.stories(spark, d), K.books(spark, d), K.sources(spark, d))
+    store_index(S.story_index(rendered), ["source", "book"], "source", path)
+    requests = K.table(spark, d, "documents").select(
+        F.col("doc_id").alias("request_id"), "source", F.concat(
+            F.lit("B"), F.floor(F.col("doc_id") / 20).cast("string"), F.lit(" 1,2-3"))
+        .alias("address"))
+    return S.fetch_stories(requests, spark.read.parquet(path)).rows
