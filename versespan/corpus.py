@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from versespan import schemas
 from versespan.operators import (
-    commentaries, constraints, dictionary, errata, export, intervals, lookup, references,
+    cells, commentaries, constraints, dictionary, errata, export, intervals, lookup, references,
     search, selection, sheets, stories,
 )
 from versespan.operators.joins import Checked
@@ -223,6 +223,17 @@ class Corpus:
     def list_sources(self, query: str = "") -> DataFrame:
         return lookup.list_sources(self.sources, F.lit(query))
 
+    def index_vectors(self) -> None:
+        """Deal the stored vectors of existing verses to cells, for ``nearest``."""
+        cells.store_cells(self.verses.select("id", "source").join(
+            self.embeddings.select("id", "embedding"), "id"), f"{self.path}/cells")
+
+    def nearest(self, queries: DataFrame, k: int = search.RESULTS) -> DataFrame:
+        """The ``k`` verses of its source nearest to each ``(request_id, source, vector)``, as
+        ``index_vectors`` last saw them."""
+        return cells.nearest_in_cells(
+            queries, cells.read_cells(self.spark, f"{self.path}/cells"), k).rows
+
     def embed_source(self, source: str, embed: search.Embed) -> DataFrame:
         """Embed what a source still lacks, store it, and return the texts that failed."""
         new = materialize(search.embed_backlog(
