@@ -182,6 +182,17 @@ class Corpus:
         return dictionary.verse_dictionary(requests, self.verses, self.entries,
                                            keyed=True)
 
+    def index_vectors(self) -> None:
+        """Deal the stored vectors of existing verses to cells, for ``nearest``."""
+        cells.store_cells(self.verses.select("id", "source").join(
+            self.embeddings.select("id", "embedding"), "id"), f"{self.path}/cells")
+
+    def nearest(self, queries: DataFrame, k: int = search.RESULTS) -> DataFrame:
+        """The ``k`` verses of its source nearest to each ``(request_id, source, vector)``, as
+        ``index_vectors`` last saw them."""
+        return cells.nearest_in_cells(
+            queries, cells.read_cells(self.spark, f"{self.path}/cells"), k).rows
+
     def search(self, requests: DataFrame, embed: search.Embed, k: int = search.RESULTS) -> Checked:
         return search.search_verses(requests, self.verses, self.books, self.embeddings, embed,
                                     k, chapters=self.chapters)
@@ -210,7 +221,14 @@ class Corpus:
                                      self.chapters)
 
     def cleanup_sheets(self, as_of: Column) -> sheets.Cleanup:
-        return sheets.cleanup_sheets(self.sheets, as_of)
+        """Store the sheet table anew without stale sheets: what is kept, and how many went."""
+        removed = materialize(sheets.cleanup_sheets(self.sheets, as_of).removed, "removed")
+        sheet_log.fold(self.spark, f"{self.path}/sheets", as_of)
+        return sheets.Cleanup(self.sheets, removed)
+
+    def fold_sheets(self) -> None:
+        """Put the changes so far into a snapshot, so that later reads open fewer folders."""
+        sheet_log.fold(self.spark, f"{self.path}/sheets")
 
     def expand_batch(self, inputs: DataFrame) -> DataFrame:
         return sheets.expand_batch(inputs)
@@ -223,17 +241,6 @@ class Corpus:
     def list_sources(self, query: str = "") -> DataFrame:
         return lookup.list_sources(self.sources, F.lit(query))
 
-    def index_vectors(self) -> None:
-        """Deal the stored vectors of existing verses to cells, for ``nearest``."""
-        cells.store_cells(self.verses.select("id", "source").join(
-            self.embeddings.select("id", "embedding"), "id"), f"{self.path}/cells")
-
-    def nearest(self, queries: DataFrame, k: int = search.RESULTS) -> DataFrame:
-        """The ``k`` verses of its source nearest to each ``(request_id, source, vector)``, as
-        ``index_vectors`` last saw them."""
-        return cells.nearest_in_cells(
-            queries, cells.read_cells(self.spark, f"{self.path}/cells"), k).rows
-
     def embed_source(self, source: str, embed: search.Embed) -> DataFrame:
         """Embed what a source still lacks, store it, and return the texts that failed."""
         new = materialize(search.embed_backlog(

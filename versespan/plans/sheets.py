@@ -258,3 +258,31 @@ def sheet_ids(spark, d):
     version = F.when(F.col("event_id") % 3 == 0, "9").otherwise("4")
     sheet_id = F.concat(F.lit("0Aa00000-0000-"), version, F.lit("000-b000-"), event)
     return K.table(spark, d, "events").select("event_id", J.is_sheet_id(sheet_id).alias("valid"))
+
+
+@query("sheet_snapshot", f"""with c as (
+  select cast(user_id as varchar) id, ts, event_id % 3 batch_id, case event_id % 4
+    when 0 then '{{"title": "  "}}' when 1 then props when 2 then '[1]' else '{{"title": " x"}}' end as data
+  from events),
+s as (select id, arg_max(data, (ts, batch_id, data)) as data, min(ts) ts from c group by id)
+select id, data, {_SQL_STAMP.format('ts')} created_at from s
+where not (data <> '{{"title": " x"}}' and ts < timestamp '{_AS_OF}' - interval 7 days)""")
+def sheet_snapshot(spark, d):
+    """Two batches are folded, one of them comes again, a third follows and is folded with the
+    clean-up; the table is read from the snapshot."""
+    root = f"{shared_dir(spark, 'sheet-snapshot')}/table"
+    changes = _event_sheets(spark, d).join(
+        K.table(spark, d, "events").select(F.col("event_id").alias("id"), "user_id"), "id").select(
+        F.col("user_id").cast("string").alias("id"), "data", F.col("created_at").alias("ts"),
+        (F.col("id") % 3).alias("batch"))
+
+    def write(batch):
+        T.write_changes(changes.filter(F.col("batch") == batch).drop("batch"), root, batch)
+
+    write(0)
+    write(1)
+    T.fold(spark, root)
+    write(1)
+    write(2)
+    T.fold(spark, root, F.lit(_AS_OF).cast("timestamp"))
+    return T.current_sheets(spark, root).withColumn("created_at", _stamp("created_at"))

@@ -49,6 +49,43 @@ def shared_dir(spark: SparkSession, purpose: str) -> str:
     return f"{root.rstrip('/')}/{purpose}-{uuid.uuid4().hex}"
 
 
+class Files:
+    """The folder operations of the file system a path lies in, wherever that is."""
+
+    def __init__(self, spark: SparkSession, root: str):
+        self._path = spark._jvm.org.apache.hadoop.fs.Path
+        self._system = self._path(root).getFileSystem(spark._jsc.hadoopConfiguration())
+
+    def names(self, folder: str) -> list[str]:
+        """What lies in a folder; nothing if it is not there."""
+        if not self._system.exists(self._path(folder)):
+            return []
+        return sorted(f.getPath().getName() for f in self._system.listStatus(self._path(folder)))
+
+    def read(self, path: str) -> str:
+        stream = self._system.open(self._path(path))
+        try:
+            return bytes(stream.readAllBytes()).decode()
+        finally:
+            stream.close()
+
+    def publish(self, path: str, text: str) -> None:
+        """Make a small file appear whole, or fail if there is one of its name."""
+        draft = f"{path}.{uuid.uuid4().hex}.draft"
+        stream = self._system.create(self._path(draft), False)
+        try:
+            stream.write(text.encode())
+        finally:
+            stream.close()
+        if self._system.exists(self._path(path)) or not self._system.rename(
+                self._path(draft), self._path(path)):
+            self.remove(draft)
+            raise FileExistsError(path)
+
+    def remove(self, path: str) -> None:
+        self._system.delete(self._path(path), True)
+
+
 def materialize(df: DataFrame, purpose: str) -> DataFrame:
     """Write ``df`` to the shared folder and read it back.
 
