@@ -26,7 +26,8 @@ _STORY_INDEX = ("source string, book string, title string, address string, a big
 _COMMENTARY_INDEX = ("language string, source_number int, book_number int, marker string, "
                      "text string, chapter_from int, verse_from int, block bigint, lo bigint, "
                      "hi bigint")
-_CHAPTERS = "language string, source string, book_number int, chapter int"
+_CHAPTERS = ("language string, source string, book string, book_number int, chapter int, "
+             "n bigint")
 
 
 def _raw_tables(spark: SparkSession, root: str, fmt: str) -> dict[str, DataFrame]:
@@ -193,6 +194,10 @@ class Corpus:
         return cells.nearest_in_cells(
             queries, cells.read_cells(self.spark, f"{self.path}/cells"), k).rows
 
+    def browse(self, requests: DataFrame, k: int = search.RESULTS) -> Checked:
+        """The first ``k`` verses of each address."""
+        return search.browse(requests, self.verses, self.books, k, self.chapters)
+
     def search(self, requests: DataFrame, embed: search.Embed, k: int = search.RESULTS) -> Checked:
         return search.search_verses(requests, self.verses, self.books, self.embeddings, embed,
                                     k, chapters=self.chapters)
@@ -205,7 +210,8 @@ class Corpus:
 
     def export(self, requests: DataFrame) -> DataFrame:
         """JSON documents as ordered parts ``request_id, part, text``."""
-        return export.export_documents(export.export_rows(requests, self.verses).rows)
+        return export.export_documents(export.export_rows(
+            requests, self.verses, self.chapters).rows)
 
     def upsert_sheets(self, changes: DataFrame, batch_id: int) -> DataFrame:
         """Store a batch of ``id, data, ts`` changes and return those without data, which are

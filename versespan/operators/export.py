@@ -8,7 +8,7 @@ from pyspark.sql.window import Window
 
 from versespan.functions import address as A
 from versespan.functions import text as X
-from versespan.operators.joins import PART_LINES, Checked, computed, in_parts, small_side
+from versespan.operators.joins import PART_LINES, Checked, computed, in_parts, measured, pruned
 from versespan.operators.sheets import decode_sheets, pericope_verses, shown_items
 
 
@@ -23,7 +23,7 @@ def export_rows(requests: DataFrame, verses: DataFrame,
 
     A source stored under several languages is read from the first. Whole books are
     expanded over the chapters that exist, so all requests meet the verses in one join on
-    (language, source, book, chapter).
+    (language, source, book, chapter); few of these reach the scan as literals.
     """
     parsed = computed(requests.select("request_id", "address", "source"),
                       A.export_parts(F.col("address")), "_a")
@@ -32,15 +32,16 @@ def export_rows(requests: DataFrame, verses: DataFrame,
         F.col("_a.book").alias("book"), F.col("_a.chapter").alias("_c"),
         F.col("_a.parts").alias("_p"))
     columns = ["source", "book", "book_name", "chapter", "verse", "text"]
-    have = (chapters if chapters is not None else export_directory(verses))
+    have = export_directory(verses if chapters is None else chapters)
     stored = have.groupBy("source").agg(F.min("language").alias("language"))
     keys = ["language", "source", "book"]
     chosen = wanted.join(stored, "source").withColumn("_key", F.coalesce("_c", F.lit(-1)))
     there = have.select(*keys, "chapter", F.explode(F.array(
         F.col("chapter"), F.lit(-1))).alias("_key"))
-    places = small_side(chosen.join(there, [*keys, "_key"]).select(
+    places, values = measured(chosen.join(there, [*keys, "_key"]).select(
         "request_id", "requested", *keys, "chapter", "_p"))
-    rows = verses.select("language", *columns).join(places, [*keys, "chapter"]).filter(
+    stored = pruned(verses.select("language", *columns), values, [*keys, "chapter"])
+    rows = stored.join(places, [*keys, "chapter"]).filter(
         A.contains_verse(F.col("_p"), F.col("verse"))).select(
         "request_id", "requested", *columns)
     rejects = parsed.filter(F.col("_a.error").isNotNull()).select(

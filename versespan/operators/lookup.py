@@ -5,6 +5,7 @@ from __future__ import annotations
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from versespan.functions import address as A
 from versespan.functions import text as X
@@ -46,8 +47,31 @@ def chapter_directory(verses: DataFrame) -> DataFrame:
 
 
 def stored_directory(verses: DataFrame) -> DataFrame:
-    """The same with the language each source's chapter is stored under."""
-    return verses.select("language", "source", "book_number", "chapter").distinct()
+    """The same with the language each source's chapter is stored under, the book's name, and
+    how many verses it has."""
+    return verses.groupBy("language", "source", "book", "book_number", "chapter").agg(
+        F.count("*").alias("n"))
+
+
+def first_chapters(wanted: DataFrame, counts: DataFrame, k: int) -> DataFrame:
+    """Of the chapters each request names, those that can hold one of its first ``k`` verses in
+    canonical order.
+
+    Verse counts are added up in the order of the chapters, so the chapters are known before a
+    verse is read. Rows that name verses of a chapter (``parts``) are left as they are.
+    """
+    key = ["source", "book_number", "chapter"]
+    sizes = counts.groupBy(*key).agg(F.sum("n").alias("n"))
+    whole = wanted.filter(F.col("parts").isNull())
+    place = ["request_id", "book_number", "chapter"]
+    totals = whole.join(sizes, key, "left").groupBy(*place).agg(
+        F.sum(F.coalesce("n", F.lit(0))).alias("n"))
+    before = F.sum("n").over(Window.partitionBy("request_id").orderBy(
+        "book_number", "chapter").rowsBetween(Window.unboundedPreceding, -1))
+    kept = totals.withColumn("_before", F.coalesce(before, F.lit(0))).filter(
+        F.col("_before") < k).select(*place)
+    return wanted.filter(F.col("parts").isNotNull()).unionByName(
+        whole.join(kept, place, "left_semi").select(*wanted.columns))
 
 
 ID_PARTS = ["language", "source_number", "book_number", "chapter", "verse"]
@@ -109,16 +133,24 @@ def in_languages(verses: DataFrame, values, chapters: DataFrame | None) -> DataF
     return verses.filter(F.col("language").isin([r["language"] for r in languages]))
 
 
+def counted(chapters: DataFrame | None) -> bool:
+    """Whether a directory counts the verses of its chapters."""
+    return chapters is not None and "n" in chapters.columns
+
+
 def fetch_verses(requests: DataFrame, verses: DataFrame, books: DataFrame,
                  chapters: DataFrame | None = None,
-                 broadcast_rows: int = BROADCAST_ROWS) -> Checked:
+                 broadcast_rows: int = BROADCAST_ROWS, first: int | None = None) -> Checked:
     """Verses of each request ``(request_id, address, source or NULL)``.
 
-    A request finds each verse once. The verse table is read once and, while the requests
+    If only the ``first`` verses in canonical order are wanted, and ``chapters`` counts verses
+    (``n``), chapters that can hold none of them are not read. A request finds each verse once. The verse table is read once and, while the requests
     or at least the different questions among them are few, never shuffled.
     """
     def answer(asked: DataFrame) -> DataFrame:
         wanted, stored = wanted_chapters(asked, books, verses, chapters).rows, verses
+        if first is not None and counted(chapters):
+            wanted = first_chapters(wanted, chapters, first)
         if broadcast_rows:
             wanted, values = measured(wanted, broadcast_rows)
             stored = in_languages(pruned(verses, values, ["source", "book_number", "chapter"]),
