@@ -57,3 +57,28 @@ def test_clean_documents_stay(spark, sf_dir):
     left = {r["doc_id"] for r in kept.select("doc_id").collect()}
     assert len(clean & left) >= 0.97 * len(clean)
     assert quality_cnn.SAMPLE_TEXTS and quality_rules.MIN_WORDS
+
+
+def test_stages_keep_columns_of_any_name(spark):
+    """Extra columns that are called like the stages' own ones, nulls, repeated and no rows."""
+    schema = ("doc_id long, text string, lang string, source string, n_chars long, _copy string, "
+              "_clean string, _CLEAN_ int")
+    words = " ".join(f"w{i}" for i in range(30))
+    rows = [(1, words, "en", "s", 5, "a", "b", 1), (2, words + " more", "en", "s", 5, "c", "d", 2),
+            (3, None, None, None, None, None, None, None), (None, words, "en", "s", 5, "e", "f", 3),
+            (4, 'password: "hunter2hunter2"', "en", "s", 9, "g", "h", 4),
+            (4, 'password: "hunter2hunter2"', "en", "s", 9, "g", "h", 4)]
+    docs = spark.createDataFrame(rows, schema)
+    kept = corpus_pipeline.near_duplicates(spark, docs, "")
+    assert kept.columns == docs.columns
+    assert sorted(map(tuple, kept.collect()), key=repr) == sorted(
+        [r for r in rows if r[0] != 2], key=repr)
+    clean = corpus_pipeline.without_secrets(spark, docs, "")
+    assert clean.schema == docs.schema
+    found = clean.collect()
+    assert [tuple(r)[5:] for r in found] == [r[5:] for r in rows]
+    assert [r["text"] for r in found[:4]] == [r[1] for r in rows[:4]]
+    assert all("hunter2" not in r["text"] and r["n_chars"] == len(r["text"]) for r in found[4:])
+    none = spark.createDataFrame([], schema)
+    assert corpus_pipeline.near_duplicates(spark, none, "").collect() == []
+    assert corpus_pipeline.without_secrets(spark, none, "").collect() == []

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from versespan.llm.common import as_bytes, text_blocks
+from versespan.llm.common import as_bytes, spare_name, text_blocks
 from versespan.llm.shingles import mixed, shingle_sets
 from versespan.session import materialize
 
@@ -489,8 +489,8 @@ def keep_first(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> D
     The ids that go are sent to all tasks up to a million of them, so that texts need not move;
     beyond that both sides are shuffled.
     """
-    labels = near_duplicates(docs, doc_id, text)
-    copies = materialize(labels.filter(F.col("component_id") < F.col(doc_id)).select(
-        F.col(doc_id).alias("_copy")).distinct(), "copies")
+    labels, copy = near_duplicates(docs, doc_id, text), spare_name(docs, "_copy")
+    copies = materialize(labels.filter(F.col("component_id") < F.col("doc_id")).select(
+        F.col("doc_id").alias(copy)).distinct(), "copies")
     copies = F.broadcast(copies) if copies.count() <= BROADCAST_IDS else copies
-    return docs.join(copies, F.col(doc_id) == F.col("_copy"), "left_anti")
+    return docs.join(copies, F.col(doc_id) == F.col(copy), "left_anti")
