@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from versespan.llm import jaccard, packing, quality_cnn, quality_rules, secrets
-from versespan.llm.common import held_out, read_table
+from versespan.llm.common import held_out, read_table, spare_name
 from versespan.session import materialize
 
 
@@ -32,13 +32,14 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def without_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Secrets are replaced in the texts; ``n_chars`` follows where a text changed."""
-    model = secrets.fit(docs)
-    clean = docs.withColumn("_clean", secrets.redacted(model, F.col("text")))
-    changed = F.col("_clean") != F.col("text")
+    """Secrets are replaced in the texts; ``n_chars`` follows where a text changed. A NULL text
+    stays NULL; other columns, whatever their names, stay as they are."""
+    model, name = secrets.fit(docs), spare_name(docs, "_clean")
+    clean = docs.withColumn(name, secrets.redacted(model, F.col("text")))
+    changed = F.col(name) != F.col("text")
     return clean.select(*[
-        F.col("_clean").alias(c) if c == "text" else
-        F.when(changed, F.length("_clean")).otherwise(F.col(c)).cast(
+        F.col(name).alias(c) if c == "text" else
+        F.when(changed, F.length(name)).otherwise(F.col(c)).cast(
             docs.schema[c].dataType).alias(c) if c == "n_chars" else F.col(c)
         for c in docs.columns])
 
