@@ -7,10 +7,14 @@ complemented where the query's component is negative, and full adders reduce the
 each weight to one, carries going to the next. The sum's slices are then read from the most
 significant downward, keeping the rows that are surely in and those still level. Rows level to
 the last slice are tied; the smallest ids of them fill the rest.
+
+Rows whose quantised components do not fit 64-bit arithmetic are in blocks of their own, and
+their values, slices' weights and scores are Python's integers.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -23,18 +27,33 @@ from versespan.session import materialize
 
 ROWS_PER_BLOCK = 1 << 13
 QUERIES_PER_BLOCK = 1 << 9
-LIMIT = 1 << 24          # largest quantised component taken
-MATCHES = "query_id bigint, vec_id bigint, score bigint"
+FACTOR = 256
+LIMIT = 1 << 24          # quantised components from here on make a row a wide one
+NARROW_DIMS = 1 << 14    # longer vectors are wide ones, too: a sum of products would not fit
+WIDE_SHARE = 32          # a block of wide rows has this share of the rows, as it has more slices
+MATCHES = "query_id bigint, vec_id bigint, size int, score bigint, beyond binary"
+BEYOND_BITS = 4096       # scores that no bigint holds are compared as integers of this width
+
+
+def takes_part(vector: Column) -> Column:
+    """False for NULL and empty vectors and those with a NULL or non-finite component."""
+    return F.coalesce((F.size(vector) > 0) & F.forall(vector, lambda x: F.coalesce(
+        ~F.isnan(x) & (F.abs(x) < float("inf")), F.lit(False))), F.lit(False))
+
+
+def is_wide(vector: Column) -> Column:
+    return (F.size(vector) > NARROW_DIMS) | F.exists(
+        vector, lambda x: F.abs(x.cast("double") * FACTOR) >= LIMIT)
+
 
+def quantised(vector: Column) -> Column:
+    """floor(256 * x) of each component as an array of bigint, for vectors that are not wide."""
+    return F.transform(vector, lambda x: F.floor(x.cast("double") * FACTOR))
 
-def quantised(vector: Column, factor: int = 256) -> Column:
-    """floor(factor * x) of each component as an array of bigint, NULL for vectors that take no
-    part: NULL or empty ones, those with a NULL or non-finite component, and those with a
-    quantised component beyond ``LIMIT`` in size (their scores may not fit a bigint)."""
-    scaled = F.transform(vector, lambda x: x.cast("double") * factor)
-    fine = F.forall(scaled, lambda x: F.coalesce(
-        ~F.isnan(x) & (F.abs(x) < LIMIT), F.lit(False))) & (F.size(vector) > 0)
-    return F.when(fine, F.transform(scaled, lambda x: F.floor(x)))
+
+def wide_integer(x: float) -> int:
+    """floor(256 * x), exact for all finite numbers."""
+    return math.floor(x * FACTOR) if abs(x) < 1e300 else int(x) * FACTOR
 
 
 class SlicedBlock:
@@ -126,7 +145,8 @@ class SlicedBlock:
 
 def search_block(block: SlicedBlock, query_ids: np.ndarray, queries: np.ndarray,
                  k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Query id, row id and exact score of each query's best rows in one block."""
+    """Query id, row id and exact score of each query's best rows in one block. Rows and
+    queries are of 64-bit integers, or one or both of Python's."""
     out = []
     for own, query in zip(query_ids, queries, strict=True):
         places = block.best(query, int(own), k)
@@ -134,27 +154,49 @@ def search_block(block: SlicedBlock, query_ids: np.ndarray, queries: np.ndarray,
     return tuple(np.concatenate(part) for part in zip(*out, strict=True))
 
 
-def _matrix(table: pa.Table) -> tuple[np.ndarray, np.ndarray]:
+def _matrix(table: pa.Table) -> tuple[np.ndarray, np.ndarray, bytes]:
+    """Ids, quantised rows, and the bytes these are read back from by :func:`_rows`."""
     table = table.combine_chunks()
     ids = table.column("vec_id").to_numpy().astype(np.int64)
-    flat = table.column("q").combine_chunks().flatten()
-    return ids, flat.to_numpy(zero_copy_only=False).astype(np.int64).reshape(len(ids), -1)
+    wide = table.column("wide")[0].as_py()
+    flat = table.column("v" if wide else "q").combine_chunks().flatten()
+    data = flat.to_numpy(zero_copy_only=False).astype("<f8" if wide else "<i4")
+    data = data.reshape(len(ids), -1)
+    order = np.argsort(ids, kind="stable")
+    ids, data = ids[order], data[order]
+    return ids, _rows(data.tobytes(), wide, data.shape[1]), data.tobytes()
+
+
+def _rows(data: bytes | pa.Buffer, wide: bool, dims: int) -> np.ndarray:
+    if not wide:
+        return np.frombuffer(data, "<i4").astype(np.int64).reshape(-1, dims)
+    exact = np.empty(len(data) // 8 if isinstance(data, bytes) else data.size // 8, object)
+    exact[:] = [wide_integer(x) for x in np.frombuffer(data, "<f8").tolist()]
+    return exact.reshape(-1, dims)
 
 
 def _numbered(rows: DataFrame, per_block: int, name: str) -> tuple[DataFrame, int]:
     """Rows with the number of their block, by a hash of the id, and how many blocks there are.
+    Wide rows have the last numbers.
 
-    The count steers how many blocks there are, not what is found.
+    The counts steer how many blocks there are, not what is found.
     """
-    n = max(1, -(-rows.count() // per_block))
-    return rows.withColumn(name, F.pmod(F.xxhash64("vec_id", F.lit(17)), F.lit(n))), n
+    counts = {r["wide"]: r["count"] for r in rows.groupBy("wide").count().collect()}
+    narrow = -(-counts.get(False, 0) // per_block)
+    wide = -(-counts.get(True, 0) // max(per_block // WIDE_SHARE, 1))
+    code = F.xxhash64("vec_id", F.lit(17))
+    return rows.withColumn(name, F.when(
+        F.col("wide"), narrow + F.pmod(code, F.lit(max(wide, 1)))).otherwise(
+        F.pmod(code, F.lit(max(narrow, 1))))), max(narrow + wide, 1)
 
 
 def _ready(df: DataFrame, vec_id: str, embedding: str) -> DataFrame:
-    return df.select(F.col(vec_id).cast("bigint").alias("vec_id"),
-                     quantised(F.col(embedding)).alias("q")) \
-        .filter(F.col("q").isNotNull() & F.col("vec_id").isNotNull()) \
-        .withColumn("dims", F.size("q"))
+    rows = df.select(F.col(vec_id).cast("bigint").alias("vec_id"), F.col(embedding).alias("v")) \
+        .filter(takes_part(F.col("v")) & F.col("vec_id").isNotNull())
+    return rows.withColumn("wide", is_wide(F.col("v"))).select(
+        "vec_id", F.size("v").alias("dims"), "wide",
+        F.when(~F.col("wide"), quantised(F.col("v"))).alias("q"),
+        F.when(F.col("wide"), F.col("v").cast("array<double>")).alias("v"))
 
 
 def build_index(vectors: DataFrame, vec_id: str = "vec_id", embedding: str = "embedding",
@@ -164,28 +206,49 @@ def build_index(vectors: DataFrame, vec_id: str = "vec_id", embedding: str = "em
     rows, n = _numbered(_ready(vectors, vec_id, embedding), rows_per_block, "block")
 
     def build(table: pa.Table) -> pa.Table:
-        block = SlicedBlock.build(*_matrix(table))
+        ids, exact, data = _matrix(table)
+        block = SlicedBlock.build(ids, exact)
         return pa.table({
-            "dims": pa.array([block.rows.shape[1]], pa.int32()),
+            "dims": pa.array([exact.shape[1]], pa.int32()),
             "block": table.column("block")[:1].cast(pa.int64()),
-            "ids": pa.array([block.ids.tobytes()], pa.binary()),
-            "rows": pa.array([block.rows.astype("<i4").tobytes()], pa.binary()),
+            "wide": table.column("wide")[:1],
+            "ids": pa.array([ids.tobytes()], pa.binary()),
+            "rows": pa.array([data], pa.binary()),
             "slices": pa.array([block.slices.tobytes()], pa.binary()),
             "bits": pa.array([block.bits], pa.int32())})
 
     built = rows.groupBy("dims", "block").applyInArrow(
-        build, "dims int, block bigint, ids binary, rows binary, slices binary, bits int")
+        build, "dims int, block bigint, wide boolean, ids binary, rows binary, slices binary, "
+               "bits int")
     return materialize(built, "slices"), n
 
 
+def _matches(query_ids: np.ndarray, ids: np.ndarray, scores: np.ndarray) -> pa.RecordBatch:
+    """Found rows; scores that no bigint holds are put into ``size`` (1, or -1 if they are
+    negative) and ``beyond``, which orders them."""
+    score, size, beyond = scores, np.zeros(len(scores), np.int32), [None] * len(scores)
+    if scores.dtype == object:
+        exact = scores.tolist()
+        score = [s if -1 << 63 <= s < 1 << 63 else None for s in exact]
+        size = [0 if s is not None else 1 if e > 0 else -1
+                for s, e in zip(score, exact, strict=True)]
+        beyond = [((1 << BEYOND_BITS - 1) + e).to_bytes(BEYOND_BITS // 8, "big") if z else None
+                  for e, z in zip(exact, size, strict=True)]
+    return pa.RecordBatch.from_arrays(
+        [pa.array(query_ids, pa.int64()), pa.array(ids, pa.int64()), pa.array(size, pa.int32()),
+         pa.array(score, pa.int64()), pa.array(beyond, pa.binary())],
+        ["query_id", "vec_id", "size", "score", "beyond"])
+
+
 def top_k(vectors: DataFrame, queries: DataFrame, k: int = 5, vec_id: str = "vec_id",
           embedding: str = "embedding", rows_per_block: int = ROWS_PER_BLOCK,
           queries_per_block: int = QUERIES_PER_BLOCK) -> DataFrame:
     """``query_id, rank, vec_id, score``: each query's ``k`` best rows, ties to the smaller id.
 
     ``queries`` has the same columns as ``vectors``; every row but those with the query's own id
-    is a candidate. Vectors that :func:`quantised` leaves out, and rows with a NULL id, take no
-    part; vectors are compared with those of the same length only. A query id that occurs
+    is a candidate. NULL and empty vectors, those with a NULL or non-finite component, and rows
+    with a NULL id take no part; a score that no bigint holds is ranked by its exact value and
+    returned as NULL. Vectors are compared with those of the same length only. A query id that occurs
     several times asks once, with its smallest vector; repeated rows are candidates each for
     itself. Fewer candidates than ``k`` give fewer rows, empty tables none. Other columns are
     ignored.
@@ -195,17 +258,18 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = 5, vec_id: str = "vec
     """
     index, n_blocks = build_index(vectors, vec_id, embedding, rows_per_block)
     asked = _ready(queries, vec_id, embedding).groupBy("vec_id").agg(
-        F.min(F.struct("dims", "q")).alias("v")).select("vec_id", "v.dims", "v.q")
+        F.min(F.struct("dims", "wide", "q", "v")).alias("least")).select("vec_id", "least.*")
     asked, _ = _numbered(asked, queries_per_block, "query_block")
 
     def gather(table: pa.Table) -> pa.Table:
-        ids, rows = _matrix(table)
-        return pa.table({"dims": pa.array([rows.shape[1]], pa.int32()),
+        ids, exact, data = _matrix(table)
+        return pa.table({"dims": pa.array([exact.shape[1]], pa.int32()),
+                         "wide_queries": table.column("wide")[:1],
                          "query_ids": pa.array([ids.tobytes()], pa.binary()),
-                         "queries": pa.array([rows.astype("<i4").tobytes()], pa.binary())})
+                         "queries": pa.array([data], pa.binary())})
 
     wanted = asked.groupBy("dims", "query_block").applyInArrow(
-        gather, "dims int, query_ids binary, queries binary")
+        gather, "dims int, wide_queries boolean, query_ids binary, queries binary")
     wanted = wanted.withColumn("block", F.explode(F.sequence(
         F.lit(0).cast("bigint"), F.lit(n_blocks - 1).cast("bigint"))))
     pairs = wanted.join(index, ["dims", "block"])
@@ -216,17 +280,17 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = 5, vec_id: str = "vec
                 row = {name: batch.column(name)[place] for name in batch.schema.names}
                 dims, bits = row["dims"].as_py(), row["bits"].as_py()
                 ids = np.frombuffer(row["ids"].as_buffer(), np.int64)
-                rows = np.frombuffer(row["rows"].as_buffer(), "<i4").astype(np.int64)
+                rows = _rows(row["rows"].as_buffer(), row["wide"].as_py(), dims)
+                asking = _rows(row["queries"].as_buffer(), row["wide_queries"].as_py(), dims)
+                if object in (rows.dtype, asking.dtype):
+                    rows, asking = rows.astype(object), asking.astype(object)
                 slices = np.frombuffer(row["slices"].as_buffer(), np.uint64)
-                block = SlicedBlock(ids, rows.reshape(-1, dims), slices.reshape(dims, bits, -1))
-                asking = np.frombuffer(row["queries"].as_buffer(), "<i4").astype(np.int64)
-                found = search_block(
-                    block, np.frombuffer(row["query_ids"].as_buffer(), np.int64),
-                    asking.reshape(-1, dims), k)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(x, pa.int64()) for x in found], ["query_id", "vec_id", "score"])
+                yield _matches(*search_block(
+                    SlicedBlock(ids, rows, slices.reshape(dims, bits, -1)),
+                    np.frombuffer(row["query_ids"].as_buffer(), np.int64), asking, k))
 
     found = pairs.mapInArrow(run, MATCHES)
-    best = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
+    best = Window.partitionBy("query_id").orderBy(
+        F.desc("size"), F.desc("score"), F.desc("beyond"), "vec_id")
     return found.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= k) \
         .select("query_id", "rank", "vec_id", "score")
