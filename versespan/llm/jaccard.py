@@ -8,14 +8,16 @@ below); in a tile, bitmap signatures bound the overlap of two sets from above, a
 that remain are decided by intersecting the sorted sets themselves.
 
 Only components are wanted, so not every pair of a large group is looked at: first each class
-meets the smallest class of its shingle and band, and what that links becomes a component.
-Tiles then hold shingles with more than one component, and only pairs of different components
-are tried there. No link between components is lost by that.
+tries one smaller class, the least that a shingle and band of its own has, and what that links
+becomes a component (``STAR_ROUNDS`` times). So a round has one link per class at most, however
+large a group is. Tiles then hold shingles with more than one component, and only
+pairs of different components are tried there. No link between components is lost by that.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -31,6 +33,7 @@ MAX_FREQUENT = 500_000       # frequent shingles at most, 8 bytes each, sent to
 LEAST_FREQUENT = 64
 COUNTED_AT_ONCE = 2_000_000  # shingles counted together in a task
 LEAST_SEEN = 3               # of those, shingles seen less often are not reported
+STAR_ROUNDS = 1          # more rounds cost more shuffle than the pairs that they save
 TILE_ROWS = 1024
 BROADCAST_IDS = 1_000_000
 MARKS = 1 << 20              # places of the filter for texts that are needed
@@ -218,14 +221,16 @@ def _may_link(sizes: np.ndarray, maps: list[bytes], a: np.ndarray, b: np.ndarray
 
 
 def _filter_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows ``a, b, n_a, n_b, map_a, map_b``: the pairs whose sizes and bitmaps allow a link."""
+    """Rows ``a, b, n_a, n_b, map_a, map_b`` and others, which are returned with the pairs ``a, b``
+    whose sizes and bitmaps allow a link."""
     for batch in batches:
         n = batch.num_rows
         if n:
             sizes = np.concatenate([batch.column(i).to_numpy() for i in (2, 3)])
             maps = batch.column(4).to_pylist() + batch.column(5).to_pylist()
             fine = _may_link(sizes, maps, np.arange(n), np.arange(n) + n)
-            yield batch.select(["a", "b"]).filter(pa.array(fine))
+            names = ["a", "b", *batch.schema.names[6:]]
+            yield batch.select(names).filter(pa.array(fine))
 
 
 def _tile_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -375,12 +380,13 @@ def components(links: DataFrame) -> DataFrame:
         edges.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())
 
 
-def _with_maps(pairs: DataFrame, maps: DataFrame) -> DataFrame:
+def _with_maps(pairs: DataFrame, maps: DataFrame, *others: str) -> DataFrame:
     left = maps.select(F.col("class").alias("a"), F.col("n").alias("n_a"),
                        F.col("bitmap").alias("map_a"))
     right = maps.select(F.col("class").alias("b"), F.col("n").alias("n_b"),
                         F.col("bitmap").alias("map_b"))
-    return pairs.join(left, "a").join(right, "b").select("a", "b", "n_a", "n_b", "map_a", "map_b")
+    return pairs.join(left, "a").join(right, "b").select(
+        "a", "b", "n_a", "n_b", "map_a", "map_b", *others)
 
 
 def _class_maps(profile: DataFrame) -> DataFrame:
@@ -402,42 +408,58 @@ def _class_maps(profile: DataFrame) -> DataFrame:
         .groupBy("class").agg(*[F.first(c).alias(c) for c in ("n", "bitmap", "first")])
 
 
-def star_pairs(shared: DataFrame, maps: DataFrame) -> DataFrame:
-    """Each class with the least class of its shingle and band, where bitmaps allow a link."""
-    least = shared.groupBy("key", "band").agg(
-        F.min("class").alias("a"), F.max("class").alias("most"))
-    pairs = shared.join(least.filter(F.col("a") != F.col("most")), ["key", "band"]).filter(
-        F.col("class") != F.col("a")).select("a", F.col("class").alias("b")).distinct()
-    return _with_maps(pairs, maps).mapInArrow(_filter_pairs, "a bigint, b bigint")
+def with_roots(shared: DataFrame, roots: DataFrame) -> DataFrame:
+    """Rows of shared shingles with the root of their class, so far as links are known."""
+    rooted = shared.join(roots.select(F.col("node").alias("class"), "root"), "class", "left")
+    return materialize(rooted.withColumn("root", F.coalesce("root", "class")), "rooted")
 
 
-def tile_pairs(shared: DataFrame, maps: DataFrame, roots: DataFrame) -> DataFrame:
+def _in_tiles(rooted: DataFrame) -> DataFrame:
+    """Each row in the tile of its band and in that of the band above."""
+    return rooted.withColumn("tile", F.explode(F.array("band", F.col("band") + 1)))
+
+
+def star_pairs(rooted: DataFrame, maps: DataFrame) -> DataFrame:
+    """For each root one pair to try: of the classes that are least in a shingle and band of
+    one of its classes, belong to a smaller root and may be linked by the bitmaps, the least."""
+    least = rooted.groupBy("key", "band").agg(
+        F.min(F.struct("root", "class")).alias("least"), F.max("root").alias("most"))
+    least = least.filter(F.col("least.root") != F.col("most")).select(
+        "key", "band", F.col("least.root").alias("low"), F.col("least.class").alias("a"))
+    pairs = rooted.join(least, ["key", "band"]).filter(F.col("root") != F.col("low")).select(
+        "a", F.col("class").alias("b"), "low", "root").distinct()
+    fine = _with_maps(pairs, maps, "low", "root").mapInArrow(
+        _filter_pairs, "a bigint, b bigint, low bigint, root bigint")
+    return fine.groupBy("root").agg(F.min(F.struct("low", "a", "b")).alias("p")).select("p.a", "p.b")
+
+
+def tile_pairs(rooted: DataFrame, maps: DataFrame) -> DataFrame:
     """Pairs of different components that share a shingle, where sizes and bitmaps allow a link.
 
-    Shingles of two classes are pairs as they are. A shingle of more than ``TILE_ROWS`` classes
-    is split into chunks whose pairs are tiles of their own, so no tile grows with the table.
+    Tiles of one component are left out before any row is sent to them, and tiles of two classes
+    are pairs as they are. A tile of more than ``TILE_ROWS`` classes is split into chunks whose
+    pairs are tiles of their own, so none grows with the table. A shingle has no more tiles
+    than there are bands.
     """
-    rooted = shared.join(roots.select(F.col("node").alias("class"), "root"), "class", "left") \
-        .withColumn("root", F.coalesce("root", "class"))
-    rooted = materialize(rooted, "rooted")
     one = F.struct("class", "n")
-    kinds = rooted.groupBy("key").agg(
+    kinds = _in_tiles(rooted).groupBy("key", "tile").agg(
         F.min("root").alias("low"), F.max("root").alias("high"), F.count("*").alias("rows"),
         F.min(one).alias("x"), F.max(one).alias("y"), F.max("band").alias("top"))
-    kinds = materialize(kinds.filter(F.col("low") != F.col("high")), "kinds")
+    kinds = materialize(kinds.filter((F.col("low") != F.col("high")) & (
+        F.col("top") == F.col("tile"))), "kinds")
     near = 100 * F.least("x.n", "y.n") >= PERCENT * F.greatest("x.n", "y.n")
     twos = kinds.filter((F.col("rows") == 2) & near).select(
         F.col("x.class").alias("a"), F.col("y.class").alias("b")).distinct()
     twos = _with_maps(twos, maps).mapInArrow(_filter_pairs, "a bigint, b bigint")
 
-    rows = rooted.join(kinds.filter(F.col("rows") > 2).select(
-        "key", "top", F.ceil(F.col("rows") / TILE_ROWS).alias("chunks")), "key")
-    rows = rows.join(maps.select("class", "first", "bitmap"), "class")
-    rows = rows.withColumn("chunk", F.pmod(F.xxhash64("class"), F.col("chunks")))
+    tiles = kinds.filter(F.col("rows") > 2).groupBy("key").agg(F.collect_list(F.struct(
+        "tile", F.ceil(F.col("rows") / TILE_ROWS).alias("chunks"))).alias("tiles"))
+    rows = rooted.join(tiles, "key").withColumn("t", F.explode(F.filter(
+        "tiles", lambda t: t["tile"].isin(F.col("band"), F.col("band") + 1)))).drop("tiles")
+    rows = rows.join(maps.select("class", "first", "bitmap"), "class").select(
+        "*", "t.tile", F.pmod(F.xxhash64("class"), F.col("t.chunks")).alias("chunk"))
     rows = rows.withColumn("other", F.explode(F.sequence(
-        F.lit(0).cast("bigint"), F.col("chunks") - 1)))
-    rows = rows.withColumn("tile", F.explode(F.when(F.col("band") < F.col("top"), F.array(
-        F.col("band"), F.col("band") + 1)).otherwise(F.array("band"))))
+        F.lit(0).cast("bigint"), F.col("t.chunks") - 1)))
     rows = rows.select("key", "tile", F.least("chunk", "other").alias("i"),
                        F.greatest("chunk", "other").alias("j"), "class", "n", "pos", "root",
                        "band", "chunk", "first", "bitmap")
@@ -461,10 +483,12 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
     shared = shared_shingles(profile)
     maps = materialize(_class_maps(profile), "maps")
     texts = Texts(rows, "text")
-    first = links_among(star_pairs(shared, maps), texts)
-    roots = materialize(components(first), "roots")
-    second = links_among(tile_pairs(shared, maps, roots), texts)
-    roots = components(first.unionByName(second))
+    rooted, links = shared.withColumn("root", F.col("class")), []
+    for _ in range(STAR_ROUNDS):
+        links.append(links_among(star_pairs(rooted, maps), texts))
+        rooted = with_roots(shared, components(reduce(DataFrame.unionByName, links)))
+    links.append(links_among(tile_pairs(rooted, maps), texts))
+    roots = components(reduce(DataFrame.unionByName, links))
     return _labelled(profile, roots).withColumnRenamed("doc_id", doc_id)
 
 
