@@ -7,7 +7,7 @@ histograms of the documents of each language that pass the base rules, over the
 
 from __future__ import annotations
 
-from functools import reduce
+from itertools import product
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -30,7 +30,7 @@ LOW_SHARE = 0.05         # the word limit lies WORD_SPREADS times as far above t
 WORD_SPREADS = 3.0       # as the distance of this share lies below it,
 LEAST_WORD_LIMIT = 0.2   # and not lower than chance alone brings a text of 100 words
 DISTANCE_STEPS = 1000
-MIN_SHARE = 0.01         # a language gets a reference if it has this share of the documents
+MIN_DOCUMENTS = 20       # a language with fewer good documents has no reference of its own
 CHAR_BINS = 7
 
 
@@ -38,6 +38,11 @@ def _kept_chars(text: Column, outside: str) -> Column:
     return F.length(F.regexp_replace(text, outside, ""))
 
 
+def _spellings() -> list[str]:
+    """The common words in capitals, small letters and mixtures of both."""
+    return ["".join(x) for w in COMMON_WORDS for x in product(*[(c, c.upper()) for c in w])]
+
+
 def rule_features(docs: DataFrame, text: str = "text") -> DataFrame:
     """Add ``rule`` to each row: a struct of base counts and the two histograms.
 
@@ -51,10 +56,10 @@ def rule_features(docs: DataFrame, text: str = "text") -> DataFrame:
     rows = computed(rows, F.array_remove(F.split("text", f"[{SPACE}]+"), ""), "words")
     rows = computed(rows, F.filter(F.split("text", "\n"),
                                    lambda line: line.rlike(f"[^{SPACE}]")), "lines")
-    short = F.array_join(F.filter("words", lambda w: F.octet_length(w) <= 5), "  ")
-    rows = computed(rows, F.concat(F.lit(" "), F.lower(short), F.lit(" ")), "short")
+    hits = F.array_join(F.filter("words", lambda w: w.isin(_spellings())), "  ")
+    rows = computed(rows, F.concat(F.lit(" "), F.lower(hits), F.lit(" ")), "hits")
     common = F.array(*[
-        ((F.length("short") - F.length(F.replace(F.col("short"), F.lit(f" {w} "), F.lit(""))))
+        ((F.length("hits") - F.length(F.replace(F.col("hits"), F.lit(f" {w} "), F.lit(""))))
          / (len(w) + 2)).cast("int") for w in COMMON_WORDS])
     total, body = F.length("text"), F.length(F.array_join("words", ""))
     classes = [_kept_chars(F.col("text"), x) for x in (
@@ -112,8 +117,9 @@ def _share(counts: Column) -> Column:
 def language_references(features: DataFrame, lang: str = "lang") -> list[dict]:
     """Mean histograms per language, over all documents that pass the base rules.
 
-    At most ``1 / MIN_SHARE`` languages have the share asked for, so what comes to the driver
-    is bounded. Documents without a language are left out. No such documents: no references.
+    Every language with ``MIN_DOCUMENTS`` such documents has one, however large the table; what
+    comes to the driver is 46 numbers a language. Documents without a language are left out. No
+    such documents: no references.
     """
     good = features.filter(~base_failed() & F.col(lang).isNotNull()).select(
         F.col(lang).alias("lang"),
@@ -121,28 +127,29 @@ def language_references(features: DataFrame, lang: str = "lang") -> list[dict]:
     bins = CHAR_BINS + len(COMMON_WORDS) + 1
     means = good.groupBy("lang").agg(F.count("*").alias("n"), *[
         F.avg(F.get("bins", F.lit(i))).alias(f"b{i}") for i in range(bins)])
-    total = good.count()
-    rows = means.filter(F.col("n") >= MIN_SHARE * total).orderBy("lang").collect()
+    rows = means.filter(F.col("n") >= MIN_DOCUMENTS).orderBy("lang").collect()
     return [{"lang": r["lang"], "chars": [r[f"b{i}"] for i in range(CHAR_BINS)],
              "common": [r[f"b{i}"] for i in range(CHAR_BINS, bins)]} for r in rows]
 
 
-def js_distance(shares: Column, reference: list[float]) -> Column:
-    """Jensen-Shannon distance (base 2) of a histogram column and a fixed one."""
+def js_distance(shares: Column, reference: Column | list[float]) -> Column:
+    """Jensen-Shannon distance (base 2) of a histogram column and another or a fixed one."""
+    if isinstance(reference, list):
+        reference = F.array(*[F.lit(float(x)) for x in reference])
     def half(p: Column, q: Column) -> Column:
         return F.when(p > 0, p * F.log2(2 * p / (p + q))).otherwise(0.0)
 
-    q = F.array(*[F.lit(float(x)) for x in reference])
-    terms = F.zip_with(shares, q, lambda p, r: half(p, r) + half(r, p))
+    terms = F.zip_with(shares, reference, lambda p, r: half(p, r) + half(r, p))
     return F.sqrt(F.greatest(
         F.aggregate(terms, F.lit(0.0), lambda a, x: a + x) / 2, F.lit(0.0)))
 
 
 def _nearest(name: str, references: list[dict]) -> Column:
-    found = [js_distance(F.col(f"_s.{name}"), r[name]) for r in references]
-    if not found:
+    """The distance to the nearest reference; NULL if there is none."""
+    if not references:
         return F.lit(None).cast("double")
-    return reduce(F.least, found) if len(found) > 1 else found[0]
+    known = F.array(*[F.array(*[F.lit(float(x)) for x in r[name]]) for r in references])
+    return F.array_min(F.transform(known, lambda r: js_distance(F.col(f"_s.{name}"), r)))
 
 
 def word_limit(features: DataFrame, references: list[dict]) -> float:
