@@ -11,8 +11,8 @@ left with padding. Documents are packed where they are read; nothing is shuffled
 from __future__ import annotations
 
 import os
-import re
 import zlib
+from collections import deque
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -26,20 +26,39 @@ from versespan.llm.common import kept_in_process, text_blocks
 WINDOW = 2048
 END_ID = 1
 MAX_OPEN = 8192          # open windows per task; beyond that the emptier half is closed
-CACHE_ENTRIES = 400_000
+CACHE_ENTRIES = 400_000  # stretches remembered in each of two tables
 CACHE_CHARS = 64
-SIMPLE = re.compile("[a-zA-ZÀ-ÖØ-öø-ÿ]+")
-MARKS = (".", ",")
+TAILS = ".,;:!?*#$&%|<>"
+MARK = "^"               # stands between stretches that are encoded together
 PIECES = ("doc_id {}, start bigint, length bigint, ids_crc32 bigint, doc_tokens bigint, "
           "sequence_id bigint, offset bigint")
 
 
+class _Known(dict):
+    """Ids of stretches. One that neither this table nor the one before it has stands for itself
+    in ``new`` with an empty value, to be filled in."""
+
+    def __init__(self, before: dict[str, bytes]):
+        super().__init__()
+        self.before = before
+        self.new: dict[str, bytearray] = {}
+
+    def __missing__(self, word: str) -> bytes | bytearray:
+        found = self.before.get(word)
+        if found is None:
+            found = self.new[word] = bytearray()
+        self[word] = found
+        return found
+
+
 class WordIds:
-    """Ids of whole texts by a ``tokenizers`` file whose pre-tokens never hold white space.
+    """Ids of whole texts by a ``tokenizers`` file that ignores the case of A-Z and whose
+    pre-tokens never hold white space, nor a letter or digit before punctuation.
 
-    Texts are cut at spaces and line ends, and the ids of each stretch are remembered in a table
-    of bounded size. New plain words go to the tokenizer in one text; where words end is read
-    from the end-of-word tokens. Other stretches are encoded for themselves.
+    Texts are cut at spaces and line ends, and the ids of each stretch are remembered in two
+    tables of bounded size: what is used stays when the older table is given up. New stretches,
+    less the punctuation at their end, go to the tokenizer in one text, with a mark between
+    them that none of them holds.
     """
 
     def __init__(self, path: str):
@@ -50,59 +69,64 @@ class WordIds:
         self.tokenizer.encode_special_tokens = True
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
-        vocabulary = self.tokenizer.get_vocab(with_added_tokens=True)
-        self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
-        self.ends[[i for token, i in vocabulary.items() if token.endswith("</w>")]] = True
-        self.known: dict[str, bytes] = {}
-
-    def _plain(self, text: str) -> np.ndarray:
-        ids = self.tokenizer.encode(text, add_special_tokens=False).ids
-        return np.array(ids, "<u4")
-
-    def _learn(self, new: set[str]) -> None:
-        simple, marked, other = [], [], []
-        for word in new:
-            if SIMPLE.fullmatch(word):
-                simple.append(word)
-            elif word.endswith(MARKS) and SIMPLE.fullmatch(word, 0, len(word) - 1):
-                marked.append(word)
-                if word[:-1] not in self.known and word[:-1] not in new:
-                    simple.append(word[:-1])
-            else:
-                other.append(word)
-        simple = list(dict.fromkeys(simple))
-        if simple:
-            ids = self._plain(" ".join(simple))
-            stops = np.flatnonzero(self.ends[ids]) + 1
-            if len(stops) == len(simple) and stops[-1] == len(ids):
-                data, last = ids.tobytes(), 0
-                for word, stop in zip(simple, (4 * stops).tolist(), strict=True):
-                    self.known[word] = data[last:stop]
-                    last = stop
+        self.mark = self._encoded([MARK])[0]
+        self.known = _Known({})
+
+    def _encoded(self, words: list[str]) -> list[np.ndarray]:
+        return [np.array(found.ids, "<u4") for found in self.tokenizer.encode_batch_fast(
+            words, add_special_tokens=False)]
+
+    def _fill(self, new: dict[str, bytearray]) -> None:
+        """Encode stretches and remember their ids."""
+        together = [word for word in new if MARK not in word]
+        [ids] = self._encoded([f" {MARK} ".join(together)])
+        stops = np.flatnonzero(ids == self.mark)
+        alone = new
+        if len(self.mark) == 1 and len(stops) == len(together) - 1:
+            data, start = ids.tobytes(), 0
+            for word, stop in zip(together, [*(4 * stops).tolist(), len(data)], strict=True):
+                self.known[word] = found = data[start:stop]
+                new[word] += found
+                start = stop + 4
+            alone = [word for word in new if MARK in word]
+        for word, ids in zip(alone, self._encoded(list(alone)), strict=True):
+            self.known[word] = found = ids.tobytes()
+            new[word] += found
+
+    def _learn(self) -> None:
+        known, asked = self.known, self.known.new
+        known.new = {}
+        parts, whole = [], {}
+        for word, place in asked.items():
+            stem = word.rstrip(TAILS)
+            if len(stem) < len(word) and stem and stem[-1].isalnum():
+                parts.append((word, place, known[stem], known[word[len(stem):]]))
             else:
-                other += simple
-        for word, found in zip(other, self.tokenizer.encode_batch_fast(
-                other, add_special_tokens=False), strict=True):
-            self.known[word] = np.array(found.ids, "<u4").tobytes()
-        marks = {m: self._plain(m).tobytes() for m in MARKS} if marked else {}
-        for word in marked:
-            self.known[word] = self.known[word[:-1]] + marks[word[-1]]
+                whole[word] = place
+        whole |= known.new
+        known.new = {}
+        if whole:
+            self._fill(whole)
+        for word, place, stem, tail in parts:
+            known[word] = found = b"".join((stem, tail))
+            place += found
+        for word in whole:
+            if len(word) > CACHE_CHARS:
+                del known[word]
+        for word, *_ in parts:
+            if len(word) > CACHE_CHARS:
+                del known[word]
 
     def __call__(self, texts: list[str]) -> list[bytes]:
         """The ids of each text as little-endian unsigned 32-bit integers."""
-        known = self.known
-        if len(known) > CACHE_ENTRIES:
-            known.clear()
-        split = [text.replace("\n", " ").split(" ") for text in texts]
-        new = set().union(*split)
-        new.difference_update(known)
-        if new:
-            self._learn(new)
-        out = [b"".join(map(known.__getitem__, words)) for words in split]
-        for word in new:
-            if len(word) > CACHE_CHARS:
-                del known[word]
-        return out
+        if len(self.known) > CACHE_ENTRIES:
+            self.known = _Known(dict(self.known))
+        find = self.known.__getitem__
+        found = [list(map(find, text.encode().lower().decode().replace("\n", " ").split(" ")))
+                 for text in texts]
+        if self.known.new:
+            self._learn()
+        return [b"".join(ids) for ids in found]
 
 
 def kept_word_ids(path: str) -> WordIds:
