@@ -75,21 +75,32 @@ def _deal(bits: int):
 
 
 def _sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """A task's number of vectors and sum of directions per cell."""
-    sums: dict[tuple, np.ndarray] = {}
+    """A batch's number of vectors and sum of directions per cell. Members are stored in order of
+    their cells, so neighbouring rows of one cell are summed up, and no more than a batch is held."""
     for batch in batches:
-        keys = list(zip(*(batch.column(c).to_pylist() for c in ("source", "dims", "cell")), strict=True))
-        for row, key in enumerate(keys):
-            vector = np.asarray(batch.column("embedding")[row].values, float)
-            length = math.sqrt((vector * vector).sum()) or 1.0
-            total = sums.setdefault(key, np.zeros(len(vector) + 1))
-            total[0] += 1
-            total[1:] += vector / length
-    yield pa.RecordBatch.from_pylist(
-        [{"source": s, "dims": d, "cell": c, "place": place, "total": total}
-         for (s, d, c), totals in sums.items() for place, total in enumerate(totals.tolist())],
-        pa.schema([("source", pa.string()), ("dims", pa.int32()), ("cell", pa.int64()),
-                   ("place", pa.int32()), ("total", pa.float64())]))
+        if not batch.num_rows:
+            continue
+        keys = [batch.column(c) for c in ("source", "dims", "cell")]
+        codes = [keys[0].dictionary_encode().indices, keys[1], keys[2]]
+        codes = np.stack([c.to_numpy(zero_copy_only=False).astype(np.int64) for c in codes], axis=1)
+        starts = np.flatnonzero(np.r_[True, (codes[1:] != codes[:-1]).any(axis=1)])
+        sizes = codes[starts, 1]
+        stops = np.r_[starts[1:], len(codes)]
+        for size in np.unique(sizes).tolist():
+            runs = np.flatnonzero(sizes == size)
+            counts = stops[runs] - starts[runs]
+            rows = np.flatnonzero(np.repeat(sizes == size, stops - starts))
+            flat = batch.column("embedding").take(pa.array(rows)).flatten()
+            matrix = flat.to_numpy(zero_copy_only=False).astype(float).reshape(len(rows), size)
+            lengths = np.sqrt((matrix * matrix).sum(axis=1))
+            matrix /= np.where(lengths == 0, 1.0, lengths)[:, None]
+            totals = np.add.reduceat(matrix, np.r_[0, np.cumsum(counts)[:-1]], axis=0)
+            totals = np.c_[counts.astype(float), totals]
+            at = pa.array(np.repeat(starts[runs], size + 1))
+            yield pa.RecordBatch.from_arrays(
+                [*(k.take(at) for k in keys),
+                 pa.array(np.tile(np.arange(size + 1, dtype=np.int32), len(runs))),
+                 pa.array(totals.ravel())], ["source", "dims", "cell", "place", "total"])
 
 
 def store_cells(vectors: DataFrame, path: str, rows_per_cell: int = ROWS_PER_CELL) -> None:
