@@ -6,7 +6,7 @@ import numpy as np
 import pyarrow as pa
 from conftest import rows
 
-from versespan.operators import cells, search
+from versespan.operators import cells, joins, references, search
 
 
 def _vectors(frame, seed=3, n=90, same=4):
@@ -61,3 +61,48 @@ def test_sums_of_cells_hold_one_batch():
     found = sorted((r["dims"], r["place"], r["total"]) for b in first for r in b.to_pylist())
     assert [f[:2] for f in found] == [(1, 0), (1, 1), (2, 0), (2, 1), (2, 2)]
     assert np.allclose([f[2] for f in found], [1.0, 1.0, 2.0, 0.6, 0.8])
+
+
+def _references(frame):
+    books = frame("language string, source_number int, book_number int, short_name string",
+                  ("en", 1, 1, "A"), ("en", 1, 2, "B"))
+    sources = frame("source_number int, language string, name string", (1, "en", "S"))
+    refs = frame("book_number int, chapter int, verse int, b1 int, c1 int, v1 int, b2 int, c2 int, "
+                 "v2 int, rate int",
+                 *[(1 + i % 2, 1, 1 + i % 3, 1 + i % 2, 2, 1 + i % 5, None, None, None,
+                    None if i % 7 == 0 else i % 4) for i in range(60)])
+    asked = [(i, f"{'AB'[i % 2]} 1,1-2", "S") for i in range(30)]
+    asked += [(4, "B 1,1-2", "S"), (4, "B 1,1-2", "S"), (7, "B 1,1-2", "S"), (7, "B 1,3", "none"),
+              (None, "A 1,1", "S"), (None, "B 1,2", "S"), (40, "A", "S"), (41, "A 9,9", "S")]
+    return frame("request_id int, address string, source string", *asked), refs, books, sources
+
+
+def test_many_requests_travel_to_the_answers(spark, frame, monkeypatch):
+    monkeypatch.setattr(references, "REQUESTS_PER_LIST", 8)
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        found = references.cross_references_by_address(*_references(frame), broadcast_rows=12).rows
+        plan = found._jdf.queryExecution().executedPlan().toString()
+        whole = references.cross_references_by_address(*_references(frame), broadcast_rows=0).rows
+        assert rows(found) == rows(whole)
+        assert "BroadcastHashJoin [question" in plan
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
+def test_answers_are_ordered_once(frame):
+    """Places of requests that ask the same, more than one thing, twice the same, or nothing."""
+    request = _references(frame)
+    every = joins.placed(references.in_reference_order(
+        references.cross_references_by_address(*request).rows))
+    columns = ["place", "request_id", "rate", "reference"]
+    for broadcast_rows in (50_000, 0):
+        found = references.placed_references_by_address(*request, broadcast_rows=broadcast_rows)
+        assert rows(found, *columns) == rows(every, *columns)
+        assert rows(found, "request_id", "address") == rows(every, "request_id", "address")
+
+
+def test_running_total(frame):
+    df = frame("k int, n bigint", *[(i, i % 4) for i in range(50)]).repartition(5)
+    got = rows(joins.running_total(df.orderBy("k"), "n", "before"))
+    assert got == sorted([(i, i % 4, sum(j % 4 for j in range(i))) for i in range(50)], key=repr)
