@@ -72,14 +72,20 @@ def verse_dictionary(requests: DataFrame, verses: DataFrame, dictionary: DataFra
 def entries_of(texts: DataFrame, ids: DataFrame, dictionary: DataFrame,
                small: bool = False) -> Checked:
     """Entries for the words of verses ``texts`` (``id, text``) asked for by ``ids``
-    (``request_id, id``); ``small`` says that the dictionary may be broadcast."""
-    words = texts.select(
-        "id", F.explode(verse_words(F.col("text"))).alias("verse_word")).distinct()
+    (``request_id, id``); ``small`` says that the dictionary may be broadcast. A verse's words
+    then stay one row until its requests have met it, and no word is shuffled."""
     parsed = read_entries(dictionary) if "definition" in dictionary.columns else dictionary
     parsed = parsed.select("topic", "well_formed", "word", "meaning", "parse", "forms")
+    listed = texts.select("id", verse_words(F.col("text")).alias("_words"))
     if small:
-        parsed = F.broadcast(parsed)
-    met = words.join(parsed, words["verse_word"] == parsed["topic"], "left").join(ids, "id")
+        lists = listed.groupBy("id").agg(F.array_distinct(F.flatten(
+            F.collect_set("_words"))).alias("_words"))
+        words = lists.join(ids, "id").select(
+            *ids.columns, F.explode("_words").alias("verse_word"))
+        met = words.join(F.broadcast(parsed), words["verse_word"] == parsed["topic"], "left")
+    else:
+        words = listed.select("id", F.explode("_words").alias("verse_word")).distinct()
+        met = words.join(parsed, words["verse_word"] == parsed["topic"], "left").join(ids, "id")
     broken = F.coalesce(~F.col("well_formed"), F.lit(False))
     rows = met.filter(~broken).select(
         "request_id", F.coalesce("topic", "verse_word").alias("topic"), "word", "meaning",
