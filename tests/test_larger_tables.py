@@ -6,7 +6,7 @@ import numpy as np
 import pyarrow as pa
 from conftest import rows
 
-from versespan.operators import cells, joins, references, search
+from versespan.operators import cells, dictionary, joins, lookup, references, search
 
 
 def _vectors(frame, seed=3, n=90, same=4):
@@ -106,3 +106,38 @@ def test_running_total(frame):
     df = frame("k int, n bigint", *[(i, i % 4) for i in range(50)]).repartition(5)
     got = rows(joins.running_total(df.orderBy("k"), "n", "before"))
     assert got == sorted([(i, i % 4, sum(j % 4 for j in range(i))) for i in range(50)], key=repr)
+
+
+def test_repeated_addresses_are_read_once(frame, monkeypatch):
+    addresses = ["A 1,2-3", "A 1,x", "A 1,2..3", "B 99999999999", "", " ", None, "C"]
+    requests = frame("request_id int, address string",
+                     *[(None if i % 9 == 0 else i % 20, addresses[i % 8]) for i in range(80)])
+    parsed, asked = lookup.parse_requests, []
+    monkeypatch.setattr(lookup, "parse_requests",
+                        lambda df, *a: asked.append(df.count()) or parsed(df, *a))
+    once = [rows(part) for part in lookup.parse_addresses(requests)]
+    monkeypatch.setattr(lookup, "BROADCAST_ROWS", 1)              # too many different ones
+    each = [rows(part) for part in lookup.parse_addresses(requests)]
+    assert asked == [8, 80] and once == each and len(once[1]) == 20
+
+
+def test_words_are_not_shuffled_one_by_one(spark, frame):
+    """Verses that repeat an id, requests that repeat a verse; the words of a verse stay together."""
+    texts = frame("id string, text string", ("a", "λόγος ἦν λόγος"), ("a", "λόγος ὁ"),
+                  ("a", "λόγος ὁ"), ("b", "..."), ("c", None), (None, "ἦν"))
+    ids = frame("request_id int, id string", (1, "a"), (2, "a"), (2, "a"), (3, "b"), (4, "c"),
+                (None, "a"), (5, None))
+    entry = "<dl><dt><a>L</a></dt></dl>"
+    known = frame("language string, source_number int, topic string, definition string",
+                  ("grc", 1, "logos", entry), ("grc", 2, "logos", entry), ("grc", 1, "hn", "<dl>"))
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        once = dictionary.entries_of(texts, ids, known, small=True)
+        each = dictionary.entries_of(texts, ids, known)
+        assert rows(once.rows) == rows(each.rows) and len(rows(once.rows)) == 12
+        assert rows(once.rejects) == rows(each.rejects) and len(rows(once.rejects)) == 4
+        plan = once.rows._jdf.queryExecution().executedPlan().toString()
+        assert "hashpartitioning(id" in plan and "verse_word" not in "".join(
+            line for line in plan.splitlines() if "hashpartitioning" in line)
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")

@@ -28,7 +28,7 @@ def _code(char: str) -> str:
     return out
 
 
-_SPACES = "\ue000"            # private-use marks: the n-th after it stands for n spaces
+_SPACES = "\x00"              # control characters: the n-th after it stands for n spaces
 
 
 @lru_cache(maxsize=1)
@@ -37,7 +37,7 @@ def _tables() -> tuple[str, str, int]:
     spaces a single character yields. Marks come last and have no replacement.
 
     ASCII is mapped here too, so that afterwards only the codes of Greek letters are ASCII
-    letters.
+    letters, and only the codes of runs are control characters.
     """
     found, codes, gone, most = [], [], [], 1
     for point in range(sys.maxunicode + 1):
@@ -51,7 +51,7 @@ def _tables() -> tuple[str, str, int]:
             most = max(most, len(code))
             found.append(char)
             codes.append(chr(ord(_SPACES) + len(code)))
-        elif code != " " or point < 128 or 0 <= point - ord(_SPACES) < 32:
+        elif code != " " or point < 128:
             found.append(char)
             codes.append(code)
     return "".join(found + gone), "".join(codes), most
@@ -64,7 +64,8 @@ def greek_to_betacode(x: Column) -> Column:
     """
     found, codes, most = _tables()
     x = F.translate(x, found, codes)
-    x = F.regexp_replace(x, f"[^a-z {chr(ord(_SPACES) + 2)}-{chr(ord(_SPACES) + most)}]", " ")
+    runs = "".join(f"\\x{ord(_SPACES) + n:02x}" for n in range(2, most + 1))
+    x = F.regexp_replace(x, f"[^a-z {runs}]", " ")
     for n in range(2, most + 1):
         x = F.replace(x, F.lit(chr(ord(_SPACES) + n)), F.lit(" " * n))
     return x
