@@ -126,3 +126,45 @@ def test_query_equals_brute_force(spark, sf_dir):
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text").collect()
     assert result(queries.QUERIES["op3_jaccard_tiles"](spark, sf_dir)) == brute(
         [(r["doc_id"], r["text"]) for r in docs])
+
+
+def test_rows_without_a_partner_are_those_that_meet_no_other():
+    rng = np.random.default_rng(3)
+    for counts in ([2] * 40, [1, 3, 5, 30], [33, 34, 90]):
+        key = np.repeat(np.arange(len(counts)), counts)
+        n = rng.integers(4, 400, len(key))
+        order = np.lexsort((n, key))
+        key, n = key[order], n[order]
+        pos = (rng.random(len(key)) * n / 5).astype(np.int64)
+        got = jaccard._with_partner(key, n, pos)
+        for x in range(len(key)):
+            others = [y for y in range(len(key)) if y != x and key[y] == key[x]]
+            meets = any(
+                80 * max(n[x], n[y]) <= 100 * min(n[x], n[y])
+                and 180 * (n[x] - pos[x]) >= 80 * (n[x] + n[y])
+                and 180 * (n[y] - pos[y]) >= 80 * (n[x] + n[y]) for y in others)
+            assert got[x] >= meets
+            if len(others) < jaccard.NEIGHBOURS:
+                assert got[x] == meets
+
+
+def test_a_group_of_near_copies_is_not_tried_pair_by_pair(frame, monkeypatch):
+    """Copies of one text that differ from each other more than from the text itself."""
+    rng, made, plain = random.Random(5), [], jaccard.tile_pairs
+    base = [f"w{i}" for i in range(120)]
+    rows = [(0, " ".join(base))]
+    for i in range(1, 120):
+        words = list(base)
+        for place in rng.sample(range(5, 115), 2):
+            words[place] = f"x{i}y{place}"
+        rows.append((i, " ".join(words)))
+
+    def counted(*parts):
+        pairs = plain(*parts)
+        made.append(pairs.count())
+        return pairs
+
+    monkeypatch.setattr(jaccard, "tile_pairs", counted)
+    df = frame(SCHEMA, *[(i, t, "x", 1) for i, t in rows])
+    assert result(jaccard.near_duplicates(df)) == brute(rows)
+    assert sum(made) <= len(rows)

@@ -7,11 +7,12 @@ meet in tiles of one shingle and one band of sizes (a band's classes and those o
 below); in a tile, bitmap signatures bound the overlap of two sets from above, and the pairs
 that remain are decided by intersecting the sorted sets themselves.
 
-Only components are wanted, so not every pair of a large group is looked at: first each class
-tries one smaller class, the least that a shingle and band of its own has, and what that links
-becomes a component (``STAR_ROUNDS`` times). So a round has one link per class at most, however
-large a group is. Tiles then hold shingles with more than one component, and only
-pairs of different components are tried there. No link between components is lost by that.
+Only components are wanted, so not every pair of a large group is looked at: first each component
+(at the start: class) tries one class, the hub of a shingle and tile of its own, and what that links
+becomes a component, for ``STAR_ROUNDS`` rounds. So a round has one link per class at most,
+however large a group is. Tiles then hold shingles with more than one component, and only
+pairs of different components are tried there: first one of each two components, then those
+whose components are still apart. No link between components is lost by that.
 """
 
 from __future__ import annotations
@@ -38,7 +39,8 @@ TILE_ROWS = 1024
 BROADCAST_IDS = 1_000_000
 MARKS = 1 << 20              # places of the filter for texts that are needed
 BANDS = 1.26                 # sizes of linked sets differ by less than this factor
-WIDTHS = ((128, 256), (512, 1024), (2048, 4096), (1 << 62, 16384))
+WIDTHS = ((128, 128), (512, 512), (2048, 2048), (8192, 8192), (1 << 62, 16384))
+NEIGHBOURS = 32              # classes of a shingle tried with each other before it is sent on
 FIRST = 4                    # shingles of a prefix by which a pair met twice is recognised
 
 
@@ -158,16 +160,46 @@ def _runs(batches: Iterator[pa.RecordBatch], columns: int) -> Iterator[pa.Table]
         yield held.combine_chunks()
 
 
+def _may_meet(n: np.ndarray, pos: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """For pairs of rows of one shingle: whether sizes and the shingle's places in both prefixes
+    leave room for the overlap asked for."""
+    small, large = np.minimum(n[a], n[b]), np.maximum(n[a], n[b])
+    least = -(-PERCENT * (n[a] + n[b]) // (100 + PERCENT))
+    return (100 * small >= PERCENT * large) & (n[a] - pos[a] >= least) & (n[b] - pos[b] >= least)
+
+
+def _with_partner(key: np.ndarray, n: np.ndarray, pos: np.ndarray) -> np.ndarray:
+    """Which rows, sorted by key and size, have another row of their key that they may meet.
+
+    Rows up to ``NEIGHBOURS`` apart are tried; rows of a key with more than that are kept if the
+    row next in size is near enough, as then one further away may be, too.
+    """
+    fine, at = np.zeros(len(key), bool), np.arange(len(key))
+    for step in range(1, NEIGHBOURS + 1):
+        a = at[:-step][key[step:] == key[:-step]]
+        a = a[100 * n[a] >= PERCENT * n[a + step]]
+        if not len(a):
+            return fine
+        a = a if step == NEIGHBOURS else a[_may_meet(n, pos, a, a + step)]
+        fine[a] = fine[a + step] = True
+    first = np.flatnonzero(np.append(True, key[1:] != key[:-1]))
+    counts = np.diff(np.append(first, len(key)))
+    near = np.zeros(len(key), bool)
+    next_to = (key[1:] == key[:-1]) & (100 * n[:-1] >= PERCENT * n[1:])
+    near[:-1] |= next_to
+    near[1:] |= next_to
+    return fine | (near & np.repeat(counts > NEIGHBOURS, counts))
+
+
 def _shared_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of rows sorted by key and class: those whose key has more than one class, each class once."""
+    """Of rows sorted by key and class: each class of a key once, if another class of the key
+    may be linked to it by their sizes and the key's places in their prefixes."""
     for table in _runs(batches, 1):
-        key, own = (table.column(i).to_numpy() for i in range(2))
+        key, own, n, pos = (table.column(i).to_numpy() for i in range(4))
         new_key = np.append(True, key[1:] != key[:-1])
-        new = new_key | np.append(True, own[1:] != own[:-1])
-        rows = np.flatnonzero(new)
-        starts = np.flatnonzero(new_key[rows])
-        counts = np.diff(np.append(starts, len(rows)))
-        rows = rows[np.repeat(counts > 1, counts)]
+        rows = np.flatnonzero(new_key | np.append(True, own[1:] != own[:-1]))
+        rows = rows[np.lexsort((n[rows], key[rows]))]
+        rows = rows[_with_partner(key[rows], n[rows], pos[rows].astype(np.int64))]
         if len(rows):
             yield from table.take(pa.array(rows)).to_batches()
 
@@ -254,9 +286,7 @@ def _tile_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
         def decided(left: list, right: list) -> Iterator[pa.RecordBatch]:
             a, b = np.concatenate(left), np.concatenate(right)
-            total = n[a] + n[b]
-            least = -(-PERCENT * total // (100 + PERCENT))
-            early = (n[a] - pos[a] >= least) & (n[b] - pos[b] >= least)
+            early = _may_meet(n, pos, a, b)
             a, b = a[early], b[early]
             met = np.zeros(len(a), bool)
             for x in range(FIRST):
@@ -338,17 +368,47 @@ class Texts:
             F.first("text").alias("text"))
 
 
-def links_among(pairs: DataFrame, texts: Texts) -> DataFrame:
-    """The pairs ``a, b`` of classes that are linked, decided by their texts."""
-    pairs = materialize(pairs, "pairs")
-    named = texts.of(pairs.select(F.explode(F.array("a", "b")).alias("class")))
-    named = materialize(named, "texts")
+def _decided(pairs: DataFrame, named: DataFrame) -> DataFrame:
     both = pairs.join(named.select(F.col("class").alias("a"), F.col("text").alias("text_a")), "a") \
         .join(named.select(F.col("class").alias("b"), F.col("text").alias("text_b")), "b")
     return materialize(both.select("a", "b", "text_a", "text_b").mapInArrow(
         _exact, "a bigint, b bigint"), "links")
 
 
+def _texts_of(pairs: DataFrame, texts: Texts) -> DataFrame:
+    return materialize(texts.of(pairs.select(F.explode(F.array("a", "b")).alias("class"))), "texts")
+
+
+def links_among(pairs: DataFrame, texts: Texts) -> DataFrame:
+    """The pairs ``a, b`` of classes that are linked, decided by their texts."""
+    pairs = materialize(pairs, "pairs")
+    return _decided(pairs, _texts_of(pairs, texts))
+
+
+def _apart(pairs: DataFrame, roots: DataFrame) -> DataFrame:
+    """The pairs whose classes have different roots, with these as ``low`` and ``high``."""
+    for side in ("a", "b"):
+        pairs = pairs.join(roots.select(F.col("node").alias(side), F.col("root").alias(
+            f"root_{side}")), side, "left").withColumn(
+                f"root_{side}", F.coalesce(f"root_{side}", side))
+    return pairs.filter(F.col("root_a") != F.col("root_b")).select(
+        "a", "b", F.least("root_a", "root_b").alias("low"),
+        F.greatest("root_a", "root_b").alias("high"))
+
+
+def links_between(pairs: DataFrame, roots: DataFrame, texts: Texts) -> list[DataFrame]:
+    """Links among the pairs ``a, b`` that bring the components of ``roots`` together: one pair of
+    each two components is decided first, then those that are still of different components."""
+    pairs = materialize(pairs, "pairs")
+    named = _texts_of(pairs, texts)
+    once = materialize(_apart(pairs, roots).groupBy("low", "high").agg(
+        F.min(F.struct("a", "b")).alias("p")).select("p.a", "p.b"), "once")
+    links = _decided(once, named)
+    known = links.unionByName(roots.select(F.col("node").alias("a"), F.col("root").alias("b")))
+    left = _apart(pairs, components(known)).select("a", "b").join(once, ["a", "b"], "left_anti")
+    return [links, _decided(left, named)]
+
+
 def components(links: DataFrame) -> DataFrame:
     """``node, root`` for every node of the links ``a, b``: root is the component's least node.
 
@@ -420,17 +480,25 @@ def _in_tiles(rooted: DataFrame) -> DataFrame:
 
 
 def star_pairs(rooted: DataFrame, maps: DataFrame) -> DataFrame:
-    """For each root one pair to try: of the classes that are least in a shingle and band of
-    one of its classes, belong to a smaller root and may be linked by the bitmaps, the least."""
-    least = rooted.groupBy("key", "band").agg(
-        F.min(F.struct("root", "class")).alias("least"), F.max("root").alias("most"))
-    least = least.filter(F.col("least.root") != F.col("most")).select(
-        "key", "band", F.col("least.root").alias("low"), F.col("least.class").alias("a"))
-    pairs = rooted.join(least, ["key", "band"]).filter(F.col("root") != F.col("low")).select(
-        "a", F.col("class").alias("b"), "low", "root").distinct()
-    fine = _with_maps(pairs, maps, "low", "root").mapInArrow(
-        _filter_pairs, "a bigint, b bigint, low bigint, root bigint")
-    return fine.groupBy("root").agg(F.min(F.struct("low", "a", "b")).alias("p")).select("p.a", "p.b")
+    """For each root one pair to try, with the hub of a shingle and tile of one of its classes: of
+    the hubs of another root that may be linked by the bitmaps, the one whose shingle comes first.
+
+    A hub is the class in whose prefix the shingle comes first. It has the fewest rare shingles
+    before it, so in a group of copies it is close to what they were copied from.
+    """
+    tiles = _in_tiles(rooted)
+    hubs = tiles.groupBy("key", "tile").agg(
+        F.min(F.struct("pos", "class", "root", "n")).alias("hub"),
+        F.min("root").alias("low"), F.max("root").alias("high"))
+    hubs = hubs.filter(F.col("low") != F.col("high")).select(
+        "key", "tile", F.col("hub.pos").alias("at"), F.col("hub.class").alias("a"),
+        F.col("hub.root").alias("to"), F.col("hub.n").alias("n_a"))
+    near = PERCENT * F.greatest("n", "n_a") <= 100 * F.least("n", "n_a")
+    pairs = tiles.join(hubs, ["key", "tile"]).filter((F.col("root") != F.col("to")) & near).groupBy(
+        "a", F.col("class").alias("b"), "root").agg(F.min("at").alias("at"))
+    fine = _with_maps(pairs, maps, "at", "root").mapInArrow(
+        _filter_pairs, "a bigint, b bigint, at int, root bigint")
+    return fine.groupBy("root").agg(F.min(F.struct("at", "a", "b")).alias("p")).select("p.a", "p.b")
 
 
 def tile_pairs(rooted: DataFrame, maps: DataFrame) -> DataFrame:
@@ -486,8 +554,9 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
     rooted, links = shared.withColumn("root", F.col("class")), []
     for _ in range(STAR_ROUNDS):
         links.append(links_among(star_pairs(rooted, maps), texts))
-        rooted = with_roots(shared, components(reduce(DataFrame.unionByName, links)))
-    links.append(links_among(tile_pairs(rooted, maps), texts))
+        roots = components(reduce(DataFrame.unionByName, links))
+        rooted = with_roots(shared, roots)
+    links += links_between(tile_pairs(rooted, maps), roots, texts)
     roots = components(reduce(DataFrame.unionByName, links))
     return _labelled(profile, roots).withColumnRenamed("doc_id", doc_id)
 
