@@ -383,6 +383,22 @@ def test_collapse_ranges(frame):
         (1, "J 3,16-18.20"), (2, "J 3,36.1.37"), (3, "J 1,5-7"), (4, "J 1,1.1-2")]
 
 
+def test_collapsed_runs_are_found_in_one_order(frame):
+    """Repeated, missing and extreme numbers; no join beyond those of runs with chapters and
+    of parts with their first."""
+    schema = ("request_id int, book_number int, chapter int, verse int, language string, "
+              "source string, id string, address string")
+    most = 2**31 - 1
+    df = frame(schema, *[(r, b, c, v, "l", "S", str(i), f"J {c},{v}") for i, (r, b, c, v) in enumerate([
+        (1, 1, 1, 1), (1, 1, 1, 2), (1, 1, 1, 2), (1, 1, 1, 3), (1, 1, 2, 4), (1, 1, 3, 5),
+        (1, 1, 3, 6), (1, 1, 3, 8), (1, 1, 4, 9), (1, 2, 1, 10), (2, 1, 1, -most - 1),
+        (2, 1, 1, most - 1), (2, 1, 1, most), (3, None, 1, 1), (3, 1, 1, 7), (None, 1, 1, 1)])])
+    got = export.collapse_ranges(df)
+    assert got._jdf.queryExecution().optimizedPlan().toString().count("Join ") <= 3
+    assert rows(joins.joined_parts(got, ["request_id"])) == [
+        (1, "J 1,1-2.2-6.8-10"), (2, f"J 1,{-most - 1}.{most - 1}-{most}"), (3, "J 1,7")]
+
+
 def test_collapse_then_parse_gives_the_verses(frame, spark):
     df = spark.range(200).selectExpr(
         "1 request_id", "1 book_number", "2 chapter", "cast(1 + (id * id) % 211 as int) verse",

@@ -179,18 +179,23 @@ def collapse_ranges(selected: DataFrame) -> DataFrame:
 
     ``selected`` has ``request_id, book_number, chapter, verse, language, source, id,
     address``. A run is broken wherever a verse is not its predecessor plus one; chapters
-    do not matter. Runs are found inside chapters first and only runs cross to the
-    request level, and of those only one per chapter is ever ordered across chapters.
+    do not matter. Runs are found inside chapters first, from the rows at their ends, and only
+    runs cross to the request level, and of those only one per chapter is ever ordered
+    across chapters.
     """
     chapter = ["request_id", "book_number", "chapter"]
     within = Window.partitionBy(*chapter).orderBy("verse", "language", "source", "id")
     across = Window.partitionBy("request_id").orderBy("book_number", "chapter")
-    previous = F.lag("verse").over(within)
-    starts = F.when(F.col("verse") == previous + 1, 0).otherwise(1)
-    first = F.min(F.struct("verse", "language", "source", "id", "address"))
-    runs = selected.withColumn("_start", starts).withColumn(
-        "_run", F.sum("_start").over(within)).groupBy(*chapter, "_run").agg(
-            F.min("verse").alias("lo"), F.max("verse").alias("hi"), first.alias("_first"))
+    verse = F.col("verse")
+    after = verse.cast("bigint") + 1
+    starts = F.coalesce(verse != F.lag(after).over(within), F.lit(True))
+    ends = F.coalesce(after != F.lead("verse").over(within), F.lit(True))
+    edges = selected.withColumn("_starts", starts).withColumn("_ends", ends).filter(
+        "_starts or _ends")
+    runs = edges.withColumn("_run", F.sum(F.col("_starts").cast("int")).over(within)).withColumn(
+        "hi", F.when(F.col("_ends"), verse).otherwise(F.lead("verse").over(within))).filter(
+        "_starts").select(*chapter, "_run", verse.alias("lo"), "hi",
+                          F.when(F.col("_run") == 1, F.col("address")).alias("_address"))
 
     # The first run of a chapter goes on with the last one of the chapter before if their
     # numbers meet; a chapter that is all one such run passes on the run it belongs to.
@@ -203,21 +208,21 @@ def collapse_ranges(selected: DataFrame) -> DataFrame:
     carried = ends.select(*chapter, "_goes_on", F.last(last_start, ignorenulls=True).over(
         across.rowsBetween(Window.unboundedPreceding, -1)).alias("_carry"))
     place = F.struct("book_number", "chapter", "_run")
-    islands = runs.join(carried, chapter).withColumn("_island", F.when(
-        F.col("_goes_on") & (F.col("_run") == 1), F.col("_carry")).otherwise(place)).groupBy(
-        "request_id", "_island").agg(
-            F.min_by("lo", place).alias("lo"), F.max_by("hi", place).alias("hi"),
-            F.min_by("_first.address", place).alias("_address"))
+    known = runs.filter(" and ".join(f"{c} is not null" for c in chapter))
+    islands = known.join(carried.filter("_goes_on").withColumn("_run", F.lit(1).cast("bigint")).drop(
+        "_goes_on"), [*chapter, "_run"], "left").withColumn(
+        "_island", F.coalesce("_carry", place)).groupBy("request_id", "_island").agg(
+            F.min("lo").alias("lo"), F.max("hi").alias("hi"),
+            F.max(F.when(F.col("_carry").isNull(), F.col("_address"))).alias("_address"))
 
     shown = F.when(F.col("lo") == F.col("hi"), F.col("lo").cast("string")).otherwise(
         F.concat(F.col("lo").cast("string"), F.lit("-"), F.col("hi").cast("string")))
     lines = islands.select("request_id", "_island.book_number", "_island.chapter",
-                           F.col("_island._run").alias("run"), shown.alias("text"))
-    parts = in_parts(lines, ["request_id"], ["book_number", "chapter", "run"], sep=".")
-    begins = islands.groupBy("request_id").agg(F.min_by(
-        A.address_prefix(F.col("_address")), F.col("_island")).alias("_prefix"))
-    first = parts.groupBy("request_id").agg(F.min("part").alias("_first")).join(
-        begins, "request_id")
+                           F.col("_island._run").alias("run"), shown.alias("text"),
+                           A.address_prefix(F.col("_address")).alias("_prefix"))
+    parts = in_parts(lines, ["request_id"], ["book_number", "chapter", "run"], sep=".",
+                     lead="_prefix")
+    first = parts.groupBy("request_id").agg(F.min("part").alias("_first"))
     return parts.join(first, "request_id").select("request_id", "part", F.concat(
         F.when(F.col("part") == F.col("_first"), F.col("_prefix")).otherwise("."), "text")
         .alias("text"))

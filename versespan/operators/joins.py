@@ -214,19 +214,20 @@ def explode_range(df: DataFrame, lo: Column, hi: Column, out: str) -> DataFrame:
 
 
 def in_parts(lines: DataFrame, key: list[str], order: list[str], within: Sequence[str] = (),
-             text: str = "text", sep: str = "") -> DataFrame:
+             text: str = "text", sep: str = "", lead: str | None = None) -> DataFrame:
     """Documents as ordered parts ``key, part, text``, whatever their size.
 
     ``order`` are integer columns (NULL counts as -1); the last numbers the lines, and every
     ``PART_LINES`` numbers begin a new part. ``within`` orders lines of one number. ``part``
     is an array that sorts as the parts follow one another, so no task ever holds more
-    than one part.
+    than one part. Of the column ``lead`` the value in a part's first line is kept.
     """
     cells = [F.coalesce(F.col(c).cast("bigint"), F.lit(-1).cast("bigint")) for c in order]
     place = F.array(*cells[:-1], F.floor(cells[-1] / PART_LINES).cast("bigint"))
     ordered = F.array_sort(F.collect_list(F.struct(*order, *within, F.col(text).alias("_text"))))
+    kept = [F.min_by(lead, F.struct(*order, *within)).alias(lead)] if lead else []
     return lines.groupBy(*key, place.alias("part")).agg(
-        F.array_join(F.transform(ordered, lambda r: r["_text"]), sep).alias("text"))
+        F.array_join(F.transform(ordered, lambda r: r["_text"]), sep).alias("text"), *kept)
 
 
 def joined_parts(parts: DataFrame, key: list[str], out: str = "document") -> DataFrame:
