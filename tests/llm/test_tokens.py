@@ -190,3 +190,19 @@ def test_pack_handles_odd_rows(spark):
     assert {r["doc_id"]: r["doc_tokens"] for r in got} == {None: 3, 1: 1, 2: 1, 3: 9001, 4: 2}
     assert sum(r["length"] for r in got) == 3 + 1 + 1 + 9001 + 2 + 2
     assert packing.pack(spark.createDataFrame([], kind), WORDS).count() == 0
+
+
+def test_new_stretches_go_to_the_tokenizer_in_bounded_texts():
+    words = packing.WordIds(WORDS)
+    plain, sizes = words._encoded, []
+
+    def watched(texts):
+        sizes.extend(map(len, texts))
+        return plain(texts)
+
+    words._encoded = watched
+    text = " ".join(f"w{i}x{i * 7919 % 10007}" for i in range(30_000)) + " end^mark tail."
+    found = words([text, "again w1x7919"])
+    assert max(sizes) < 100_000 < len(text)
+    assert found[0] == plain([text])[0].tobytes()
+    assert found[1] == plain(["again w1x7919"])[0].tobytes()

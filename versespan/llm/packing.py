@@ -26,7 +26,8 @@ from versespan.llm.common import kept_in_process, text_blocks
 WINDOW = 2048
 END_ID = 1
 MAX_OPEN = 8192          # open windows per task; beyond that the emptier half is closed
-CACHE_ENTRIES = 400_000  # stretches remembered in each of two tables
+CACHE_ENTRIES = 100_000  # stretches remembered in each of two tables
+AT_ONCE = 2048           # new stretches that the tokenizer gets in one text
 CACHE_CHARS = 64
 TAILS = ".,;:!?*#$&%|<>"
 MARK = "^"               # stands between stretches that are encoded together
@@ -57,8 +58,8 @@ class WordIds:
 
     Texts are cut at spaces and line ends, and the ids of each stretch are remembered in two
     tables of bounded size: what is used stays when the older table is given up. New stretches,
-    less the punctuation at their end, go to the tokenizer in one text, with a mark between
-    them that none of them holds.
+    less the punctuation at their end, go to the tokenizer up to ``AT_ONCE`` in one text, with a
+    mark between them that none of them holds.
     """
 
     def __init__(self, path: str):
@@ -105,8 +106,9 @@ class WordIds:
                 whole[word] = place
         whole |= known.new
         known.new = {}
-        if whole:
-            self._fill(whole)
+        words = list(whole)
+        for at in range(0, len(words), AT_ONCE):
+            self._fill({word: whole[word] for word in words[at:at + AT_ONCE]})
         for word, place, stem, tail in parts:
             known[word] = found = b"".join((stem, tail))
             place += found
