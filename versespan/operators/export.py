@@ -10,6 +10,7 @@ from versespan.functions import address as A
 from versespan.functions import text as X
 from versespan.operators.joins import PART_LINES, Checked, computed, in_parts, measured, pruned
 from versespan.operators.sheets import decode_sheets, pericope_verses, shown_items
+from versespan.session import materialize
 
 
 def export_directory(verses: DataFrame) -> DataFrame:
@@ -59,7 +60,8 @@ def _verse_json(rows: DataFrame) -> DataFrame:
 
 def export_chapters(rows: DataFrame) -> DataFrame:
     """Verses as JSON lists, a row per (request, chapter, ``part``): ``verses`` of as many
-    verse numbers as a part holds."""
+    verse numbers as a part holds. ``rows`` are looked up once and written out."""
+    rows = materialize(rows, "export")
     key = ["request_id", "requested", "source", "book", "chapter"]
     names = rows.groupBy(*key).agg(F.min("book_name").alias("book_name"))
     lists = in_parts(_verse_json(rows), key, ["verse"], ["text"], "_json", ",")
@@ -72,8 +74,10 @@ def export_documents(rows: DataFrame) -> DataFrame:
 
     The parts of a request, one after another, are its document; see ``joined_parts``. What
     stands between the verses (header, chapter numbers, commas) has parts of its own, so the
-    verses are gathered part by part only.
+    verses are gathered part by part only. ``rows`` are looked up once and written out, as
+    verses, what stands between them, and headers are made of them.
     """
+    rows = materialize(rows, "export")
     block = F.floor(F.coalesce(F.col("verse"), F.lit(-1)) / PART_LINES).cast("bigint")
     body = in_parts(_verse_json(rows), ["request_id"], ["chapter", "verse"], ["text"], "_json", ",")
     body = body.select("request_id", F.concat("part", F.array(F.lit(1).cast("bigint")))
