@@ -122,6 +122,24 @@ def test_long_chains_become_one_component(frame):
     assert got == {**{i: 1 for i in range(1, 41)}, 100: 100, 101: 100}
 
 
+def test_few_links_are_one_job_and_equal_to_the_rounds(frame, monkeypatch):
+    rng = np.random.default_rng(11)
+    pairs = [(int(a), int(b)) for a, b in rng.integers(-200, 200, (220, 2))]
+    links, kept, written = frame("a long, b long", *pairs), jaccard.materialize, []
+
+    def watched(df, purpose):
+        written.append(purpose)
+        return kept(df, purpose)
+
+    monkeypatch.setattr(jaccard, "materialize", watched)
+    few = sorted(tuple(r) for r in jaccard.components(links).collect())
+    assert len(written) == 1
+    assert jaccard.components(links.limit(0)).collect() == []
+    monkeypatch.setattr(jaccard, "LINKS_AT_ONCE", 10)
+    many = sorted(tuple(r) for r in jaccard.components(links).collect())
+    assert len(written) > 3 and few == many
+
+
 def test_query_equals_brute_force(spark, sf_dir):
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text").collect()
     assert result(queries.QUERIES["op3_jaccard_tiles"](spark, sf_dir)) == brute(

@@ -41,6 +41,7 @@ MARKS = 1 << 20              # places of the filter for texts that are needed
 BANDS = 1.26                 # sizes of linked sets differ by less than this factor
 WIDTHS = ((128, 128), (512, 512), (2048, 2048), (8192, 8192), (1 << 62, 16384))
 NEIGHBOURS = 32              # classes of a shingle tried with each other before it is sent on
+LINKS_AT_ONCE = 1 << 18      # links that one task brings together, 4 MB
 FIRST = 4                    # shingles of a prefix by which a pair met twice is recognised
 
 
@@ -409,15 +410,37 @@ def links_between(pairs: DataFrame, roots: DataFrame, texts: Texts) -> list[Data
     return [links, _decided(left, named)]
 
 
+def _roots(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """``node, root`` of all links ``a, b`` of a task: each root hands the least root it meets to
+    those it meets, until none is left to meet."""
+    rows = [np.stack([batch.column(i).to_numpy() for i in (0, 1)]) for batch in batches]
+    if not rows:
+        return
+    nodes, place = np.unique(np.concatenate(rows, axis=1), return_inverse=True)
+    a, b = place.reshape(2, -1)
+    root = np.arange(len(nodes))
+    while (root[a] != root[b]).any():
+        low = np.minimum(root[a], root[b])
+        for side in (root[a], root[b]):
+            np.minimum.at(root, side, low)
+        while (root[root] != root).any():
+            root = root[root]
+    yield pa.RecordBatch.from_arrays([pa.array(nodes), pa.array(nodes[root])], ["node", "root"])
+
+
 def components(links: DataFrame) -> DataFrame:
     """``node, root`` for every node of the links ``a, b``: root is the component's least node.
 
-    Large stars and small stars in turn: each node hands its larger neighbours, then its
-    smaller ones, to the least it knows. Minima are taken with map-side combining and every
-    round is written out; the rounds grow with the logarithm of the longest chain.
+    Up to ``LINKS_AT_ONCE`` links are brought together by one task, which saves the driver the
+    plans of all rounds. For more, large stars and small stars in turn: each node hands its larger
+    neighbours, then its smaller ones, to the least it knows. Minima are taken with map-side
+    combining and every round is written out; the rounds grow with the logarithm of the longest
+    chain.
     """
-    edges = links.filter(F.col("a") != F.col("b")).select(
-        F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct()
+    links = links.filter(F.col("a") != F.col("b")).select("a", "b")
+    if links.limit(LINKS_AT_ONCE + 1).count() <= LINKS_AT_ONCE:
+        return materialize(links.coalesce(1).mapInArrow(_roots, "node bigint, root bigint"), "roots")
+    edges = links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct()
     before = None
     while True:
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
