@@ -206,3 +206,26 @@ def test_new_stretches_go_to_the_tokenizer_in_bounded_texts():
     assert max(sizes) < 100_000 < len(text)
     assert found[0] == plain([text])[0].tobytes()
     assert found[1] == plain(["again w1x7919"])[0].tobytes()
+
+
+def test_plain_words_need_no_normalizer_and_no_mark():
+    """Small and capital Latin-1 letters; other letters, marks and digits still go that way."""
+    words = packing.WordIds(WORDS)
+    plain, sent = words._encoded, []
+
+    def watched(texts):
+        sent.extend(texts)
+        return plain(texts)
+
+    rng = random.Random(5)
+    letters = [chr(c) for c in range(256) if chr(c).isalpha() and chr(c) not in "ªºµ"]
+    some = ["".join(rng.choices(letters, k=rng.randint(1, 14))) for _ in range(3000)]
+    latin = " ".join(some) + ".\tÉTÉ,\r\x0bÀ\x0cÿß\nend"
+    odd = ["º µm ª x\x85Y É\xa0È", "É́té ΑΣ İI ﬁx Œuvre ſo K", "x1y É2 ×÷ À×"]
+    words._encoded = watched
+    found = words([latin])
+    assert sum(map(len, sent)) < 100 < len(latin)
+    library = Tokenizer.from_file(WORDS)
+    for text, ids in zip([latin, *odd], found + words(odd), strict=True):
+        want = library.encode(text, add_special_tokens=False).ids
+        assert np.frombuffer(ids, "<u4").tolist() == want, text[:50]

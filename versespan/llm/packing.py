@@ -11,9 +11,11 @@ left with padding. Documents are packed where they are read; nothing is shuffled
 from __future__ import annotations
 
 import os
+import re
 import zlib
 from collections import deque
 from collections.abc import Callable, Iterator
+from typing import Any
 
 import numpy as np
 import pyarrow as pa
@@ -28,9 +30,24 @@ END_ID = 1
 MAX_OPEN = 8192          # open windows per task; beyond that the emptier half is closed
 CACHE_ENTRIES = 100_000  # stretches remembered in each of two tables
 AT_ONCE = 2048           # new stretches that the tokenizer gets in one text
+WORDS_AT_ONCE = 256      # the same of new words of plain letters
 CACHE_CHARS = 64
 TAILS = ".,;:!?*#$&%|<>"
 MARK = "^"               # stands between stretches that are encoded together
+LETTERS = "abcdefghijklmnopqrstuvwxyzßàáâãäåæçèéêëìíîïðñòóôõöøùúûüýþÿ"
+PLAIN = re.compile(f"[{LETTERS}]+")
+LATIN = bytes(range(256)).decode("latin-1").lower().translate(
+    dict.fromkeys(map(ord, "\t\n\v\f\r"), " ")).encode("latin-1")    # what a Latin-1 byte becomes
+
+
+def stretches(text: str) -> list[str]:
+    """What stands between spaces and line ends, in small letters as far as these are sure: those
+    of Latin-1 texts, and A-Z in others."""
+    try:
+        text = text.encode("latin-1").translate(LATIN).decode("latin-1")
+    except UnicodeEncodeError:
+        text = text.encode().lower().decode().replace("\n", " ")
+    return text.split(" ")
 PIECES = ("doc_id {}, start bigint, length bigint, ids_crc32 bigint, doc_tokens bigint, "
           "sequence_id bigint, offset bigint")
 
@@ -53,13 +70,14 @@ class _Known(dict):
 
 
 class WordIds:
-    """Ids of whole texts by a ``tokenizers`` file that ignores the case of A-Z and whose
-    pre-tokens never hold white space, nor a letter or digit before punctuation.
+    """Ids of whole texts by a ``tokenizers`` file that ignores the case of Latin-1 letters and
+    whose pre-tokens never hold white space, nor a letter or digit before punctuation.
 
     Texts are cut at spaces and line ends, and the ids of each stretch are remembered in two
     tables of bounded size: what is used stays when the older table is given up. New stretches,
     less the punctuation at their end, go to the tokenizer up to ``AT_ONCE`` in one text, with a
-    mark between them that none of them holds.
+    mark between them that none of them holds. Words of ``LETTERS`` alone need neither the
+    normalizer nor a mark: the token that ends a word tells so by its suffix.
     """
 
     def __init__(self, path: str):
@@ -71,12 +89,40 @@ class WordIds:
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
         self.mark = self._encoded([MARK])[0]
+        self.plain, self.ends = self._plain()
         self.known = _Known({})
 
+    def _plain(self) -> tuple[Any, np.ndarray]:
+        """A tokenizer for words of ``LETTERS``, and which ids end a word; none if the file's
+        normalizer changes such words, its pre-tokens part them or ends are not told."""
+        from tokenizers import Tokenizer
+
+        whole, two = self.tokenizer, f"{LETTERS} {LETTERS[::-1]}"
+        vocabulary = whole.get_vocab()
+        ends = np.zeros(max(vocabulary.values(), default=0) + 1, bool)
+        suffix = getattr(whole.model, "end_of_word_suffix", None)
+        same = whole.normalizer is None or whole.normalizer.normalize_str(two) == two
+        if not suffix or not same or whole.pre_tokenizer is None or len(
+                whole.pre_tokenizer.pre_tokenize_str(two)) != 2:
+            return None, ends
+        ends[[n for token, n in vocabulary.items() if token.endswith(suffix)]] = True
+        plain = Tokenizer(whole.model)
+        plain.pre_tokenizer = whole.pre_tokenizer
+        return plain, ends
+
     def _encoded(self, words: list[str]) -> list[np.ndarray]:
         return [np.array(found.ids, "<u4") for found in self.tokenizer.encode_batch_fast(
             words, add_special_tokens=False)]
 
+    def _keep(self, words: list[str], places: list[bytearray], ids: np.ndarray,
+              stops: np.ndarray, gap: int) -> None:
+        """Remember each word's ids: up to its stop, the next begin ``gap`` bytes behind it."""
+        known, data, start = self.known, ids.tobytes(), 0
+        for word, place, stop in zip(words, places, (4 * stops).tolist(), strict=True):
+            known[word] = found = data[start:stop]
+            place += found
+            start = stop + gap
+
     def _fill(self, new: dict[str, bytearray]) -> None:
         """Encode stretches and remember their ids."""
         together = [word for word in new if MARK not in word]
@@ -84,16 +130,23 @@ class WordIds:
         stops = np.flatnonzero(ids == self.mark)
         alone = new
         if len(self.mark) == 1 and len(stops) == len(together) - 1:
-            data, start = ids.tobytes(), 0
-            for word, stop in zip(together, [*(4 * stops).tolist(), len(data)], strict=True):
-                self.known[word] = found = data[start:stop]
-                new[word] += found
-                start = stop + 4
+            self._keep(together, [new[word] for word in together], ids,
+                       np.append(stops, len(ids)), 4)
             alone = [word for word in new if MARK in word]
         for word, ids in zip(alone, self._encoded(list(alone)), strict=True):
             self.known[word] = found = ids.tobytes()
             new[word] += found
 
+    def _fill_plain(self, words: list[str], places: list[bytearray]) -> None:
+        """The same for words of ``LETTERS``."""
+        [found] = self.plain.encode_batch_fast([" ".join(words)], add_special_tokens=False)
+        ids = np.array(found.ids, "<u4")
+        stops = np.flatnonzero(self.ends[ids]) + 1
+        if len(stops) == len(words):
+            self._keep(words, places, ids, stops, 0)
+        else:
+            self._fill(dict(zip(words, places, strict=True)))
+
     def _learn(self) -> None:
         known, asked = self.known, self.known.new
         known.new = {}
@@ -106,7 +159,13 @@ class WordIds:
                 whole[word] = place
         whole |= known.new
         known.new = {}
-        words = list(whole)
+        words = list(filter(PLAIN.fullmatch, whole)) if self.plain else []
+        places = [whole[word] for word in words]
+        for at in range(0, len(words), WORDS_AT_ONCE):
+            stop = at + WORDS_AT_ONCE
+            self._fill_plain(words[at:stop], places[at:stop])
+        plain = set(words)
+        words = [word for word in whole if word not in plain]
         for at in range(0, len(words), AT_ONCE):
             self._fill({word: whole[word] for word in words[at:at + AT_ONCE]})
         for word, place, stem, tail in parts:
@@ -124,8 +183,7 @@ class WordIds:
         if len(self.known) > CACHE_ENTRIES:
             self.known = _Known(dict(self.known))
         find = self.known.__getitem__
-        found = [list(map(find, text.encode().lower().decode().replace("\n", " ").split(" ")))
-                 for text in texts]
+        found = [list(map(find, stretches(text))) for text in texts]
         if self.known.new:
             self._learn()
         return [b"".join(ids) for ids in found]
