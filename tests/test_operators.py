@@ -208,6 +208,19 @@ def test_embedding_failures_stay_on_their_row(frame):
                    (5, None, "model returned no vector")]
 
 
+def test_embedding_leaves_other_columns_exact(frame):
+    """Long numbers beside a NULL, and what pandas has no type of its own for."""
+    days = dt.date(9999, 12, 31)
+    kind = "id long, day date, parts array<struct<a: long>>, text string"
+    given = [(2 ** 53 + 1, days, [(2 ** 53 + 1,), None], "abc"), (None, None, None, "a"),
+             (-5, days, [], None)]
+    got = search.embed_texts(frame(kind, *given).coalesce(1), "text",
+                             lambda texts: [[float(len(t)), 0.1] for t in texts])
+    assert rows(got, "id", "day", "parts", "text") == rows(frame(kind, *given))
+    assert {r["text"]: r["embedding"] and r["embedding"][0] for r in got.collect()} == {
+        "abc": 3.0, "a": 1.0, None: None}
+
+
 def test_search_branches(frame, verses, books):
     def model(texts):
         return [[1.0, float(len(t))] for t in texts]
