@@ -80,3 +80,12 @@ def test_references_are_shuffled_as_numbers(spark, frame):
     dealt = [line for line in plan.splitlines() if "hashpartitioning(" in line]
     assert len(dealt) == 2 and not any(
         word in line for line in dealt for word in ("question", "reference", "language", "name"))
+
+
+def test_answers_are_sorted_by_the_number_of_what_is_asked(frame, monkeypatch):
+    """Its text, of any length, is not sorted and stored with each answer."""
+    _, requests, refs, books, sources, *_ = _colliding(frame)
+    seen, placed = [], references.placed
+    monkeypatch.setattr(references, "placed", lambda df: seen.append(dict(df.dtypes)) or placed(df))
+    references.placed_references_by_address(requests, refs, books, sources)
+    assert [s["request_id"] for s in seen] == ["bigint"]
