@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
-from collections import Counter
+from itertools import batched
 
+import numpy as np
+import pyarrow as pa
 import pytest
 
 from conftest import rows
 from versespan import schemas
-from versespan.operators import joins, references
+from versespan.operators import joins, nearest, references
 
 
 def _colliding(frame):
@@ -34,7 +36,6 @@ def _colliding(frame):
 def _expected(names, refs, asked):
     numbers = {"A": {1, 2}, "D": {2}, "later": {1, 2}, "B 1,2-C": {4}, "C": {5}}
     known = {"S": "en", "P": "pl"}
-    found = Counter()
     out = []
     for request, address, source in asked:
         book, verses = address.split(" 1,")
@@ -89,3 +90,38 @@ def test_answers_are_sorted_by_the_number_of_what_is_asked(frame, monkeypatch):
     monkeypatch.setattr(references, "placed", lambda df: seen.append(dict(df.dtypes)) or placed(df))
     references.placed_references_by_address(requests, refs, books, sources)
     assert [s["request_id"] for s in seen] == ["bigint"]
+
+
+def _batches(listed, size):
+    for part in batched(listed, size):
+        yield pa.RecordBatch.from_arrays(
+            [pa.array([i for i, _ in part]), pa.array(["s"] * len(part)),
+             pa.array([v for _, v in part], pa.list_(pa.float32()))], ["id", "source", "embedding"])
+
+
+def _full_scan(listed, queries, k):
+    def distance(a, b):
+        a = np.array(a, "float32").astype(float)
+        scale = np.sqrt((a * a).sum()) * np.sqrt((b * b).sum())
+        return 1.0 - (a * b).sum() / scale if scale else np.inf
+
+    return sorted((n, i) for n, (_, q) in enumerate(queries) for _, i in sorted(
+        (distance(v, np.array(q)), i) for i, v in listed)[:k])
+
+
+@pytest.mark.parametrize("k", [1, 3, 40, 500])
+def test_queries_are_ranked_many_at_a_time(monkeypatch, k):
+    """Vectors that single precision can not tell apart, equal ones and some without a length."""
+    rng = np.random.default_rng(5)
+    base = rng.normal(size=8)
+    listed = [(f"n{i:03}", (base + i % 50 * 1e-7).tolist()) for i in rng.permutation(150).tolist()]
+    listed += [(f"v{i:03}", rng.normal(size=8).tolist()) for i in range(150)]
+    listed += [(f"z{i}", [0.0] * 8) for i in range(4)]
+    queries = [("s", (base + i * 1e-7).tolist()) for i in range(30)]
+    queries += [("s", rng.normal(size=8).tolist()) for _ in range(60)]
+    sorts, lexsort = [], np.lexsort
+    monkeypatch.setattr(np, "lexsort", lambda *a, **b: sorts.append(1) or lexsort(*a, **b))
+    found = [pair for batch in nearest.best_of_partition(queries, k)(_batches(listed, 100))
+             for pair in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True)]
+    assert sorted(found) == _full_scan(listed, queries, k)
+    assert len(sorts) < len(queries)
