@@ -10,7 +10,7 @@ import pytest
 
 from conftest import rows
 from versespan import schemas
-from versespan.operators import joins, nearest, references
+from versespan.operators import cells, joins, nearest, references
 
 
 def _colliding(frame):
@@ -125,3 +125,50 @@ def test_queries_are_ranked_many_at_a_time(monkeypatch, k):
              for pair in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True)]
     assert sorted(found) == _full_scan(listed, queries, k)
     assert len(sorts) < len(queries)
+
+
+def test_cells_store_a_vector_once_for_its_ids(spark, frame, tmp_path):
+    """Ids of one source with one vector; ids and sources may be NULL, ids may repeat."""
+    rng = np.random.default_rng(9)
+    vectors = rng.normal(size=(12, 6)).astype("float32").tolist()
+    listed = [(f"v{i:04}", "ab"[i % 2], vectors[i % 12]) for i in range(1200)]
+    listed += [("x", None, vectors[0]), (None, "a", vectors[0]), (None, None, vectors[1]),
+               ("zero", "a", [0.0] * 6), ("minus", "a", [-0.0] * 6), ("short", "b", [1.0, 2.0])]
+    cells.store_cells(frame("id string, source string, embedding array<float>", *listed),
+                      str(tmp_path), 64)
+    stored = spark.read.parquet(f"{tmp_path}/members")
+    assert "id" not in stored.columns and stored.count() < len(listed) / 8
+    kept = cells.read_cells(spark, str(tmp_path))
+    assert rows(kept.members, "id", "source", "embedding") == rows(
+        frame("id string, source string, embedding array<float>", *listed))
+    assert kept.directory.agg({"n": "sum"}).first()[0] == len(listed)
+    asked = [(i, "ab"[i % 2], rng.normal(size=6).tolist()) for i in range(6)]
+    found = cells.nearest_in_cells(
+        frame("request_id int, source string, vector array<float>", *asked), kept, 70).rows
+    got = [(r["request_id"], r["id"]) for r in found.collect()]
+    whole = []
+    for request, source, vector in asked:
+        part = [(i, v) for i, s, v in listed if s == source and i is not None and len(v) == 6]
+        asked_as = np.array(vector, "float32").astype(float)
+        whole += [(request, i) for _, i in _full_scan(part, [(source, asked_as)], 70)]
+    assert len(got) == len(whole)
+    assert sorted(x for x in got if x[1] is not None and x[0] % 2) == sorted(
+        x for x in whole if x[0] % 2)
+
+
+def test_vectors_of_one_mark_stay_apart():
+    """Rows are united by their vector, whatever its mark, and only up to a number of ids."""
+    n = 3 * cells.IDS_PER_ROW
+    vectors = [[1.0, 2.0], [3.0, 4.0]] * n
+    batch = pa.RecordBatch.from_arrays(
+        [pa.array(["s"] * 2 * n), pa.array(vectors, pa.list_(pa.float32())),
+         pa.array([2] * 2 * n, pa.int32()), pa.array([0] * 2 * n, pa.int64()),
+         pa.array([[str(i)] for i in range(2 * n)]), pa.array([7] * n + [8] * n, pa.int64())],
+        ["source", "embedding", "dims", "cell", "ids", "mark"])
+    by_vector = cells._united(batch.set_column(5, "mark", pa.array([0, 1] * n, pa.int64())))
+    assert by_vector.num_rows == 6
+    assert max(len(x) for x in by_vector.column("ids").to_pylist()) == cells.IDS_PER_ROW
+    for united in (cells._united(batch), by_vector):
+        pairs = [(i, v) for ids, v in zip(united.column("ids").to_pylist(), united.column(
+            "embedding").to_pylist(), strict=True) for i in ids]
+        assert sorted(pairs) == sorted((str(i), v) for i, v in enumerate(vectors))

@@ -25,7 +25,7 @@ from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 from versespan.functions.vectors import cosine_distance
-from versespan.operators.joins import measured, pruned, small_side, top_per_request
+from versespan.operators.joins import measured, pruned, top_per_request
 from versespan.operators.nearest import MATCHES, best_of_partition
 from versespan.operators.search import check_vectors
 
@@ -33,15 +33,17 @@ ROWS_PER_CELL = 512
 MOST_BITS = 20
 NO_LENGTH = -1               # the cell of vectors without a length, at no distance from anything
 SLACK = 1e-6                 # radians: more than rounding moves an angle
-MEMBERS = "id string, source string, embedding array<float>, dims int, cell bigint"
+IDS_PER_ROW = 64             # so many ids share one stored copy of their vector
+STORED = "source string, embedding array<float>, dims int, cell bigint, ids array<string>"
+DEALT = f"{STORED}, mark bigint"
 CELLS = "source string, dims int, cell bigint, n bigint, centre array<double>, radius double"
 
 
 class Cells(NamedTuple):
     """Vectors with their cell, and the cells with their bounds."""
 
-    members: DataFrame
-    directory: DataFrame
+    members: DataFrame       # id, source, embedding, dims, cell
+    directory: DataFrame     # one row or more per cell, each with the bounds of its vectors
 
 
 class Found(NamedTuple):
@@ -53,13 +55,19 @@ def _projections(dims: int, bits: int) -> np.ndarray:
     return np.random.default_rng(dims).standard_normal((MOST_BITS, dims))[:bits]
 
 
+def _marks(matrix: np.ndarray) -> np.ndarray:
+    """A hash of each vector, to bring equal ones together."""
+    odd = np.random.default_rng(matrix.shape[1]).integers(0, 1 << 62, matrix.shape[1], np.int64) | 1
+    return (np.ascontiguousarray(matrix, np.float32).view(np.int32) * odd).sum(axis=1)
+
+
 def _deal(bits: int):
-    """For ``mapInArrow``: each vector's cell."""
+    """For ``mapInArrow``: each vector's cell and mark, equal vectors of a batch in one row."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             vectors = batch.column("embedding")
             sizes = vectors.value_lengths().to_numpy(zero_copy_only=False)
-            cell = np.zeros(len(sizes), np.int64)
+            cell, mark = np.zeros(len(sizes), np.int64), np.zeros(len(sizes), np.int64)
             for size in np.unique(sizes).tolist():
                 rows = np.flatnonzero(sizes == size)
                 flat = vectors.take(pa.array(rows)).flatten().to_numpy(zero_copy_only=False)
@@ -67,16 +75,55 @@ def _deal(bits: int):
                 signs = matrix @ _projections(size, bits).T > 0
                 cell[rows] = signs @ (1 << np.arange(bits))
                 cell[rows[~matrix.any(axis=1)]] = NO_LENGTH
-            yield pa.RecordBatch.from_arrays(
-                [*batch.columns, pa.array(sizes, pa.int32()), pa.array(cell, pa.int64())],
-                [*batch.schema.names, "dims", "cell"])
+                mark[rows] = _marks(flat.reshape(len(rows), size))
+            ids = pa.ListArray.from_arrays(
+                pa.array(np.arange(len(sizes) + 1, dtype=np.int32)), batch.column("id"))
+            yield _united(pa.RecordBatch.from_arrays(
+                [batch.column("source"), vectors, pa.array(sizes, pa.int32()),
+                 pa.array(cell, pa.int64()), ids, pa.array(mark, pa.int64())],
+                ["source", "embedding", "dims", "cell", "ids", "mark"]))
 
     return run
 
 
+def _united(batch: pa.RecordBatch) -> pa.RecordBatch:
+    """The batch in order of its marks with the ids of equal vectors in one row, up to a number."""
+    keys = [batch.column("source").dictionary_encode().indices.fill_null(-1), *(
+        batch.column(c) for c in ("dims", "cell", "mark"))]
+    keys = [k.to_numpy(zero_copy_only=False) for k in keys]
+    order = np.lexsort(keys[::-1])
+    batch, keys = batch.take(pa.array(order)), [k[order] for k in keys]
+    if not len(order):
+        return batch
+    new = np.r_[True, np.any([k[1:] != k[:-1] for k in keys], axis=0)]
+    sizes = keys[1]
+    for size in np.unique(sizes).tolist():              # a mark may be that of another vector too
+        rows = np.flatnonzero(sizes == size)
+        flat = batch.column("embedding").take(pa.array(rows)).flatten()
+        bits = flat.to_numpy(zero_copy_only=False).astype(np.float32).view(np.int32)
+        bits = bits.reshape(len(rows), size)
+        new[rows[1:]] |= (bits[1:] != bits[:-1]).any(axis=1)
+    counts = batch.column("ids").value_lengths().to_numpy(zero_copy_only=False).astype(np.int64)
+    before = np.cumsum(counts) - counts
+    before -= np.maximum.accumulate(np.where(new, before, 0))
+    full = before // IDS_PER_ROW
+    new[1:] |= full[1:] != full[:-1]
+    starts = np.flatnonzero(new)
+    ids = pa.ListArray.from_arrays(
+        pa.array(np.r_[0, np.cumsum(np.add.reduceat(counts, starts))].astype(np.int32)),
+        batch.column("ids").flatten())
+    firsts = batch.take(pa.array(starts))
+    return firsts.set_column(batch.schema.names.index("ids"), "ids", ids)
+
+
+def _unite(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    return map(_united, batches)
+
+
 def _sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """A batch's number of vectors and sum of directions per cell. Members are stored in order of
-    their cells, so neighbouring rows of one cell are summed up, and no more than a batch is held."""
+    their cells, so neighbouring rows of one cell are summed up, and no more than a batch is held.
+    A row counts as many times as ``copies`` says."""
     for batch in batches:
         if not batch.num_rows:
             continue
@@ -94,8 +141,11 @@ def _sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             matrix = flat.to_numpy(zero_copy_only=False).astype(float).reshape(len(rows), size)
             lengths = np.sqrt((matrix * matrix).sum(axis=1))
             matrix /= np.where(lengths == 0, 1.0, lengths)[:, None]
-            totals = np.add.reduceat(matrix, np.r_[0, np.cumsum(counts)[:-1]], axis=0)
-            totals = np.c_[counts.astype(float), totals]
+            copies = np.ones(len(rows))
+            if "copies" in batch.schema.names:
+                copies = batch.column("copies").to_numpy(zero_copy_only=False)[rows].astype(float)
+            totals = np.add.reduceat(np.c_[copies, matrix * copies[:, None]],
+                                     np.r_[0, np.cumsum(counts)[:-1]], axis=0)
             at = pa.array(np.repeat(starts[runs], size + 1))
             yield pa.RecordBatch.from_arrays(
                 [*(k.take(at) for k in keys),
@@ -103,40 +153,65 @@ def _sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                  pa.array(totals.ravel())], ["source", "dims", "cell", "place", "total"])
 
 
+def _bounds(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """For stored rows with ``copies``: number of vectors, centre and radius of each run of
+    neighbouring rows of one cell and batch, whose vectors are met once."""
+    for batch in batches:
+        for sums in _sums(iter([batch])):
+            size = sums.column("dims")[0].as_py()
+            rows = np.flatnonzero(batch.column("dims").to_numpy(zero_copy_only=False) == size)
+            own = batch.take(pa.array(rows))
+            totals = sums.column("total").to_numpy().reshape(-1, size + 1)
+            heads = sums.take(pa.array(np.arange(len(totals)) * (size + 1)))
+            keys = [own.column("source").dictionary_encode().indices.fill_null(-1),
+                    own.column("cell")]
+            keys = [k.to_numpy(zero_copy_only=False) for k in keys]
+            new = np.any([k[1:] != k[:-1] for k in keys], axis=0) | (np.diff(rows) > 1)
+            run = np.r_[0, np.cumsum(new)]
+            matrix = own.column("embedding").flatten().to_numpy(zero_copy_only=False)
+            matrix = matrix.astype(float).reshape(len(rows), size)
+            centres = totals[:, 1:]
+            with np.errstate(divide="ignore", invalid="ignore"):
+                cosine = (matrix * centres[run]).sum(axis=1) / np.sqrt(
+                    (matrix * matrix).sum(axis=1) * (centres * centres).sum(axis=1)[run])
+                angle = np.arccos(np.clip(cosine, -1.0, 1.0))
+            # a centre without a length bounds nothing: its cell may hold any angle
+            radius = np.zeros(len(totals))
+            np.maximum.at(radius, run, np.where(np.isnan(angle), math.pi, angle))
+            offsets = np.arange(len(totals) + 1, dtype=np.int32) * size
+            yield pa.RecordBatch.from_arrays(
+                [heads.column("source"), heads.column("dims"), heads.column("cell"),
+                 pa.array(totals[:, 0].astype(np.int64)), pa.ListArray.from_arrays(
+                     pa.array(offsets), pa.array(centres.ravel())), pa.array(radius)],
+                [c.split()[0] for c in CELLS.split(", ")])
+
+
 def store_cells(vectors: DataFrame, path: str, rows_per_cell: int = ROWS_PER_CELL) -> None:
     """Store vectors ``(id, source, embedding)`` by cell at ``path``.
 
     The number of projections follows the number of vectors, so a cell's size does not grow
-    (up to ``MOST_BITS``). Vectors ``check_vectors`` rejects are left out.
+    (up to ``MOST_BITS``). Vectors ``check_vectors`` rejects are left out. Each vector is shuffled
+    once, to where it is stored; bounds are taken from the stored rows as they lie. Ids of one
+    source with the same vector share a stored copy.
     """
     spark = vectors.sparkSession
     fine = check_vectors(vectors.select("id", "source", "embedding")).rows.select(
         "id", "source", F.col("embedding").cast("array<float>").alias("embedding"))
     bits = min(MOST_BITS, max(0, math.ceil(math.log2(max(1, fine.count()) / rows_per_cell))))
-    fine.mapInArrow(_deal(bits), MEMBERS).repartitionByRange("source", "dims", "cell", "id") \
-        .sortWithinPartitions("source", "dims", "cell").write.mode("overwrite").partitionBy(
-            "source").parquet(f"{path}/members")
-    members = read_cells(spark, path, False).members
+    order = ["source", "dims", "cell", "mark"]
+    fine.mapInArrow(_deal(bits), DEALT).repartitionByRange(*order, F.col("ids")[0]) \
+        .sortWithinPartitions(*order).mapInArrow(_unite, DEALT).sortWithinPartitions(*order) \
+        .drop("mark").write.mode("overwrite").partitionBy("source").parquet(f"{path}/members")
+    spark.read.schema(STORED).parquet(f"{path}/members").select(
+        "source", "dims", "cell", "embedding", F.size("ids").alias("copies")).mapInArrow(
+        _bounds, CELLS).write.mode("overwrite").partitionBy("source").parquet(f"{path}/directory")
 
-    key = ["source", "dims", "cell"]
-    summed = members.select(*key, "embedding").mapInArrow(
-        _sums, "source string, dims int, cell bigint, place int, total double") \
-        .groupBy(*key, "place").agg(F.sum("total").alias("total"))
-    parts = F.transform(F.array_sort(F.collect_list(F.struct("place", "total"))), lambda p: p["total"])
-    cells = summed.groupBy(*key).agg(parts.alias("_p")).select(
-        *key, F.col("_p")[0].cast("bigint").alias("n"), F.slice("_p", 2, 1 << 20).alias("centre"))
-    around = members.join(small_side(cells), key)
-    # a centre without a length bounds nothing: its cell may hold any angle
-    angle = F.coalesce(F.nanvl(_angle(F.col("embedding"), F.col("centre")), F.lit(math.pi)), F.lit(math.pi))
-    radius = around.groupBy(*key).agg(F.max(angle).alias("radius"))
-    cells.join(radius, key).select(*[c.split()[0] for c in CELLS.split(", ")]).repartitionByRange(
-        "source", "cell").write.mode("overwrite").partitionBy("source").parquet(f"{path}/directory")
-
-
-def read_cells(spark, path: str, directory: bool = True) -> Cells:
+
+def read_cells(spark, path: str) -> Cells:
     """The stored cells; sources are strings whatever their names look like."""
-    return Cells(spark.read.schema(MEMBERS).parquet(f"{path}/members"),
-                 spark.read.schema(CELLS).parquet(f"{path}/directory") if directory else None)
+    stored = spark.read.schema(STORED).parquet(f"{path}/members")
+    return Cells(stored.select(F.explode("ids").alias("id"), "source", "embedding", "dims", "cell"),
+                 spark.read.schema(CELLS).parquet(f"{path}/directory"))
 
 
 def _angle(a: Column, b: Column) -> Column:
